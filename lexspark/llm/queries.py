@@ -6,21 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe_model, packing
+from lexspark.llm import bpe_model, fingerprints, language, packing, topk
 from lexspark.llm.common import table
 from lexspark.llm.tokens import vocabulary_path
 
 
+def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.query(table(spark, sf_dir, "documents"))
+
+
+def op7_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.query(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op9_content_defined_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.query(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_model.query(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_sum_of_squares_packing, op10_byte_bpe_codec)
+    f.__name__: f
+    for f in (
+        op5_nearest_centroid_language,
+        op7_block_pruned_top_k,
+        op8_sum_of_squares_packing,
+        op9_content_defined_fingerprints,
+        op10_byte_bpe_codec,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_block_pruned_top_k": topk.ORACLE_SQL}
