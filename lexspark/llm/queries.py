@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe_model, fingerprints, language, packing, sharding, topk
+from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, packing, sharding, topk
 from lexspark.llm.common import table
 from lexspark.llm.tokens import vocabulary_path
 
 
+def op3_lsh_forest_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.query(table(spark, sf_dir, "documents"))
+
+
 def op4_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_lsh_forest_jaccard_join,
         op4_balanced_label_propagation,
         op5_nearest_centroid_language,
         op7_block_pruned_top_k,
