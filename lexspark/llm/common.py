@@ -14,6 +14,7 @@ ARROW_ROWS = 256
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # shuffle files go when a write ends
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

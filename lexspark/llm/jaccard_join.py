@@ -11,8 +11,9 @@ of chunks verified in separate tasks: a task holds two chunks at most, and gives
 link is lost in a large group of near copies, and none is written out.
 
 Result, a row per document: doc_id, class_id (the least doc_id of its component of links), links (other documents of
-similarity SIMILARITY or more). Documents without words, or with a null text, are linked to nothing and have themselves
-as class. Rows with a null doc_id get class_id null unless they have copies. Repeated rows are documents of their own.
+similarity SIMILARITY or more). Texts without words are linked to equal texts only; null texts are linked to nothing and
+have themselves as class. A null doc_id counts as least, and class_id is then the row's own doc_id. Repeated rows are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +45,26 @@ def matched_depth(similarity: float, recall: float, trees: int = TREES, depth: i
     raise ValueError(f"{trees} trees cannot reach a recall of {recall}")
 
 
+def name_of(text: str | None, found: np.ndarray) -> str | None:
+    """Names a class: by the shingle set, by the text where it has no words; null texts have none."""
+    return digest(found) if len(found) or text is None else "text " + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "replace"))
+
+
 def labels(documents: DataFrame) -> DataFrame:
-    """doc_id, digest, labels: per tree, the leaf's values as a hexadecimal string."""
+    """doc_id, md5 (of the text), digest, labels: per tree, the leaf's values as a hexadecimal string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, leaves = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingles(text)
-                digests.append(digest(found))
+                digests.append(name_of(text, found))
                 leaf = signature(found, TREES * DEPTH).astype(">u4").tobytes().hex() if len(found) else ""
                 leaves.append([leaf[i : i + 8 * DEPTH] for i in range(0, len(leaf), 8 * DEPTH)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(leaves, pa.list_(pa.string()))], ["doc_id", "digest", "labels"])
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(leaves, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "md5", "digest", "labels"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string, labels array<string>")
+    return documents.select("doc_id", F.md5("text").alias("md5"), "text").mapInArrow(run, "doc_id long, md5 string, digest string, labels array<string>")
 
 
 def _subtrees(classes: DataFrame, depth: int) -> DataFrame:
@@ -74,7 +82,7 @@ def _shingled(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            right = [digest(s) == node for s, node in zip(sets, batch.column(1).to_pylist())]  # doc_ids may repeat
+            right = [len(s) > 0 and digest(s) == node for s, node in zip(sets, batch.column(1).to_pylist())]  # doc_ids may repeat
             yield batch.set_column(0, "found", pa.array([s.tobytes() for s in sets], pa.binary())).filter(pa.array(right))
 
     joined = documents.select("doc_id", "text").join(candidates, "doc_id").select("text", "node", "copies", "subtrees")
@@ -176,23 +184,35 @@ def _links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_verify, "node string, root string, links long")
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id, links."""
+def classified(documents: DataFrame) -> DataFrame:
+    """doc_id, md5 (of the text), class_id, links, stays: whether it is the one row of its class, by least (doc_id, md5)."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(labels(documents), "jaccard-labels")
-    classes = signed.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("labels").alias("labels"))
+    groups = signed.where("digest is not null").groupBy(F.col("digest").alias("node"))
+    classes = groups.agg(F.min(F.struct("doc_id", "md5")).alias("least"), F.count("*").alias("copies"), F.min("labels").alias("labels"))
     subtrees = _subtrees(classes.select("node", "labels"), matched_depth(SIMILARITY, RECALL))
     lists = subtrees.groupBy("node").agg(F.collect_list(F.struct("subtree", "members")).alias("subtrees"))  # TREES at most
-    candidates = classes.select("node", "doc_id", "copies").join(lists, "node")
+    candidates = classes.select("node", F.col("least.doc_id").alias("doc_id"), "copies").join(lists, "node")
     found = written(_links(_shingled(candidates, documents)), "jaccard-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-components")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left")
+    known = classes.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
     known = written(known.withColumn("component", F.coalesce("component", "node")), "jaccard-classes")
-    least = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    per_class = known.join(least, "component").select(F.col("node").alias("digest"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
-    return signed.select("doc_id", "digest").join(per_class, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    first = known.groupBy("component").agg(F.min("least").alias("first"))
+    others = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    per_set = known.join(first, "component").select(F.col("node").alias("digest"), "first", others.alias("links"))
+    rows = signed.select("doc_id", "md5", "digest").join(per_set, "digest", "left")
+    stays = F.coalesce(F.col("first") == F.struct("doc_id", "md5"), F.lit(True))
+    return rows.select("doc_id", "md5", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), stays.alias("stays"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The documents without all but the least of each class; all columns stay. Rows of equal doc_id and text count once."""
+    one = classified(documents).where("stays").select(F.col("doc_id").alias("__doc"), F.col("md5").alias("__md5")).distinct()
+    named = documents.withColumn("__own", F.md5("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("__own").eqNullSafe(F.col("__md5"))
+    return named.join(one, same).dropDuplicates(["__doc", "__md5"]).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def query(documents: DataFrame) -> DataFrame:
-    return join(documents)
+    return classified(documents).select("doc_id", "class_id", "links")

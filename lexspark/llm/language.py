@@ -132,8 +132,8 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
     return Model([r[0] for r in got], idf, c, far + MARGIN * (1 - far))
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score and rejected; the other columns stay."""
+def predict(documents: DataFrame, model: Model, name: str = "language") -> DataFrame:
+    """Adds a struct of lang_pred, score and rejected; the other columns stay."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x DIMENSIONS floats
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -142,9 +142,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             got = shared.value.predict(texts.tolist())
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "rejected"), got)))
 
-    names = {"lang_pred", "score", "rejected", "_language"}
-    kept = [F.col(f"`{c}`") for c in documents.columns if c not in names]
-    return documents.select(*kept, run(F.col("text")).alias("_language")).select(*kept, "_language.*")
+    return documents.withColumn(name, run(F.col("text")))
 
 
 def held_out() -> Column:
@@ -154,4 +152,4 @@ def held_out() -> Column:
 
 def query(documents: DataFrame) -> DataFrame:
     model = fit(documents.where(~held_out()))
-    return predict(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "language.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, packing, sharding, topk
+from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, topk
 from lexspark.llm.common import table
 from lexspark.llm.tokens import vocabulary_path
 
@@ -23,6 +23,10 @@ def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language.query(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op7_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_lsh_forest_jaccard_join,
         op4_balanced_label_propagation,
         op5_nearest_centroid_language,
+        op6_fuzzy_line_dedup,
         op7_block_pruned_top_k,
         op8_sum_of_squares_packing,
         op9_content_defined_fingerprints,
