@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, topk
-from lexspark.llm.common import table
+from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, topk, url_filter
+from lexspark.llm.common import shared_dir, table
 from lexspark.llm.tokens import vocabulary_path
 
 
+def op1_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
+def op2_range_coded_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return token_store.query(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), place)
+
+
 def op3_lsh_forest_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(table(spark, sf_dir, "documents"))
 
@@ -46,6 +56,8 @@ def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_temporal_url_filter,
+        op2_range_coded_token_files,
         op3_lsh_forest_jaccard_join,
         op4_balanced_label_propagation,
         op5_nearest_centroid_language,
@@ -57,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_block_pruned_top_k": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_temporal_url_filter": url_filter.ORACLE_SQL, "op7_block_pruned_top_k": topk.ORACLE_SQL}
