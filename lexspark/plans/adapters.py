@@ -16,8 +16,8 @@ from lexspark.functions import text as T
 #: Appended to a line by (doc_id + pos) % 12.
 MARKERS = [
     "Der Halter muss dies anmelden.", "Dies darf nicht erfolgen.", "Dies erfolgt binnen 2 Wochen.", "Halter im Sinne dieses Gesetzes sind Personen.",
-    "Die Aufsicht obliegt der Gemeinde.", "Hunde sind ausgenommen.", "Die Behörde kann nach § 7 Abs. 2 Ausnahmen erteilen.", "Wer ist hier zuständig?",
-    "Die Meldung nach DSGVO und § 12 ist zu prüfen.", "", "", ""]
+    "Die Aufsicht obliegt der Gemeinde.", "Hunde sind ausgenommen.", "Die Behörde kann nach § 5 Abs. 2 Ausnahmen erteilen.", "Wer ist hier zuständig?",
+    "Die Meldung nach DSGVO und § 9 ist zu prüfen.", "", "", ""]
 ABBREVIATIONS = [["DSGVO", "BGB"], ["DSGVO"], [], ["BSI", "BGB", "DSGVO"]]
 
 

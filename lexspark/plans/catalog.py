@@ -1,10 +1,339 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with the SQL that gives the same rows where SQL can express it.
+
+Names start with the operator's id. A query gets `Views` and returns a DataFrame of scalar columns.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexspark.functions import rules as R
+from lexspark.functions import text as T
+from lexspark.operators import chunking, graph, reports, retrieval, statements
+from lexspark.plans.adapters import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+AS_OF = datetime.date(2025, 1, 1)
+
+
+def query(name: str, make: Callable[[Views], DataFrame], sql: str = "", *views: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return make(Views(spark, sf_dir))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = with_views(sql, *views)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["agg_01_norm_type_distribution"](spark, sf_dir)
+
+
+B = "CAST({} AS BIGINT)"
+C = F.col
+
+
+def n(name: str = "n"):
+    return F.count("*").alias(name)
+
+
+# ---- distributions, totals and overviews
+query("agg_01_norm_type_distribution", lambda v: reports.norm_type_distribution(v.svo), """
+SELECT norm_type, count(*) AS n, round(avg(norm_confidence), 3) AS avg_confidence, round(min(norm_confidence), 3) AS min_confidence,
+  round(count(*)::DOUBLE * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM svo GROUP BY norm_type""", "svo")
+query("agg_02_svo_completeness", lambda v: reports.svo_completeness(v.svo), """
+SELECT count(*) AS total, CAST(sum((subject IS NOT NULL)::INT) AS BIGINT) AS with_subject, CAST(sum((object IS NOT NULL)::INT) AS BIGINT) AS with_object,
+  CAST(sum((subject IS NOT NULL AND object IS NOT NULL)::INT) AS BIGINT) AS complete, CAST(sum(CASE WHEN lower(subject) IN ('er', 'sie', 'es', 'man') THEN 1 ELSE 0 END) AS BIGINT) AS pronouns,
+  round(avg(confidence), 3) AS avg_confidence, round(avg(norm_confidence), 3) AS avg_norm_confidence, round(sum((subject IS NOT NULL)::INT)::DOUBLE * 100.0 / nullif(count(*), 0), 1) AS subject_percent FROM svo""", "svo")
+for name, column in (("agg_03_top_subjects", "subject"), ("agg_03_top_objects", "object")):
+    query(name, lambda v, c=column: reports.top(v.svo, c, 10), f"SELECT {column}, count(*) AS n FROM svo WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY n DESC, {column} LIMIT 10", "svo")
+query("agg_04_ner_by_source", lambda v: reports.ner_by_source(v.ner), "SELECT label, source, count(*) AS n, round(avg(confidence), 3) AS avg_confidence FROM ner GROUP BY label, source", "ner")
+query("agg_04_model_share", lambda v: reports.model_share(v.ner), "SELECT round(sum((source = 'flair')::INT)::DOUBLE * 100.0 / nullif(count(*), 0), 1) AS flair_percent, count(*) AS total FROM ner", "ner")
+query("agg_05_top_entities", lambda v: v.ner.where(C("confidence") > 0.7).groupBy("text", "label").agg(n()).orderBy(F.desc("n"), "text", "label").limit(20),
+      "SELECT text, label, count(*) AS n FROM ner WHERE confidence > 0.7 GROUP BY text, label ORDER BY n DESC, text, label LIMIT 20", "ner")
+query("agg_06_distinct_entities", lambda v: v.ner.groupBy("label").agg(n("occurrences"), F.countDistinct("text").alias("different")),
+      "SELECT label, count(*) AS occurrences, count(DISTINCT text) AS different FROM ner GROUP BY label", "ner")
+for name, kind in (("agg_07_svo_coverage", "svo"), ("agg_07_ner_coverage", "ner")):
+    query(name, lambda v, k=kind: reports.coverage(v.chunks, getattr(v, k)), f"""SELECT covered, chunks, round(covered::DOUBLE * 100.0 / nullif(chunks, 0), 1) AS percent
+FROM (SELECT count(DISTINCT chunk_id) AS covered FROM {kind}), (SELECT count(*) AS chunks FROM chunks)""", kind)
+query("agg_08_document_overview", lambda v: reports.document_overview(v.docs, v.chunks), """
+SELECT d.doc_id, d.title, count(c.chunk_id) AS chunks, CAST(coalesce(sum(c.has_embedding::INT), 0) AS BIGINT) AS with_embedding, CAST(coalesce(sum((len(c.abbrevs) > 0)::INT), 0) AS BIGINT) AS with_abbrevs,
+  max(c.doc_class) AS doc_class, CAST(coalesce(sum(c.token_count), 0) AS BIGINT) AS tokens FROM docs d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.title""", "docs", "chunks")
+query("agg_09_overview_by_class_and_day", lambda v: v.docs.join(v.chunks.drop("doc_class"), "doc_id").groupBy("doc_class", "ingest_day").agg(F.countDistinct("doc_id").alias("documents"), n("chunks")),
+      "SELECT d.doc_class, d.ingest_day, count(DISTINCT d.doc_id) AS documents, count(*) AS chunks FROM docs d JOIN chunks c USING (doc_id) GROUP BY d.doc_class, d.ingest_day", "docs", "chunks")
+query("agg_10_chunk_statistics", lambda v: reports.chunk_statistics(v.docs, v.chunks), """
+SELECT d.doc_id, d.title, CAST(sum((hierarchy_level = 1)::INT) AS BIGINT) AS parents, CAST(sum((hierarchy_level > 1)::INT) AS BIGINT) AS children, CAST(sum(token_count) AS BIGINT) AS tokens,
+  round(avg(token_count), 2) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens FROM docs d JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.title""", "docs", "chunks")
+query("agg_11_chunk_types_by_class", lambda v: v.chunks.groupBy("doc_class", "chunk_type").agg(n(), F.round(F.avg("token_count")).cast("long").alias("avg_tokens"), F.round(F.avg("confidence_weight"), 2).alias("avg_weight")),
+      "SELECT doc_class, chunk_type, count(*) AS n, CAST(round(avg(token_count)) AS BIGINT) AS avg_tokens, round(avg(confidence_weight), 2) AS avg_weight FROM chunks GROUP BY doc_class, chunk_type", "chunks")
+query("agg_12_levels", lambda v: v.chunks.groupBy("doc_class", "hierarchy_level").agg(n()), "SELECT doc_class, hierarchy_level, count(*) AS n FROM chunks GROUP BY doc_class, hierarchy_level", "chunks")
+query("agg_13_chunk_types_by_document", lambda v: v.chunks.groupBy("doc_id", "chunk_type").agg(n()), "SELECT doc_id, chunk_type, count(*) AS n FROM chunks GROUP BY doc_id, chunk_type", "chunks")
+query("agg_14_token_median", lambda v: v.chunks.groupBy("doc_class").agg(F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 2).alias("mean"), F.round(F.expr("percentile(token_count, 0.5)"), 2).alias("median")),
+      "SELECT doc_class, min(token_count) AS least, max(token_count) AS most, round(avg(token_count), 2) AS mean, round(quantile_cont(token_count, 0.5), 2) AS median FROM chunks GROUP BY doc_class", "chunks")
+query("agg_15_embedding_completeness", lambda v: v.chunks.agg(n("chunks"), reports.flag(C("has_embedding")).alias("embedded"), reports.flag(~C("has_embedding")).alias("missing")),
+      "SELECT count(*) AS chunks, CAST(sum(has_embedding::INT) AS BIGINT) AS embedded, CAST(sum((NOT has_embedding)::INT) AS BIGINT) AS missing FROM chunks", "chunks")
+query("agg_16_abbreviation_frequency", lambda v: v.chunks.select(F.explode("abbrevs").alias("abbrev"), "doc_id").groupBy("abbrev").agg(n(), F.countDistinct("doc_id").alias("documents")),
+      "SELECT abbrev, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT unnest(abbrevs) AS abbrev, doc_id FROM chunks) GROUP BY abbrev", "chunks")
+query("agg_18_job_totals", lambda v: reports.job_state(v.jobs).where("status = 'done'").agg(n("jobs"), F.sum("updates").cast("long").alias("updates"), F.sum("seconds").cast("long").alias("seconds")), """
+SELECT count(*) AS jobs, CAST(sum(updates) AS BIGINT) AS updates, CAST(sum(seconds) AS BIGINT) AS seconds FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, count(*) AS updates, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM events GROUP BY user_id) WHERE last = 'purchase'""")
+query("agg_19_recommendations", lambda v: reports.recommendations(v.svo), """
+SELECT *, concat_ws(';', CASE WHEN unknown_percent > 20 THEN 'extend patterns' END, CASE WHEN no_object_percent > 50 THEN 'check objects' END) AS advice FROM (
+SELECT round(sum((norm_type = 'UNKNOWN')::INT)::DOUBLE * 100.0 / nullif(count(*), 0), 1) AS unknown_percent, round(sum((object IS NULL)::INT)::DOUBLE * 100.0 / nullif(count(*), 0), 1) AS no_object_percent FROM svo)""", "svo")
+query("agg_20_sync_statistics", lambda v: v.chunks.where(C("chunk_id") % 3 == 0).join(v.docs.select("doc_id", "title"), "doc_id").groupBy("title").agg(n("exported"), F.sum(C("token_count") % 9).cast("long").alias("triples")),
+      "SELECT title, count(*) AS exported, CAST(sum(token_count % 9) AS BIGINT) AS triples FROM chunks JOIN docs USING (doc_id) WHERE chunk_id % 3 = 0 GROUP BY title", "docs", "chunks")
+query("agg_21_law_references", lambda v: v.chunks.select("doc_id", F.explode(T.cross_references(C("content"))).alias("ref")).distinct().groupBy("ref").agg(n("documents")).orderBy(F.desc("documents"), "ref").limit(100), rf"""
+SELECT ref, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(content, '{T.CROSS_REFERENCE}'))[1:10]) AS ref FROM chunks) GROUP BY ref ORDER BY documents DESC, ref LIMIT 100""", "chunks")
+query("agg_22_unknown_predicates", lambda v: reports.top(v.svo.where("norm_type = 'UNKNOWN'").withColumn("lemma", F.lower("predicate")), "lemma", 30),
+      "SELECT lower(predicate) AS lemma, count(*) AS n FROM svo WHERE norm_type = 'UNKNOWN' AND predicate IS NOT NULL GROUP BY 1 ORDER BY n DESC, lemma LIMIT 30", "svo")
+query("agg_23_totals", lambda v: v.svo.agg(n("statements")).join(v.ner.agg(n("entities"))), "SELECT (SELECT count(*) FROM svo) AS statements, (SELECT count(*) FROM ner) AS entities", "svo", "ner")
+query("agg_25_entity_frequency", lambda v: v.ner.join(v.chunks.select("chunk_id", "norm_reference"), "chunk_id").groupBy("text", "label", "norm_reference").agg(n()).orderBy(F.desc("n"), "text", "label", "norm_reference").limit(30),
+      "SELECT text, label, norm_reference, count(*) AS n FROM ner JOIN chunks USING (chunk_id) GROUP BY text, label, norm_reference ORDER BY n DESC, text, label, norm_reference NULLS FIRST LIMIT 30", "ner")
+query("agg_26_ner_by_document", lambda v: v.ner.groupBy("doc_id", "label").agg(n()), "SELECT doc_id, label, count(*) AS n FROM ner GROUP BY doc_id, label", "ner")
+query("agg_27_chunk_counts", lambda v: v.chunks.groupBy("doc_id").agg(n("chunks")), "SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id", "chunks")
+query("snk_08_agg_28_bundles", lambda v: reports.bundle_state(reports.job_state(v.jobs)), """
+SELECT bundle, total, done, errors, CAST(greatest(0, total - done - errors) AS BIGINT) AS pending,
+  CASE WHEN total - done - errors > 0 THEN 'running' WHEN errors = 0 THEN 'done' WHEN done = 0 THEN 'error' ELSE 'partial' END AS status
+FROM (SELECT user_id % 7 AS bundle, count(*) AS total, CAST(sum((last = 'purchase')::INT) AS BIGINT) AS done, CAST(sum((last = 'error')::INT) AS BIGINT) AS errors
+  FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id) GROUP BY 1)""")
+
+# ---- filters and projections
+query("fil_01_title_contains", lambda v: v.docs.where(C("title").ilike("%KUMENT 1%")).select("doc_id", "title"), "SELECT doc_id, title FROM docs WHERE title ILIKE '%KUMENT 1%'", "docs")
+query("fil_02_valid_on_day", lambda v: v.docs.where(F.coalesce(C("valid_to") >= F.lit(AS_OF), F.lit(True))).select("doc_id", "valid_to"), "SELECT doc_id, valid_to FROM docs WHERE valid_to IS NULL OR valid_to >= DATE '2025-01-01'", "docs")
+query("fil_03_class_and_source", lambda v: v.docs.where(C("doc_class").isin("A", "B") & C("source_type").isin("gesetz", "verordnung", "standard")).select("doc_id", "doc_class", "source_type"),
+      "SELECT doc_id, doc_class, source_type FROM docs WHERE doc_class IN ('A', 'B') AND source_type IN ('gesetz', 'verordnung', 'standard')", "docs")
+query("fil_04_with_abbreviations", lambda v: v.chunks.where(F.size("abbrevs") > 0).select("chunk_id", F.array_join("abbrevs", ",").alias("abbrevs")), "SELECT chunk_id, array_to_string(abbrevs, ',') AS abbrevs FROM chunks WHERE len(abbrevs) > 0", "chunks")
+query("fil_05_reference_pattern", lambda v: v.chunks.where(C("norm_reference").ilike("§ 1%") | C("norm_reference").ilike("§%5%")).select("chunk_id", "norm_reference"),
+      "SELECT chunk_id, norm_reference FROM chunks WHERE norm_reference ILIKE '§ 1%' OR norm_reference ILIKE '§%5%'", "chunks")
+query("fil_07_any_of", lambda v: v.chunks.where(F.array_contains("abbrevs", "BGB")).select("chunk_id"), "SELECT chunk_id FROM chunks WHERE list_contains(abbrevs, 'BGB')", "chunks")
+query("fil_08_confident", lambda v: v.svo.where(C("confidence") > 0.7).select("svo_id", "confidence"), "SELECT svo_id, confidence FROM svo WHERE confidence > 0.7", "svo")
+query("fil_09_short_chunks", lambda v: v.chunks.where((F.length(F.trim("content")) < 60) | ((C("doc_class") == "A") & C("norm_reference").isNull())).select("chunk_id", "content"),
+      "SELECT chunk_id, content FROM chunks WHERE length(trim(content, ' ')) < 60 OR (doc_class = 'A' AND norm_reference IS NULL)", "chunks")
+query("fil_11_complete_statements", lambda v: v.svo.where("subject is not null and object is not null and norm_type in ('MUST', 'MUST_NOT')").select("svo_id", "subject", "predicate", "object", "norm_type"),
+      "SELECT svo_id, subject, predicate, object, norm_type FROM svo WHERE subject IS NOT NULL AND object IS NOT NULL AND norm_type IN ('MUST', 'MUST_NOT')", "svo")
+query("fil_12_nonempty_chunks", lambda v: v.chunks.where(F.trim("content") != "").select("chunk_id", F.when(C("token_count") == 0, T.token_estimate(C("content"))).otherwise(C("token_count")).alias("tokens")),
+      "SELECT chunk_id, CASE WHEN token_count = 0 THEN greatest(1, length(content) // 4) ELSE token_count END AS tokens FROM chunks WHERE trim(content, ' ') <> ''", "chunks")
+query("fil_13_resolved_sample", lambda v: v.chunks.where(F.size("abbrevs") > 1).orderBy("chunk_id").limit(10).select("chunk_id", F.left("content", F.lit(80)).alias("head")), "SELECT chunk_id, left(content, 80) AS head FROM chunks WHERE len(abbrevs) > 1 ORDER BY chunk_id LIMIT 10", "chunks")
+query("fil_14_failed_jobs", lambda v: v.jobs.where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "user_id"), "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200")
+query("fil_15_latest_statements", lambda v: v.svo.where("subject is not null and object is not null").orderBy(F.desc("svo_id")).limit(5).select("svo_id", "subject", "object"), "SELECT svo_id, subject, object FROM svo WHERE subject IS NOT NULL AND object IS NOT NULL ORDER BY svo_id DESC LIMIT 5", "svo")
+query("prj_01_06_projections", lambda v: v.docs.select("doc_id", F.coalesce(C("valid_to").cast("string"), F.lit("offen")).alias("until"), F.datediff(F.lit(AS_OF), "valid_from").cast("long").alias("days"), F.date_format("valid_from", "dd.MM.yyyy").alias("shown"), F.upper(F.left("title", F.lit(3))).alias("short")),
+      "SELECT doc_id, coalesce(CAST(valid_to AS VARCHAR), 'offen') AS until, CAST(date_diff('day', valid_from, DATE '2025-01-01') AS BIGINT) AS days, strftime(valid_from, '%d.%m.%Y') AS shown, upper(left(title, 3)) AS short FROM docs", "docs")
+query("prj_05_job_days", lambda v: v.jobs.groupBy(F.to_date("ts").alias("day"), "event_type").agg(n()), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+
+# ---- joins
+query("joi_01_chunks_with_documents", lambda v: v.chunks.join(v.docs.select("doc_id", "title", "source_type"), "doc_id").groupBy("source_type").agg(n(), F.sum("token_count").cast("long").alias("tokens")),
+      "SELECT source_type, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks JOIN docs USING (doc_id) GROUP BY source_type", "docs", "chunks")
+query("joi_03_statements_in_context", lambda v: v.svo.join(v.chunks.select("chunk_id", "norm_reference"), "chunk_id").join(v.docs.select("doc_id", "title"), "doc_id").where("norm_type <> 'UNKNOWN'").select("svo_id", "norm_type", "norm_reference", "title"),
+      "SELECT svo_id, norm_type, c.norm_reference, title FROM svo s JOIN chunks c USING (chunk_id) JOIN docs d ON d.doc_id = s.doc_id WHERE norm_type <> 'UNKNOWN'", "svo", "docs")
+query("joi_04_entities_in_context", lambda v: v.ner.join(v.chunks.select("chunk_id", "chunk_type"), "chunk_id").join(v.docs.select("doc_id", "source_type"), "doc_id").groupBy("source_type", "chunk_type", "label").agg(n()),
+      "SELECT source_type, chunk_type, label, count(*) AS n FROM ner e JOIN chunks c USING (chunk_id) JOIN docs d ON d.doc_id = e.doc_id GROUP BY ALL", "ner", "docs")
+query("joi_05_chunks_with_norm_type", lambda v: v.chunks.join(v.svo.where(C("norm_type").isin("COMPETENCE", "DEF", "MUST")).select("chunk_id"), "chunk_id", "left_semi").select("chunk_id"),
+      "SELECT chunk_id FROM chunks c WHERE EXISTS (SELECT 1 FROM svo s WHERE s.chunk_id = c.chunk_id AND norm_type IN ('COMPETENCE', 'DEF', 'MUST'))", "svo")
+query("joi_06_not_exported", lambda v: v.chunks.join(v.chunks.where(C("chunk_id") % 3 == 0).select("chunk_id"), "chunk_id", "left_anti").select("chunk_id"), "SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id % 3 = 0)", "chunks")
+query("joi_07_jobs_of_customers", lambda v: v.table("customer").select(C("c_custkey").alias("user_id")).join(v.jobs.groupBy("user_id").agg(n("events")), "user_id", "left"), "SELECT c_custkey AS user_id, events FROM customer LEFT JOIN (SELECT user_id, count(*) AS events FROM events GROUP BY user_id) e ON e.user_id = c_custkey")
+query("joi_09_abbreviations_per_document", lambda v: reports.abbreviation_counts(v.docs, v.chunks), """
+SELECT d.doc_id, CAST(coalesce((SELECT sum(n) FROM (SELECT min(len(abbrevs)) AS n, abbrevs, doc_id FROM chunks WHERE len(abbrevs) > 0 GROUP BY doc_id, abbrevs) a WHERE a.doc_id = d.doc_id), 0) AS BIGINT) AS abbreviations FROM docs d""", "docs", "chunks")
+query("joi_13_near_rule_entities", lambda v: statements.without_near_rules(v.ner).select("chunk_id", "i", "label", "source"), """
+SELECT chunk_id, i, label, source FROM ner a WHERE source = 'flair' OR NOT EXISTS (SELECT 1 FROM ner b WHERE b.source = 'flair' AND b.chunk_id = a.chunk_id AND b.label = a.label AND abs(a.i - b.i) < 5)""", "ner")
+query("joi_15_parent_references", lambda v: v.chunks.select("chunk_id", "parent_id").join(v.chunks.select(C("chunk_id").alias("parent_id"), C("norm_reference").alias("parent_reference")), "parent_id").select("chunk_id", "parent_reference"),
+      "SELECT c.chunk_id, p.norm_reference AS parent_reference FROM chunks c JOIN chunks p ON p.chunk_id = c.parent_id", "chunks")
+
+# ---- text
+query("txt_01_token_estimate", lambda v: v.table("documents").select("doc_id", T.token_estimate(C("text")).alias("tokens")), "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM documents")
+query("txt_02_clean", lambda v: v.chunks.select("chunk_id", F.md5(T.clean(C("content"))).alias("md5")))
+query("txt_02a_control_characters", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(C("content"), "control")).alias("md5")), r"SELECT chunk_id, md5(regexp_replace(content, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS md5 FROM chunks", "chunks")
+query("txt_02b_spaces", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(C("content"), "spaces")).alias("md5")), r"SELECT chunk_id, md5(regexp_replace(content, '[\x{a0}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}]', ' ', 'g')) AS md5 FROM chunks", "chunks")
+query("txt_02d_links", lambda v: v.table("pages").select("page_id", F.md5(T.clean_step(T.clean_step(C("html"), "links"), "www")).alias("md5")), r"SELECT page_id, md5(regexp_replace(regexp_replace(html, 'https?://\S+', '', 'g'), 'www\.\S+', '', 'g')) AS md5 FROM pages")
+query("txt_02e_repeated_lines", lambda v: v.table("documents").select("doc_id", F.md5(T.drop_repeated_lines(C("text"))).alias("md5")), "SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: i = 1 OR trim(x, ' ') <> trim(l[i - 1], ' ')), chr(10))) AS md5 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+query("txt_02g_bullets", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(C("content"), "bullets")).alias("md5")), "SELECT chunk_id, md5(regexp_replace(content, '[▪•·‣◦●⁃►▸]', ' ', 'g')) AS md5 FROM chunks", "chunks")
+query("txt_02h_quotes", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(T.clean_step(C("content"), "double quotes"), "single quotes")).alias("md5")), """SELECT chunk_id, md5(regexp_replace(regexp_replace(content, '[„“”«»]', '"', 'g'), '[‘’‹›]', '''', 'g')) AS md5 FROM chunks""", "chunks")
+query("txt_02i_invisible", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(T.clean_step(C("content"), "private use"), "zero width")).alias("md5")), r"SELECT chunk_id, md5(regexp_replace(content, '[\x{e000}-\x{f8ff}\x{200b}-\x{200f}\x{2028}\x{2029}\x{feff}]', '', 'g')) AS md5 FROM chunks", "chunks")
+query("txt_02k_blanks", lambda v: v.table("documents").select("doc_id", F.md5(T.clean_step(T.clean_step(C("text"), "blanks"), "blank lines")).alias("md5")), r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS md5 FROM documents")
+for step in ("hyphens", "image rights", "footnote after word", "footnote before word", "joined lines"):
+    query("txt_02_" + step.replace(" ", "_"), lambda v, s=step: v.table("documents").select("doc_id", F.md5(T.clean_step(C("text"), s)).alias("md5")))
+query("txt_03_04_structure_and_class", lambda v: chunking.rendered_documents(v.chunks).select("doc_id", T.structure(C("text")).alias("s")).select("doc_id", "s.*", T.class_hint(C("s.paragraphs"), C("s.headings"), C("s.toc")).alias("doc_class")), r"""
+SELECT *, CASE WHEN paragraphs >= 3 AND NOT (toc OR headings >= 5) THEN 'A' WHEN headings >= 2 OR toc THEN 'B' ELSE 'C' END AS doc_class FROM (
+SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*§[ \t]*\d+'))::BIGINT AS paragraphs, least(50, len(regexp_extract_all(text, '(?m)^[ \t]*\d+(?:\.\d+)*\.?[ \t]+[A-ZÄÖÜ].*$')))::BIGINT AS headings,
+  regexp_matches(left(text, 5000), '(?i)(inhaltsverzeichnis|table of contents|^inhalt$)') AS toc FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM chunks GROUP BY doc_id))""", "chunks")
+query("txt_05_norm_reference", lambda v: v.chunks.select("chunk_id", T.norm_reference(C("content")).alias("reference")).where("reference is not null"))
+query("txt_06_cross_references", lambda v: v.chunks.select("chunk_id", F.array_join(T.cross_references(C("content")), ";").alias("refs")).where("refs <> ''"))
+query("txt_07_chunk_type", lambda v: v.chunks.groupBy("chunk_type").agg(n()), "SELECT chunk_type, count(*) AS n FROM chunks GROUP BY chunk_type", "chunks")
+query("txt_08_requirement_id", lambda v: v.chunks.select("chunk_id", T.requirement_id(F.concat("content", F.lit(" REQ-0"), C("pos").cast("string"), F.lit("01"))).alias("requirement")), r"SELECT chunk_id, nullif(regexp_extract(content || ' REQ-0' || pos || '01', '\b([A-Z]{1,4}-\d{3,})\b', 1), '') AS requirement FROM chunks", "chunks")
+query("txt_09_sentences", lambda v: v.sentences.groupBy("doc_id").agg(n("sentences"), F.sum(F.length("sentence")).cast("long").alias("chars")), "SELECT doc_id, count(*) AS sentences, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM sentences GROUP BY doc_id", "sentences")
+query("txt_10_content_hash", lambda v: v.table("documents").groupBy(F.md5("text").alias("md5")).agg(n()).where("n > 1"), "SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+query("txt_14_row_prose", lambda v: v.table("customer").select("c_custkey", T.row_prose(F.array(F.lit("Kunde"), F.lit("Segment"), F.lit("")), F.array("c_name", "c_mktsegment", F.when(C("c_custkey") % 2 == 0, C("c_custkey").cast("string")))).alias("prose")), """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Kunde: ' || c_name || '; Segment: ' || c_mktsegment || '; Spalte 3: ' || c_custkey || '.' ELSE 'Kunde "' || c_name || '": Segment ist "' || c_mktsegment || '".' END AS prose FROM customer""")
+query("txt_16_query_type", lambda v: v.sentences.select("chunk_id", "i", T.query_type(C("sentence")).alias("kind")).groupBy("kind").agg(n()), "SELECT CASE WHEN regexp_matches(lower(sentence), '" + R.QUERY_NORM + "') THEN 'NORM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_IM) + "') THEN 'IM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_ENTITY) + "') THEN 'ENTITY' ELSE 'GENERAL' END AS kind, count(*) AS n FROM sentences GROUP BY 1", "sentences")
+query("txt_17_query_reference", lambda v: v.sentences.select(T.query_reference(C("sentence")).alias("reference")).where("reference is not null").groupBy("reference").agg(n()))
+query("txt_20_template", lambda v: v.docs.select("doc_id", T.render(F.lit("{{title}} ({{kind}}){{none}}"), {"title": C("title"), "kind": C("source_type")}).alias("text")), "SELECT doc_id, title || ' (' || source_type || ')' AS text FROM docs", "docs")
+query("txt_21_uri_parts", lambda v: v.docs.select("doc_id", T.uri_part(F.concat("title", F.lit(" / "), "source_type")).alias("uri"), F.format_string("%.4f", C("doc_id") / 8.0).alias("number")), r"SELECT doc_id, regexp_replace(trim(title || ' / ' || source_type), '[^\p{L}\p{N}_-]+', '_', 'g') AS uri, printf('%.4f', doc_id / 8.0) AS number FROM docs", "docs")
+query("txt_22_targets", lambda v: reports.svo_completeness(v.svo).select(T.meets_target(C("subject_percent"), 80.0).alias("subject_ok"), T.meets_target(C("avg_confidence"), 0.65).alias("confidence_ok")), "SELECT round(sum((subject IS NOT NULL)::INT)::DOUBLE * 100.0 / count(*), 1) > 80.0 AS subject_ok, round(avg(confidence), 3) > 0.65 AS confidence_ok FROM svo", "svo")
+
+# ---- chunkers and questions
+query("chk_a_paragraph_chunks", lambda v: chunking.class_a(chunking.rendered_documents(v.chunks.where("doc_class = 'A'"))).select("doc_id", "para", "n", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
+query("chk_b_section_chunks", lambda v: chunking.class_b(chunking.rendered_documents(v.chunks.where("doc_class = 'B'"))).select("doc_id", "section", "n", "breadcrumb", "token_count", F.md5("content").alias("md5")))
+query("chk_c_sentence_windows", lambda v: chunking.class_c(chunking.rendered_documents(v.chunks.where("doc_class = 'C'"))).select("doc_id", "n", "token_count", F.md5("content").alias("md5")))
+query("chk_l_first_chunks", lambda v: v.chunks.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("r <= 5").select("doc_id", "chunk_id"), "SELECT doc_id, chunk_id FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5", "chunks")
+_QTYPE = f"""CASE WHEN regexp_matches(lower(s), '{R.unbordered(R.RHETORICAL)}') THEN 'rhetorisch' WHEN regexp_extract(lower(s), '^[^\\p{{L}}]*(\\p{{L}}+)', 1) IN ({', '.join("'" + w + "'" for w in R.QUESTION_WORDS)}) THEN 'direkt' WHEN len(regexp_extract_all(s, '\\?')) >= 2 THEN 'mehrfach' ELSE 'indirekt' END"""
+query("qst_01_questions", lambda v: v.sentences.where(T.is_question(C("sentence"))).select("chunk_id", "i", "sentence", T.question_type(C("sentence")).alias("kind")), f"SELECT chunk_id, i, s AS sentence, {_QTYPE} AS kind FROM (SELECT chunk_id, i, sentence AS s FROM sentences) WHERE length(s) BETWEEN 10 AND 300 AND ends_with(rtrim(s, ' '), '?')", "sentences")
+query("qst_02_chunks_without_questions", lambda v: v.chunks.where("doc_class <> 'A'").join(v.sentences.where(T.is_question(C("sentence"))).select("chunk_id").distinct(), "chunk_id", "left_anti").groupBy("doc_class").agg(n()), "SELECT doc_class, count(*) AS n FROM chunks WHERE doc_class <> 'A' AND chunk_id NOT IN (SELECT chunk_id FROM sentences WHERE length(sentence) BETWEEN 10 AND 300 AND ends_with(rtrim(sentence, ' '), '?')) GROUP BY doc_class", "sentences")
+query("set_03_distinct_questions", lambda v: v.sentences.where(T.is_question(C("sentence"))).groupBy("doc_id", F.lower(F.trim("sentence")).alias("key")).agg(F.min(F.struct("chunk_id", "i", "sentence")).alias("first")).select("doc_id", "first.sentence"), "SELECT doc_id, min({'a': chunk_id, 'b': i, 'c': sentence}).c AS sentence FROM sentences WHERE length(sentence) BETWEEN 10 AND 300 AND ends_with(rtrim(sentence, ' '), '?') GROUP BY doc_id, lower(trim(sentence, ' '))", "sentences")
+
+# ---- statements and entities
+query("svo_07_norm_types", lambda v: v.svo.where("norm_type <> 'UNKNOWN'").select("svo_id", "norm_type", "norm_confidence"), "SELECT svo_id, norm_type, norm_confidence FROM svo WHERE norm_type <> 'UNKNOWN'", "svo")
+query("svo_08_entity_types", lambda v: v.svo.groupBy("subject_type", "object_type").agg(n()), "SELECT subject_type, object_type, count(*) AS n FROM svo GROUP BY subject_type, object_type", "svo")
+query("svo_09_confidence", lambda v: v.svo.groupBy("confidence").agg(n()), "SELECT confidence, count(*) AS n FROM svo GROUP BY confidence", "svo")
+_L = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+query("svo_10_filters", lambda v: statements.filtered(v.svo).select("svo_id", "subject", "object", F.round("confidence", 3).alias("confidence"), "subject_type"), rf"""
+SELECT svo_id, s AS subject, o AS object, round(CASE WHEN coalesce(lower(s) IN ({_L(R.PRONOUNS)}), false) THEN greatest(0, confidence - 0.3) ELSE confidence END, 3) AS confidence,
+  CASE WHEN coalesce(lower(s) IN ({_L(R.PRONOUNS)}), false) THEN 'PRONOMEN' ELSE subject_type END AS subject_type FROM (
+SELECT *, CASE WHEN NOT (lower(subject) IN ({_L(R.STOP_SUBJECTS)}) OR length(subject) < 3 OR regexp_matches(subject, '^(S\.|Abs\.|Nr\.)\s*\d+$') OR regexp_matches(subject, '^\d+$')) THEN subject END AS s,
+  CASE WHEN NOT (lower(object) IN ({_L([x.lower() for x in R.STOP_OBJECTS])}) OR length(object) < 3 OR regexp_matches(object, '^\d{{1,4}}$')) THEN object END AS o
+FROM svo WHERE confidence >= 0.5) WHERE predicate IS NOT NULL AND predicate <> '' AND predicate NOT IN ({_L(R.STOP_PREDICATES)})""", "svo")
+query("ner_01_rule_entities", lambda v: statements.rule_entities(v.chunks).groupBy("label").agg(n(), F.countDistinct("chunk_id").alias("chunks")))
+query("ner_01_word_entities", lambda v: v.ner.select("chunk_id", "i", "text", "label", "confidence"), "SELECT chunk_id, i, text, label, confidence FROM ner", "ner")
+query("ner_04_05_corrected", lambda v: statements.corrected(v.ner).groupBy("text", "label").agg(n()), f"""
+SELECT text, CASE WHEN text IN ({_L(R.AGNOSTIC_OBJECTS)}) THEN 'DATENOBJEKT' {' '.join(f"WHEN text = '{k}' THEN '{x}'" for k, x in R.NER_CORRECTIONS.items())} ELSE label END AS label, count(*) AS n FROM ner WHERE confidence >= 0.5 AND text NOT IN ({_L(R.NER_BLACKLIST)}) GROUP BY ALL""", "ner")
+query("ner_06_without_references", lambda v: statements.rule_entities(v.chunks).where(~((C("label") == "GESETZ") & C("text").rlike(r"^§\s*\d+"))).groupBy("label").agg(n()))
+query("ner_07_context", lambda v: statements.context_checked(v.ner, v.chunks).groupBy("label").agg(n()))
+query("set_04_best_entities", lambda v: statements.best_entities(v.ner).select("chunk_id", "i", "text", "label"), "SELECT chunk_id, i, text, label FROM ner QUALIFY row_number() OVER (PARTITION BY chunk_id, lower(text), label ORDER BY confidence DESC, i) = 1", "ner")
+query("ims_01_model_signals", lambda v: statements.model_signals(v.svo, v.ner), f"""
+SELECT p.chunk_id, CASE WHEN binding THEN names END AS entities, attributes, persistence FROM (
+  SELECT chunk_id, bool_or(norm_type = 'MUST' AND regexp_matches(lower(sentence), '{R.bordered(R.ATTRIBUTE_PREDICATES)}')) AS attributes, bool_or(norm_type = 'MUST' AND regexp_matches(lower(sentence), '{R.bordered(R.PERSISTENCE_PREDICATES)}')) AS persistence,
+    bool_or(norm_type IN ('MUST', 'DEF')) AS binding FROM svo GROUP BY chunk_id) p
+LEFT JOIN (SELECT chunk_id, array_to_string(list_sort(list(DISTINCT text)), ',') AS names FROM ner WHERE label IN ('ROLLE', 'DATENOBJEKT') GROUP BY chunk_id) e USING (chunk_id)""", "svo", "ner")
+query("llm_00_prompt_batches", lambda v: statements.prompt_batches(v.svo).select("doc_id", "batch", "statements", F.md5("prompt").alias("md5")), """
+SELECT doc_id, CAST((n - 1) // 20 AS BIGINT) AS batch, count(*) AS statements, md5(string_agg(printf('SVO-%03d: %s', (n - 1) % 20 + 1, sentence), chr(10) ORDER BY n)) AS md5
+FROM (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY svo_id) AS n FROM svo WHERE norm_type = 'UNKNOWN' AND length(sentence) >= 15) GROUP BY ALL""", "svo")
+
+
+def _answers(v: Views) -> DataFrame:
+    key = C("svo_id")
+    return v.svo.where(key % 11 == 0).select("svo_id", F.when(key % 2 == 0, "MUST").otherwise("MAY").alias("norm_type"), F.when(key % 3 == 0, "hoch").when(key % 3 == 1, "mittel").otherwise("?").alias("level"))
+
+
+query("llm_02_03_merged_labels", lambda v: statements.merged_labels(v.svo, _answers(v)).groupBy("norm_type").agg(n(), F.round(F.avg("norm_confidence"), 3).alias("avg_confidence")), """
+SELECT norm_type, count(*) AS n, round(avg(norm_confidence), 3) AS avg_confidence FROM (
+  SELECT CASE WHEN u THEN CASE WHEN svo_id % 2 = 0 THEN 'MUST' ELSE 'MAY' END ELSE norm_type END AS norm_type, CASE WHEN u THEN 0.9::DOUBLE ELSE norm_confidence END AS norm_confidence
+  FROM (SELECT *, norm_type = 'UNKNOWN' AND svo_id % 11 = 0 AND svo_id % 3 = 0 AS u FROM svo)) GROUP BY norm_type""", "svo")
+
+# ---- retrieval
+_THRESHOLDS = {"A": 0.2, "B": 0.2, "C": 0.2}
+
+
+def _asked(v: Views) -> DataFrame:
+    return v.table("embeddings").where(C("vec_id") < 5).select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
+
+
+def _vector_hits(v: Views) -> DataFrame:
+    return retrieval.vector_search(_asked(v), v.vectors.select(C("vec_id").alias("chunk_id"), "doc_class", C("embedding").alias("v")), _THRESHOLDS)
+
+
+_HITS = """hits AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.doc_class, round(list_inner_product(q.embedding, c.embedding) / (sqrt(list_inner_product(q.embedding, q.embedding)) * sqrt(list_inner_product(c.embedding, c.embedding))), 6) AS score,
+  CAST(row_number() OVER (PARTITION BY q.vec_id, c.doc_class ORDER BY score DESC, c.vec_id) AS INTEGER) AS rank FROM vectors q, vectors c WHERE q.vec_id < 5 QUALIFY score >= 0.2) WHERE rank <= 12)"""
+query("ret_03_top_01_win_02_vector_search", _vector_hits, with_views("", "vectors").rstrip() + ", " + _HITS + " SELECT * FROM hits")
+
+
+def _text_queries(v: Views) -> DataFrame:
+    asked = v.table("region").select(C("r_regionkey").cast("long").alias("query_id"))
+    return asked.select("query_id", F.element_at(F.array(*[F.lit(x) for x in ("Halter anmelden", "Aufsicht Gemeinde", "Behörde Ausnahmen", "Meldung DSGVO", "Hunde ausgenommen")]), (C("query_id") + 1).cast("int")).alias("text"))
+
+
+def _text_hits(v: Views) -> DataFrame:
+    return retrieval.full_text_search(_text_queries(v), v.chunks)
+
+
+_FTS = r"""asked AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, (['halter anmelden', 'aufsicht gemeinde', 'behörde ausnahmen', 'meldung dsgvo', 'hunde ausgenommen'])[r_regionkey + 1] AS text FROM region),
+qterms AS (SELECT query_id, unnest(string_split(text, ' ')) AS term FROM asked),
+wlists AS (SELECT chunk_id, doc_class, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM chunks),
+postings AS (SELECT chunk_id, doc_class, length, term, count(*) AS tf FROM (SELECT chunk_id, doc_class, len(w) AS length, unnest(w) AS term FROM wlists) GROUP BY ALL),
+fts AS (SELECT query_id, chunk_id, doc_class, score, rank FROM (SELECT query_id, chunk_id, doc_class, round(sum(tf) / length, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, doc_class ORDER BY round(sum(tf) / length, 6) DESC, chunk_id) AS INTEGER) AS rank
+  FROM postings JOIN qterms USING (term) GROUP BY query_id, chunk_id, doc_class, length HAVING count(*) = 2) WHERE rank <= 12)"""
+query("ret_04_full_text", _text_hits, with_views("", "chunks").rstrip() + ", " + _FTS + " SELECT * FROM fts")
+
+
+def _lookup(v: Views) -> DataFrame:
+    asked = v.table("region").select(C("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("§ "), (C("r_regionkey") * 4 + 1).cast("string")).alias("reference"))
+    return retrieval.direct_lookup(asked, v.chunks)
+
+
+query("ret_02_direct_lookup", _lookup, r"""
+SELECT query_id, chunk_id, 1.0::DOUBLE AS score, rank FROM (SELECT CAST(r_regionkey AS BIGINT) AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY hierarchy_level, chunk_id) AS INTEGER) AS rank
+FROM region JOIN chunks ON norm_reference = '§ ' || (r_regionkey * 4 + 1)) WHERE rank <= 6""".replace("SELECT query_id", "SELECT query_id", 1), "chunks")
+
+
+def _fused(v: Views) -> DataFrame:
+    return retrieval.fuse(_text_hits(v), _lookup(v))
+
+
+_LOOKUP = r"""lookup AS (SELECT * FROM (SELECT CAST(r_regionkey AS BIGINT) AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY hierarchy_level, chunk_id) AS INTEGER) AS rank FROM region JOIN chunks ON norm_reference = '§ ' || (r_regionkey * 4 + 1)) WHERE rank <= 6),
+fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS lists FROM (SELECT query_id, chunk_id, rank FROM fts UNION ALL SELECT query_id, chunk_id, rank FROM lookup) GROUP BY ALL)"""
+_RAG = with_views("", "chunks").rstrip() + ", " + _FTS + ", " + _LOOKUP
+query("ret_05_fusion", _fused, _RAG + " SELECT * FROM fused")
+
+
+def _expanded(v: Views) -> DataFrame:
+    return retrieval.with_parents(_fused(v), v.chunks)
+
+
+_PARENTS = """, expanded AS (SELECT query_id, chunk_id, score FROM fused UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM (SELECT DISTINCT f.query_id, c.parent_id AS chunk_id FROM fused f JOIN chunks c USING (chunk_id)
+  WHERE c.parent_id IS NOT NULL AND (c.doc_class = 'A' OR (c.doc_class = 'B' AND c.token_count > 450)) AND c.parent_id IN (SELECT chunk_id FROM chunks)) p WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.query_id = p.query_id AND f.chunk_id = p.chunk_id))"""
+query("ret_08_joi_10_set_02_parents", _expanded, _RAG + _PARENTS + " SELECT * FROM expanded")
+
+
+def _links(v: Views) -> DataFrame:
+    """§ references of a chunk resolved to the chunk with that number in its own document."""
+    heads = v.chunks.where("hierarchy_level = 1 and norm_reference is not null").groupBy("doc_id", "norm_reference").agg(F.min("chunk_id").alias("target"))
+    refs = v.chunks.select("chunk_id", "doc_id", F.explode(T.cross_references(C("content"))).alias("ref")).select("chunk_id", "doc_id", F.concat(F.lit("§ "), F.regexp_extract("ref", r"(\d+)", 1)).alias("norm_reference"))
+    return refs.join(heads, ["doc_id", "norm_reference"]).select("chunk_id", "target").distinct()
+
+
+query("ret_09_joi_11_cross_references", lambda v: retrieval.with_cross_references(_fused(v), _links(v)))
+
+
+def _ranked(v: Views) -> DataFrame:
+    return retrieval.rerank(_expanded(v), v.chunks)
+
+
+_RERANK = """, once AS (SELECT e.*, c.confidence_weight, c.token_count, max(score) OVER w AS best, row_number() OVER (w ORDER BY chunk_id) AS r FROM expanded e JOIN chunks c USING (chunk_id) WINDOW w AS (PARTITION BY query_id, md5(content))),
+pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, chunk_id) AS p FROM once WHERE r = 1) WHERE p <= 16),
+ranked AS (SELECT query_id, chunk_id, score, rank, token_count FROM (SELECT query_id, chunk_id, round(best * confidence_weight, 9) AS score, token_count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(best * confidence_weight, 9) DESC, chunk_id) AS INTEGER) AS rank FROM pre) WHERE rank <= 8)"""
+query("rnk_03_set_05_top_02_rerank", _ranked, _RAG + _PARENTS + _RERANK + " SELECT * FROM ranked")
+query("win_03_ctx_03_context", lambda v: retrieval.context(retrieval.within_budget(_ranked(v), 400), v.chunks).select("query_id", "used", "chunks", F.md5("context").alias("md5")), _RAG + _PARENTS + _RERANK + """
+SELECT query_id, CAST(max(used) AS BIGINT) AS used, count(*) AS chunks, md5(string_agg('[' || concat_ws(' | ', 'Q' || rank, norm_reference, upper(chunk_type), CASE WHEN doc_class = 'C' THEN 'Konfidenz: niedrig' END) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS md5
+FROM (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked) r JOIN (SELECT chunk_id, norm_reference, chunk_type, doc_class, content FROM chunks) c USING (chunk_id) WHERE used <= 400 GROUP BY query_id""")
+query("emb_01_normalised", lambda v: v.vectors.select("vec_id", F.round(F.aggregate(T.normalised(C("embedding")), F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "SELECT vec_id, round(list_sum(embedding) / sqrt(list_inner_product(embedding, embedding)), 6) AS total FROM vectors", "vectors")
+query("emb_02_compute_once", lambda v: v.table("documents").select("doc_id", F.md5("text").alias("h")).join(v.table("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("computed_for")), "h").select("doc_id", "computed_for"), "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS computed_for FROM documents")
+query("emb_03_cosine", lambda v: _asked(v).join(F.broadcast(v.vectors.where("vec_id = 7").select("embedding"))).select("query_id", F.round(T.cosine(C("q"), C("embedding")), 6).alias("cosine")), "SELECT q.vec_id AS query_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS cosine FROM vectors q, vectors c WHERE q.vec_id < 5 AND c.vec_id = 7", "vectors")
+query("srt_01_ordered_limit", lambda v: v.chunks.orderBy(F.desc("token_count"), "chunk_id").limit(50).select("chunk_id", "token_count"), "SELECT chunk_id, token_count FROM chunks ORDER BY token_count DESC, chunk_id LIMIT 50", "chunks")
+query("srt_02_random_sample", lambda v: v.svo.orderBy(F.rand(42)).limit(15).select("svo_id", "sentence"))
+query("win_04_latest_job", lambda v: v.jobs.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "user_id", "event_type"), "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
+query("snk_07_job_states", lambda v: reports.job_state(v.jobs), """
+SELECT user_id, CASE last WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'parsing' END AS status, updates, errors, CASE WHEN last IN ('purchase', 'error') THEN seconds END AS seconds FROM (
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, count(*) AS updates, CAST(sum((event_type = 'error')::INT) AS BIGINT) AS errors, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM events GROUP BY user_id)""")
+
+# ---- graph
+
+
+def _triples(v: Views) -> DataFrame:
+    return graph.norm_triples(v.docs).unionByName(graph.svo_triples(v.svo)).unionByName(graph.ner_triples(v.ner))
+
+
+query("kg_01_norm_triples", lambda v: graph.norm_triples(v.docs).select("s", "p", "o"), """
+SELECT 'norm/' || doc_id AS s, unnest(['type', 'title', 'sourceType', 'docId', 'jurisdiction', 'validFrom', 'normReference']) AS p,
+  unnest(['Norm', title, source_type, doc_id::VARCHAR, jurisdiction, valid_from::VARCHAR, '§ ' || (doc_id % 50 + 1)]) AS o FROM docs""", "docs")
+query("kg_02_svo_triples", lambda v: graph.svo_triples(v.svo, v.chunks.where(C("chunk_id") % 3 == 0)).groupBy("p").agg(n()), """
+SELECT p, count(*) AS n FROM (SELECT unnest(['type', 'subject', 'predicate', 'object', 'normType', 'confidence', 'inDocument', 'normReference']) AS p, unnest(['Statement', subject, predicate, object, norm_type, printf('%.4f', confidence), 'norm/' || doc_id, '§']) AS o FROM svo WHERE chunk_id % 3 <> 0) WHERE o IS NOT NULL GROUP BY p""", "svo")
+query("kg_03_ner_triples", lambda v: graph.ner_triples(v.ner).groupBy("p").agg(n(), F.countDistinct("s").alias("subjects")))
+query("kg_05_joi_16_by_subject", lambda v: graph.by_subject(graph.svo_triples(v.svo), "the").select("s", "predicate", "object", "normType"), """
+SELECT 'svo/' || svo_id AS s, predicate, object, norm_type AS "normType" FROM svo WHERE lower(subject) = 'the' ORDER BY printf('%.4f', confidence) DESC, s LIMIT 50""", "svo")
+query("kg_07_joi_17_dependencies", lambda v: graph.dependencies(_triples(v)), """
+SELECT '§ ' || (d.doc_id % 50 + 1) AS "normReference", title, n FROM docs d JOIN (SELECT doc_id % 50 AS k, count(*) AS n FROM svo GROUP BY 1) s ON s.k = d.doc_id % 50 ORDER BY n DESC, title LIMIT 50""", "svo", "docs")
+query("kg_08_impact", lambda v: graph.impact(graph.svo_triples(v.svo), "norm/3").select("s", "subject", "object", "normType"), """SELECT 'svo/' || svo_id AS s, subject, object, norm_type AS "normType" FROM svo WHERE doc_id = 3 ORDER BY s LIMIT 100""", "svo")
+query("kg_09_rdf_classes", lambda v: v.ner.groupBy(T.lookup(C("label"), R.RDF_CLASSES, "Entity").alias("class")).agg(n()), """SELECT CASE label WHEN 'BEHÖRDE' THEN 'Authority' WHEN 'ROLLE' THEN 'Role' WHEN 'DATENOBJEKT' THEN 'DataObject' END AS "class", count(*) AS n FROM ner GROUP BY 1""", "ner")
+query("snk_11_n_triples", lambda v: graph.n_triples(_triples(v)).groupBy("graph").agg(n("lines")))
