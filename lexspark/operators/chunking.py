@@ -111,7 +111,7 @@ def class_c(documents: DataFrame) -> DataFrame:
     def move(a: Column, i: Column) -> Column:
         k = grown(i)
         here = a["at"] == i
-        return F.struct(F.when(here, i + F.greatest(F.lit(1), k - F.col("overlap"))).otherwise(a["at"]).alias("at"), F.when(here, F.concat(a["out"], F.array(F.struct(i.alias("at"), k.alias("k"))))).otherwise(a["out"]).alias("out"))
+        return F.struct(F.when(here, i + F.greatest(F.lit(1), F.greatest(k, F.col("size")) - F.col("overlap"))).otherwise(a["at"]).alias("at"), F.when(here, F.concat(a["out"], F.array(F.struct(i.alias("at"), k.alias("k"))))).otherwise(a["out"]).alias("out"))
 
     spans = F.aggregate(F.sequence(F.lit(0), count - 1), start, move, lambda a: a["out"])
     each = rows.select("doc_id", "s", F.posexplode(spans).alias("n", "span"))
