@@ -85,7 +85,8 @@ def _shingled(candidates: DataFrame, documents: DataFrame) -> DataFrame:
             right = [len(s) > 0 and digest(s) == node for s, node in zip(sets, batch.column(1).to_pylist())]  # doc_ids may repeat
             yield batch.set_column(0, "found", pa.array([s.tobytes() for s in sets], pa.binary())).filter(pa.array(right))
 
-    joined = documents.select("doc_id", "text").join(candidates, "doc_id").select("text", "node", "copies", "subtrees")
+    wanted = candidates.withColumnRenamed("doc_id", "least_id")
+    joined = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("text", "node", "copies", "subtrees")
     return joined.mapInArrow(run, "found binary, node string, copies long, subtrees array<struct<subtree:long,members:long>>")
 
 
