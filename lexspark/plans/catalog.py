@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions import abbreviations as A
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
-from lexspark.operators import chunking, graph, reports, retrieval, statements
+from lexspark.operators import chunking, extraction, graph, reports, retrieval, statements
 from lexspark.plans.adapters import Views, with_views
+from lexspark.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,10 +37,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["agg_01_norm_type_distribution"](spark, sf_dir)
 
 
-B = "CAST({} AS BIGINT)"
 C = F.col
 
 
+def pick_extension(key):
+    return F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".TXT", ".xls", "")]), (key % 4 + 1).cast("int"))
+
+
 def n(name: str = "n"):
     return F.count("*").alias(name)
 
@@ -337,3 +342,60 @@ SELECT '§ ' || (d.doc_id % 50 + 1) AS "normReference", title, n FROM docs d JOI
 query("kg_08_impact", lambda v: graph.impact(graph.svo_triples(v.svo), "norm/3").select("s", "subject", "object", "normType"), """SELECT 'svo/' || svo_id AS s, subject, object, norm_type AS "normType" FROM svo WHERE doc_id = 3 ORDER BY s LIMIT 100""", "svo")
 query("kg_09_rdf_classes", lambda v: v.ner.groupBy(T.lookup(C("label"), R.RDF_CLASSES, "Entity").alias("class")).agg(n()), """SELECT CASE label WHEN 'BEHÖRDE' THEN 'Authority' WHEN 'ROLLE' THEN 'Role' WHEN 'DATENOBJEKT' THEN 'DataObject' END AS "class", count(*) AS n FROM ner GROUP BY 1""", "ner")
 query("snk_11_n_triples", lambda v: graph.n_triples(_triples(v)).groupBy("graph").agg(n("lines")))
+
+# ---- abbreviations, document types, answers, progress
+query("txt_11_abbreviations", lambda v: v.chunks.select("chunk_id", A.abbreviations(C("content")).alias("r")).select("chunk_id", F.size("r.map").cast("long").alias("replaced"), F.length("r.text").cast("long").alias("chars")).where("replaced > 0"), r"""
+SELECT chunk_id, CAST(len(regexp_extract_all(content, '\bDSGVO\b')) AS BIGINT) AS replaced, CAST(length(regexp_replace(content, '\bDSGVO\b', 'Datenschutz-Grundverordnung', 'g')) AS BIGINT) AS chars FROM chunks WHERE regexp_matches(content, '\bDSGVO\b')""", "chunks")
+query("txt_12_synonyms", lambda v: v.chunks.select("chunk_id", A.synonyms(C("content")).alias("r")).select("chunk_id", F.size("r.map").cast("long").alias("replaced"), F.md5("r.text").alias("md5")).where("replaced > 0"))
+query("txt_13_original", lambda v: v.chunks.select("chunk_id", "content", A.abbreviations(C("content")).alias("r")).select("chunk_id", (A.original(C("r.text"), C("r.map")) == C("content")).alias("same")), "SELECT chunk_id, true AS same FROM chunks", "chunks")
+#: Rules of the query below; the operator takes any.
+_TYPES = {
+    "gesetz": {"title": [r"gesetz", r"dokument \d*0$"], "filename": [r"gesetz"], "signals": [r"§", r"abs\."], "min_paragraphs": 3, "minimum": 0.45},
+    "leitfaden": {"title": [r"leitfaden", r"dokument \d*[5-9]$"], "filename": [r"leitfaden"], "signals": [r"kann", r"hinweis"], "max_paragraphs": 2, "question_share": 0.1, "minimum": 0.45},
+}
+query("txt_15_document_type", lambda v: chunking.rendered_documents(v.chunks).join(v.docs.select("doc_id", "title"), "doc_id").select("doc_id", extraction.document_type(C("title"), F.concat(C("title"), F.lit(".pdf")), C("text"), _TYPES).alias("kind")), """
+SELECT doc_id, CASE WHEN g >= 0.4499 AND g >= l THEN 'gesetz' WHEN l >= 0.4499 THEN 'leitfaden' ELSE 'text' END AS kind FROM (
+SELECT doc_id, CASE WHEN regexp_matches(title, '[0]$') THEN 0.4 ELSE 0 END + least(0.2, CASE WHEN contains(h, '§') THEN 0.05 ELSE 0 END + CASE WHEN contains(h, 'abs.') THEN 0.05 ELSE 0 END) + CASE WHEN p >= 3 THEN 0.1 ELSE 0 END AS g,
+  CASE WHEN regexp_matches(title, '[5-9]$') THEN 0.4 ELSE 0 END + least(0.2, CASE WHEN contains(h, 'kann') THEN 0.05 ELSE 0 END + CASE WHEN contains(h, 'hinweis') THEN 0.05 ELSE 0 END) + CASE WHEN p <= 2 THEN 0.05 ELSE 0 END
+    + CASE WHEN length(text) > 100 AND coalesce(q::DOUBLE / nullif(e, 0), 0) >= 0.1 THEN 0.1 ELSE 0 END AS l
+FROM (SELECT doc_id, title, text, lower(left(text, 5000)) AS h, len(regexp_extract_all(text, '§\\s*\\d+')) AS p, len(regexp_extract_all(text, '\\?')) AS q, len(regexp_extract_all(text, '[.!?]')) AS e
+  FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM chunks GROUP BY doc_id) t JOIN docs USING (doc_id)))""", "chunks", "docs")
+query("txt_18_ret_01_query_plan", lambda v: extraction.query_plan(v.sentences.where(T.is_question(C("sentence"))).select((C("chunk_id") * 1000 + C("i")).alias("query_id"), C("sentence").alias("text"), F.lit("Eine Antwort.").alias("hyde"), F.lit("Allgemein?").alias("step_back"))).groupBy("kind", "strategy", "weight", "classes").agg(n()))
+query("txt_19_json_answers", lambda v: v.docs.select("doc_id", extraction.json_of(F.concat(F.lit('Antwort: ```json [{"id": "'), C("title"), F.lit('"}, {"id": '))).alias("json")), """SELECT doc_id, '[{"id": "' || title || '"}]' AS json FROM docs""", "docs")
+query("txt_23_progress", lambda v: reports.job_state(v.jobs).select("user_id", extraction.progress(C("updates"), C("updates") + C("errors"), F.lit(60)).alias("p")).select("user_id", "p.percent", "p.rate"), """
+SELECT user_id, round(count(*) * 100.0::DOUBLE / (count(*) + sum((event_type = 'error')::INT)), 1) AS percent, round(count(*)::DOUBLE / 60, 3) AS rate FROM events GROUP BY user_id""")
+query("ans_01_generated_answers", lambda v: v.docs.select("doc_id", extraction.generated_answer(F.concat(F.lit('{"antwort": "'), C("title"), F.lit('", "konfidenz": "hoch"}'))).alias("a")).select("doc_id", "a.antwort", "a.normtyp", "a.konfidenz", "a.nicht_beantwortbar"),
+      "SELECT doc_id, title AS antwort, 'UNKNOWN' AS normtyp, 'hoch' AS konfidenz, false AS nicht_beantwortbar FROM docs", "docs")
+
+
+def _tokens(v: Views) -> DataFrame:
+    """A parse by place: the second word is the root, the first its subject, the third its object, others hang on the word before."""
+    words = v.chunks.select(C("chunk_id").alias("sent_id"), F.posexplode(F.slice(F.split("content", " "), 1, 4)).alias("i", "text"))
+    dep = F.when(C("i") == 1, "ROOT").when(C("i") == 0, "sb").when(C("i") == 2, "oa").otherwise("nk")
+    return words.select("sent_id", "i", "text", F.lower("text").alias("lemma"), F.when(C("i") == 1, "VERB").otherwise("NOUN").alias("pos"), dep.alias("dep"), F.when(C("i") == 3, 2).otherwise(1).alias("head"))
+
+
+query("svo_02_06_statements", lambda v: extraction.statements(_tokens(v), v.chunks.select(C("chunk_id").alias("sent_id"), C("content").alias("sentence"))).select("sent_id", "subject", "predicate", "object"), r"""
+SELECT sent_id, CASE WHEN len(w) >= 2 THEN w[1] END AS subject, w[2] AS predicate, CASE WHEN len(w) >= 3 THEN CASE WHEN len(w) >= 4 AND lower(w[3]) IN ('der', 'die', 'das', 'dem', 'den', 'des', 'ein', 'eine', 'einen', 'einem', 'einer', 'eines') THEN w[4] WHEN len(w) >= 4 THEN w[3] || ' ' || w[4] ELSE w[3] END END AS object
+FROM (SELECT chunk_id AS sent_id, string_split(content, ' ')[1:4] AS w FROM chunks) WHERE len(w) >= 2""", "chunks")
+
+# ---- sources and sinks
+query("src_02_content_types", lambda v: v.docs.select("doc_id", F.concat("title", pick_extension(C("doc_id"))).alias("filename")).select("doc_id", files.content_type(C("filename")).alias("content_type"), files.table_kind(C("filename")).alias("kind")), """
+SELECT doc_id, (['application/pdf', 'text/plain', 'application/vnd.ms-excel', 'application/octet-stream'])[doc_id % 4 + 1] AS content_type, (['pdf', NULL, 'sheet', NULL])[doc_id % 4 + 1] AS kind FROM docs""", "docs")
+query("src_03_html_text", lambda v: v.table("pages").select("page_id", F.md5(files.html_text(C("html"))).alias("md5")))
+query("src_04_joined_parts", lambda v: v.table("documents").select("doc_id", F.md5(files.joined_parts(F.split("text", "\n"))).alias("md5")), r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10) || chr(10))) AS md5 FROM documents")
+query("src_10_chunk_scan", lambda v: v.chunks.where(C("doc_class").isin("A", "B") & (C("token_count") >= 10)).select("chunk_id", "doc_class", "token_count"), "SELECT chunk_id, doc_class, token_count FROM chunks WHERE doc_class IN ('A', 'B') AND token_count >= 10", "chunks")
+query("src_13_bundle_jobs", lambda v: files.bundle_jobs(v.table("region").select(C("r_regionkey").alias("bundle_id"), F.sequence(C("r_regionkey") * 40, C("r_regionkey") * 60).alias("doc_ids")), v.docs.where("doc_id % 9 <> 0")), """
+SELECT r_regionkey AS bundle_id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM docs WHERE doc_id % 9 <> 0) THEN 'queued' ELSE 'error' END AS status FROM (SELECT r_regionkey, unnest(generate_series(r_regionkey * 40, r_regionkey * 60)) AS doc_id FROM region)""", "docs")
+query("snk_01_upsert", lambda v: sinks.upserted(v.docs.where("doc_id % 2 = 0").select("doc_id", "title", "source_type"), v.docs.where("doc_id % 3 = 0").select("doc_id", F.upper("title").alias("title"), F.lit("neu").alias("source_type")), "doc_id", ["title"]), """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN doc_id % 2 = 0 THEN source_type ELSE 'neu' END AS source_type FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""", "docs")
+query("snk_02_03_stored_chunks", lambda v: sinks.stored_chunks(v.chunks, v.docs).select("chunk_id", "id", "chunk_type", "content_hash"), "SELECT chunk_id, md5(doc_id || '|' || doc_class || '|' || pos) AS id, chunk_type, md5(content) AS content_hash FROM chunks", "chunks")
+query("snk_05_replaced", lambda v: sinks.replaced(v.ner.select("chunk_id", "i", "label"), v.ner.where("chunk_id % 5 = 0").select("chunk_id", "i", F.lit("neu").alias("label")), "chunk_id"), "SELECT chunk_id, i, CASE WHEN chunk_id % 5 = 0 THEN 'neu' ELSE label END AS label FROM ner", "ner")
+query("snk_12_sync_log", lambda v: sinks.sync_log(v.chunks.select("chunk_id", F.lit(0).cast("long").alias("triple_count"), F.lit("pending").alias("status")), v.ner), """
+SELECT c.chunk_id, coalesce(n, 0) AS triple_count, CASE WHEN n IS NULL THEN 'pending' ELSE 'done' END AS status FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM ner GROUP BY chunk_id) e USING (chunk_id)""", "ner")
+query("snk_15_16_reviews", lambda v: sinks.reviewed(v.chunks.select(F.md5(C("chunk_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("decision"), F.lit(False).alias("reviewed")), "a", "keep").groupBy("decision", "reviewed").agg(n()), """
+SELECT CASE WHEN md5(chunk_id::VARCHAR) LIKE 'a%' THEN 'keep' END AS decision, md5(chunk_id::VARCHAR) LIKE 'a%' AS reviewed, count(*) AS n FROM chunks GROUP BY ALL""", "chunks")
+query("agg_17_review_statistics", lambda v: v.sentences.where(T.is_question(C("sentence"))).groupBy(T.question_type(C("sentence")).alias("kind")).agg(n(), reports.flag(C("chunk_id") % 2 == 0).alias("kept")), f"SELECT {_QTYPE} AS kind, count(*) AS n, CAST(sum((chunk_id % 2 = 0)::INT) AS BIGINT) AS kept FROM (SELECT *, sentence AS s FROM sentences) WHERE length(s) BETWEEN 10 AND 300 AND ends_with(rtrim(s, ' '), '?') GROUP BY 1", "sentences")
+query("agg_24_source_histogram", lambda v: _fused(v).join(v.chunks.select("chunk_id", "doc_class"), "chunk_id").groupBy("query_id", "doc_class", "lists").agg(n()), _RAG + " SELECT query_id, doc_class, lists, count(*) AS n FROM fused JOIN chunks USING (chunk_id) GROUP BY ALL")
+query("joi_14_outside_references", lambda v: v.chunks.select("chunk_id", F.regexp_replace("content", T.CROSS_REFERENCE, "").alias("rest")).select("chunk_id", F.regexp_count("rest", F.lit(r"\d+")).cast("long").alias("numbers")).where("numbers > 0"), rf"SELECT chunk_id, numbers FROM (SELECT chunk_id, CAST(len(regexp_extract_all(regexp_replace(content, '{T.CROSS_REFERENCE}', '', 'g'), '\d+')) AS BIGINT) AS numbers FROM chunks) WHERE numbers > 0", "chunks")
+query("set_01_first_seen", lambda v: retrieval.first_seen(_text_hits(v).select("query_id", "chunk_id", "score", F.lit(1).alias("o")).unionByName(_lookup(v).select("query_id", "chunk_id", "score", F.lit(0).alias("o"))), "o").select("query_id", "chunk_id", "o"), _RAG + " SELECT query_id, chunk_id, min(o) AS o FROM (SELECT query_id, chunk_id, 1 AS o FROM fts UNION ALL SELECT query_id, chunk_id, 0 FROM lookup) GROUP BY ALL")
