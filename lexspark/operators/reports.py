@@ -57,7 +57,7 @@ def document_overview(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 def chunk_statistics(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     per = chunks.groupBy("doc_id").agg(
         flag(F.col("hierarchy_level") == 1).alias("parents"), flag(F.col("hierarchy_level") > 1).alias("children"), F.sum("token_count").alias("tokens"),
-        F.round(F.avg("token_count"), 2).alias("avg_tokens"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"))
+        F.round(F.avg("token_count"), 6).alias("avg_tokens"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"))
     return docs.select("doc_id", "title").join(per, "doc_id")
 
 

@@ -74,7 +74,7 @@ query("agg_09_overview_by_class_and_day", lambda v: v.docs.join(v.chunks.drop("d
       "SELECT d.doc_class, d.ingest_day, count(DISTINCT d.doc_id) AS documents, count(*) AS chunks FROM docs d JOIN chunks c USING (doc_id) GROUP BY d.doc_class, d.ingest_day", "docs", "chunks")
 query("agg_10_chunk_statistics", lambda v: reports.chunk_statistics(v.docs, v.chunks), """
 SELECT d.doc_id, d.title, CAST(sum((hierarchy_level = 1)::INT) AS BIGINT) AS parents, CAST(sum((hierarchy_level > 1)::INT) AS BIGINT) AS children, CAST(sum(token_count) AS BIGINT) AS tokens,
-  round(avg(token_count), 2) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens FROM docs d JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.title""", "docs", "chunks")
+  round(avg(token_count), 6) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens FROM docs d JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.title""", "docs", "chunks")
 query("agg_11_chunk_types_by_class", lambda v: v.chunks.groupBy("doc_class", "chunk_type").agg(n(), F.round(F.avg("token_count")).cast("long").alias("avg_tokens"), F.round(F.avg("confidence_weight"), 2).alias("avg_weight")),
       "SELECT doc_class, chunk_type, count(*) AS n, CAST(round(avg(token_count)) AS BIGINT) AS avg_tokens, round(avg(confidence_weight), 2) AS avg_weight FROM chunks GROUP BY doc_class, chunk_type", "chunks")
 query("agg_12_levels", lambda v: v.chunks.groupBy("doc_class", "hierarchy_level").agg(n()), "SELECT doc_class, hierarchy_level, count(*) AS n FROM chunks GROUP BY doc_class, hierarchy_level", "chunks")
