@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 150_000
 _SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 #: Odd multipliers, one per word of a shingle and per hash function, from a fixed rule.
 _ODD = np.array([xxhash.xxh3_64_intdigest(f"odd {i}") | 1 for i in range(512)], np.uint64)

@@ -17,7 +17,7 @@ import numpy as np
 
 #: Entries that a worker's memo of pieces, and of pre-tokens, holds at most, about 200 bytes each. A full one forgets
 #: the half that came last: frequent pieces come early.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 350_000
 
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte -> the character that stands for it in byte-level vocabularies: visible Latin-1 characters stand for
