@@ -3,10 +3,11 @@
 A line's character shingles are generated as rows, from its fixed-width encoding, so that every position is found at
 once however long the line is. Each shingle is hashed once, and the least hashes under FUNCTIONS different orders are
 taken per distinct line: flipping the bits of a mask in every hash reorders them. Only these leave the tasks that read
-the texts. Bands of ROWS values give the candidates: each line of a band's bucket with one line of the bucket, another
-in every band, so a bucket of any size gives a pair per line. Pairs that share too few least hashes go; the texts of the
-others alone are fetched, the exact Jaccard similarity of whole shingle sets decides, and a distributed union-find over
-the pairs that pass names the components. Of each component the first line by (doc_id, position) stays, in its document;
+the texts. Bands of ROWS values give the candidates, which are all pairs of a band's bucket. First each line of a bucket
+is compared with one line of it, another in every band, and a distributed union-find over the pairs that pass names the
+components. Then all pairs of a bucket that still lie in different components are compared, by salted pairs of chunks in
+separate tasks, and the components they link become one. Only the texts of candidates are fetched, and the exact Jaccard
+similarity of whole shingle sets decides. Of each component the first line by (doc_id, position) stays, in its document;
 all others go.
 
 A line is named by two 64-bit hashes.
@@ -32,6 +33,8 @@ FUNCTIONS = BANDS * ROWS
 #: Least hashes that a pair must share to be verified: 3.7 standard deviations below what similarity SIMILARITY gives, so
 #: one such pair in 8000 is missed.
 ALIKE = 12
+#: Lines of a chunk. A task of the second pass compares two chunks at a time.
+CHUNK = 256
 #: Fixed masks, one per order of the hashes, from a rule.
 MASKS = [xxhash.xxh64_intdigest(f"order {i}") - 2**63 for i in range(FUNCTIONS)]
 
@@ -59,12 +62,16 @@ def bands(every: DataFrame) -> DataFrame:
     return signed.select("h", "g", F.array(*keys).alias("keys"), F.array(*traits).alias("traits"))
 
 
-def candidates(banded: DataFrame) -> DataFrame:
+def buckets(banded: DataFrame) -> DataFrame:
+    """bucket, h, g, one, members: the lines of all buckets of several lines, with the bucket's chosen line."""
+    rows = banded.select("h", "g", F.explode("keys").alias("bucket")).repartition(partitions(banded.sparkSession), "bucket")
+    each = rows.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket")).alias("one"), F.count("*").alias("members")).where("members > 1")
+    return rows.join(each, "bucket")
+
+
+def candidates(bucketed: DataFrame, banded: DataFrame) -> DataFrame:
     """Distinct pairs a < b of h: every line of a bucket with the bucket's chosen line."""
-    rows = banded.select("h", F.explode("keys").alias("bucket")).repartition(partitions(banded.sparkSession), "bucket")
-    chosen = rows.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket")).alias("one"), F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
-    pairs = rows.join(chosen.select("bucket", "one"), "bucket").where("h <> one")
-    pairs = pairs.select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct()
+    pairs = bucketed.where("h <> one").select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct()
     traits = banded.select("h", "traits")
     both = pairs.join(traits.select(F.col("h").alias("a"), F.col("traits").alias("x")), "a").join(traits.select(F.col("h").alias("b"), F.col("traits").alias("y")), "b")
     equal = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
@@ -72,18 +79,59 @@ def candidates(banded: DataFrame) -> DataFrame:
 
 
 def shingle_set(line: Column) -> Column:
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
+    """The distinct shingles of a line, by 64-bit hashes."""
+    b = F.encode(line, "UTF-32")
+    bound = F.array(F.struct(b.alias("b"), F.greatest(F.lit(0), F.length(b) / 4 - SHINGLE).cast("int").alias("last")))  # so that it is encoded once
+    each = F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda at: F.xxhash64(F.substring(x["b"], at * 4 + 1, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(F.get(each, F.lit(0)))
+
+
+def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
+    """h, g, line: the lines of some h."""
+    return every.select("h", "g", "line").join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
 
 
-def verified(pairs: DataFrame, every: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _similar(x: Column, y: Column, similarity: float) -> Column:
+    share = round(similarity * 1000)
+    common = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) * 1000 >= F.greatest(F.size(x), F.size(y)) * share  # holds for every similar pair
+    return sizes & (common * 1000 >= (F.size(x) + F.size(y) - common) * share)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """u, v: names of the lines of pairs whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    text = written(every.select("h", "g", "line").join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.min("line").alias("line")), "line-texts")
-    side = lambda x: text.select(F.col("h").alias(x), F.struct("h", "g").alias(f"name_{x}"), F.col("line").alias(f"line_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("name_a", "name_b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    near = both.where(common * 1000 >= (F.size("x") + F.size("y") - common) * round(similarity * 1000))
-    return near.select(F.col("name_a").alias("u"), F.col("name_b").alias("v"))
+    side = lambda h, line, name: texts.select(F.col("h").alias(h), F.struct("h", "g").alias(name), F.col("line").alias(line))
+    both = pairs.join(side("a", "line_a", "u"), "a").join(side("b", "line_b", "v"), "b")
+    bound = F.array(F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")))  # so that each set is made once
+    return both.where(F.get(F.transform(bound, lambda s: _similar(s["x"], s["y"], similarity)), F.lit(0))).select("u", "v")
+
+
+def crossing(bucketed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: components that a pair of similar lines of one bucket links. Pairs with the chosen line are known already."""
+    known = roots.select("node.h", "node.g", "component")
+    rows = bucketed.where("members > 2 and h <> one").select("bucket", "h", "g").join(known, ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("least <> most")
+    rows = written(rows.join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed").join(texts, ["h", "g"])
+    dealt = rows.withColumn("chunk", F.pmod(F.hash("h", "g"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    key, n = ["bucket", "low", "high"], partitions(bucketed.sparkSession)
+
+    def side(end: str, s: str, name: str, node: str) -> DataFrame:
+        own = dealt.where(F.col("chunk") == F.col(end)).select(*key, F.struct("h", "g").alias(node), F.col("component").alias(name), "line")
+        return own.repartition(n, *key).sortWithinPartitions(*key).withColumn(s, shingle_set(F.col("line"))).drop("line")  # texts are shuffled, not sets
+
+    both = side("low", "x", "u", "p").hint("merge").join(side("high", "y", "v", "q"), key)
+    both = both.where((F.col("u") != F.col("v")) & ((F.col("low") < F.col("high")) | (F.col("p") < F.col("q"))) & _similar(F.col("x"), F.col("y"), similarity))
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def joined_components(bucketed: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, component: those of the first pass, made one where a pair of a bucket links them."""
+    roots = written(components(first, "line-components"), "line-roots")
+    links = written(crossing(bucketed, roots, texts), "line-crossing")
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components")
 
 
 def kept(places: DataFrame, roots: DataFrame) -> DataFrame:
@@ -104,8 +152,11 @@ def _rebuilt(parts: Column, places: Column) -> Column:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The same columns and rows, with `text` (and n_chars) of the lines that stay."""
     every = lines(documents.select("doc_id", "text"))
-    pairs = written(candidates(written(bands(every), "line-bands")), "line-pairs")
-    roots = components(verified(pairs, every), "line-components")
+    banded = written(bands(every), "line-bands")
+    bucketed = written(buckets(banded), "line-buckets")
+    pairs = written(candidates(bucketed, banded), "line-pairs")
+    texts = written(line_texts(bucketed, every), "line-texts")
+    roots = joined_components(bucketed, verified(pairs, texts), texts)
     places = written(kept(first_places(every), roots), "line-places").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
     none = F.array().cast("array<int>")
     bound = F.array(F.struct(F.split("text", "\n").alias("parts"), F.coalesce("__kept", none).alias("kept")))  # so that it is split once

@@ -257,6 +257,13 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(a != b for a, b in zip(got, want)) <= 1  # recall of the bands
 
 
+def test_line_dedup_links_all_copies_of_a_base(spark):
+    base = "".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(4))[:107]
+    edited = [base[: i % 100 + 3] + "#+~"[i // 100] + base[i % 100 + 4 :] for i in range(300)]  # 0.85 like the base, most 0.72 like each other
+    table = spark.createDataFrame([(i, x) for i, x in enumerate([*edited[:150], base, *edited[150:]])], "doc_id long, text string")
+    assert [r["doc_id"] for r in line_dedup.query(table).where("text <> ''").collect()] == [0]
+
+
 def test_sharding(docs, none):
     got = sharding.query(docs).collect()
     assert len(got) == len(rows())
