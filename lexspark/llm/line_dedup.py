@@ -2,7 +2,7 @@
 
 A line's character shingles are generated as rows, from its fixed-width encoding, so that every position is found at
 once however long the line is. Each shingle is hashed once, and the least hashes under FUNCTIONS different orders are
-taken per distinct line: flipping the bits of a mask in every hash reorders them. Only these leave the tasks that read
+taken per distinct line: an order is a hash of the shingle's hash under a mask of its own. Only these leave the tasks that read
 the texts. Bands of ROWS values give the candidates, which are all pairs of a band's bucket. First each line of a bucket
 is compared with one line of it, another in every band, and a distributed union-find over the pairs that pass names the
 components. Then all pairs of a bucket that still lie in different components are compared, by salted pairs of chunks in
@@ -30,11 +30,10 @@ SIMILARITY = 0.8
 SHINGLE = 8
 BANDS, ROWS = 8, 3
 FUNCTIONS = BANDS * ROWS
-#: Least hashes that a pair must share to be verified: 3.7 standard deviations below what similarity SIMILARITY gives, so
-#: one such pair in 8000 is missed.
-ALIKE = 12
 #: Lines of a chunk. A task of the second pass compares two chunks at a time.
 CHUNK = 256
+#: Longs of the bitmap of a shingle set, a power of two.
+WORDS = 8
 #: Fixed masks, one per order of the hashes, from a rule.
 MASKS = [xxhash.xxh64_intdigest(f"order {i}") - 2**63 for i in range(FUNCTIONS)]
 
@@ -51,15 +50,14 @@ def first_places(every: DataFrame) -> DataFrame:
 
 
 def bands(every: DataFrame) -> DataFrame:
-    """h, g, keys, traits of every distinct line: a key per band of its least hashes, and 8 bits of each of them."""
+    """h, g, keys of every distinct line: a key per band of its least hashes."""
     fixed = every.select("h", "g", F.encode("line", "UTF-32").alias("b"))  # 4 bytes a character
     last = F.greatest(F.lit(0), F.length("b") / 4 - SHINGLE).cast("int")
     each = fixed.select("h", "g", "b", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     each = each.select("h", "g", F.xxhash64(F.expr(f"substring(b, at * 4 + 1, {4 * SHINGLE})")).alias("s"))
-    signed = each.groupBy("h", "g").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    signed = each.groupBy("h", "g").agg(*[F.min(F.xxhash64(F.col("s").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(MASKS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    traits = [F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("short") for i in range(FUNCTIONS)]
-    return signed.select("h", "g", F.array(*keys).alias("keys"), F.array(*traits).alias("traits"))
+    return signed.select("h", "g", F.array(*keys).alias("keys"))
 
 
 def buckets(banded: DataFrame) -> DataFrame:
@@ -69,13 +67,9 @@ def buckets(banded: DataFrame) -> DataFrame:
     return rows.join(each, "bucket")
 
 
-def candidates(bucketed: DataFrame, banded: DataFrame) -> DataFrame:
+def candidates(bucketed: DataFrame) -> DataFrame:
     """Distinct pairs a < b of h: every line of a bucket with the bucket's chosen line."""
-    pairs = bucketed.where("h <> one").select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct()
-    traits = banded.select("h", "traits")
-    both = pairs.join(traits.select(F.col("h").alias("a"), F.col("traits").alias("x")), "a").join(traits.select(F.col("h").alias("b"), F.col("traits").alias("y")), "b")
-    equal = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
-    return both.where(equal >= ALIKE).select("a", "b").distinct()
+    return bucketed.where("h <> one").select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct()
 
 
 def shingle_set(line: Column) -> Column:
@@ -91,11 +85,27 @@ def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
     return every.select("h", "g", "line").join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
 
 
-def _similar(x: Column, y: Column, similarity: float) -> Column:
+def bitmap(shingles: Column) -> Column:
+    """WORDS longs, in which every shingle sets a bit by its hash."""
+    of = lambda w: lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(WORDS - 1)) == w
+    bit = lambda a, v: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int")))
+    return F.array(*[F.aggregate(F.filter(shingles, of(w)), F.lit(0).cast("long"), bit) for w in range(WORDS)])
+
+
+def _at_most(x: Column, y: Column, x_bits: Column, y_bits: Column) -> Column:
+    """A number that the common shingles never exceed: each bit of one set alone is a shingle at least that the other lacks."""
+    alone = lambda a, b: sum((F.bit_count(F.get(a, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(w))))) for w in range(1, WORDS)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0))))))
+    return F.least(F.size(x) - alone(x_bits, y_bits), F.size(y) - alone(y_bits, x_bits))
+
+
+def _enough(common: Column, x: Column, y: Column, similarity: float) -> Column:
+    """Whether so many common shingles make the Jaccard similarity large enough."""
     share = round(similarity * 1000)
-    common = F.size(F.array_intersect(x, y))
-    sizes = F.least(F.size(x), F.size(y)) * 1000 >= F.greatest(F.size(x), F.size(y)) * share  # holds for every similar pair
-    return sizes & (common * 1000 >= (F.size(x) + F.size(y) - common) * share)
+    return common * (1000 + share) >= (F.size(x) + F.size(y)) * share
+
+
+def _similar(x: Column, y: Column, similarity: float) -> Column:
+    return _enough(F.least(F.size(x), F.size(y)), x, y, similarity) & _enough(F.size(F.array_intersect(x, y)), x, y, similarity)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -118,10 +128,11 @@ def crossing(bucketed: DataFrame, roots: DataFrame, texts: DataFrame, similarity
 
     def side(end: str, s: str, name: str, node: str) -> DataFrame:
         own = dealt.where(F.col("chunk") == F.col(end)).select(*key, F.struct("h", "g").alias(node), F.col("component").alias(name), "line")
-        return own.repartition(n, *key).sortWithinPartitions(*key).withColumn(s, shingle_set(F.col("line"))).drop("line")  # texts are shuffled, not sets
+        return own.repartition(n, *key).sortWithinPartitions(*key).withColumn(s, shingle_set(F.col("line"))).withColumn(f"{s}_bits", bitmap(F.col(s))).drop("line")  # texts are shuffled, not sets
 
     both = side("low", "x", "u", "p").hint("merge").join(side("high", "y", "v", "q"), key)
-    both = both.where((F.col("u") != F.col("v")) & ((F.col("low") < F.col("high")) | (F.col("p") < F.col("q"))) & _similar(F.col("x"), F.col("y"), similarity))
+    possible = _enough(_at_most(F.col("x"), F.col("y"), F.col("x_bits"), F.col("y_bits")), F.col("x"), F.col("y"), similarity)
+    both = both.where((F.col("u") != F.col("v")) & ((F.col("low") < F.col("high")) | (F.col("p") < F.col("q"))) & possible & _similar(F.col("x"), F.col("y"), similarity))
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -152,9 +163,8 @@ def _rebuilt(parts: Column, places: Column) -> Column:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The same columns and rows, with `text` (and n_chars) of the lines that stay."""
     every = lines(documents.select("doc_id", "text"))
-    banded = written(bands(every), "line-bands")
-    bucketed = written(buckets(banded), "line-buckets")
-    pairs = written(candidates(bucketed, banded), "line-pairs")
+    bucketed = written(buckets(written(bands(every), "line-bands")), "line-buckets")
+    pairs = written(candidates(bucketed), "line-pairs")
     texts = written(line_texts(bucketed, every), "line-texts")
     roots = joined_components(bucketed, verified(pairs, texts), texts)
     places = written(kept(first_places(every), roots), "line-places").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))

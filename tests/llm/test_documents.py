@@ -264,6 +264,15 @@ def test_line_dedup_links_all_copies_of_a_base(spark):
     assert [r["doc_id"] for r in line_dedup.query(table).where("text <> ''").collect()] == [0]
 
 
+def test_line_dedup_finds_short_near_copies(spark):
+    pairs = []
+    for i in range(3000):
+        x = "".join(hashlib.md5(str(i).encode()).hexdigest())[:16]  # 9 shingles; one more is 0.9, two more 0.82
+        pairs += [x, x + "#+"]
+    table = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    assert line_dedup.query(table).where("text <> ''").count() <= 3000 * 1.007  # the bands alone find 0.998
+
+
 def test_sharding(docs, none):
     got = sharding.query(docs).collect()
     assert len(got) == len(rows())
