@@ -2,7 +2,7 @@
 
 A text's vector counts its byte 1- to 3-grams (lower case, hashed to DIMENSIONS places), damped by a logarithm, weighted
 by inverse document frequency over all training rows, and normalised. Each language has a few centroids, clustered
-from a bounded sample of its training rows by spherical k-means, in one task per language. A text gets the language of
+from a bounded sample of its distinct training texts by spherical k-means, in one task per language. A text gets the language of
 the centroid with the largest cosine. It is rejected if its distance from that centroid is beyond the language's
 radius: the largest distance of a training sample, widened by MARGIN.
 
@@ -18,12 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
 CENTROIDS = 4
-#: Rows per language that the centroids are clustered from, about; taken by a hash of the text.
+#: Distinct texts per language that the centroids are clustered from, at most: those of the least hashes.
 SAMPLE = 800
 #: The radius is the largest distance in the sample and this share of what is left up to 1.
 MARGIN = 0.5
@@ -122,10 +122,13 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
     training = training.select("text", "lang").where("text is not null and lang is not null and text rlike '\\\\p{L}'")
     frequency, rows = _frequencies(training)
     idf = (np.log((1 + rows) / (1 + frequency)) + 1).astype(np.float32)
-    sizes = {r[0]: r[1] for r in training.groupBy("lang").count().collect()}  # one row per language
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]), F.col("lang")) if sizes else F.lit(1.0)
-    picked = training.where((F.xxhash64("text") / F.lit(2.0**64) + 0.5) <= share)
-    picked = picked.where(F.length("text") > 0)
+    named = training.where(F.length("text") > 0).select("lang", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    distinct = named.select("lang", "h", "g").distinct()
+    sizes = {r[0]: r[1] for r in distinct.groupBy("lang").count().collect()}  # one row per language
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 2 * sample / n)]), F.col("lang")) if sizes else F.lit(1.0)
+    least = distinct.where((share >= 1) | (F.col("h") / F.lit(2.0**64) + 0.5 <= share))  # about twice the sample, so that the order is of few
+    least = least.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))).where(F.col("i") <= sample).drop("i")
+    picked = named.join(F.broadcast(least), ["lang", "h", "g"]).groupBy("lang", "h", "g").agg(F.min("text").alias("text")).select("text", "lang")  # languages x sample rows
     got = picked.groupBy("lang").applyInPandas(_cluster(idf, centroids), "lang string, centroids binary, far double").orderBy("lang").collect()
     c = np.array([np.frombuffer(r[1], "<f4").reshape(centroids, DIMENSIONS) for r in got], np.float32).reshape(len(got), centroids, DIMENSIONS)
     far = np.array([r[2] for r in got])

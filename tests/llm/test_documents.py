@@ -184,6 +184,12 @@ def jaccard_classes(texts):
     return links, [find(i) for i in range(len(texts))]
 
 
+def test_languages_of_one_copied_text_have_centroids(spark):
+    notices = spark.createDataFrame([(f"Hinweis {i} {WORDS[i]} zu {WORDS[i + 6]}", f"l{i}") for i in range(6)], "text string, lang string")
+    model = language.fit(notices.crossJoin(spark.range(2000)))
+    assert model.languages == [f"l{i}" for i in range(6)]
+
+
 def test_jaccard_join(docs, none):
     own = [(r[0], r[1]) for r in rows()]
     links, root = jaccard_classes([t for _, t in own])
