@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.tokens import BYTE_CHARS, PieceMemo, mapped
+from lexspark.llm.tokens import BYTE_CHARS, PieceTable, as_bytes, mapped
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,9 +75,9 @@ def _encoder(path: str):
 
     def ids(pretoken: str) -> bytes:
         text = mapped(pretoken)
-        return np.array([whole[text]] if text in whole else model.encode(text), "<u4").tobytes()
+        return as_bytes([whole[text]] if text in whole else model.encode(text))
 
-    return PieceMemo(ids).to_bytes
+    return PieceTable(ids)
 
 
 @functools.cache
@@ -90,9 +91,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     @F.pandas_udf(T.ArrayType(T.IntegerType(), False))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        to_bytes = _encoder(path)
+        table = _encoder(path)
         for texts in batches:
-            yield pd.Series([np.frombuffer(to_bytes(t), "<u4").astype(np.int32) for t in texts], dtype=object)
+            ids, bounds = table.encode(pa.Array.from_pandas(texts, type=pa.string()))
+            ids = ids.astype(np.int32)
+            yield pd.Series([ids[a:b] for a, b in zip(bounds, bounds[1:])], dtype=object)
 
     return df.withColumn(ids, run(F.col(text)))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch on its way to Python: bounds a worker's memory when texts are long.
@@ -19,12 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; only where that is unset (as in tests), an own one."""
+    """The folder that the cluster shares, from spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lexspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if spark.sparkContext.master.startswith("local["):  # one machine, as in tests: its warehouse will do
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/lexspark"
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,15 +40,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranged(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, list[int]]:
-    """Adds `bucket`: ranges of an integer key with about equally many rows, numbered in key order; gives the bounds.
+LEAST = -(2**63)
 
-    The bounds are approximate quantiles of the key alone (a column-pruned scan), so any bounds give right results.
-    Null keys are in bucket 0.
+
+def ranged(df: DataFrame, key: str, buckets: int, tie: Column | None = None) -> tuple[DataFrame, int]:
+    """Adds `bucket`: ranges of an integer key with about equally many rows, numbered in key order; gives their number.
+
+    The bounds are approximate quantiles of the key alone (a column-pruned scan), so any bounds give right results. Null
+    keys come first. A key that fills several quantiles gets buckets of its own, by ranges of the 64-bit hash `tie`: rows
+    are in order by key, then tie, from bucket to bucket.
     """
+    first = F.coalesce(F.col(key).cast("long"), F.lit(LEAST))
     wanted = [i / buckets for i in range(1, buckets)]
-    got = df.select(key).approxQuantile(key, wanted, 0.2 / buckets) if wanted else []
-    bounds = sorted({int(x) for x in got})
-    array = F.array(*[F.lit(x).cast("long") for x in bounds])
-    bucket = F.size(F.filter(array, lambda b: b < F.col(key))) if bounds else F.lit(0)
-    return df.withColumn("bucket", F.coalesce(bucket, F.lit(0)).cast("int")), bounds
+    got = [int(x) for x in df.select(first.alias("key")).approxQuantile("key", wanted, 0.2 / buckets)] if wanted else []
+    hot = {x: n + 1 for x, n in Counter(got).items() if n > 1 and tie is not None}
+    bounds = sorted({*got, *(x - 1 for x in hot if x > LEAST)})
+    parts = [hot.get(x, 1) for x in bounds] + [1]
+    begin = [sum(parts[:i]) for i in range(len(parts))]
+    lists = [F.array(*[F.lit(x).cast("long") for x in xs]) for xs in (bounds, begin, parts)]
+    place = F.size(F.filter(lists[0], lambda b: b < first)) if bounds else F.lit(0)
+    bucket = F.get(lists[1], place)
+    if hot:
+        many = F.get(lists[2], place)
+        bucket += F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * many), many - 1)
+    return df.withColumn("bucket", bucket.cast("int")), sum(parts)

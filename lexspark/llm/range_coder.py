@@ -1,214 +1,357 @@
 """A context-mixing range coder for token ids (operator 2).
 
-A block of BLOCK ids is coded on its own: its model starts afresh, and its checksum is that of its ids. Order 2 and
-order 1 each predict one id, the last that followed their context, with a confidence. Whether the order-2 id is right,
-else whether the order-1 id is, are binary decisions; the probability mixes, in the logistic domain and by learned
-weights, one adaptive estimate from the order-2 confidence with one from the order-1 confidence. Any other id is coded by
-order 0: four hexadecimal digits, each by adaptive frequencies under the digits before it. All arithmetic is on whole
-numbers, so blocks decode alike on every machine. Many blocks advance together, one id each at a time, as numpy vectors.
+A block of at most BLOCK ids is coded on its own: its model starts afresh, and its checksum is that of its ids. Order 2
+and order 1 each predict one id, the last that followed their context, with a confidence; order 0 predicts by the
+frequencies of the block's ids so far. Whether the order-2 id is right, else whether the order-1 id is, gets a
+probability that mixes, in the logistic domain, the learned weights of what order 2, and order 1, knows of its id: the
+confidence, and the frequency of the id in order 0. Any other id gets its share of order 0's frequencies, or, where order
+0 has not seen it, an adaptive escape, and stands among the block's new ids. All these shares make one interval, so an
+id costs one step of the coder.
+
+The model learns at the end of each round of a few ids (the weights from its last TAUGHT ids), and order 0's frequencies are renewed at the STEPS of a block.
+All arithmetic is on whole numbers (but for sums and quotients that doubles hold exactly), so blocks decode alike on
+every machine. Many blocks advance together as numpy vectors: lane i is the ith longest block, and the lanes still going
+are the first ones.
+
+The coder keeps 64 bits of low and range, and moves 32 bits out whenever the range is below 2 ** 32. Where the interval
+then straddles a multiple of 2 ** 32, it is cut there, so that there is never a carry. A coded block is the number of
+new ids and these ids, 16 bits each, then the coder's words of 32 bits, all little-endian.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 4096
-#: Blocks that advance together; about 90 kB of model each.
-LANES = 1024
-_TABLE = 4096  # places of an order-1 or order-2 context
-_CONTEXTS = 1 + 16 + 256 + 1024  # of order-0 digits, whose counts stay below 2 ** 13
-_TOP, _BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
-_MASK = np.uint64(0xFFFFFFFF)
+BLOCK = 2048
+#: Blocks that advance together; about 60 kB of model and work space each.
+LANES = 4096
+#: Ids of a block after which the model learns, and those of them after which order 0's frequencies are renewed.
+ROUNDS = (0, 4, 8, 16, *range(32, BLOCK, 32))
+STEPS = (0, 16, 64, 160, 320, 640, 960, 1280, 1600)
+TAUGHT = 8
+_PLACES, _PLACE_BITS = 1024, 10  # of an order-1 or order-2 context, in each lane
+_COUNTS = 512  # places of ids' numbers, in each lane
 _ONE = 4096  # probabilities are in 4096ths
+_TOTAL = 19  # bits of the interval that is shared out: products with a place in order 0 stay below 2 ** 31
+_LOW32, _32, _SHARED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(_TOTAL)
+
+#: 1 / (1 + exp(-x)) in 4096ths for x in 256ths from -8 on; built by rule. The largest chances leave order 0 a share of
+#: at least BLOCK parts of the interval.
+_SQUASH = np.array([min(_ONE - 256, max(16, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
+_MOST_ORDER_1, _MOST_NEW = _ONE * 3 // 4, _ONE * 3 // 4
+
 
-#: ln(p / (1 - p)) in 256ths for p in 4096ths, and its inverse; built by rule.
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (_ONE - p - 0.5))) for p in range(_ONE)], np.int64)
-_SQUASH = np.array([min(_ONE - 16, max(16, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
+@dataclass(frozen=True)
+class _Guess:
+    """Predictions for ids of some lanes, one step (lanes) or several (steps x lanes)."""
 
+    at: np.ndarray  # places of the entries of order 2 and 1
+    entry: np.ndarray
+    ids: np.ndarray
+    weight_at: np.ndarray
+    chance: np.ndarray
+    agree: np.ndarray
+    order2: np.ndarray  # width of order 2's part of the interval
+    base: np.ndarray  # and of order 1's with it
+    order0: np.ndarray  # width of order 0's part; the rest is for new ids
 
-def _u64(x: np.ndarray | int) -> np.ndarray:
-    return np.asarray(x).astype(np.uint64)
+
+class _Model:
+    """What the encoder and the decoder both learn."""
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.lanes = lanes
+        self.entries = np.zeros(2 * lanes * _PLACES, np.uint32)  # (id * 4 + class) * 8 + confidence, by order 2 and 1
+        self.entry_base = np.stack([lane * _PLACES, (lanes + lane) * _PLACES])
+        self.counts = np.zeros(lanes * _COUNTS, np.uint8)  # the class of an id in order 0: how often it came, 3 at most
+        self.count_base = lane * _COUNTS
+        self.weights = np.full(128 * lanes, -300, np.int32)  # in 4096ths: by input and context, and lane
+        self.weight_base = np.array([[0], [32], [96]]) * lanes + lane
+        self.new = np.full(lanes, _MOST_NEW, np.int32)
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> _Guess:
+        """one, two: the ids before, of the first lanes."""
+        n, extra = one.shape[-1], (1,) * (one.ndim - 1)
+        each = lambda base: base[:, :n].reshape(len(base), *extra, n)
+        place = np.empty((2, *one.shape), np.uint32)
+        np.multiply(one, np.uint32(2654435761), out=place[1])
+        np.add(place[1], two * np.uint32(2246822519), out=place[0])
+        place >>= np.uint32(32 - _PLACE_BITS)
+        at = each(self.entry_base) + place
+        entry = self.entries.take(at)
+        ids = entry >> np.uint32(5)
+        agree = ids[0] == ids[1]
+        context = np.empty((3, *one.shape), np.int64)
+        np.bitwise_and(entry, np.uint32(31), out=context[:2], casting="unsafe")
+        context[2] = context[1]
+        context[1] += agree * np.int64(32)
+        context *= self.lanes
+        context += each(self.weight_base)
+        weight = self.weights.take(context)
+        weight[0] += weight[1]
+        dot = weight[::2]
+        dot >>= 4
+        dot += 2048
+        chance = _SQUASH.take(dot, mode="clip")
+        chance[1] *= ~agree
+        np.minimum(chance[1], _MOST_ORDER_1, out=chance[1])
+        order2 = chance[0] << (_TOTAL - 12)
+        rest = (1 << _TOTAL) - order2
+        base = rest * chance[1] >> 12
+        rest -= base
+        base += order2
+        rest -= rest * self.new[:n] >> 12
+        return _Guess(at, entry, ids, context, chance, agree, order2, base, rest)
+
+    def learn(self, guess: list[_Guess], n: int, ids: np.ndarray, new: np.ndarray) -> None:
+        """What came in a round (steps x lanes, as new), in the first n lanes. The last id of one context counts."""
+        guess, steps = [g if g.at.ndim > 2 else None for g in guess][0] or guess, len(ids)
+        if isinstance(guess, list):
+            part = lambda name, k=0: np.stack([getattr(g, name)[..., :n] for g in guess[-k:]], axis=1)
+        else:
+            part = lambda name, k=0: getattr(guess, name)[:, -k:, :n]
+        at, entry = part("at"), part("entry")
+        counted = (ids & np.uint32(_COUNTS - 1)) + self.count_base[:n]
+        often = self.counts.take(counted)
+        often += often < 3
+        self.counts[counted] = often
+        sure, known = entry & np.uint32(7), entry >> np.uint32(5)
+        same = known == ids
+        fresh = ids << np.uint32(5) | often << np.uint32(3)
+        kept = np.where(sure > 1, entry - sure + (sure >> np.uint32(1)), fresh + np.uint32(1))
+        self.entries[at] = np.where(same, fresh + sure + (sure < 7), kept)
+        k = min(TAUGHT, steps)
+        agree = known[0, -k:] == known[1, -k:]
+        error = same[:, -k:] * np.int32(_ONE) - part("chance", k)
+        error[1] *= ~(same[0, -k:] | agree)
+        change = np.bincount(part("weight_at", k).ravel(), error.repeat((2, 1), axis=0).ravel(), len(self.weights))
+        change *= 0.5
+        self.weights += change.astype(np.int32)
+        np.clip(self.weights, -(1 << 17), 1 << 17, out=self.weights)
+        literal = (~(same[0] | same[1])).sum(axis=0, dtype=np.int32)
+        chance = self.new[:n]
+        chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 5
+        np.maximum(chance, 32, out=chance)
 
 
 class _Encoder:
     def __init__(self, lanes: int, room: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.out = np.zeros((lanes, room), np.uint8)
-        self.at = np.zeros(lanes, np.int64)
-
-    def code(self, who: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        low, span = self.low[who], self.range[who] // _u64(total)
-        low = (low + span * start.astype(np.uint64)) & _MASK
-        span = span * size.astype(np.uint64)
-        while True:
-            apart = (low ^ ((low + span) & _MASK)) >= _TOP
-            apart |= low + span > _MASK
-            short = apart & (span < _BOTTOM)
-            span = np.where(short, (-low) & (_BOTTOM - np.uint64(1)), span)
-            shift = ~apart | short
-            if not shift.any():
-                break
-            lanes = who[shift]
-            self.out[lanes, self.at[lanes]] = (low[shift] >> np.uint64(24)).astype(np.uint8)
-            self.at[lanes] += 1
-            low[shift] = (low[shift] << np.uint64(8)) & _MASK
-            span[shift] = span[shift] << np.uint64(8)
-        self.low[who], self.range[who] = low, span
+        self.range = np.full(lanes, 2**64 - 1, np.uint64)
+        self.out = np.zeros(lanes * room, np.uint32)
+        self.start = np.arange(lanes) * room
+        self.at = self.start.copy()
+
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        low, span = self.low[:n], self.range[:n]
+        span >>= _SHARED
+        low += span * start
+        span *= size
+        if len(short := np.flatnonzero(span <= _LOW32)):
+            l, r = low[short], _cut(low[short], span[short])
+            at = self.at[short]
+            self.out[at] = l >> _32
+            self.at[short] = at + 1
+            low[short], span[short] = l << _32, r << _32
 
     def finish(self) -> list[bytes]:
-        for shift in (24, 16, 8, 0):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(shift)).astype(np.uint8)
-            self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at)]
+        """One word more names a number in the interval; words of zero follow it."""
+        self.out[self.at] = (self.low >> _32) + ((self.low & _LOW32) != 0)
+        return [self.out[a : b + 1].astype("<u4").tobytes() for a, b in zip(self.start, self.at)]
+
+
+def _cut(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The range up to the next multiple of 2 ** 32, where there is one inside."""
+    return np.minimum(span, (~low & _LOW32) + np.uint64(1))
 
 
 class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        room = max(map(len, blocks)) + 8
-        self.data = np.zeros((len(blocks), room), np.uint64)
-        for i, b in enumerate(blocks):
-            self.data[i, : len(b)] = np.frombuffer(b, np.uint8)
-        self.low = np.zeros(len(blocks), np.uint64)
-        self.range = np.full(len(blocks), 0xFFFFFFFF, np.uint64)
-        first = self.data[:, :4]
-        self.value = first[:, 0] << np.uint64(24) | first[:, 1] << np.uint64(16) | first[:, 2] << np.uint64(8) | first[:, 3]
-        self.at = np.full(len(blocks), 4, np.int64)
-
-    def target(self, who: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        span = self.range[who] // _u64(total)
-        return np.minimum(((self.value[who] - self.low[who]) & _MASK) // span, _u64(total) - np.uint64(1)).astype(np.int64)
-
-    def code(self, who: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        low, span, value = self.low[who], self.range[who] // _u64(total), self.value[who]
-        low = (low + span * start.astype(np.uint64)) & _MASK
-        span = span * size.astype(np.uint64)
-        while True:
-            apart = (low ^ ((low + span) & _MASK)) >= _TOP
-            apart |= low + span > _MASK
-            short = apart & (span < _BOTTOM)
-            span = np.where(short, (-low) & (_BOTTOM - np.uint64(1)), span)
-            shift = ~apart | short
-            if not shift.any():
-                break
-            lanes = who[shift]
-            value[shift] = (value[shift] << np.uint64(8) | self.data[lanes, self.at[lanes]]) & _MASK
-            self.at[lanes] += 1
-            low[shift] = (low[shift] << np.uint64(8)) & _MASK
-            span[shift] = span[shift] << np.uint64(8)
-        self.low[who], self.range[who], self.value[who] = low, span, value
+    def __init__(self, codes: list[bytes]):
+        room = max(map(len, codes)) // 4 + 4
+        data = np.zeros((len(codes), room), np.uint64)
+        for i, b in enumerate(codes):
+            data[i, : len(b) // 4] = np.frombuffer(b, "<u4")
+        self.low = np.zeros(len(codes), np.uint64)
+        self.range = np.full(len(codes), 2**64 - 1, np.uint64)
+        self.value = data[:, 0] << _32 | data[:, 1]  # less low
+        self.data = data.ravel()
+        self.at = np.arange(len(codes)) * room + 2
 
+    def target(self, n: int) -> np.ndarray:
+        span = self.range[:n]
+        span >>= _SHARED
+        return np.minimum(self.value[:n] // span, np.uint64((1 << _TOTAL) - 1)).astype(np.int32)
 
-class _Model:
-    """What the encoder and the decoder both learn, step by step."""
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        """After target(n)."""
+        low, span, value = self.low[:n], self.range[:n], self.value[:n]
+        down = span * start
+        low += down
+        value -= down
+        span *= size
+        if len(short := np.flatnonzero(span <= _LOW32)):
+            l, r = low[short], _cut(low[short], span[short])
+            at = self.at[short]
+            value[short] = value[short] << _32 | self.data.take(at, mode="clip")
+            self.at[short] = at + 1
+            low[short], span[short] = l << _32, r << _32
 
-    def __init__(self, lanes: int):
-        self.guess = np.full((2, lanes, _TABLE), -1, np.int32)  # by order less one
-        self.sure = np.zeros((2, lanes, _TABLE), np.int8)
-        self.hit = np.full((2, 2, lanes, 16), _ONE // 4, np.int64)  # decision, order, lane, context
-        self.weight = np.full((2, 2, lanes), 1 << 15, np.int64)
-        self.digits = np.ones((lanes * _CONTEXTS, 16), np.uint16)
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-
-    def step(self, who: np.ndarray, ids: np.ndarray | None, coder) -> np.ndarray:
-        """Codes one id of each of the lanes `who` (decodes it where ids is None) and learns it."""
-        place = [self.one[who] * 40503 % 65521 % _TABLE, (self.one[who] * 40503 + self.two[who] * 30011) % 65521 % _TABLE]
-        guess = [self.guess[k, who, place[k]] for k in (0, 1)]
-        sure = [self.sure[k, who, place[k]].astype(np.int64) for k in (0, 1)]
-        context = [sure[0] + 8 * (guess[0] == guess[1]), sure[1]]
-        found = np.full(len(who), -1, np.int64)
-        left = np.arange(len(who))
-        for decision, order in ((0, 1), (1, 0)):
-            able = guess[order][left] >= 0
-            if decision:
-                able &= guess[0][left] != guess[1][left]
-            on = left[able]
-            if len(on):
-                truth = None if ids is None else ids[on] == guess[order][on]
-                right = self._decide(decision, who[on], [c[on] for c in context], truth, coder)
-                found[on[right]] = guess[order][on[right]]
-                left = left[found[left] < 0]
-        if len(left):
-            found[left] = self._literal(who[left], None if ids is None else ids[left], coder)
-        for k in (0, 1):
-            same = guess[k] == found
-            keep = ~same & (sure[k] > 1)
-            self.sure[k, who, place[k]] = np.where(same, np.minimum(sure[k] + 1, 7), np.where(keep, sure[k] // 2, 0))
-            self.guess[k, who, place[k]] = np.where(keep, guess[k], found)
-        self.two[who] = self.one[who]
-        self.one[who] = found
-        return found
-
-    def _decide(self, decision: int, who: np.ndarray, context: list[np.ndarray], truth: np.ndarray | None, coder) -> np.ndarray:
-        p = [self.hit[decision, k, who, context[k]] for k in (0, 1)]
-        stretched = [_STRETCH[x] for x in p]
-        weight = [self.weight[decision, k, who] for k in (0, 1)]
-        mixed = (weight[0] * stretched[0] + weight[1] * stretched[1]) >> 16
-        chance = _SQUASH[np.clip(mixed, -2048, 2047) + 2048]
-        right = coder.target(who, _ONE) < chance if truth is None else truth
-        coder.code(who, np.where(right, 0, chance), np.where(right, chance, _ONE - chance), _ONE)
-        error = np.where(right, _ONE, 0) - chance
-        for k in (0, 1):
-            self.hit[decision, k, who, context[k]] = np.clip(p[k] + ((np.where(right, _ONE, 0) - p[k]) >> 4), 16, _ONE - 16)
-            self.weight[decision, k, who] = np.clip(weight[k] + ((stretched[k] * error) >> 8), -(1 << 18), 1 << 18)
-        return right
-
-    def _literal(self, who: np.ndarray, ids: np.ndarray | None, coder) -> np.ndarray:
-        known = np.zeros(len(who), np.int64)
-        first = (0, 1, 17, 273)
-        row = np.arange(len(who))
-        for i in range(4):
-            place = who * _CONTEXTS + first[i] + (known if i < 3 else known * 31 % 1021)
-            counts = self.digits[place]
-            ends = counts.cumsum(axis=1, dtype=np.int32)
-            total = ends[:, -1]
-            digit = (ends <= coder.target(who, total)[:, None]).sum(axis=1) if ids is None else (ids >> (12 - 4 * i)) & 15
-            size = counts[row, digit]
-            coder.code(who, ends[row, digit] - size, size, total)
-            self.digits[place, digit] = size + np.uint16(32)
-            if len(full := place[total > 8000]):
-                self.digits[full] = (self.digits[full] + np.uint16(1)) >> np.uint16(1)
-            known = known * 16 + digit
-        return known
+
+def _parts(guess: _Guess, seen: int, first: np.ndarray, last: np.ndarray, is2: np.ndarray, is1: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the ids' parts of the interval; order 0 has them at places first to last of `seen`."""
+    start, end = first * guess.order0, last.astype(np.int32) * guess.order0
+    start //= seen
+    end //= seen
+    start += guess.base
+    end += guess.base
+    for where, low, high in ((is2, 0, guess.order2), (is1, guess.order2, guess.base), (new, guess.base + guess.order0, 1 << _TOTAL)):
+        np.copyto(start, low, where=where)
+        np.copyto(end, high, where=where)
+    end -= start
+    return start.astype(np.uint64), end.astype(np.uint64)
+
+
+def _rounds(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Begin and end of the rounds of falling sizes, and how many lanes go on beyond each step, and beyond the last."""
+    longest = int(sizes[0])
+    going = np.searchsorted(-sizes, -np.arange(longest + 1), "left")
+    ends = [*(t for t in ROUNDS if 0 < t < longest), longest]
+    for a, b in zip([0, *ends], ends):
+        yield a, b, going[a : b + 1]
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the run of equal values at each place of sorted rows begins, and the place after its end."""
+    place = np.arange(ordered.shape[1], dtype=np.uint16)
+    starts = np.ones(ordered.shape, bool)
+    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=starts[:, 1:])
+    first = np.maximum.accumulate(np.where(starts, place, np.uint16(0)), axis=1)
+    ends = np.ones(ordered.shape, bool)
+    ends[:, :-1] = starts[:, 1:]
+    last = np.minimum.accumulate(np.where(ends, place + np.uint16(1), np.uint16(0xFFFF))[:, ::-1], axis=1)[:, ::-1]
+    return first, last
+
+
+def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
+    lanes, longest = len(blocks), int(sizes[0])
+    width = longest + 1
+    ids = np.full((lanes, width), 0xFFFF, np.uint16)
+    ids[:, 0] = 0  # order 0 has seen id 0 once before all others
+    for lane, b in enumerate(blocks):
+        ids[lane, 1 : len(b) + 1] = b
+    order = ids.argsort(axis=1, kind="stable")
+    row = np.arange(lanes)[:, None]
+    first, last = _runs(ids.ravel().take(order + row * width))
+    by_step = order * lanes + row
+    begin, end = np.empty((width, lanes), np.uint16), np.empty((width, lanes), np.uint16)  # of an id's run in order
+    begin.ravel()[by_step] = first
+    end.ravel()[by_step] = last
+    order = order.astype(np.uint16)
+    row = np.arange(lanes) * (width + 1)
+    steps = np.zeros((width + 1, lanes), np.uint32)
+    steps[1:] = ids.T
+    before = np.zeros((lanes, width + 1), np.uint16)
+    fresh = np.zeros((longest, lanes), bool)
+    model, coder = _Model(lanes), _Encoder(lanes, longest + 4)
+    for a, b, going in _rounds(sizes):
+        if a in STEPS:
+            seen = a + 1
+            np.cumsum(order < np.uint16(seen), axis=1, dtype=np.uint16, out=before[:, 1:])
+            known = before.ravel()
+        n = going[0]
+        x = steps[a + 2 : b + 2, :n]
+        guess = model.predict(steps[a + 1 : b + 1, :n], steps[a:b, :n])
+        is2 = x == guess.ids[0]
+        is1 = (x == guess.ids[1]) & ~is2
+        at, to = known.take(begin[a + 1 : b + 1, :n] + row[:n]).astype(np.int32), known.take(end[a + 1 : b + 1, :n] + row[:n])
+        new = ~(is2 | is1) & (at == to)
+        start, size = _parts(guess, seen, at, to, is2, is1, new)
+        for i in range(b - a):
+            coder.narrow(going[i], start[i, : going[i]], size[i, : going[i]])
+        fresh[a:b, :n] = new
+        if (n := going[-1]) and b < longest:
+            model.learn([guess], n, x[:, :n], new[:, :n])
+    fresh = np.ascontiguousarray(fresh.T) & (np.arange(longest) < sizes[:, None])
+    many, heads = fresh.sum(axis=1), iter(np.split(ids[:, 1:][fresh].astype("<u2"), fresh.sum(axis=1).cumsum()[:-1]))
+    return [int(k).to_bytes(2, "little") + next(heads).tobytes() + words for k, words in zip(many, coder.finish())]
+
+
+def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+    lanes, longest = len(codes), int(sizes[0])
+    many = [int.from_bytes(c[:2], "little") for c in codes]
+    fresh = np.zeros((lanes, max(many) + 1), np.uint16)
+    for lane, (c, k) in enumerate(zip(codes, many)):
+        fresh[lane, :k] = np.frombuffer(c, "<u2", k, 2)
+    next_new = np.arange(lanes) * fresh.shape[1]
+    fresh = fresh.ravel()
+    coder = _Decoder([c[2 + 2 * k :] for c, k in zip(codes, many)])
+    steps = np.zeros((longest + 2, lanes), np.uint32)
+    was_new = np.zeros((32, lanes), bool)
+    model = _Model(lanes)
+    for a, b, going in _rounds(sizes):
+        if a in STEPS:
+            seen = a + 1
+            ordered = np.sort(steps[1 : a + 2].T.astype(np.uint16, order="C"), axis=1, kind="stable")
+            first, last = (x.ravel() for x in _runs(ordered))
+            ordered = ordered.ravel()
+            row = np.arange(lanes) * seen
+        guesses = []
+        for i, n in enumerate(going[:-1]):
+            guess = model.predict(steps[a + i + 1, :n], steps[a + i, :n])
+            v = coder.target(n)
+            is2 = v < guess.order2
+            is1 = (v < guess.base) & ~is2
+            v -= guess.base
+            new = v >= guess.order0
+            v += 1
+            v *= seen
+            v -= 1
+            place = np.minimum((v / guess.order0).astype(np.int64), seen - 1)
+            np.maximum(place, 0, out=place)
+            place += row[:n]
+            x = np.where(is2, guess.ids[0], np.where(is1, guess.ids[1], ordered.take(place)))
+            if len(who := np.flatnonzero(new)):
+                at = next_new[who]
+                x[who] = fresh[at]
+                next_new[who] = at + 1
+            start, size = _parts(guess, seen, first.take(place).astype(np.int32), last.take(place), is2, is1, new)
+            coder.narrow(n, start, size)
+            steps[a + i + 2, :n] = x
+            was_new[i, :n] = new
+            guesses.append(guess)
+        if (n := going[-1]) and b < longest:
+            model.learn(guesses, n, steps[a + 2 : b + 2, :n], was_new[: b - a, :n])
+    back = np.ascontiguousarray(steps[2:].T)
+    return [back[lane, :size] for lane, size in enumerate(sizes)]
+
+
+def _in_lanes(sizes: list[int]) -> list[list[int]]:
+    """Blocks that are not empty, longest first, in parts of LANES."""
+    order = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: -sizes[i])
+    return [order[at : at + LANES] for at in range(0, len(order), LANES)]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids below 65536 as bytes."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
-    for at in range(0, len(order), LANES):
-        part = order[at : at + LANES]
-        sizes = np.array([len(blocks[i]) for i in part])
-        ids = np.zeros((sizes[0], len(part)), np.int64)
-        for lane, i in enumerate(part):
-            ids[: sizes[lane], lane] = blocks[i]
-        model, coder = _Model(len(part)), _Encoder(len(part), int(sizes[0]) * 8 + 16)
-        for t in range(sizes[0]):
-            who = np.arange(np.searchsorted(-sizes, -t, "left"))
-            model.step(who, ids[t, : len(who)], coder)
-        for i, code in zip(part, coder.finish()):
+    """Each block of at most BLOCK ids below 65536 as bytes."""
+    out = [b""] * len(blocks)
+    for part in _in_lanes([len(b) for b in blocks]):
+        for i, code in zip(part, _encode([blocks[i] for i in part], np.array([len(blocks[i]) for i in part]))):
             out[i] = code
     return out
 
 
 def decode_blocks(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids of each block, given how many there are."""
-    out = [np.zeros(0, np.int64)] * len(codes)
-    order = sorted((i for i in range(len(codes)) if sizes[i]), key=lambda i: -sizes[i])
-    for at in range(0, len(order), LANES):
-        part = order[at : at + LANES]
-        many = np.array([sizes[i] for i in part])
-        ids = np.zeros((many[0], len(part)), np.int64)
-        model, coder = _Model(len(part)), _Decoder([codes[i] for i in part])
-        for t in range(many[0]):
-            who = np.arange(np.searchsorted(-many, -t, "left"))
-            ids[t, : len(who)] = model.step(who, None, coder)
-        for lane, i in enumerate(part):
-            out[i] = ids[: many[lane], lane]
+    out = [np.zeros(0, np.uint32)] * len(codes)
+    for part in _in_lanes(sizes):
+        for i, ids in zip(part, _decode([codes[i] for i in part], np.array([sizes[i] for i in part]))):
+            out[i] = ids
     return out
 
 

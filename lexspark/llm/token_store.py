@@ -6,7 +6,7 @@ range_coder.BLOCK ids that are coded independently. Columns: bucket (the range),
 sizes (doc_ids and their numbers of ids), n_tokens, blocks, and crcs (of each block's ids). Reading checks every block.
 
 Null texts count as empty; every document ends with the end id. A null doc_id comes first; documents of one doc_id come
-in the order of their texts. An empty table gives an empty file set. Extra columns are not stored.
+in the order of their texts' hashes, and a doc_id that holds many rows fills buckets of its own. An empty table gives an empty file set. Extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import partitions, ranged
 from lexspark.llm.range_coder import BLOCK, LANES, checksum, decode_blocks, encode_blocks
-from lexspark.llm.tokens import library_ids
+from lexspark.llm.tokens import ended_ids, library_table
 
 END_ID = 2
 #: Ids of a segment, from which on it is closed.
@@ -36,27 +36,27 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _segments(documents: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, list[int], list[int], np.ndarray]]:
+def _segments(documents: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, list[int], list[int], np.ndarray]]:
     """(bucket, doc_id, ids) in order to (bucket, number, doc_ids, sizes, ids)."""
-    at, number, docs, sizes, held = None, 0, [], [], []
+    at, number, total, docs, held = None, 0, 0, [], []
     for bucket, doc, ids in documents:
-        if docs and (bucket != at or sum(sizes) >= SEGMENT):
-            yield at, number, docs, sizes, np.frombuffer(b"".join(held), "<u4")
+        if docs and (bucket != at or total >= SEGMENT):
+            yield at, number, docs, [len(x) for x in held], np.concatenate(held)
             number = number + 1 if bucket == at else 0
-            docs, sizes, held = [], [], []
+            total, docs, held = 0, [], []
         elif bucket != at:
             number = 0
         at = bucket
         docs.append(doc)
-        sizes.append(len(ids) // 4)
         held.append(ids)
+        total += len(ids)
     if docs:
-        yield at, number, docs, sizes, np.frombuffer(b"".join(held), "<u4")
+        yield at, number, docs, [len(x) for x in held], np.concatenate(held)
 
 
 def _coded(segments: list[tuple]) -> pa.RecordBatch:
     """Segments as rows of the files; their blocks are coded side by side."""
-    cut = [[s[4][i : i + BLOCK].astype(np.int64) for i in range(0, len(s[4]), BLOCK)] for s in segments]
+    cut = [[s[4][i : i + BLOCK] for i in range(0, len(s[4]), BLOCK)] for s in segments]
     codes = iter(encode_blocks([b for blocks in cut for b in blocks]))
     rows = [(*s[:4], len(s[4]), [next(codes) for _ in blocks], [checksum(b) for b in blocks]) for s, blocks in zip(segments, cut)]
     return _batch(rows, _FILES)
@@ -64,12 +64,16 @@ def _coded(segments: list[tuple]) -> pa.RecordBatch:
 
 def encode(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Rows of the file set. Each text is shuffled once, to its range of doc_ids."""
-    end = int(end_id).to_bytes(4, "little")
     n = partitions(documents.sparkSession)
 
+    def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        table = library_table(path)
+        for batch in batches:
+            ids, bounds = ended_ids(table, batch.column(2), end_id)
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.split(ids, bounds[1:-1]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = library_ids(path)
-        rows = ((b, d, to_ids(t) + end) for x in batches for b, d, t in zip(*(c.to_pylist() for c in x.columns)))
+        rows = documents_of(batches)
         held: list[tuple] = []
         blocks = 0
         for segment in _segments(rows):
@@ -81,8 +85,9 @@ def encode(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         if held:
             yield _coded(held)
 
-    rows, _ = ranged(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", 4 * n)
-    ordered = rows.select("bucket", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    tie = F.xxhash64("text")
+    rows, _ = ranged(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", 4 * n, tie)
+    ordered = rows.select("bucket", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", tie, "text")
     return ordered.mapInArrow(run, FILES)
 
 
