@@ -7,7 +7,8 @@ least and a largest size. A fingerprint is the set of the chunks' digests, each
 moves only the chunk ends near it, so containment, weighted by bytes, tells how much of one text is in another.
 
 Null texts count as empty: an empty fingerprint, which is like another empty one by 1 and like any other by 0.
-Equal texts have equal fingerprints. Documents of equal doc_id follow one another by text.
+Equal texts have equal fingerprints. Documents of equal doc_id follow one another by their
+texts' hashes; null doc_ids come first. A doc_id that holds many rows is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -103,8 +104,8 @@ def with_next(documents: DataFrame, buckets: int) -> DataFrame:
     The last range is followed by the first document of all. One row is looked up per range, so no text passes the
     driver, and each text is shuffled once. A range may be empty.
     """
-    spread, _ = ranged(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", buckets)
-    firsts = [r[0] for r in spread.groupBy("bucket").agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()]
+    spread, _ = ranged(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", buckets, F.xxhash64("text"))
+    firsts = [r[0] for r in spread.select("bucket").distinct().orderBy("bucket").collect()]
     before = F.array(*[F.lit(b) for b in firsts])  # one number per range
     place = F.array_position(before, F.col("bucket")).cast("int")
     heads = _heads(spread)
@@ -114,9 +115,9 @@ def with_next(documents: DataFrame, buckets: int) -> DataFrame:
 
 
 def _heads(spread: DataFrame) -> DataFrame:
-    """The first document of each range, by doc_id, then text."""
-    first = F.min_by("text", F.struct("doc_id", "text"))
-    return spread.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"), first.alias("text")).select("doc_id", "text", "bucket")
+    """The first document of each range, by doc_id, then hash, then text."""
+    first = F.min(F.struct("doc_id", F.xxhash64("text").alias("tie"), "text"))
+    return spread.groupBy("bucket").agg(first.alias("first")).select("first.doc_id", "first.text", "bucket")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -160,5 +161,5 @@ def fingerprints(documents: DataFrame, text: str = "text") -> DataFrame:
 def query(documents: DataFrame) -> DataFrame:
     n = partitions(documents.sparkSession)
     rows = with_next(documents, 4 * n)
-    ordered = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("own"), "doc_id", "text")
+    ordered = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("own"), "doc_id", F.xxhash64("text"), "text")
     return ordered.mapInArrow(compare, OUT)

@@ -106,7 +106,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: both inputs have vec_id and v of one length."""
     rows, asked = candidates.count(), queries.count()
     ranges, groups = max(1, -(-rows // RANGE)), max(1, -(-asked // GROUP))
-    place, _ = ranged(candidates, "vec_id", ranges)
+    place, ranges = ranged(candidates, "vec_id", ranges, F.xxhash64("v"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = place.withColumn("part", every(groups))
     right = queries.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(groups))).withColumn("bucket", every(ranges))

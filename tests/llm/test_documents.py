@@ -4,12 +4,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store
+from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, tokens
 from lexspark.llm.shingles import shingles
-from lexspark.llm.tokens import library_ids, vocabulary_path
+from lexspark.llm.tokens import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, shard string, score string, line string, node string, ids string"
 BYTE, MULTI = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -41,23 +42,28 @@ def none(spark):
 def ids_of(text):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary_path(BYTE))
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(vocabulary_path(BYTE)).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_memoised_ids_are_the_library_s():
-    for text in [r[1] for r in rows()] + ["it's  x", "a\n b", " a", "b ", "x\x00y z", "\n", " "]:
-        assert np.frombuffer(library_ids(vocabulary_path(BYTE))(text), "<u4").tolist() == ids_of(text)
+def test_table_s_ids_are_the_library_s(monkeypatch):
+    texts = [r[1] for r in rows()] + ["it's  x", "a\n b", " a", "b ", "x\x00y z", "\n", " ", "a\n\nb", "a\n", "a.\nb c.", "“hi” he", "a\u3000 b", "é" * 40 + " é", "x<|endoftext|>y"]
+    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 200)
+    monkeypatch.setattr(tokens, "_STEP", 60)  # so that the table forgets, again and again
+    table = tokens.library_table.__wrapped__(vocabulary_path(BYTE))
+    for _ in range(2):
+        ids, bounds = table.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [ids_of(t) for t in texts]
+    ids, bounds = table.encode(pa.array([], pa.string()))
+    assert len(ids) == 0 and bounds.tolist() == [0]
 
 
 def test_token_files(docs, none, tmp_path):
     got = token_store.query(docs, vocabulary_path(BYTE), str(tmp_path / "files")).collect()
-    ordered = sorted(((r[0], r[1]) for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ordered = sorted(((r[0], r[1]) for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0))
     want, at = [], 0
     for doc, text in ordered:
         ids = [*ids_of(text), 2]
@@ -105,6 +111,17 @@ def test_levels_minimise_squares():
         assert int((packer.levels.astype(int) ** 2).sum()) == best
 
 
+def test_most_items_stay_where_sums_of_squares_put_them():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 1500, 4000)
+    packer = packing.SumOfSquares(1024)
+    made = list(packing.windows(((i, np.full(n, i)) for i, n in enumerate(sizes)), packer))
+    assert sum(x[2] for held in made for x in held) == sizes.sum()
+    lengths = [sum(x[2] for x in held) for held in made]
+    assert all(n == 1024 for n in lengths[:-10]) and all(n & (n - 1) == 0 for n in lengths)
+    assert packer.topped < 0.12 * sizes.sum()
+
+
 def _after(levels, h, size):
     new = levels.copy()
     if h:

@@ -5,9 +5,8 @@ import datetime
 import numpy as np
 import pytest
 
-from lexspark.llm import topk, url_filter
+from lexspark.llm import range_coder, topk, url_filter
 from lexspark.llm.components import components
-from lexspark.llm.range_coder import decode_blocks, encode_blocks
 
 D = datetime.date
 
@@ -64,11 +63,14 @@ def test_components(spark):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
-    blocks = [np.array([], int), np.array([5]), np.full(4096, 50256), rng.integers(0, 50257, 3000), np.tile(np.arange(50), 60), (rng.zipf(1.3, 4096) % 50000).astype(int)]
-    codes = encode_blocks(blocks)
-    for a, b in zip(blocks, decode_blocks(codes, [len(x) for x in blocks])):
-        assert (a == b).all()
-    assert len(codes[2]) < 200 and len(codes[4]) < 2500
+    full = range_coder.BLOCK
+    blocks = [np.array([], int), np.array([5]), np.full(full, 50256), rng.integers(0, 65536, 1500), np.tile(np.arange(50), full // 50), (rng.zipf(1.3, full) % 50000).astype(int), np.zeros(full, int), np.arange(full)]
+    blocks += [rng.integers(0, 300, n) for n in (1, 2, 3, 4, 5, 31, 32, 33, 64, full - 1)]
+    codes = range_coder.encode_blocks(blocks)
+    for a, b in zip(blocks, range_coder.decode_blocks(codes, [len(x) for x in blocks])):
+        assert len(a) == len(b) and (a == b).all()
+    assert len(codes[2]) < 60 and len(codes[4]) < 0.3 * full and len(codes[5]) < 1.5 * full
+    assert range_coder.encode_blocks([blocks[5]])[0] == codes[5]  # blocks are independent
 
 
 def test_pipeline(spark, tmp_path):
