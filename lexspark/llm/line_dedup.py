@@ -1,20 +1,21 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only (operator 6).
 
-A line's character shingles are generated as rows, from its fixed-width encoding, so that every position is found at
+A line's character shingles are taken from its fixed-width encoding, STRIDE to a row, so that every position is found at
 once however long the line is. Each shingle is hashed once, and the least hashes under FUNCTIONS different orders are
-taken per distinct line: an order is a hash of the shingle's hash under a mask of its own. Only these leave the tasks that read
-the texts. Bands of ROWS values give the candidates, which are all pairs of a band's bucket. First each line of a bucket
-is compared with one line of it, another in every band, and a distributed union-find over the pairs that pass names the
-components. Then all pairs of a bucket that still lie in different components are compared, by salted pairs of chunks in
-separate tasks, and the components they link become one. Only the texts of candidates are fetched, and the exact Jaccard
-similarity of whole shingle sets decides. Of each component the first line by (doc_id, position) stays, in its document;
-all others go.
-
-A line is named by two 64-bit hashes.
-
-Blank lines stay. Null texts stay null, and a text that loses all its lines becomes empty; no document goes. Rows that
-repeat a doc_id keep lines at the same positions. A null doc_id comes first. All columns stay; text is changed, and
-n_chars where there is one of that name.
+taken per distinct line. Only these leave the tasks that read the texts. A band is three of the orders, and each two of
+them are in just one band (the lines of the affine plane of order 3), so that few orders give many bands: a pair of
+similarity 0.8 meets in one of them with a chance of 0.990. Candidates are all pairs of a band's bucket. First each line
+of a bucket is compared with one line of it, another in every band, and a distributed union-find over the pairs that
+pass names the components. Then all pairs of a bucket that still lie in different components are compared, by salted
+pairs of chunks in separate tasks, and the components they link become one. Only the texts of candidates are fetched,
+and the exact Jaccard similarity of whole shingle sets decides. Of each component the first line by (doc_id, text,
+position) stays, in its document; all others go.
+
+A line is named by a 64-bit and a 32-bit hash.
+
+Blank lines stay. Null texts stay null, and a text that loses all its lines becomes empty; no document goes. Documents
+of one doc_id are told apart by their texts, in the order of their hashes; rows equal in both are one document, and stay
+alike. A null doc_id comes first. All columns stay; text is changed, and n_chars where there is one of that name.
 """
 
 from __future__ import annotations
@@ -28,8 +29,13 @@ from lexspark.llm.components import components
 
 SIMILARITY = 0.8
 SHINGLE = 8
-BANDS, ROWS = 8, 3
-FUNCTIONS = BANDS * ROWS
+#: Shingles that are hashed in one row.
+STRIDE = 4
+#: Bands of three orders each: the points of the lines of the affine plane of order 3.
+BANDS = [tuple(3 * x + (m * x + c) % 3 for x in range(3)) for m in range(3) for c in range(3)] + [(3 * c, 3 * c + 1, 3 * c + 2) for c in range(3)]
+FUNCTIONS = 9
+#: Parts that the occurrences of a line are dealt to when its text is fetched.
+SALT = 8
 #: Lines of a chunk. A task of the second pass compares two chunks at a time.
 CHUNK = 256
 #: Longs of the bitmap of a shingle set, a power of two.
@@ -39,32 +45,32 @@ MASKS = [xxhash.xxh64_intdigest(f"order {i}") - 2**63 for i in range(FUNCTIONS)]
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """h, g (the name), line, doc, pos of all lines that are not blank."""
-    every = documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return every.where(F.trim("line") != "").select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line", "doc", "pos")
+    """h, g (the name), line, doc, d (the text's hash), pos of all lines that are not blank."""
+    every = documents.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return every.where(F.trim("line") != "").select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line", "doc", "d", "pos")
 
 
 def first_places(every: DataFrame) -> DataFrame:
     """h, g, first: the place of the first of equal lines."""
-    return every.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    return every.groupBy("h", "g").agg(F.min(F.struct("doc", "d", "pos")).alias("first"))
 
 
-def bands(every: DataFrame) -> DataFrame:
-    """h, g, keys of every distinct line: a key per band of its least hashes."""
+def signatures(every: DataFrame) -> DataFrame:
+    """h, g, and the least hash m0, m1, ... of every distinct line under each order."""
     fixed = every.select("h", "g", F.encode("line", "UTF-32").alias("b"))  # 4 bytes a character
-    last = F.greatest(F.lit(0), F.length("b") / 4 - SHINGLE).cast("int")
-    each = fixed.select("h", "g", "b", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    each = each.select("h", "g", F.xxhash64(F.expr(f"substring(b, at * 4 + 1, {4 * SHINGLE})")).alias("s"))
-    signed = each.groupBy("h", "g").agg(*[F.min(F.xxhash64(F.col("s").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(MASKS)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("h", "g", F.array(*keys).alias("keys"))
+    fixed = fixed.withColumn("last", F.greatest(F.lit(0), F.length("b") / 4 - SHINGLE).cast("int"))
+    rows = fixed.select("h", "g", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
+    rows = rows.select("h", "g", *[F.xxhash64(F.expr(f"substring(b, least(at + {k}, last) * 4 + 1, {4 * SHINGLE})")).alias(f"s{k}") for k in range(STRIDE)])
+    ordered = lambda m: F.least(*[F.xxhash64(F.col(f"s{k}").bitwiseXOR(F.lit(m))) for k in range(STRIDE)])
+    return rows.groupBy("h", "g").agg(*[F.min(ordered(m)).alias(f"m{i}") for i, m in enumerate(MASKS)])
 
 
-def buckets(banded: DataFrame) -> DataFrame:
+def buckets(signed: DataFrame) -> DataFrame:
     """bucket, h, g, one, members: the lines of all buckets of several lines, with the bucket's chosen line."""
-    rows = banded.select("h", "g", F.explode("keys").alias("bucket")).repartition(partitions(banded.sparkSession), "bucket")
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)])
+    rows = signed.select("h", "g", F.explode(keys).alias("bucket")).repartition(partitions(signed.sparkSession), "bucket")
     each = rows.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket")).alias("one"), F.count("*").alias("members")).where("members > 1")
-    return rows.join(each, "bucket")
+    return rows.join(each.hint("shuffle_hash"), "bucket")  # few buckets hold several lines
 
 
 def candidates(bucketed: DataFrame) -> DataFrame:
@@ -81,8 +87,10 @@ def shingle_set(line: Column) -> Column:
 
 
 def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
-    """h, g, line: the lines of some h."""
-    return every.select("h", "g", "line").join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
+    """h, g, line: the lines of some h. A line that stands very often is dealt to several tasks."""
+    salted = wanted.select("h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = every.select("h", "g", "line", F.pmod(F.hash("d", "pos"), F.lit(SALT)).alias("salt"))
+    return rows.join(salted, ["h", "salt"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
 
 
 def bitmap(shingles: Column) -> Column:
@@ -146,11 +154,11 @@ def joined_components(bucketed: DataFrame, first: DataFrame, texts: DataFrame) -
 
 
 def kept(places: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc, kept: positions of the lines that stay, but for blank ones."""
+    """doc, d, kept: positions of the lines that stay, but for blank ones."""
     known = roots.select("node.h", "node.g", "component")
     members = places.join(known, ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
     stay = members.groupBy("component").agg(F.min("first").alias("first"))
-    return stay.groupBy("first.doc").agg(F.collect_list("first.pos").alias("kept"))
+    return stay.groupBy("first.doc", "first.d").agg(F.collect_list("first.pos").alias("kept"))
 
 
 def _rebuilt(parts: Column, places: Column) -> Column:
@@ -163,15 +171,14 @@ def _rebuilt(parts: Column, places: Column) -> Column:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The same columns and rows, with `text` (and n_chars) of the lines that stay."""
     every = lines(documents.select("doc_id", "text"))
-    bucketed = written(buckets(written(bands(every), "line-bands")), "line-buckets")
-    pairs = written(candidates(bucketed), "line-pairs")
+    bucketed = written(buckets(signatures(every)), "line-buckets")
     texts = written(line_texts(bucketed, every), "line-texts")
-    roots = joined_components(bucketed, verified(pairs, texts), texts)
-    places = written(kept(first_places(every), roots), "line-places").select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
+    roots = joined_components(bucketed, verified(candidates(bucketed), texts), texts)
+    places = written(kept(first_places(every), roots), "line-places").select(F.col("doc").alias("__doc"), F.col("d").alias("__d"), F.col("kept").alias("__kept"))
     none = F.array().cast("array<int>")
     bound = F.array(F.struct(F.split("text", "\n").alias("parts"), F.coalesce("__kept", none).alias("kept")))  # so that it is split once
     text = F.when(F.col("text").isNotNull(), F.get(F.transform(bound, lambda x: _rebuilt(x["parts"], x["kept"])), F.lit(0)))
-    joined = documents.join(places, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    joined = documents.join(places, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__d")), "left")
     whole = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         whole = whole.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
