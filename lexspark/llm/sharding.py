@@ -1,12 +1,14 @@
 """Sharding by balanced label propagation, in DataFrame operations only (operator 4).
 
-Documents of equal text are linked, as a star around their group, never as pairs. Every document starts in a shard
-chosen by its own hash. In each round a group's members look at how many of
-them every shard holds (one grouped count), and those outside the shard with most of them want to move there. A shard
-accepts as many rows as its quota has room for, whole groups at a time, hot groups row by row, in the order of a hash.
-After the last round the shards' contents are laid end to end in the order of label and group, and cut into equal parts:
-so row counts differ by one at most, and each of the cuts splits one group at most. A group larger than a shard is
-split over as few shards as it fills.
+Documents of equal text are linked, as a star around their group, never as pairs. A group that would fill a large part
+of a shard is hot: it is dealt, row by row, to a stretch of shards, as few as it fills, and takes their room before all
+others. Every other linked document starts in a shard chosen by its own hash. In each round a group's members look at
+how many of them every shard with room holds (one grouped count), and those outside the shard with most of them want to
+move there; so do all that stand in a shard that hot groups fill. A shard accepts as many rows as its quota has room
+for, whole groups at a time, in the order of a hash that changes with the round. Documents without links, which cost
+nothing wherever they are, then fill what room is left. At last the shards' contents are laid end to end in the order of
+label and group, and cut into equal parts: so row counts differ by one at most, and each of the cuts splits one group at
+most.
 
 Law `rows`. Null texts are linked to nothing, have the size 8 and no CRC. Repeated rows are rows of their own. Extra
 columns are ignored. An empty table gives an empty result.
@@ -49,47 +51,68 @@ def nodes(documents: DataFrame) -> DataFrame:
     )
 
 
-def _targets(linked: DataFrame) -> DataFrame:
-    """digest, target: the shard that holds most of each group, ties in the order of a hash."""
+def _targets(linked: DataFrame, rooms: list[float], turn: int) -> DataFrame:
+    """digest, target: the shard with room that holds most of each group, ties in the order of a hash; else any with room."""
+    open_shards = [s for s, room in enumerate(rooms) if room > 0]
+    is_open = F.col("label").isin(open_shards)
     held = linked.groupBy("digest", "label").agg(F.count("*").alias("n"))
-    return held.groupBy("digest").agg(F.max_by("label", F.struct("n", F.xxhash64("digest", "label"))).alias("target"))
-
-
-def propagate(linked: DataFrame, loads: dict[int, int], capacity: float, shards: int) -> DataFrame:
-    """One round: the same rows with new labels. loads: rows per shard, a dictionary of `shards` entries."""
-    cold = linked.where("not hot").join(_targets(linked.where("not hot")), "digest")
-    hot = linked.where("hot").join(F.broadcast(_targets(linked.where("hot"))), "digest")  # at most shards * HOT rows
-    asked = cold.unionByName(hot)
-    wanting = F.col("label") != F.col("target")
-    wanted = {r[0]: r[1] for r in asked.where(wanting).groupBy("target").count().collect()}  # a row per shard
-    leaving = {r[0]: r[1] for r in asked.where(wanting).groupBy("label").count().collect()}
-    share = {s: min(1.0, max(0.0, capacity - loads.get(s, 0) + 0.8 * leaving.get(s, 0)) / n) for s, n in wanted.items()}
-    quota = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, float(share.get(s, 0.0)))]), F.col("target"))
-    lot = _unit(F.when(F.col("hot"), F.xxhash64("doc_id", "target")).otherwise(F.xxhash64("digest", "target")))
+    best = held.groupBy("digest").agg(F.max_by(F.when(is_open, F.col("label")), F.when(is_open, F.struct("n", F.xxhash64("digest", "label")))).alias("target"))
+    any_open = F.get(F.array(*[F.lit(s) for s in open_shards]), F.pmod(F.xxhash64("digest", F.lit(turn)), F.lit(max(1, len(open_shards)))).cast("int"))
+    return best.withColumn("target", F.coalesce("target", any_open))
+
+
+def propagate(linked: DataFrame, rooms: list[float], turn: int) -> DataFrame:
+    """One round: the same rows with new labels. rooms: rows that each shard may hold of them."""
+    asked = linked.join(_targets(linked, rooms, turn), "digest")
+    wanting = F.coalesce(F.col("label") != F.col("target"), F.lit(False))
+    counted = asked.groupBy("label", "target", wanting.alias("wanting")).count().collect()  # a row per pair of shards at most
+    wanted, staying = [0] * len(rooms), [0] * len(rooms)
+    for r in counted:
+        if r["wanting"]:
+            wanted[r["target"]] += r["count"]
+        else:
+            staying[r["label"]] += r["count"]
+    share = [float(min(1.0, max(0.0, room - n) / max(1, w))) for room, n, w in zip(rooms, staying, wanted)]
+    quota = F.get(F.array(*[F.lit(x) for x in share]), F.col("target"))
+    lot = _unit(F.xxhash64("digest", "target", F.lit(turn)))
     return asked.withColumn("label", F.when(wanting & (lot < quota), F.col("target")).otherwise(F.col("label"))).drop("target")
 
 
+def _stretches(sizes: list[tuple[str, int]], each: float, shards: int) -> tuple[list[tuple[str, int, int]], list[float]]:
+    """(digest, members, first row) of hot groups one after the other, and the rows of each shard that they fill."""
+    stretches, at = [], 0
+    for digest, members in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        stretches.append((digest, members, at))
+        at += members
+    return stretches, [min(max(0.0, at - s * each), each) for s in range(shards)]
+
+
 def labelled(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Adds `label`, a shard that holds a document's group as far as quotas allow, and `hot`."""
+    spark = rows.sparkSession
     total = rows.count()
-    sizes = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("members")).where("members > 1")
-    sizes = written(sizes, "shard-groups")
-    known = sizes.withColumn("hot", F.col("members") > total / (shards * HOT))
+    each = max(1.0, total / shards)
+    texts = rows.where("digest is not null")
+    sizes = written(texts.groupBy("digest").agg(F.count("*").alias("members")).where("members > 1"), "shard-groups")
+    large = sizes.where(F.col("members") > each / HOT).collect()  # at most shards * HOT rows
+    stretches, filled = _stretches([(r["digest"], r["members"]) for r in large], each, shards)
+    hot_groups = F.broadcast(spark.createDataFrame(stretches, "digest string, members long, first long"))
+    marked = texts.join(hot_groups, "digest", "left")
+    place = F.col("first") + _unit(F.xxhash64("doc_id", "digest")) * F.col("members")
+    hot = marked.where("members is not null").withColumn("label", F.least(F.floor(place / each), F.lit(shards - 1)).cast("int")).drop("members", "first")
+    cold = marked.where("members is null").drop("members", "first").join(sizes, "digest", "left")
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    hot_rows = F.broadcast(known.where("hot"))  # at most shards * HOT rows
-    marked = rows.join(hot_rows, "digest", "left")
-    alone = marked.where("hot is null").drop("hot", "members").join(known.where("not hot"), "digest", "left")
-    every = alone.unionByName(marked.where("hot"))
-    current = written(every.withColumn("label", start).withColumn("hot", F.coalesce("hot", F.lit(False))), "shard-labels")
-    capacity = total / shards * (1 + SLACK)
-    single = current.where("members is null")
-    linked = current.where("members is not null")
-    alone_loads = {r[0]: r[1] for r in single.groupBy("label").count().collect()}
-    for _ in range(rounds):
-        counted = {r[0]: r[1] for r in linked.groupBy("label").count().collect()}
-        loads = {s: alone_loads.get(s, 0) + counted.get(s, 0) for s in range(shards)}
-        linked = written(propagate(linked, loads, capacity, shards), "shard-labels")
-    return single.unionByName(linked)
+    linked = written(cold.where("members is not null").drop("members").withColumn("label", start), "shard-labels")
+    rooms = [each * (1 + SLACK) - f if f < each else 0.0 for f in filled]
+    for turn in range(rounds):
+        linked = written(propagate(linked, rooms, turn), "shard-labels")
+    held = {r[0]: r[1] for r in linked.groupBy("label").count().collect()}  # a row per shard
+    free = [max(0.0, each - f - held.get(s, 0)) for s, f in enumerate(filled)]
+    edges = [sum(free[: s + 1]) / max(1e-9, sum(free)) for s in range(shards - 1)]
+    single = cold.where("members is null").drop("members").unionByName(rows.where("digest is null"))
+    lot = _unit(F.xxhash64("doc_id", "size", F.lit("single")))
+    single = single.withColumn("label", F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda e: e <= lot)) if edges else F.lit(0))
+    return single.unionByName(linked).withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True)))
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -108,7 +131,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     first = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, offsets[s])]), F.col("label")).cast("long")
     starts = sizes.select("label", "cell", "h", "part", (before + first).alias("before"))
     within = Window.partitionBy("label", "cell", "h", "part").orderBy("g", "doc_id", "text_crc32", "size")
-    numbered = _keyed(placed).withColumn("i", F.row_number().over(within) - 1).join(F.broadcast(starts), ["label", "cell", "h", "part"])  # <= shards * CELLS * 2 + hot groups * CELLS rows
+    numbered = _keyed(placed).withColumn("i", F.row_number().over(within) - 1).join(F.broadcast(starts), ["label", "cell", "h", "part"])  # at most CELLS * (2 * shards + hot groups) rows: 110 592
     position = F.col("before") + F.col("i")
     each, more = divmod(at, shards)
     large = more * (each + 1)
