@@ -233,6 +233,29 @@ def test_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in got} == {0} and {r["links"] for r in got} == {299}
 
 
+def test_forest_finds_the_links_of_families(spark, monkeypatch):
+    """Texts that drift apart word by word: most links are near the threshold. Small chunks, so that clusters form."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    rng = np.random.default_rng(4)
+    texts = []
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(150)]
+        for k in range(30):
+            words = list(words)
+            words[rng.integers(150)] = f"f{family}n{k}"
+            texts.append(" ".join(words))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    links, root = jaccard_classes(texts)
+    got = sorted(jaccard_join.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert sum(r["links"] for r in got) >= 0.99 * sum(links) and all(r["links"] <= n for r, n in zip(got, links))
+    assert [r["class_id"] for r in got] == root
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    depth = jaccard_join.shortest_prefix(jaccard_join.SIMILARITY, jaccard_join.RECALL)
+    assert jaccard_join.chance(0.8, depth) >= jaccard_join.RECALL > jaccard_join.chance(0.8, depth + 1)
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
@@ -243,9 +266,8 @@ def test_line_dedup(docs, none):
     assert line_dedup.query(none).count() == 0
 
 
-def test_line_dedup_against_brute_force(spark):
-    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    texts = sorted(map(tuple, table.collect()))
+def kept_by_brute_force(texts):
+    """The texts that stay, for (doc_id, text) in order."""
     first = {}
     for doc, text in texts:
         for pos, line in enumerate(text.split("\n")):
@@ -276,8 +298,43 @@ def test_line_dedup_against_brute_force(spark):
         best[find(i)] = min(best.get(find(i), first[x]), first[x])
     stay = set(best.values())
     want = ["\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(" ") or (d, p) in stay) for d, t in texts]
+    return want
+
+
+def test_line_dedup_against_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = kept_by_brute_force(sorted(map(tuple, table.collect())))
     got = [r["text"] for r in sorted(line_dedup.query(table).collect())]
-    assert sum(a != b for a, b in zip(got, want)) <= 1  # recall of the bands
+    assert sum(a != b for a, b in zip(got, want)) <= 2  # recall of the bands
+
+
+def test_line_dedup_recall_in_families(spark):
+    """Lines that are edited again and again, so that many pairs lie near the threshold."""
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    made = []
+    for _ in range(40):
+        line = list(rng.choice(letters, 120))
+        for _ in range(25):
+            line = list(line)
+            line[rng.integers(120)] = rng.choice(letters)
+            made.append("".join(line).strip() + ".")
+    order = rng.permutation(len(made))
+    texts = [(int(i), made[k]) for i, k in enumerate(order)]
+    want = kept_by_brute_force(texts)
+    got = [r["text"] for r in sorted(line_dedup.query(spark.createDataFrame(texts, "doc_id long, text string")).collect())]
+    gone = [i for i, x in enumerate(want) if not x]
+    assert len(gone) > 500 and sum(got[i] == "" for i in gone) >= 0.97 * len(gone)
+    assert all(a == b or b == "" for a, b in zip(got, want))  # nothing goes without a link
+
+
+def test_line_dedup_tells_repeated_ids_apart(spark):
+    rows = [(None, "the same line stands here\nand one of the first"), (None, "the same line stands here\nand one of the second text"), (None, "the same line stands here\nand one of the first"), (1, None), (1, ""), (1, "the same line stands here")]
+    got = [(r[0], r[1]) for r in line_dedup.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum("the same line" in (t or "") for _, t in got) in (1, 2)  # two rows that are equal stay alike
+    assert len({t for _, t in got if t and "the same line" in t}) == 1 and got.count((1, "")) == 2 and (1, None) in got
+
+
 
 
 def test_line_dedup_links_all_copies_of_a_base(spark):
@@ -293,7 +350,7 @@ def test_line_dedup_finds_short_near_copies(spark):
         x = "".join(hashlib.md5(str(i).encode()).hexdigest())[:16]  # 9 shingles; one more is 0.9, two more 0.82
         pairs += [x, x + "#+"]
     table = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
-    assert line_dedup.query(table).where("text <> ''").count() <= 3000 * 1.007  # the bands alone find 0.998
+    assert line_dedup.query(table).where("text <> ''").count() <= 3000 * 1.015  # at 0.82 and 0.9 the bands find 0.994 and more
 
 
 def test_sharding(docs, none):
@@ -314,6 +371,14 @@ def check_shards(got, shards=24):
     assert max(counts) - min(counts) <= 1
 
 
+def split_rows(labels):
+    """Rows outside the shard that holds most of their group: (group, shard) to these rows."""
+    where = {}
+    for group, shard in labels:
+        where.setdefault(group, {}).setdefault(shard, []).append(1)
+    return sum(sum(map(len, x.values())) - max(map(len, x.values())) for x in where.values())
+
+
 def test_sharding_keeps_groups_together(spark):
     texts = [(i, "hot" if i % 3 == 0 else f"pair {i // 4}" if i % 5 else f"own {i}") for i in range(3000)]
     table = spark.createDataFrame(texts, "doc_id long, text string")
@@ -322,5 +387,14 @@ def test_sharding_keeps_groups_together(spark):
     where = {}
     for r in got:
         where.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert len(where[zlib.crc32(b"hot")]) <= 12  # a third of all rows fills 8 of 24 shards
+    assert len(where[zlib.crc32(b"hot")]) <= 9  # a third of all rows fills 8 of 24 shards
     assert sum(len(x) > 1 for x in where.values()) < 0.15 * len(where)
+
+
+def test_label_propagation_lowers_the_cut(spark):
+    texts = [(i, f"group {i % 500}" if i % 4 else f"own {i}") for i in range(6000)]
+    rows = sharding.nodes(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    cut = [split_rows((r["digest"], r["label"]) for r in sharding.labelled(rows, rounds=n).collect()) for n in (0, 1, 3, 5)]
+    assert cut[0] > 1000 > cut[1] >= cut[2] >= cut[3] and cut[3] < 0.05 * cut[0]
+    loads = sharding.labelled(rows).groupBy("label").count().collect()
+    assert len(loads) == 24 and max(r["count"] for r in loads) < 1.2 * 6000 / 24
