@@ -31,8 +31,8 @@ BLOCK = 2048
 #: Blocks that advance together; about 60 kB of model and work space each.
 LANES = 4096
 #: Ids of a block after which the model learns, and those of them after which order 0's frequencies are renewed.
-ROUNDS = (0, 4, 8, 16, *range(32, BLOCK, 32))
-STEPS = (0, 16, 64, 160, 320, 640, 960, 1280, 1600)
+ROUNDS = (0, 4, 8, 16, 32, 64, 96, 128, 160, *range(192, BLOCK, 64))
+STEPS = (0, 16, 64, 160, 384, 768, 1152, 1536)
 TAUGHT = 8
 _PLACES, _PLACE_BITS = 1024, 10  # of an order-1 or order-2 context, in each lane
 _COUNTS = 512  # places of ids' numbers, in each lane
@@ -130,10 +130,8 @@ class _Model:
         agree = known[0, -k:] == known[1, -k:]
         error = same[:, -k:] * np.int32(_ONE) - part("chance", k)
         error[1] *= ~(same[0, -k:] | agree)
-        change = np.bincount(part("weight_at", k).ravel(), error.repeat((2, 1), axis=0).ravel(), len(self.weights))
-        change *= 0.5
-        self.weights += change.astype(np.int32)
-        np.clip(self.weights, -(1 << 17), 1 << 17, out=self.weights)
+        error >>= 1
+        np.add.at(self.weights, part("weight_at", k).ravel(), error.repeat((2, 1), axis=0).ravel())
         literal = (~(same[0] | same[1])).sum(axis=0, dtype=np.int32)
         chance = self.new[:n]
         chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 5
@@ -245,14 +243,16 @@ def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     ids[:, 0] = 0  # order 0 has seen id 0 once before all others
     for lane, b in enumerate(blocks):
         ids[lane, 1 : len(b) + 1] = b
-    order = ids.argsort(axis=1, kind="stable")
-    row = np.arange(lanes)[:, None]
-    first, last = _runs(ids.ravel().take(order + row * width))
-    by_step = order * lanes + row
+    order = np.empty((lanes, width), np.uint16)
     begin, end = np.empty((width, lanes), np.uint16), np.empty((width, lanes), np.uint16)  # of an id's run in order
-    begin.ravel()[by_step] = first
-    end.ravel()[by_step] = last
-    order = order.astype(np.uint16)
+    for lane in range(0, lanes, 128):
+        part = slice(lane, lane + 128)
+        places = ids[part].argsort(axis=1, kind="stable")
+        order[part] = places
+        for out, run in zip((begin, end), _runs(np.take_along_axis(ids[part], places, 1))):
+            by_step = np.empty_like(run)
+            np.put_along_axis(by_step, places, run, 1)
+            out[:, part] = by_step.T
     row = np.arange(lanes) * (width + 1)
     steps = np.zeros((width + 1, lanes), np.uint32)
     steps[1:] = ids.T
@@ -292,7 +292,7 @@ def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     fresh = fresh.ravel()
     coder = _Decoder([c[2 + 2 * k :] for c, k in zip(codes, many)])
     steps = np.zeros((longest + 2, lanes), np.uint32)
-    was_new = np.zeros((32, lanes), bool)
+    was_new = np.zeros((64, lanes), bool)
     model = _Model(lanes)
     for a, b, going in _rounds(sizes):
         if a in STEPS:

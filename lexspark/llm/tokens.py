@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 #: Pieces that a worker's table holds at most, about 60 bytes each. A full one forgets the half that came last: frequent
 #: pieces come early.
-TABLE_ENTRIES = 3_000_000
-_SLOT_BITS = 23
+TABLE_ENTRIES = 2_000_000
+_SLOT_BITS = 22
 #: Longer pieces, and whole texts, are encoded each time.
 _KEY_BYTES = 16
 #: Pieces that are looked up at a time.
