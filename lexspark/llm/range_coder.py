@@ -134,7 +134,7 @@ class _Model:
         np.add.at(self.weights, part("weight_at", k).ravel(), error.repeat((2, 1), axis=0).ravel())
         literal = (~(same[0] | same[1])).sum(axis=0, dtype=np.int32)
         chance = self.new[:n]
-        chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 5
+        chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 6  # a round has 64 ids at most
         np.maximum(chance, 32, out=chance)
 
 
