@@ -6,12 +6,15 @@ checked against the entries in force on the day it was fetched: its URL gives a
 domains, its path prefixes), and an equality join on the key with a range condition on the day finds them.
 
 Captures are first reduced to distinct (key, day) pairs, so a host with a third of all captures meets the list once a
-day, and the verdicts are joined back on key and day. Of several entries for one pattern on one day the last by action
-(`remove` after `add`) counts, and repeated ones count once.
-
-Nulls: a null or malformed URL has no host and no keys and is never blocked; so is one fetched on an unknown day.
-Entries with a null in any column are ignored. Repeated captures each get a row. Hosts and patterns compare in lower
-case. Extra columns are ignored. A tie between lists goes to the entry that came into force first, then by names.
+day, and the verdicts are joined back on key and day. Keys reach as far as the list does: the most labels of its domains
+and the most parts of its prefixes are looked up first, in one row. Of several entries for one pattern on one day the
+last by action (`remove` after `add`) counts, and repeated ones count once.
+
+A result row stands for all captures of one capture_id, host, path and day, and `captures` says how many they are; so
+none is lost where ids repeat or are null. Nulls: a null or malformed URL has no host and no keys and is never blocked;
+so is one fetched on an unknown day. Entries with a null in any column are ignored. Hosts and patterns compare in lower
+case, paths as they are. Extra columns are ignored. A tie between lists goes to the entry that came into force first,
+then by names.
 """
 
 from __future__ import annotations
@@ -19,11 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Directories of a path, and labels of a host, that keys are made of; longer ones are cut off from the far end of the
-#: path, or from the near end of the host.
-PATH_DEPTH, HOST_DEPTH = 3, 6
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -32,25 +30,30 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """kind:pattern strings that an entry can match: the host, its domains of two labels and more, its path prefixes."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    domains = F.transform(
-        F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n, F.lit(HOST_DEPTH)))), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -k, k), "."))
-    )
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    prefixes = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(PATH_DEPTH)), lambda k: k <= F.size(parts)), lambda k: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))
-    )
-    own = F.array(F.concat(F.lit("host:"), host))
-    none = F.array().cast("array<string>")
-    return F.when(F.coalesce(host, F.lit("")) == "", none).otherwise(F.concat(own, F.when(n >= 2, domains).otherwise(none), prefixes))
+def depths(entries: DataFrame) -> tuple[int, int]:
+    """The most labels of a domain, and the most parts of a prefix's path, in the list."""
+    labels = F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\."))))
+    parts = F.max(F.when(F.col("kind") == "prefix", F.size(F.filter(F.split("pattern", "/"), lambda x: x != "")) - 1))
+    found = entries.agg(labels, parts).first()
+    return found[0] or 0, found[1] or 0
+
+
+def keys_of(host: Column, path: Column, labels: int, parts: int) -> Column:
+    """kind:pattern strings that an entry can match: the host, its domains of so many labels, its path prefixes of so many parts."""
+    own, names = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k > 0)
+    domains = F.transform(upto(F.least(F.size(own), F.lit(labels))), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(own, -k, k), ".")))
+    prefixes = F.transform(upto(F.least(F.size(names), F.lit(parts))), lambda k: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(names, 1, k), "/")))
+    keys = F.concat(F.array(F.concat(F.lit("host:"), host)), domains, F.coalesce(prefixes, F.array().cast("array<string>")))
+    return F.when(F.coalesce(host, F.lit("")) != "", keys).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """list_name, key, valid_from, valid_to (exclusive; null while in force)."""
-    key = F.concat("kind", F.lit(":"), F.lower("pattern"))
+    host = F.lower(F.substring_index("pattern", "/", 1))
+    rest = F.array_join(F.filter(F.split("pattern", "/"), lambda x: x != ""), "/")
+    whole = F.when(F.col("kind") == "prefix", F.concat(host, F.substring(rest, F.length(host) + 1, F.length(rest)))).otherwise(F.lower("pattern"))
+    key = F.concat("kind", F.lit(":"), whole)
     daily = entries.select("list_name", key.alias("key"), "action", "day").dropna().groupBy("list_name", "key", "day").agg(F.max("action").alias("action"))
     order = Window.partitionBy("list_name", "key").orderBy("day")  # a row a day at most
     lasting = daily.withColumn("valid_to", F.lead("day").over(order)).where("action = 'add'")
@@ -58,18 +61,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def check(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """capture_id, host, day, blocked, entries (in force), list_name and valid_from of the one longest in force."""
-    rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "day")
-    rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"))).drop("path")
-    each = rows.select("capture_id", "host", "day", F.explode_outer("keys").alias("key"))
-    asked = each.where("key is not null and day is not null").select("key", "day").distinct()
+    """capture_id, host, path, day, captures, blocked, entries (in force), list_name, key and valid_from of the one longest in force."""
+    labels, parts = depths(entries)
+    each = ["capture_id", "host", "path", "day"]
+    rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "day").groupBy(each).agg(F.count("*").alias("captures"))
+    asked = rows.where("day is not null").select(*each, F.explode(keys_of(F.col("host"), F.col("path"), labels, parts)).alias("key"))  # no row without a key
     lists = intervals(entries)
-    found = asked.join(lists, "key").where((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
+    found = asked.select("key", "day").distinct().join(lists, "key").where((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     entry = F.struct("valid_from", "list_name", "key")
     verdicts = found.groupBy("key", "day").agg(F.min(entry).alias("entry"), F.count("*").alias("n"))
-    joined = each.join(verdicts, ["key", "day"], "left")
-    out = joined.groupBy("capture_id").agg(F.first("host").alias("host"), F.first("day").alias("day"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.min("entry").alias("entry"))
-    return out.select("capture_id", "host", "day", F.col("entry").isNotNull().alias("blocked"), F.col("entries").cast("long").alias("entries"), "entry.list_name", "entry.key", "entry.valid_from")
+    blocked = asked.join(verdicts, ["key", "day"]).groupBy(each).agg(F.sum("n").alias("entries"), F.min("entry").alias("entry"))
+    renamed = blocked.select(*[F.col(c).alias(f"_{c}") for c in each], "entries", "entry")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in each]
+    out = rows.join(renamed, same, "left")
+    return out.select(*each, "captures", F.col("entry").isNotNull().alias("blocked"), F.coalesce("entries", F.lit(0)).cast("long").alias("entries"), "entry.list_name", "entry.key", "entry.valid_from")
 
 
 def _number(text: Column) -> Column:
@@ -95,6 +100,7 @@ def sample_entries(pages: DataFrame) -> DataFrame:
         .unionByName(made(n % 12 == 0, "abuse", "host", F.col("host"), "add", n % 200 + 100))
         .unionByName(made(n % 5 == 0, "adult", "domain", last, "add", n % 300))
         .unionByName(made(n % 2 == 0, "spam", "prefix", F.concat("host", F.lit("/en")), "add", n % 365))
+        .unionByName(made(n % 2 == 1, "spam", "prefix", F.concat("host", F.lit("/en/page/archive/deep")), "add", n % 365))
     )
 
 
@@ -117,24 +123,23 @@ WITH p AS (
   UNION ALL SELECT 'abuse', 'host:' || host, 'add', n % 200 + 100 FROM h WHERE n % 12 = 0
   UNION ALL SELECT 'adult', 'domain:' || array_to_string(labels[-3:], '.'), 'add', n % 300 FROM h WHERE n % 5 = 0
   UNION ALL SELECT 'spam', 'prefix:' || host || '/en', 'add', n % 365 FROM h WHERE n % 2 = 0
+  UNION ALL SELECT 'spam', 'prefix:' || host || '/en/page/archive/deep', 'add', n % 365 FROM h WHERE n % 2 = 1
 ), d AS (
   SELECT list_name, key, CAST(DATE '2024-01-01' + CAST(offs AS INTEGER) AS DATE) AS valid_from, max(action) AS action FROM e GROUP BY ALL
 ), i AS (
   SELECT * FROM (SELECT *, lead(valid_from) OVER (PARTITION BY list_name, key ORDER BY valid_from) AS valid_to FROM d) WHERE action = 'add'
+), q AS (
+  SELECT capture_id, host, path, day, count(*) AS captures, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda y: y <> '') AS parts FROM p GROUP BY ALL
 ), k AS (
-  SELECT capture_id, host, day, unnest(
-    CASE WHEN host IS NULL OR host = '' THEN [NULL] ELSE list_concat(
-      ['host:' || host],
-      [x FOR x IN [CASE WHEN len(string_split(host, '.')) >= g THEN 'domain:' || array_to_string(string_split(host, '.')[-g:], '.') END FOR g IN [2, 3, 4, 5, 6]] IF x IS NOT NULL],
-      [x FOR x IN [CASE WHEN len(list_filter(string_split(path, '/'), lambda y: y <> '')) >= g THEN 'prefix:' || host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda y: y <> '')[1:g], '/') END FOR g IN [1, 2, 3]] IF x IS NOT NULL]
-    ) END) AS key
-  FROM p
+  SELECT capture_id, host, path, day, unnest(list_concat(['host:' || host],
+    list_transform(range(1, len(labels) + 1), lambda g: 'domain:' || array_to_string(labels[-g:], '.')),
+    list_transform(range(1, coalesce(len(parts), 0) + 1), lambda g: 'prefix:' || host || '/' || array_to_string(parts[1:g], '/')))) AS key
+  FROM q WHERE host <> ''
 ), m AS (
-  SELECT k.capture_id, k.host, k.day, i.list_name, i.key, i.valid_from FROM k LEFT JOIN i ON i.key = k.key AND i.valid_from <= k.day AND (i.valid_to IS NULL OR k.day < i.valid_to)
+  SELECT k.capture_id, k.host, k.path, k.day, i.list_name, i.key, i.valid_from FROM k JOIN i ON i.key = k.key AND i.valid_from <= k.day AND (i.valid_to IS NULL OR k.day < i.valid_to)
 ), f AS (
-  SELECT capture_id, first(host) AS host, first(day) AS day, count(list_name) AS entries,
-    min({'a': valid_from, 'b': list_name, 'c': key}) FILTER (WHERE list_name IS NOT NULL) AS entry
-  FROM m GROUP BY capture_id
+  SELECT capture_id, host, path, day, count(*) AS entries, min({'a': valid_from, 'b': list_name, 'c': key}) AS entry FROM m GROUP BY capture_id, host, path, day
 )
-SELECT capture_id, host, day, entries > 0 AS blocked, CAST(entries AS BIGINT) AS entries, entry.b AS list_name, entry.c AS key, entry.a AS valid_from FROM f
+SELECT q.capture_id, q.host, q.path, q.day, q.captures, f.entry IS NOT NULL AS blocked, CAST(coalesce(f.entries, 0) AS BIGINT) AS entries, f.entry.b AS list_name, f.entry.c AS key, f.entry.a AS valid_from
+FROM q LEFT JOIN f ON q.capture_id IS NOT DISTINCT FROM f.capture_id AND q.host IS NOT DISTINCT FROM f.host AND q.path IS NOT DISTINCT FROM f.path AND q.day IS NOT DISTINCT FROM f.day
 """

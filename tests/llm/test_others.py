@@ -20,12 +20,50 @@ def test_url_filter(spark):
         ("l", "host", "bad.example.org", "add", D(2024, 1, 10)), ("l", "host", "bad.example.org", "add", D(2024, 1, 10)), ("l", "host", "BAD.example.org", "remove", D(2024, 1, 20)), ("l", "prefix", "ok.example.com/en", "add", D(2024, 2, 1)),
         ("m", "domain", "ads.net", "add", D(2024, 2, 1)), ("m", "domain", None, "add", D(2024, 2, 1)), ("n", "domain", "example.org", "add", D(2024, 1, 21)), ("l", "host", "x", "add", None),
     ], "list_name string, kind string, pattern string, action string, day date")
-    got = {r["capture_id"]: (r["blocked"], r["list_name"]) for r in url_filter.check(captures, entries).collect()}
+    out = url_filter.check(captures, entries).collect()
+    got = {r["capture_id"]: (r["blocked"], r["list_name"]) for r in out}
     assert got == {1: (False, None), 2: (True, "l"), 3: (True, "n"), 4: (True, "n"), 5: (True, "l"), 6: (False, None), 7: (False, None), 8: (False, None), 9: (True, "m")}
+    assert sum(r["captures"] for r in out) == 10
     assert url_filter.check(captures.limit(0), entries).count() == 0
     assert url_filter.check(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    names, day = ["a", "b", "Cc", "d"], lambda n: D(2024, 1, 1) + datetime.timedelta(int(n))
+    host = lambda: ".".join(rng.choice(names, rng.integers(1, 9)))
+    path = lambda: "/".join(rng.choice(names, rng.integers(1, 7)))
+    captures = [(int(rng.integers(50)) or None, f"http://{host()}/{path()}" if rng.random() > 0.1 else None, day(rng.integers(20)) if rng.random() > 0.05 else None) for _ in range(400)]
+    entries = []
+    for _ in range(500):
+        kind = str(rng.choice(["host", "domain", "prefix"]))
+        entries.append((str(rng.choice(["x", "y"])), kind, host() + ("/" + path() if kind == "prefix" else ""), str(rng.choice(["add", "add", "remove"])), day(rng.integers(20))))
+    state = {}
+    for name, kind, pattern, action, at in entries:
+        where = pattern.lower() if kind != "prefix" else pattern.split("/")[0].lower() + "/" + pattern.split("/", 1)[1]
+        dated = state.setdefault((name, kind, where), {})
+        dated[at] = max(action, dated.get(at, action))
+
+    def blocked(url, at):
+        if url is None or at is None:
+            return 0
+        host, path = url.removeprefix("http://").split("/", 1)
+        host, n = host.lower(), 0
+        for (_, kind, where), dated in state.items():
+            last = max((d for d in dated if d <= at), default=None)
+            if last and dated[last] == "add":
+                n += where == host if kind == "host" else host == where or host.endswith("." + where) if kind == "domain" else f"{host}/{path}/".startswith(where + "/")
+        return n
+
+    want = {}
+    for c, url, at in captures:
+        host, path = (url.removeprefix("http://").split("/", 1)) if url else (None, None)
+        key = (c, host.lower() if url else None, "/" + path if url else None, at)
+        want[key] = (want.get(key, (0,))[0] + 1, blocked(url, at))
+    got = url_filter.check(spark.createDataFrame(captures, "capture_id long, url string, day date"), spark.createDataFrame(entries, "list_name string, kind string, pattern string, action string, day date")).collect()
+    assert {(r["capture_id"], r["host"], r["path"], r["day"]): (r["captures"], r["entries"]) for r in got} == want and len(got) == len(want)
+
+
 def brute(rows, k=10):
     good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and len(v) == 3]
     out = []
