@@ -1,14 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest (operator 3).
 
-Every text's word-shingle set is hashed to TREES labels of DEPTH MinHash values, the leaves of prefix tries. Texts match
-in a trie when their labels share a prefix. The matched prefix starts at full depth and is shortened until a pair of the
-wanted similarity is found with the target recall; the subtrees at that depth are the candidates, which then are
-verified exactly by their whole shingle sets.
+Every text's word-shingle set is hashed to TREES labels of DEPTH MinHash values, the leaves of prefix tries: texts in the
+order of their labels' prefixes, so that a subtree is a run of them. Every text starts with its whole labels, and the
+members of its subtrees are verified exactly by their whole shingle sets. From the similarities found, a text's recall is
+estimated: a link of similarity s is found at depth d with the chance 1 - (1 - s^d)^TREES, so each found one stands for
+the inverse of that many. Texts that do not yet reach RECALL, or have found nothing, shorten their prefixes by one and
+meet all members of their larger subtrees; the others rest. The shortest prefix is the one at which even a pair of the
+least similarity is found with RECALL. So copies of one text, which fill large subtrees, stay at full depth, and only
+texts with few or distant partners look further.
 
 Texts of one shingle set are a class and take part once. A subtree with the members of another one is dropped. A pair
-that is in several subtrees is verified in the first of them only. Subtrees of any size are cut into chunks, and pairs
-of chunks verified in separate tasks: a task holds two chunks at most, and gives a row per text, not per pair. So no
-link is lost in a large group of near copies, and none is written out.
+that is in several subtrees is verified in the first of them only, and in no later round. In a subtree of more than a
+chunk, members of similarity TIGHT or more to one of them are a cluster: Jaccard distance obeys the triangle inequality,
+so all of a cluster's pairs are links, and need no verification. The others are verified by pairs of chunks in separate
+tasks, none of which has two chunks of one cluster: so sets are copied once for each chunk outside their cluster, a task
+holds two chunks at most, and gives a row per text, not per pair. No link is lost in a large group of near copies, and
+none is written out.
 
 Result, a row per document: doc_id, class_id (the least doc_id of its component of links), links (other documents of
 similarity SIMILARITY or more). Texts without words are linked to equal texts only; null texts are linked to nothing and
@@ -23,8 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexspark.llm.common import partitions, written
 from lexspark.llm.components import components
@@ -35,12 +43,19 @@ TREES, DEPTH = 10, 5
 RECALL = 0.999
 #: Texts of a chunk. A task compares two chunks.
 CHUNK = 128
+#: Two texts of this similarity to a third are links of similarity SIMILARITY: 1 - 2 * (1 - 0.9) = 0.8.
+TIGHT = 0.9
 
 
-def matched_depth(similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The prefix length, shortened from the full depth until a pair of this similarity is found with this recall."""
+def chance(similarity: float, length: int, trees: int = TREES) -> float:
+    """That two texts share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def shortest_prefix(similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix at which a pair of this similarity is found with this recall."""
     for length in range(depth, 0, -1):
-        if 1 - (1 - similarity**length) ** trees >= recall:
+        if chance(similarity, length, trees) >= recall:
             return length
     raise ValueError(f"{trees} trees cannot reach a recall of {recall}")
 
@@ -51,47 +66,54 @@ def name_of(text: str | None, found: np.ndarray) -> str | None:
 
 
 def labels(documents: DataFrame) -> DataFrame:
-    """doc_id, md5 (of the text), digest, labels: per tree, the leaf's values as a hexadecimal string."""
+    """doc_id, md5 and x (hashes of the text), digest, labels: per tree, the leaf's values as a hexadecimal string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, leaves = [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = shingles(text)
                 digests.append(name_of(text, found))
                 leaf = signature(found, TREES * DEPTH).astype(">u4").tobytes().hex() if len(found) else ""
                 leaves.append([leaf[i : i + 8 * DEPTH] for i in range(0, len(leaf), 8 * DEPTH)])
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(leaves, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "md5", "digest", "labels"])
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.string()), pa.array(leaves, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "md5", "x", "digest", "labels"])
 
-    return documents.select("doc_id", F.md5("text").alias("md5"), "text").mapInArrow(run, "doc_id long, md5 string, digest string, labels array<string>")
+    return documents.select("doc_id", F.md5("text").alias("md5"), F.xxhash64("text").alias("x"), "text").mapInArrow(run, "doc_id long, md5 string, x long, digest string, labels array<string>")
 
 
-def _subtrees(classes: DataFrame, depth: int) -> DataFrame:
-    """subtree, node, members: tries' subtrees of several members, one of those with the same members."""
-    prefixes = classes.select("node", F.posexplode("labels").alias("tree", "label"))
-    rows = prefixes.select("node", F.xxhash64("tree", F.substring("label", 1, 8 * depth)).alias("subtree"))
-    each = rows.groupBy("subtree").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.reverse("node"))).alias("b"))
-    kept = each.where("members > 1").groupBy("members", "a", "b").agg(F.min("subtree").alias("subtree"))
-    return rows.join(kept.select("subtree", "members"), "subtree")
+def _subtrees(classes: DataFrame, depth: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """subtree, node, members: of several members, some of them still looking, one of those with the same members, and
+    none that was there at a larger depth; and the fingerprints of the subtrees' members (a, b) so far."""
+    prefixes = classes.select("node", "looking", F.posexplode("labels").alias("tree", "label"))
+    rows = prefixes.select("node", "looking", F.xxhash64("tree", F.substring("label", 1, 8 * depth)).alias("subtree"))
+    members = (F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.reverse("node"))).alias("b"), F.max("looking").alias("looking"))
+    each = rows.groupBy("subtree").agg(*members).where("members > 1 and looking")
+    kept = each.groupBy("members", "a", "b").agg(F.min("subtree").alias("subtree"))
+    if known is not None:
+        kept = kept.join(known, ["members", "a", "b"], "left_anti")
+    kept = written(kept, "jaccard-subtrees")
+    return rows.join(kept.select("subtree", "members").hint("shuffle_hash"), "subtree").select("subtree", "node", "members"), kept.drop("subtree")
 
 
 def _shingled(candidates: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds `found`, the bytes of the sorted shingle set of a class, from the text of its least document."""
+    """Adds `found`, the bytes of the sorted shingle set of a class, from the text of its least document (least_id, x)."""
+    carried = [c for c in candidates.columns if c not in ("least_id", "x")]
+    node = 1 + carried.index("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            right = [len(s) > 0 and digest(s) == node for s, node in zip(sets, batch.column(1).to_pylist())]  # doc_ids may repeat
+            right = [len(s) > 0 and digest(s) == name for s, name in zip(sets, batch.column(node).to_pylist())]  # doc_ids may repeat
             yield batch.set_column(0, "found", pa.array([s.tobytes() for s in sets], pa.binary())).filter(pa.array(right))
 
-    wanted = candidates.withColumnRenamed("doc_id", "least_id")
-    joined = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("text", "node", "copies", "subtrees")
-    return joined.mapInArrow(run, "found binary, node string, copies long, subtrees array<struct<subtree:long,members:long>>")
+    # both keys, so that rows without a doc_id are dealt to all tasks
+    joined = documents.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("x"))).select("text", *carried)
+    return joined.mapInArrow(run, T.StructType([T.StructField("found", T.BinaryType()), *joined.schema[1:]]))
 
 
-def _similar(found: list[np.ndarray], split: int, similarity: float) -> np.ndarray:
-    """Which of the first `split` sets (or of all, if 0) are how similar to which of the others: exact Jaccard."""
+def _overlaps(found: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersections and unions of the first `split` sets (or of all, if 0) with the others."""
     place = np.repeat(np.arange(len(found)), [len(x) for x in found])
     values, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
     shared = counts[inverse] > 1
@@ -105,16 +127,15 @@ def _similar(found: list[np.ndarray], split: int, similarity: float) -> np.ndarr
         m[row[here], column[here] - start] = 1
         both += np.rint(m[left] @ m[right].T).astype(np.int64)
     size = np.array([len(x) for x in found])
-    union = size[left][:, None] + size[right][None, :] - both
-    return both * 1000 >= union * round(similarity * 1000)
+    return both, size[left][:, None] + size[right][None, :] - both
 
 
-def _owned(subtree: int, lists: list[list[int]], split: int) -> np.ndarray:
-    """Pairs that share no smaller subtree than this one."""
-    smaller = {s: i for i, s in enumerate(sorted({s for x in lists for s in x if s < subtree}))}
-    m = np.zeros((len(lists), len(smaller)), np.float32)
+def _apart(lists: list[list[int]], split: int) -> np.ndarray:
+    """Pairs whose lists of subtrees have nothing in common."""
+    number = {s: i for i, s in enumerate(sorted({s for x in lists for s in x}))}
+    m = np.zeros((len(lists), len(number)), np.float32)
     for i, x in enumerate(lists):
-        m[i, [smaller[s] for s in x if s < subtree]] = 1
+        m[i, [number[s] for s in x]] = 1
     return (m[:split] @ m[split:].T if split else m @ m.T) == 0
 
 
@@ -130,59 +151,142 @@ def _least_linked(similar: np.ndarray, names: np.ndarray) -> np.ndarray:
         own = new
 
 
-def _verified(rows: list[tuple]) -> list[tuple[str, str, int]]:
-    """node, root, links of the texts of one chunk or of two that have links."""
-    unique = {(r[3], r[1]): r for r in rows}  # node, chunk
-    rows = [unique[k] for k in sorted(unique)]
-    low, high = rows[0][4], rows[0][5]
-    first = [r for r in rows if r[1] == low]
-    second = [r for r in rows if r[1] == high] if low != high else []
+#: Rows of a task: two chunks (low <= high) of one subtree.
+_DEALT = ["subtree", "low", "high", "chunk", "node", "found", "copies", "looking", "cluster", "subtrees", "before"]
+_LINKS = "node string, root string, links long, " + ", ".join(f"e{d} double" for d in range(1, DEPTH + 1))
+
+
+def _verified(rows: list[tuple]) -> list[tuple]:
+    """node, root, links, and the links that these stand for at each depth, of the texts of one chunk or two that have some."""
+    rows = [dict(zip(_DEALT, r)) for r in rows]
+    rows = list({(r["chunk"], r["node"]): r for r in rows}.values())
+    low, high = rows[0]["low"], rows[0]["high"]
+    first = sorted((r for r in rows if r["chunk"] == low), key=lambda r: r["node"])
+    second = sorted((r for r in rows if r["chunk"] == high), key=lambda r: r["node"]) if low != high else []
     rows = first + second
-    if len(rows) < 2 or low != high and not second or not first:
+    if len(rows) < 2 or not first or low != high and not second:
         return []
     split = len(first) if second else 0
-    found = [np.frombuffer(r[6], np.uint64) for r in rows]
-    similar = _similar(found, split, SIMILARITY) & _owned(rows[0][0], [[s["subtree"] for s in r[8]] for r in rows], split)
+    common, union = _overlaps([np.frombuffer(r["found"], np.uint64) for r in rows], split)
+    own = rows[0]["subtree"]
+    similar = common * 1000 >= union * round(SIMILARITY * 1000)
+    similar &= _apart([[s["subtree"] for s in r["subtrees"] if s["subtree"] < own] + r["before"] for r in rows], split)
+    similarity = np.where(similar, common / np.maximum(union, 1), 0.0)
     if split:
-        whole = np.zeros((len(rows), len(rows)), bool)
-        whole[:split, split:] = similar
-        whole[split:, :split] = similar.T
+        whole = np.zeros((len(rows), len(rows)))
+        whole[:split, split:] = similarity
+        whole[split:, :split] = similarity.T
     else:
-        whole = similar
-        np.fill_diagonal(whole, False)
-    names = np.array([r[3] for r in rows])
-    links = whole @ np.array([r[7] for r in rows], np.int64)
+        whole = similarity
+        np.fill_diagonal(whole, 0)
+    looking = np.array([r["looking"] for r in rows])
+    cluster = np.array([r["cluster"] or "" for r in rows])
+    whole *= looking[:, None] | looking[None, :]
+    whole[(cluster[:, None] == cluster[None, :]) & (cluster != "")[:, None]] = 0  # known links
+    names, copies = np.array([r["node"] for r in rows]), np.array([r["copies"] for r in rows], np.int64)
+    linked = whole > 0
+    links = linked @ copies
+    stand = [(linked / np.where(linked, chance(whole, d), 1)) @ copies for d in range(1, DEPTH + 1)]
     order = np.argsort(names)
     roots = np.empty(len(rows), names.dtype)
-    roots[order] = _least_linked(whole[np.ix_(order, order)], names[order])
-    return [(str(a), str(b), int(n)) for a, b, n in zip(names, roots, links) if n]
+    roots[order] = _least_linked(linked[np.ix_(order, order)], names[order])
+    return [(str(a), str(b), int(n), *map(float, e)) for a, b, n, *e in zip(names, roots, links, *stand) if n]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def groups() -> Iterator[list[tuple]]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][0], held[0][4], held[0][5]) != (row[0], row[4], row[5]):
-                    yield held
-                    held = []
-                held.append(row)
-        if held:
-            yield held
-
-    for group in groups():
-        if out := _verified(group):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["node", "root", "links"])
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows that follow one another with the same first columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
-def _links(members: DataFrame) -> DataFrame:
-    """node, root, links, of each task's part of a subtree."""
-    chunks = F.ceil(F.col("s.members") / CHUNK).cast("int")
-    rows = members.withColumn("s", F.explode("subtrees")).withColumn("chunk", F.pmod(F.hash("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select(F.col("s.subtree").alias("subtree"), "chunk", "other", "node", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "found", "copies", "subtrees")
-    n = partitions(members.sparkSession)
-    dealt = rows.repartition(n, "subtree", "low", "high").sortWithinPartitions("subtree", "low", "high")
-    return dealt.mapInArrow(_verify, "node string, root string, links long")
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _grouped(batches, 3):
+        if out := _verified(group):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], [x.split()[0] for x in _LINKS.split(", ")])
+
+
+def _near_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, cluster: members of a chunk of a subtree that are TIGHT to its centre, which comes first."""
+    for group in _grouped(batches, 2):
+        if group[0][2]:
+            continue  # the centre's text is not there
+        centre, rest = group[0], group[1:]
+        for at in range(0, len(rest), CHUNK):
+            part = rest[at : at + CHUNK]
+            common, union = _overlaps([np.frombuffer(r[4], np.uint64) for r in (centre, *part)], 1)
+            if near := [r[3] for r, ok in zip(part, (common * 1000 >= union * round(TIGHT * 1000))[0]) if ok]:
+                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array([centre[3]] * len(near))], ["node", "cluster"])
+
+
+def _clusters(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, cluster: one for every text that is TIGHT to the centre of a subtree of more than a chunk."""
+    large = members.withColumn("s", F.explode("subtrees")).where(F.col("s.members") > CHUNK).select("least_id", "x", "node", F.col("s.subtree").alias("subtree"), F.ceil(F.col("s.members") / CHUNK).cast("int").alias("chunks"))
+    own = large.select("least_id", "x", "node", "subtree", F.pmod(F.hash("node"), "chunks").alias("chunk"), F.lit(True).alias("member"))
+    centres = large.groupBy("subtree", "chunks").agg(F.min_by(F.struct("least_id", "x", "node"), F.xxhash64("node", "subtree")).alias("c"))
+    centres = centres.select("c.*", "subtree", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"))
+    dealt = _shingled(own.unionByName(centres), documents).select("subtree", "chunk", "member", "node", "found")
+    dealt = dealt.repartition(partitions(members.sparkSession), "subtree", "chunk").sortWithinPartitions("subtree", "chunk", "member")
+    return dealt.mapInArrow(_near_centre, "node string, cluster string").groupBy("node").agg(F.min("cluster").alias("cluster"))
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """node, tasks (subtree, low, high, chunk): in which pairs of chunks each text is verified.
+
+    Chunks of a subtree are numbered cluster by cluster. Rows are small: no texts, no sets.
+    """
+    rows = members.select("node", "looking", "cluster", F.explode("subtrees").alias("s")).select("node", "looking", "cluster", "s.subtree", "s.members")
+    task = F.struct("subtree", "low", "high", "chunk").alias("task")
+    zero = F.lit(0)
+    small = rows.where(F.col("members") <= CHUNK).select("node", F.struct("subtree", zero.alias("low"), zero.alias("high"), zero.alias("chunk")).alias("task"))
+    large = rows.where(F.col("members") > CHUNK).withColumn("cluster", F.coalesce("cluster", F.lit("")))
+    sizes = large.groupBy("subtree", "cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.max("looking").alias("looking"))
+    before = Window.partitionBy("subtree").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)  # a row per cluster
+    sizes = written(sizes.withColumn("first", F.coalesce(F.sum("chunks").over(before), zero).cast("int")), "jaccard-chunks")
+    chunks = sizes.select("subtree", "cluster", "looking", F.explode(F.expr("sequence(first, first + chunks - 1)")).alias("chunk"))
+    other = chunks.select("subtree", F.col("cluster").alias("its"), F.col("looking").alias("its_looking"), F.col("chunk").alias("other"))
+    pairs = chunks.join(other, "subtree").where("(cluster = '' or cluster <> its) and (looking or its_looking)").select("subtree", "chunk", "other")
+    numbered = large.join(sizes.select("subtree", "cluster", "first", "chunks"), ["subtree", "cluster"]).withColumn("chunk", F.col("first") + F.pmod(F.hash("node"), "chunks"))
+    each = numbered.join(pairs, ["subtree", "chunk"]).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    return small.unionByName(each.select("node", task)).groupBy("node").agg(F.collect_list("task").alias("tasks"))
+
+
+def _links(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, root, links, ... of each task's part of a subtree. A text's set is shuffled once for each of its tasks."""
+    ready = _shingled(members.join(_dealt(members), "node"), documents).withColumn("t", F.explode("tasks"))
+    dealt = ready.select("t.subtree", "t.low", "t.high", "t.chunk", *_DEALT[4:])
+    return dealt.repartition(partitions(members.sparkSession), "subtree", "low", "high").sortWithinPartitions("subtree", "low", "high").mapInArrow(_verify, _LINKS)
+
+
+def linked(classes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, root, links of all verified parts, and node, cluster of the texts in clusters; classes: node, least_id, x, copies, labels."""
+    none = F.array().cast("array<long>")
+    looking = classes.select("node").withColumn("looking", F.lit(True))
+    before = classes.select("node", none.alias("before")).limit(0)
+    known = clusters = found = None
+    for depth in range(DEPTH, shortest_prefix(SIMILARITY, RECALL) - 1, -1):
+        current = classes.join(looking, "node", "left").withColumn("looking", F.coalesce("looking", F.lit(False)))
+        subtrees, kept = _subtrees(current.select("node", "looking", "labels"), depth, known)
+        known = kept if known is None else known.unionByName(kept)
+        lists = written(subtrees.groupBy("node").agg(F.collect_list(F.struct("subtree", "members")).alias("subtrees")), "jaccard-lists")  # TREES at most
+        members = current.select("node", "least_id", "x", "copies", "looking").join(lists, "node").join(before, "node", "left").withColumn("before", F.coalesce("before", none))
+        if clusters is None:
+            clusters = written(_clusters(members, documents), "jaccard-clusters")
+        got = written(_links(members.join(clusters, "node", "left"), documents), "jaccard-links")
+        found = got if found is None else found.unionByName(got)
+        own = lists.select("node", F.transform("subtrees", lambda x: x["subtree"]).alias("before"))
+        before = before.unionByName(own).groupBy("node").agg(F.flatten(F.collect_list("before")).alias("before"))
+        # a text of a cluster has found its partners there for certain
+        sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum(f"e{depth}").alias("stand"))
+        sums = sums.join(clusters, "node", "full").select("node", (F.coalesce("links", F.lit(0)) < RECALL * F.coalesce("stand", F.lit(0.0))).alias("short"))
+        looking = classes.select("node").join(sums, "node", "left").where("short is null or short").select("node", F.lit(True).alias("looking"))
+    return found, clusters
 
 
 def classified(documents: DataFrame) -> DataFrame:
@@ -190,21 +294,24 @@ def classified(documents: DataFrame) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(labels(documents), "jaccard-labels")
     groups = signed.where("digest is not null").groupBy(F.col("digest").alias("node"))
-    classes = groups.agg(F.min(F.struct("doc_id", "md5")).alias("least"), F.count("*").alias("copies"), F.min("labels").alias("labels"))
-    subtrees = _subtrees(classes.select("node", "labels"), matched_depth(SIMILARITY, RECALL))
-    lists = subtrees.groupBy("node").agg(F.collect_list(F.struct("subtree", "members")).alias("subtrees"))  # TREES at most
-    candidates = classes.select("node", F.col("least.doc_id").alias("doc_id"), "copies").join(lists, "node")
-    found = written(_links(_shingled(candidates, documents)), "jaccard-links")
-    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-components")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = groups.agg(F.min(F.struct("doc_id", "md5", "x")).alias("least"), F.count("*").alias("copies"), F.min("labels").alias("labels"))
+    found, clusters = linked(written(classes.select("node", F.col("least.doc_id").alias("least_id"), "least.x", "copies", "labels"), "jaccard-nodes"), documents)
+    edges = found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(clusters.select(F.col("node").alias("u"), F.col("cluster").alias("v")))
+    roots = components(edges, "jaccard-components")
+    own = clusters.join(classes.select("node", "copies"), "node")
+    together = own.groupBy("cluster").agg(F.sum("copies").alias("together"))
+    within = own.join(together, "cluster").select("node", (F.col("together") - F.col("copies")).alias("links"))
+    links = found.select("node", "links").unionByName(within).groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
     known = written(known.withColumn("component", F.coalesce("component", "node")), "jaccard-classes")
     first = known.groupBy("component").agg(F.min("least").alias("first"))
     others = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
     per_set = known.join(first, "component").select(F.col("node").alias("digest"), "first", others.alias("links"))
-    rows = signed.select("doc_id", "md5", "digest").join(per_set, "digest", "left")
-    stays = F.coalesce(F.col("first") == F.struct("doc_id", "md5"), F.lit(True))
-    return rows.select("doc_id", "md5", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), stays.alias("stays"))
+    rows = signed.where("digest is not null").select("doc_id", "md5", "digest").join(per_set, "digest")
+    stays = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.md5") == F.col("md5"))
+    rows = rows.select("doc_id", "md5", F.coalesce("first.doc_id", "doc_id").alias("class_id"), "links", stays.alias("stays"))
+    null = signed.where("digest is null").select("doc_id", "md5", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("stays"))
+    return rows.unionByName(null)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
