@@ -43,8 +43,8 @@ def partitions(spark: SparkSession) -> int:
 LEAST = -(2**63)
 
 
-def ranged(df: DataFrame, key: str, buckets: int, tie: Column | None = None) -> tuple[DataFrame, int]:
-    """Adds `bucket`: ranges of an integer key with about equally many rows, numbered in key order; gives their number.
+def range_of(df: DataFrame, key: str, buckets: int, tie: Column | None = None) -> tuple[Column, int]:
+    """A column of ranges of an integer key with about equally many rows, numbered in key order; gives their number.
 
     The bounds are approximate quantiles of the key alone (a column-pruned scan), so any bounds give right results. Null
     keys come first. A key that fills several quantiles gets buckets of its own, by ranges of the 64-bit hash `tie`: rows
@@ -63,4 +63,10 @@ def ranged(df: DataFrame, key: str, buckets: int, tie: Column | None = None) ->
     if hot:
         many = F.get(lists[2], place)
         bucket += F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * many), many - 1)
-    return df.withColumn("bucket", bucket.cast("int")), sum(parts)
+    return bucket.cast("int"), sum(parts)
+
+
+def ranged(df: DataFrame, key: str, buckets: int, tie: Column | None = None) -> tuple[DataFrame, int]:
+    """Adds `bucket` by range_of()."""
+    bucket, many = range_of(df, key, buckets, tie)
+    return df.withColumn("bucket", bucket), many

@@ -65,11 +65,12 @@ def test_url_filter_against_brute_force(spark):
 
 
 def brute(rows, k=10):
-    good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and len(v) == 3]
+    rows = [r for r in rows if r[0] is not None]
+    good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and len(v)]
     out = []
     for q, v in sorted({i: v for i, v in reversed(good)}.items()):
         if q % 100 == 0:
-            best = sorted((-int(v @ w), i) for i, w in good if i != q)[:k]
+            best = sorted((-int(v @ w), i) for i, w in good if i != q and len(v) == len(w))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
@@ -78,7 +79,7 @@ def brute(rows, k=10):
 def test_top_k(spark, ties):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in (rng.integers(-1, 2, 3) if ties else rng.normal(size=3))]) for i in range(700)]
-    rows += [(700, None), (800, [1.0, None, 2.0]), (900, [float("nan"), 1.0, 1.0]), (1000, [float("inf"), 1.0, 1.0]), (1100, [1.0]), (1200, [])]
+    rows += [(700, None), (800, [1.0, None, 2.0]), (900, [float("nan"), 1.0, 1.0]), (1000, [float("inf"), 1.0, 1.0]), (1100, [1.0]), (1101, [2.0]), (1102, [3.0]), (1200, []), (None, [1.0, 1.0, 1.0])]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, bucket string")
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert sorted(map(tuple, topk.query(table).collect())) == brute(rows)
@@ -89,8 +90,11 @@ def test_blocks_are_pruned():
     rng = np.random.default_rng(2)
     vectors = np.repeat(np.floor(1024 * rng.normal(size=(40, 8))), 128, axis=0)
     blocks = topk.Blocks(np.arange(len(vectors)), vectors)
-    _, _, scored = blocks.search(np.array([0]), vectors[:1], 10)
+    _, best, scored = blocks.search(np.array([0]), vectors[:1], 10)
     assert scored < len(blocks.ids) / 2
+    found, again, fewer = blocks.search(np.array([0]), vectors[:1], 10, best[:, -1])
+    assert fewer <= scored and (again == best).all()
+    assert blocks.search(np.array([0]), vectors[:1], 10, best[:, 0] + 1e9)[2] == 0
 
 
 def test_components(spark):
