@@ -7,8 +7,9 @@ them are in just one band (the lines of the affine plane of order 3), so that fe
 similarity 0.8 meets in one of them with a chance of 0.990. Candidates are all pairs of a band's bucket. First each line
 of a bucket is compared with one line of it, another in every band, and a distributed union-find over the pairs that
 pass names the components. Then all pairs of a bucket that still lie in different components are compared, by salted
-pairs of chunks in separate tasks, and the components they link become one. Only the texts of candidates are fetched,
-and the exact Jaccard similarity of whole shingle sets decides. Of each component the first line by (doc_id, text,
+pairs of chunks in separate tasks, and the components they link become one. Only the texts of candidates are fetched.
+A pair is ruled out if the bitmaps of its shingle sets show that too much is missing on one side, a bound that never
+rules out a similar pair; for the others the exact Jaccard similarity of the whole shingle sets decides. Of each component the first line by (doc_id, text,
 position) stays, in its document; all others go.
 
 A line is named by a 64-bit and a 32-bit hash.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import partitions, written
+from lexspark.llm.common import free, named, partitions, written
 from lexspark.llm.components import components
 
 SIMILARITY = 0.8
@@ -37,9 +38,9 @@ FUNCTIONS = 9
 #: Parts that the occurrences of a line are dealt to when its text is fetched.
 SALT = 8
 #: Lines of a chunk. A task of the second pass compares two chunks at a time.
-CHUNK = 256
+CHUNK = 1024
 #: Longs of the bitmap of a shingle set, a power of two.
-WORDS = 8
+WORDS = 16
 #: Fixed masks, one per order of the hashes, from a rule.
 MASKS = [xxhash.xxh64_intdigest(f"order {i}") - 2**63 for i in range(FUNCTIONS)]
 
@@ -55,14 +56,18 @@ def first_places(every: DataFrame) -> DataFrame:
     return every.groupBy("h", "g").agg(F.min(F.struct("doc", "d", "pos")).alias("first"))
 
 
+def shingled(texts: DataFrame, stride: int) -> DataFrame:
+    """h, g, s0, s1, ...: hashes of a line's shingles, `stride` to a row; the last may come several times."""
+    fixed = texts.select("h", "g", F.encode("line", "UTF-32").alias("b"))  # 4 bytes a character
+    fixed = fixed.withColumn("last", F.greatest(F.lit(0), F.length("b") / 4 - SHINGLE).cast("int"))
+    rows = fixed.select("h", "g", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(stride))).alias("at"))
+    return rows.select("h", "g", *[F.xxhash64(F.expr(f"substring(b, least(at + {k}, last) * 4 + 1, {4 * SHINGLE})")).alias(f"s{k}") for k in range(stride)])
+
+
 def signatures(every: DataFrame) -> DataFrame:
     """h, g, and the least hash m0, m1, ... of every distinct line under each order."""
-    fixed = every.select("h", "g", F.encode("line", "UTF-32").alias("b"))  # 4 bytes a character
-    fixed = fixed.withColumn("last", F.greatest(F.lit(0), F.length("b") / 4 - SHINGLE).cast("int"))
-    rows = fixed.select("h", "g", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
-    rows = rows.select("h", "g", *[F.xxhash64(F.expr(f"substring(b, least(at + {k}, last) * 4 + 1, {4 * SHINGLE})")).alias(f"s{k}") for k in range(STRIDE)])
     ordered = lambda m: F.least(*[F.xxhash64(F.col(f"s{k}").bitwiseXOR(F.lit(m))) for k in range(STRIDE)])
-    return rows.groupBy("h", "g").agg(*[F.min(ordered(m)).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    return shingled(every, STRIDE).groupBy("h", "g").agg(*[F.min(ordered(m)).alias(f"m{i}") for i, m in enumerate(MASKS)])
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -78,14 +83,6 @@ def candidates(bucketed: DataFrame) -> DataFrame:
     return bucketed.where("h <> one").select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct()
 
 
-def shingle_set(line: Column) -> Column:
-    """The distinct shingles of a line, by 64-bit hashes."""
-    b = F.encode(line, "UTF-32")
-    bound = F.array(F.struct(b.alias("b"), F.greatest(F.lit(0), F.length(b) / 4 - SHINGLE).cast("int").alias("last")))  # so that it is encoded once
-    each = F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda at: F.xxhash64(F.substring(x["b"], at * 4 + 1, F.lit(4 * SHINGLE)))))
-    return F.array_distinct(F.get(each, F.lit(0)))
-
-
 def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
     """h, g, line: the lines of some h. A line that stands very often is dealt to several tasks."""
     salted = wanted.select("h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -93,61 +90,78 @@ def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
     return rows.join(salted, ["h", "salt"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
 
 
-def bitmap(shingles: Column) -> Column:
-    """WORDS longs, in which every shingle sets a bit by its hash."""
-    of = lambda w: lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(WORDS - 1)) == w
-    bit = lambda a, v: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int")))
-    return F.array(*[F.aggregate(F.filter(shingles, of(w)), F.lit(0).cast("long"), bit) for w in range(WORDS)])
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """h, g, shingles (distinct hashes), n (their number), bits (a bit that each shingle's hash names, in WORDS longs)."""
+    rows = shingled(texts, 1)
+    sets = rows.groupBy("h", "g").agg(F.collect_set("s0").alias("shingles"))
+    word = F.shiftright("s0", 6).bitwiseAND(F.lit(WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s0").bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.groupBy("h", "g").agg(*[F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    return sets.join(words, ["h", "g"]).select("h", "g", "shingles", F.size("shingles").alias("n"), F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
 
-def _at_most(x: Column, y: Column, x_bits: Column, y_bits: Column) -> Column:
-    """A number that the common shingles never exceed: each bit of one set alone is a shingle at least that the other lacks."""
+def _enough(common: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether so many common shingles of n and m make the Jaccard similarity large enough."""
+    share = round(similarity * 1000)
+    return common * (1000 + share) >= (n + m) * share
+
+
+def _possible(n: Column, m: Column, x: Column, y: Column, similarity: float) -> Column:
+    """False only if the sets cannot be similar: each bit of one set alone is a shingle at least that the other lacks."""
     alone = lambda a, b: sum((F.bit_count(F.get(a, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(w))))) for w in range(1, WORDS)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0))))))
-    return F.least(F.size(x) - alone(x_bits, y_bits), F.size(y) - alone(y_bits, x_bits))
+    return _enough(F.least(n, m), n, m, similarity) & _enough(n - alone(x, y), n, m, similarity) & _enough(m - alone(y, x), n, m, similarity)
 
 
-def _enough(common: Column, x: Column, y: Column, similarity: float) -> Column:
-    """Whether so many common shingles make the Jaccard similarity large enough."""
-    share = round(similarity * 1000)
-    return common * (1000 + share) >= (F.size(x) + F.size(y)) * share
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both lines, and their names u and v."""
+    side = lambda h, name, end: sets.select(F.col("h").alias(h), F.struct("h", "g").alias(name), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    return pairs.join(side("a", "u", "a"), "a").join(side("b", "v", "b"), "b")
 
 
-def _similar(x: Column, y: Column, similarity: float) -> Column:
-    return _enough(F.least(F.size(x), F.size(y)), x, y, similarity) & _enough(F.size(F.array_intersect(x, y)), x, y, similarity)
+def possible(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs that bitmaps do not rule out."""
+    both = _sides(pairs, sets, "n", "bits")
+    return both.where(_possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), similarity)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """u, v: names of the lines of pairs whose whole shingle sets are similar enough."""
-    side = lambda h, line, name: texts.select(F.col("h").alias(h), F.struct("h", "g").alias(name), F.col("line").alias(line))
-    both = pairs.join(side("a", "line_a", "u"), "a").join(side("b", "line_b", "v"), "b")
-    bound = F.array(F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")))  # so that each set is made once
-    return both.where(F.get(F.transform(bound, lambda s: _similar(s["x"], s["y"], similarity)), F.lit(0))).select("u", "v")
+    both = _sides(pairs, sets, "n", "shingles")
+    return both.where(_enough(F.size(F.array_intersect("shingles_a", "shingles_b")), F.col("n_a"), F.col("n_b"), similarity)).select("u", "v")
+
 
+def crossing(bucketed: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of lines of one bucket in different components that may be similar, each from one of its buckets.
 
-def crossing(bucketed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """u, v: components that a pair of similar lines of one bucket links. Pairs with the chosen line are known already."""
+    Pairs with the chosen line are known already.
+    """
     known = roots.select("node.h", "node.g", "component")
     rows = bucketed.where("members > 2 and h <> one").select("bucket", "h", "g").join(known, ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("least <> most")
-    rows = written(rows.join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed").join(texts, ["h", "g"])
+    rows = written(rows.join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed")
+    own = rows.groupBy("h", "g").agg(F.collect_set("bucket").alias("buckets"))  # one per band at most
+    rows = rows.join(own, ["h", "g"]).join(sets.select("h", "g", "n", "bits"), ["h", "g"])
     dealt = rows.withColumn("chunk", F.pmod(F.hash("h", "g"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    key, n = ["bucket", "low", "high"], partitions(bucketed.sparkSession)
+    key = ["bucket", "low", "high"]
 
-    def side(end: str, s: str, name: str, node: str) -> DataFrame:
-        own = dealt.where(F.col("chunk") == F.col(end)).select(*key, F.struct("h", "g").alias(node), F.col("component").alias(name), "line")
-        return own.repartition(n, *key).sortWithinPartitions(*key).withColumn(s, shingle_set(F.col("line"))).withColumn(f"{s}_bits", bitmap(F.col(s))).drop("line")  # texts are shuffled, not sets
+    def side(end: str, name: str) -> DataFrame:
+        each = ("h", "g", "component", "buckets", "n", "bits")
+        return dealt.where(F.col("chunk") == F.col(end)).select(*key, *[F.col(c).alias(f"{c}_{name}") for c in each])
 
-    both = side("low", "x", "u", "p").hint("merge").join(side("high", "y", "v", "q"), key)
-    possible = _enough(_at_most(F.col("x"), F.col("y"), F.col("x_bits"), F.col("y_bits")), F.col("x"), F.col("y"), similarity)
-    both = both.where((F.col("u") != F.col("v")) & ((F.col("low") < F.col("high")) | (F.col("p") < F.col("q"))) & possible & _similar(F.col("x"), F.col("y"), similarity))
-    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    both = side("low", "a").hint("merge").join(side("high", "b"), key)
+    once = (F.col("low") < F.col("high")) | (F.struct("h_a", "g_a") < F.struct("h_b", "g_b"))
+    apart = F.col("component_a") != F.col("component_b")
+    may = _possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), similarity)
+    first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
+    return both.where(once & apart & may & first).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
 
 
-def joined_components(bucketed: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+def joined_components(bucketed: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component: those of the first pass, made one where a pair of a bucket links them."""
+    first = verified(written(possible(candidates(bucketed), sets), "line-pairs"), sets)
     roots = written(components(first, "line-components"), "line-roots")
-    links = written(crossing(bucketed, roots, texts), "line-crossing")
+    links = written(verified(written(crossing(bucketed, roots, sets), "line-crossing"), sets), "line-links")
     if links.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components")
@@ -172,17 +186,19 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     """The same columns and rows, with `text` (and n_chars) of the lines that stay."""
     every = lines(documents.select("doc_id", "text"))
     bucketed = written(buckets(signatures(every)), "line-buckets")
-    texts = written(line_texts(bucketed, every), "line-texts")
-    roots = joined_components(bucketed, verified(candidates(bucketed), texts), texts)
-    places = written(kept(first_places(every), roots), "line-places").select(F.col("doc").alias("__doc"), F.col("d").alias("__d"), F.col("kept").alias("__kept"))
+    sets = written(shingle_sets(written(line_texts(bucketed, every), "line-texts")), "line-sets")
+    roots = joined_components(bucketed, sets)
+    places = written(kept(first_places(every), roots), "line-places")
+    doc, d, stay = (free(documents, x) for x in ("doc_of_places", "text_of_places", "places"))
+    places = places.select(F.col("doc").alias(doc), F.col("d").alias(d), F.col("kept").alias(stay))
     none = F.array().cast("array<int>")
-    bound = F.array(F.struct(F.split("text", "\n").alias("parts"), F.coalesce("__kept", none).alias("kept")))  # so that it is split once
+    bound = F.array(F.struct(F.split("text", "\n").alias("parts"), F.coalesce(stay, none).alias("kept")))  # so that it is split once
     text = F.when(F.col("text").isNotNull(), F.get(F.transform(bound, lambda x: _rebuilt(x["parts"], x["kept"])), F.lit(0)))
-    joined = documents.join(places, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__d")), "left")
+    joined = documents.join(places, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(d)), "left")
     whole = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         whole = whole.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return whole.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return whole.select(*named(documents.columns))
 
 
 def query(documents: DataFrame) -> DataFrame:
