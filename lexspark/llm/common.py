@@ -33,7 +33,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table made by written() that nothing reads any more."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of the frame has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

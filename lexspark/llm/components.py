@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import removed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     current = written(ends, name)
     before = None
     for _ in range(rounds):
-        current = written(_small_star(_large_star(current)), name)
+        last, current = current, written(_small_star(_large_star(current)), name)
+        removed(last)
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

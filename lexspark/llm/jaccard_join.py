@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.common import partitions, written
+from lexspark.llm.common import free, named, partitions, written
 from lexspark.llm.components import components
 from lexspark.llm.shingles import digest, shingles, signature
 
@@ -316,10 +316,10 @@ def classified(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents without all but the least of each class; all columns stay. Rows of equal doc_id and text count once."""
-    one = classified(documents).where("stays").select(F.col("doc_id").alias("__doc"), F.col("md5").alias("__md5")).distinct()
-    named = documents.withColumn("__own", F.md5("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("__own").eqNullSafe(F.col("__md5"))
-    return named.join(one, same).dropDuplicates(["__doc", "__md5"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    doc, md5, own = (free(documents, x) for x in ("kept_doc", "kept_md5", "own_md5"))
+    one = classified(documents).where("stays").select(F.col("doc_id").alias(doc), F.col("md5").alias(md5)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col(own).eqNullSafe(F.col(md5))
+    return documents.withColumn(own, F.md5("text")).join(one, same).dropDuplicates([doc, md5]).select(*named(documents.columns))
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import removed, written
 
 SHARDS = 24
 ROUNDS = 5
@@ -105,7 +105,8 @@ def labelled(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     linked = written(cold.where("members is not null").drop("members").withColumn("label", start), "shard-labels")
     rooms = [each * (1 + SLACK) - f if f < each else 0.0 for f in filled]
     for turn in range(rounds):
-        linked = written(propagate(linked, rooms, turn), "shard-labels")
+        last, linked = linked, written(propagate(linked, rooms, turn), "shard-labels")
+        removed(last)
     held = {r[0]: r[1] for r in linked.groupBy("label").count().collect()}  # a row per shard
     free = [max(0.0, each - f - held.get(s, 0)) for s, f in enumerate(filled)]
     edges = [sum(free[: s + 1]) / max(1e-9, sum(free)) for s in range(shards - 1)]

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, tokens
@@ -160,6 +161,46 @@ def test_fingerprints(docs, none):
     assert fingerprints.query(none).count() == 0
 
 
+def slow_fingerprint(text):
+    """Chunks byte by byte: the end is the first place past the least size that the mask of its size allows."""
+    data, out, start = text.encode(), {}, 0
+    h, hashes = 0, []
+    for b in data:
+        h = (h << 1) + int(fingerprints.GEAR[b]) & 0xFFFFFFFF
+        hashes.append(h)
+    while start < len(data):
+        end = start
+        while True:
+            end += 1
+            size = end - start
+            mask = int(fingerprints.STRICT) if size <= fingerprints.NORMAL else int(fingerprints.LOOSE)
+            if end == len(data) or size == fingerprints.LARGEST or size >= fingerprints.LEAST and hashes[end - 1] & mask == 0:
+                break
+        digest = xxhash.xxh3_64_hexdigest(data[start:end])
+        out[digest] = out.get(digest, 0) + end - start
+        start = end
+    return out
+
+
+def slow_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    both = sum(min(n, b.get(d, 0)) for d, n in a.items())
+    return both / max(sum(a.values()), sum(b.values()))
+
+
+def test_fingerprints_against_brute_force(docs):
+    got = {r["doc_id"]: r for r in fingerprints.query(docs.where("doc_id <> 5")).collect()}
+    texts = sorted((r[0], r[1] or "") for r in rows() if r[0] is not None and r[0] != 5)
+    for i, (doc, text) in enumerate(texts):
+        other = texts[(i + 1) % len(texts)][1]
+        k = len(text) // 4
+        own, new, its = slow_fingerprint(text), slow_fingerprint(text[: len(text) - k] + other[:k]), slow_fingerprint(other)
+        r = got[doc]
+        assert r["fingerprint"] == fingerprints.as_text(own) and r["edited_fingerprint"] == fingerprints.as_text(new)
+        assert abs(r["near_edited"] - slow_likeness(own, new)) < 1e-12 and abs(r["near_next"] - slow_likeness(own, its)) < 1e-12
+
+
 def test_chunks_shift_with_their_text():
     mine, shifted = fingerprints.fingerprint(LONG), fingerprints.fingerprint("inserted " + LONG)
     assert fingerprints.containment(mine, shifted) > 0.98
@@ -174,6 +215,44 @@ def test_language(docs, none):
     assert language.query(none).count() == 0
 
 
+def slow_language(training, texts):
+    """Nearest centroids recomputed text by text with dictionaries, for languages of one training text (its own centroid)."""
+
+    def grams(text):
+        data = b" " + b" ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode().split()) + b" "
+        found = {}
+        for n in (1, 2, 3):
+            for i in range(len(data) - n + 1):
+                g = int.from_bytes(data[i : i + n], "big") ^ (n << 28 if n > 1 else 0)
+                place = (g * 2654435761 & 0xFFFFFFFF) >> 20
+                found[place] = found.get(place, 0) + 1
+        return found
+
+    rows = [grams(t) for t, _ in training]
+    idf = lambda p: np.log((1 + len(rows)) / (1 + sum(p in r for r in rows))) + 1
+
+    def vector(found):
+        v = {p: np.log1p(n) * idf(p) for p, n in found.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {p: x / norm for p, x in v.items()}
+
+    centroids = [(lang, vector(r)) for (_, lang), r in zip(training, rows)]
+    out = []
+    for t in texts:
+        v = vector(grams(t))
+        out.append(max((sum(x * c.get(p, 0) for p, x in v.items()), lang) for lang, c in centroids))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    training = [("Der Hund und die Katze sind im Garten", "de"), ("the cat and the dog are in the house", "en"), ("le chat et le chien sont là", "fr")]
+    texts = ["die Katze ist im Haus", "the house of the dog", "un chien, là!", "Gärten 123"]
+    model = language.fit(spark.createDataFrame(training, "text string, lang string"))
+    found, score, _ = model.predict(texts)
+    for name, s, (want, lang) in zip(found, score, slow_language(training, texts)):
+        assert name == lang and abs(s - want) < 1e-4
+
+
 def test_language_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.query(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -5,6 +5,8 @@ import datetime
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexspark.llm import range_coder, topk, url_filter
 from lexspark.llm.components import components
 
@@ -115,17 +117,53 @@ def test_range_coder_round_trip():
     assert range_coder.encode_blocks([blocks[5]])[0] == codes[5]  # blocks are independent
 
 
-def test_pipeline(spark, tmp_path):
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, language string, kept_doc string, doc_of_places long, `q``d` string"
+
+
+def staged(spark, rows, place):
+    """What each stage gives, as rows and columns, for (doc_id, text, lang)."""
     import corpus_pipeline as p
 
+    docs = spark.createDataFrame([(d, t, g, "s", len(t or ""), f"x{i}", "y", "z", 7, "w") for i, (d, t, g) in enumerate(rows)], PIPELINE_SCHEMA)
+    columns, out = docs.columns, []
+    for i, (_, stage) in enumerate(p.STAGES):
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{place}/{i}")
+        docs = spark.read.parquet(f"{place}/{i}")
+        assert i == 3 or docs.columns == columns
+        out.append(docs.collect())
+    return out
+
+
+def test_pipeline(spark, tmp_path):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text, "en"), (2, text.replace("word7 ", "other "), "en"), (3, None, "en"), (4, "", "en"), (5, "12 34 !!", "en"), (6, "ein anderer Text mit eigenen Wörtern, der bleibt", "de")]
-    docs = spark.createDataFrame([(d, t, g, "s", len(t or "")) for d, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for i, (_, stage) in enumerate(p.STAGES):
-        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
-        if i == 0:
-            assert {r["doc_id"] for r in docs.collect()} == {1, 2, 6}
-        if i < 3:
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert {r["doc_id"] for r in docs.collect()} == {1, 2, 6}  # 2 has lost its only line, and is empty
+    known, cut, kept, packed = staged(spark, rows, tmp_path)
+    assert {r["doc_id"] for r in known} == {1, 2, 6}
+    assert {r["doc_id"]: r["text"] for r in cut} == {1: text, 2: "", 6: rows[5][1]}
+    assert {r["a.b"] for r in kept} == {"x0", "x1", "x5"} and {r["doc_id"] for r in packed} == {1, 2, 6}  # 2 has lost its only line, and is empty
+
+
+def test_pipeline_on_repeated_and_missing_rows(spark, tmp_path):
+    text = "eine Zeile mit Wörtern, die sich wiederholt\nund noch eine andere Zeile"
+    known, cut, kept, packed = staged(spark, [(1, text, "de"), (1, text, "de"), (None, text, "de"), (None, "ganz anderer Inhalt steht in diesem Satz", "de")], tmp_path)
+    assert len(known) == 4 and len(cut) == 4
+    assert {(r["doc_id"], r["text"]) for r in cut} == {(None, text), (1, ""), (None, "ganz anderer Inhalt steht in diesem Satz")}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, text), (0, "ganz anderer Inhalt steht in diesem Satz"), (1, "")]
+    assert sum(r["length"] for r in packed) == sum(r["length"] for r in packed if r["offset"] >= 0) and len({r["doc_id"] for r in packed}) == 2
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    assert staged(spark, [], tmp_path) == [[], [], [], []]
+
+
+def test_columns_of_a_frame_stay_apart(spark):
+    from lexspark.llm.common import free, ranged
+
+    assert free(spark.createDataFrame([], "a long, A_ long"), "a") == "a__"
+    rows = [(None,)] * 300 + [(5,)] * 400 + [(i,) for i in range(300)]
+    table = spark.createDataFrame(rows, "k long").repartition(4).withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+    found, many = ranged(table, "k", 10, F.col("h"))
+    got = found.collect()
+    order = [(r["bucket"], r["k"] is not None, r["k"] or 0) for r in got]
+    assert all(a[1:] <= b[1:] for a, b in zip(sorted(order), sorted(order)[1:])) and {r["bucket"] for r in got} <= set(range(many))
+    assert max(sum(r["bucket"] == b for r in got) for b in range(many)) < 220  # the hot keys are split
