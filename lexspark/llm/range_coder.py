@@ -32,7 +32,7 @@ BLOCK = 2048
 LANES = 4096
 #: Ids of a block after which the model learns, and those of them after which order 0's frequencies are renewed.
 ROUNDS = (0, 4, 8, 16, 32, 64, 96, 128, 160, *range(192, BLOCK, 64))
-STEPS = (0, 16, 64, 160, 384, 768, 1152, 1536)
+STEPS = (0, 16, 64, 192, 512, 1024)
 TAUGHT = 8
 _PLACES, _PLACE_BITS = 1024, 10  # of an order-1 or order-2 context, in each lane
 _COUNTS = 512  # places of ids' numbers, in each lane
