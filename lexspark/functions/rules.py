@@ -6,6 +6,8 @@ on, see `bordered`.
 
 from __future__ import annotations
 
+import re
+
 # ---- fixed values: obligation types, in the order of evaluation, with their confidence boost
 NORM_TYPES: list[tuple[str, float, list[str]]] = [
     ("MUST_NOT", 0.05, [
@@ -127,3 +129,9 @@ def bordered(patterns: list[str]) -> str:
 
 def unbordered(patterns: list[str]) -> str:
     return "(" + "|".join(patterns) + ")"
+
+
+def needed_words(patterns: list[str]) -> list[list[str]]:
+    """For each pattern, letters that every text it matches has: the plain start of each of its words."""
+    found = [[re.match(r"[a-zäöüß]*", word)[0] for word in re.split(r"\\s\+", p)] for p in patterns]
+    return [[w for w in words if w] for words in found]
