@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 
+# fixed values: limits of chunks, the pattern of definitions, of numbered headings, of tables
 PARENT_TOKENS, CHILD_TOKENS, SENTENCE_TOKENS = 1024, 256, 128
 WINDOW_WORDS, PREFIX_WORDS, INTRO_TOKENS = 436, 76, 128
 WINDOW_TOKENS, LEAST_TOKENS, OVERLAP = 384, 50, 0.20
+NUMBERED = r"(?mdU)^(\d+(?:\.\d+)*)\s+(.+?)(?:\s*\.{3,}.*)?$"
+TABLE = r"(?>(?:[^\n]+\|[^\n]+\n){2,}+)|(?>(?:[^\n]+\t[^\n]+\n){3,}+)"
 DEFINITION = r"im\s+sinne\s+(?:dieses\s+gesetzes|dieser\s+verordnung|des\s+§\s*\d+)"
 
 
@@ -61,30 +64,83 @@ def class_a(documents: DataFrame) -> DataFrame:
     return parents.unionByName(lower)
 
 
+def _sections(text: Column) -> Column:
+    """path, head, body of the sections at numbered headings; without any, the whole text as one section."""
+    parts = F.split(F.regexp_replace(text, NUMBERED, "\u0001$1\u0002$2\u0003"), "\u0001")  # headings are found one after the other
+    section = lambda p: F.struct(F.substring_index(p, "\u0002", 1).alias("path"), _trimmed(F.split_part(F.substring_index(p, "\u0003", 1), F.lit("\u0002"), F.lit(2))).alias("head"), _trimmed(F.split_part(p, F.lit("\u0003"), F.lit(2))).alias("body"))
+    whole = F.array(F.struct(F.lit("1").alias("path"), F.lit("Inhalt").alias("head"), text.alias("body")))
+    return F.when(F.size(parts) > 1, F.transform(F.slice(parts, 2, 1 << 30), section)).otherwise(whole)
+
+
+def intro(text: Column, limit: int = INTRO_TOKENS) -> Column:
+    """The first whole sentences, up to the one that would pass the token limit."""
+    each = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.struct(s.alias("s"), T.token_estimate(s).alias("n")))
+    state = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("kept"), F.lit(True).alias("going"))
+
+    def add(a: Column, x: Column) -> Column:
+        fits = a["going"] & (a["tokens"] + x["n"] <= limit)
+        return F.struct(F.when(fits, a["tokens"] + x["n"]).otherwise(a["tokens"]).alias("tokens"), F.when(fits, a["kept"] + 1).otherwise(a["kept"]).alias("kept"), fits.alias("going"))
+
+    few = F.slice(each, 1, limit + 1)  # a sentence has a token at least
+    kept = F.aggregate(few, state, add, lambda a: a["kept"])
+    return F.array_join(F.transform(F.slice(few, 1, kept), lambda x: x["s"]), " ")
+
+
 def class_b(documents: DataFrame) -> DataFrame:
-    """Sections at numbered headings with their breadcrumb; word windows, the first with the end of the section before."""
-    heading = r"(?m)^(?=[ \t]*\d+(?:\.\d+)*\.?[ \t]+[A-ZÄÖÜ])"
-    parts = F.filter(F.transform(F.split("text", heading), _trimmed), lambda p: p != "")
-    secs = documents.select("doc_id", F.col("text"), F.transform(parts, lambda p: F.struct(
-        F.size(F.split(F.regexp_extract(p, r"^(\d+(?:\.\d+)*)", 1), r"\.")).alias("depth"),
-        F.substring(F.regexp_replace(F.regexp_extract(p, r"^(\d+(?:\.\d+)*\.?[ \t]+.*)", 1), r"\.{3,}.*$", ""), 1, 30).alias("head"), p.alias("body"))).alias("secs"))
+    """doc_id, section, part, n, hierarchy_level, breadcrumb, chunk_type, requirement_id, token_count, content.
+
+    Part 0 of a section is its heading with the first sentences; parts 1 are its tables, parts 2 windows of WINDOW_WORDS
+    words of the rest. The first window of a section begins with up to PREFIX_WORDS last words of the window before it.
+    Text before the first heading belongs to no section. All window functions run within a document.
+    """
     nothing = F.array().cast("array<struct<depth:int,head:string>>")
     trail = F.struct(nothing.alias("stack"), F.array().cast("array<string>").alias("crumbs"))
 
-    def push(s: Column, x: Column) -> Column:
-        stack = F.concat(F.filter(s["stack"], lambda e: e["depth"] < x["depth"]), F.array(F.struct(x["depth"].alias("depth"), x["head"].alias("head"))))
-        return F.struct(stack.alias("stack"), F.concat(s["crumbs"], F.array(F.array_join(F.transform(stack, lambda e: e["head"]), " > "))).alias("crumbs"))
-
-    crumbs = F.aggregate("secs", trail, push, lambda s: s["crumbs"])
-    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    rows = secs.withColumn("crumbs", crumbs).select("doc_id", "crumbs", "secs", F.posexplode("secs").alias("section", "sec"))
-    rows = rows.select("doc_id", "section", F.get("crumbs", F.col("section")).alias("breadcrumb"), words(F.col("sec.body")).alias("w"), F.when(F.col("section") > 0, words(F.get("secs", F.col("section") - 1)["body"])).alias("before"))
-    prefix = F.when(F.size("before") > PREFIX_WORDS, F.slice("before", -PREFIX_WORDS, PREFIX_WORDS)).otherwise(F.coalesce("before", F.array().cast("array<string>")))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1), F.lit(WINDOW_WORDS))
-    each = rows.withColumn("prefix", prefix).select("doc_id", "section", "breadcrumb", "w", "prefix", F.posexplode(starts).alias("n", "at"))
-    body = F.slice("w", F.col("at") + 1, WINDOW_WORDS)
-    content = F.array_join(F.when(F.col("n") == 0, F.concat("prefix", body)).otherwise(body), " ")
-    return each.select("doc_id", "section", "n", "breadcrumb", content.alias("content")).withColumn("token_count", T.token_estimate(F.col("content")))
+    def push(a: Column, x: Column) -> Column:
+        depth = F.size(F.split(x["path"], r"\."))
+        stack = F.concat(F.filter(a["stack"], lambda e: e["depth"] < depth), F.array(F.struct(depth.alias("depth"), F.substring(x["head"], 1, 30).alias("head"))))
+        return F.struct(stack.alias("stack"), F.concat(a["crumbs"], F.array(F.array_join(F.transform(stack, lambda e: e["head"]), " > "))).alias("crumbs"))
+
+    secs = documents.select("doc_id", _sections(F.col("text")).alias("secs"))
+    crumbs = F.aggregate("secs", trail, push, lambda a: a["crumbs"])
+    each = secs.select("doc_id", F.posexplode(F.arrays_zip(F.col("secs").alias("s"), crumbs.alias("crumb"))).alias("section", "z"))
+    depth = F.size(F.split("z.s.path", r"\.")).alias("depth")
+    each = each.select("doc_id", "section", "z.s.head", "z.s.body", F.col("z.crumb").alias("breadcrumb"), depth, F.regexp_extract_all("z.s.body", F.lit(TABLE), F.lit(0)).alias("tables"))
+    columns = ["doc_id", "section", "part", "n", "hierarchy_level", "breadcrumb", "chunk_type", "requirement_id", "token_count", "content"]
+    none = F.lit(None).cast("string").alias("requirement_id")
+    first = intro(F.col("body"))
+    heads = each.select("doc_id", "section", F.lit(0).alias("part"), F.lit(0).alias("n"), F.col("depth").alias("hierarchy_level"), "breadcrumb", F.when(F.col("depth") > 1, "anforderung").otherwise("tatbestand").alias("chunk_type"), none,
+                        T.token_estimate(first).alias("token_count"), _trimmed(F.concat("head", F.lit("\n"), first)).alias("content"))
+    tables = each.select("doc_id", "section", F.lit(1).alias("part"), (F.col("depth") + 1).alias("hierarchy_level"), "breadcrumb", F.posexplode("tables").alias("n", "table"))
+    tables = tables.select(*columns[:3], "n", "hierarchy_level", "breadcrumb", F.lit("tabelle").alias("chunk_type"), none, T.token_estimate(F.col("table")).alias("token_count"), _trimmed(F.col("table")).alias("content"))
+
+    words = F.filter(F.split(F.regexp_replace("body", TABLE, ""), r"(?U)\s+"), lambda w: w != "")
+    rows = each.select("doc_id", "section", "depth", "breadcrumb", words.alias("w")).where(F.size("w") > 0)
+    here = Window.partitionBy("doc_id").orderBy("section")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    count = F.ceil(F.size("w") / WINDOW_WORDS)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.size("w")).over(before), F.lit(0)))
+    # where the last window before begins, if that is not the only one of its section, whose prefix goes on
+    rows = rows.withColumn("last", F.when(count > 1, F.col("start") + (count - 1) * WINDOW_WORDS)).withColumn("since", F.coalesce(F.max("last").over(before), F.lit(0)))
+    tail = F.flatten(F.collect_list(F.slice("w", -F.least(F.size("w"), F.lit(PREFIX_WORDS)), PREFIX_WORDS)).over(here.rowsBetween(-PREFIX_WORDS, -1)))
+    rows = rows.withColumn("tail", tail).withColumn("reach", F.least(F.lit(PREFIX_WORDS), F.col("start") - F.col("since")).cast("int"))
+    prefix = F.when(F.col("reach") > 0, F.slice("tail", -F.greatest(F.lit(1), F.col("reach")), F.col("reach"))).otherwise(F.array().cast("array<string>"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(WINDOW_WORDS)), lambda at: F.array_join(F.concat(F.when(at == 0, F.col("prefix")).otherwise(F.array().cast("array<string>")), F.slice("w", at + 1, WINDOW_WORDS)), " "))
+    windows = rows.withColumn("prefix", prefix).select("doc_id", "section", F.lit(2).alias("part"), (F.col("depth") + 1).alias("hierarchy_level"), "breadcrumb", F.posexplode(cut).alias("n", "content"))
+    named = T.requirement_id(F.col("content"))
+    windows = windows.select(*columns[:3], "n", "hierarchy_level", "breadcrumb", F.when(named.isNotNull(), "anforderung").otherwise("tatbestand").alias("chunk_type"), named.alias("requirement_id"), T.token_estimate(F.col("content")).alias("token_count"), "content")
+    return heads.unionByName(tables).unionByName(windows).where(_trimmed(F.col("content")) != "")
+
+
+def routed(documents: DataFrame) -> DataFrame:
+    """doc_id, doc_class, place, hierarchy_level, chunk_type, token_count, content: each document by the chunker of its structure's class."""
+    found = documents.select("doc_id", "text", T.structure(F.col("text")).alias("s")).withColumn("doc_class", T.class_hint(F.col("s.paragraphs"), F.col("s.headings"), F.col("s.toc")))
+    of = lambda name: found.where(F.col("doc_class") == name).select("doc_id", "text")
+    shaped = lambda df, name, place, level, kind: df.select("doc_id", F.lit(name).alias("doc_class"), F.concat_ws("/", *[F.col(c).cast("string") for c in place]).alias("place"), level.cast("int").alias("hierarchy_level"), kind.alias("chunk_type"), "token_count", "content")
+    a = shaped(class_a(of("A")), "A", ["para", "n"], F.col("hierarchy_level"), F.col("chunk_type"))
+    b = shaped(class_b(of("B")), "B", ["section", "part", "n"], F.col("hierarchy_level"), F.col("chunk_type"))
+    c = shaped(class_c(of("C")), "C", ["n"], F.lit(1), T.chunk_type(F.col("content")))
+    return a.unionByName(b).unionByName(c).where(F.trim("content") != "")
 
 
 def class_c(documents: DataFrame) -> DataFrame:

@@ -161,10 +161,21 @@ query("txt_02i_invisible", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_s
 query("txt_02k_blanks", lambda v: v.table("documents").select("doc_id", F.md5(T.clean_step(T.clean_step(C("text"), "blanks"), "blank lines")).alias("md5")), r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS md5 FROM documents")
 for step in ("hyphens", "image rights", "footnote after word", "footnote before word", "joined lines"):
     query("txt_02_" + step.replace(" ", "_"), lambda v, s=step: v.table("documents").select("doc_id", F.md5(T.clean_step(C("text"), s)).alias("md5")))
-query("txt_03_04_structure_and_class", lambda v: chunking.rendered_documents(v.chunks).select("doc_id", T.structure(C("text")).alias("s")).select("doc_id", "s.*", T.class_hint(C("s.paragraphs"), C("s.headings"), C("s.toc")).alias("doc_class")), r"""
-SELECT *, CASE WHEN paragraphs >= 3 AND NOT (toc OR headings >= 5) THEN 'A' WHEN headings >= 2 OR toc THEN 'B' ELSE 'C' END AS doc_class FROM (
-SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*§[ \t]*\d+'))::BIGINT AS paragraphs, least(50, len(regexp_extract_all(text, '(?m)^[ \t]*\d+(?:\.\d+)*\.?[ \t]+[A-ZÄÖÜ].*$')))::BIGINT AS headings,
-  regexp_matches(left(text, 5000), '(?i)(inhaltsverzeichnis|table of contents|^inhalt$)') AS toc FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM chunks GROUP BY doc_id))""", "chunks")
+def _structured(v: Views) -> DataFrame:
+    """Rendered documents, some with a heading in capitals, some with a table of contents, in a line of its own or not."""
+    d = C("doc_id")
+    front = F.when(d % 7 == 2, "ALLGEMEINE HINWEISE\n").when(d % 11 == 3, " Inhaltsverzeichnis \n").when(d % 11 == 4, "Zum Inhaltsverzeichnis\n").when(d % 13 == 5, "§ 1a\n").otherwise("")
+    return chunking.rendered_documents(v.chunks).select("doc_id", F.concat(front, "text").alias("text"))
+
+
+_STRUCTURED = r"""structured AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN 'ALLGEMEINE HINWEISE' || chr(10) WHEN doc_id % 11 = 3 THEN ' Inhaltsverzeichnis ' || chr(10) WHEN doc_id % 11 = 4 THEN 'Zum Inhaltsverzeichnis' || chr(10)
+  WHEN doc_id % 13 = 5 THEN '§ 1a' || chr(10) ELSE '' END || text AS text FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM chunks GROUP BY doc_id)),
+classed AS (SELECT *, CASE WHEN paragraphs >= 3 AND NOT (toc OR headings >= 5) THEN 'A' WHEN headings >= 2 OR toc THEN 'B' ELSE 'C' END AS doc_class FROM (
+SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*§\s*\d+[\p{L}\p{N}_]*\s+\S'))::BIGINT AS paragraphs, len(regexp_extract_all(text, '(?m)^(\d+\.\d+(?:\.\d+)*\s+.+)$|^([A-ZÄÖÜ][A-ZÄÖÜ\s]{4,})$'))::BIGINT AS headings,
+  regexp_matches(left(text, 5000), '(?im)^\s*(?:inhaltsverzeichnis|table\s+of\s+contents)\s*$') AS toc FROM structured))"""
+query("txt_03_04_structure_and_class", lambda v: _structured(v).select("doc_id", T.structure(C("text")).alias("s")).select("doc_id", "s.*", T.class_hint(C("s.paragraphs"), C("s.headings"), C("s.toc")).alias("doc_class")),
+      with_views("", "chunks").rstrip() + ", " + _STRUCTURED + " SELECT doc_id, paragraphs, headings, toc, doc_class FROM classed")
+query("chk_r_routed_chunks", lambda v: chunking.routed(_structured(v)).select("doc_id", "doc_class", "place", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
 query("txt_05_norm_reference", lambda v: v.chunks.select("chunk_id", T.norm_reference(C("content")).alias("reference")).where("reference is not null"))
 query("txt_06_cross_references", lambda v: v.chunks.select("chunk_id", F.array_join(T.cross_references(C("content")), ";").alias("refs")).where("refs <> ''"))
 query("txt_07_chunk_type", lambda v: v.chunks.groupBy("chunk_type").agg(n()), "SELECT chunk_type, count(*) AS n FROM chunks GROUP BY chunk_type", "chunks")
@@ -181,7 +192,7 @@ query("txt_22_targets", lambda v: reports.svo_completeness(v.svo).select(T.meets
 
 # ---- chunkers and questions
 query("chk_a_paragraph_chunks", lambda v: chunking.class_a(chunking.rendered_documents(v.chunks.where("doc_class = 'A'"))).select("doc_id", "para", "n", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
-query("chk_b_section_chunks", lambda v: chunking.class_b(chunking.rendered_documents(v.chunks.where("doc_class = 'B'"))).select("doc_id", "section", "n", "breadcrumb", "token_count", F.md5("content").alias("md5")))
+query("chk_b_section_chunks", lambda v: chunking.class_b(chunking.rendered_documents(v.chunks.where("doc_class = 'B'"))).select("doc_id", "section", "part", "n", "hierarchy_level", "breadcrumb", "chunk_type", "requirement_id", "token_count", F.md5("content").alias("md5")))
 query("chk_c_sentence_windows", lambda v: chunking.class_c(chunking.rendered_documents(v.chunks.where("doc_class = 'C'"))).select("doc_id", "n", "token_count", F.md5("content").alias("md5")))
 query("chk_l_first_chunks", lambda v: v.chunks.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("r <= 5").select("doc_id", "chunk_id"), "SELECT doc_id, chunk_id FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5", "chunks")
 _QTYPE = f"""CASE WHEN regexp_matches(lower(s), '{R.unbordered(R.RHETORICAL)}') THEN 'rhetorisch' WHEN regexp_extract(lower(s), '^[^\\p{{L}}]*(\\p{{L}}+)', 1) IN ({', '.join("'" + w + "'" for w in R.QUESTION_WORDS)}) THEN 'direkt' WHEN len(regexp_extract_all(s, '\\?')) >= 2 THEN 'mehrfach' ELSE 'indirekt' END"""

@@ -1,6 +1,8 @@
 """Operators on small rows with results derived by hand."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,15 +69,74 @@ def test_chunkers(spark):
     got = chunking.class_a(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("para", "n").collect()
     assert [(r["norm_reference"], r["hierarchy_level"], r["chunk_type"]) for r in got] == [
         ("§ 1 Zweck", 1, "tatbestand"), ("§ 1 Zweck", 2, "tatbestand"), ("§ 1 Zweck", 2, "definition"), ("§ 2 Verbote", 1, "tatbestand"), ("§ 2 Verbote", 2, "rechtsfolge")]
-    sections = "1 Einleitung\n" + "wort " * 500 + "\n1.1 Ziel\nkurz\n2 Ende\nschluss"
-    got = chunking.class_b(spark.createDataFrame([(1, sections)], "doc_id long, text string")).orderBy("section", "n").collect()
-    assert [r["breadcrumb"] for r in got] == ["1 Einleitung", "1 Einleitung", "1 Einleitung > 1.1 Ziel", "2 Ende"]
-    assert len(got[0]["content"].split()) == 436 and got[2]["content"].split()[:76] == ["wort"] * 76
+    sections = "Vorwort\n1 Einleitung ..... 3\n" + "wort " * 500 + "\n1.1 Ziel\nkurz\n2 Ende\nschluss REQ-0042 steht da."
+    got = chunking.class_b(spark.createDataFrame([(1, sections)], "doc_id long, text string")).orderBy("section", "part", "n").collect()
+    assert [(r["section"], r["part"], r["breadcrumb"], r["hierarchy_level"], r["chunk_type"]) for r in got] == [
+        (0, 0, "Einleitung", 1, "tatbestand"), (0, 2, "Einleitung", 2, "tatbestand"), (0, 2, "Einleitung", 2, "tatbestand"), (1, 0, "Einleitung > Ziel", 2, "anforderung"), (1, 2, "Einleitung > Ziel", 3, "tatbestand"),
+        (2, 0, "Ende", 1, "tatbestand"), (2, 2, "Ende", 2, "anforderung")]
+    assert len(got[1]["content"].split()) == 436 and got[4]["content"].split() == ["wort"] * 64 + ["kurz"] and got[6]["requirement_id"] == "REQ-0042"
     free = " ".join(f"Dies ist der Satz Nummer {i} mit einigen Wörtern darin." for i in range(12))
     got = chunking.class_c(spark.createDataFrame([(1, free), (2, "")], "doc_id long, text string")).orderBy("n").collect()
     assert [r["content"].count("Satz") for r in got] == [10, 4] and got[1]["content"].startswith("Dies ist der Satz Nummer 8")
 
 
+def slow_class_b(text):
+    """Chapter chunks by a plain walk over the sections."""
+    size = lambda s: max(1, len(s) // 4)
+    found = list(re.finditer(r"^(\d+(?:\.\d+)*)\s+(.+?)(?:\s*\.{3,}.*)?$", text, re.M))
+    parts = [(m[1], m[2].strip(), text[m.end() : n].strip()) for m, n in zip(found, [m.start() for m in found[1:]] + [len(text)])] or [("1", "Inhalt", text)]
+    stack, before, out = [], [], []
+    for i, (path, head, body) in enumerate(parts):
+        depth = path.count(".") + 1
+        stack = [x for x in stack if x[0] < depth] + [(depth, head[:30])]
+        crumb = " > ".join(h for _, h in stack)
+        first, used = [], 0
+        for s in re.split(r"(?<=[.!?])\s+", body):
+            if used + size(s) > 128:
+                break
+            first.append(s)
+            used += size(s)
+        first = " ".join(first)
+        out.append((i, 0, 0, depth, crumb, "anforderung" if depth > 1 else "tatbestand", None, size(first), f"{head}\n{first}".strip()))
+        pattern = r"(?:(?:[^\n]+\|[^\n]+\n){2,}|(?:[^\n]+\t[^\n]+\n){3,})"
+        out += [(i, 1, k, depth + 1, crumb, "tabelle", None, size(x), x.strip()) for k, x in enumerate(re.findall(pattern, body))]
+        words = re.sub(pattern, "", body).split()
+        chunks = [(before[-76:] if at == 0 else []) + words[at : at + 436] for at in range(0, len(words), 436)]
+        for k, c in enumerate(chunks):
+            named = re.search(r"\b([A-Z]{1,4}-\d{3,})\b", " ".join(c))
+            out.append((i, 2, k, depth + 1, crumb, "anforderung" if named else "tatbestand", named and named[1], size(" ".join(c)), " ".join(c)))
+        before = chunks[-1] if chunks else before
+    return out
+
+
+def test_class_b_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["wort", "Satz.", "REQ-123", "lang", "Ende!", "a|b", "x\ty", "§", "eins"]
+    texts = ["kein Abschnitt, nur Text. Und mehr.", ""]
+    for _ in range(12):
+        lines = []
+        for _ in range(rng.randint(3, 30)):
+            kind = rng.random()
+            if kind < 0.35:
+                lines.append(".".join(str(rng.randint(1, 3)) for _ in range(rng.randint(1, 4))) + " Titel " + rng.choice(["A", "B ....... 12", "mit sehr vielen Wörtern in der Überschrift"]))
+            elif kind < 0.5:
+                lines += [f"| a{k} | b |" for k in range(rng.randint(1, 4))] if rng.random() < 0.5 else [f"s{k}\tt" for k in range(rng.randint(1, 5))]
+            else:
+                lines.append(" ".join(rng.choice(words[:5] + words[7:]) for _ in range(rng.choice([3, 20, 90, 500, 1000]))))
+        texts.append("\n".join(lines))
+    columns = ["section", "part", "n", "hierarchy_level", "breadcrumb", "chunk_type", "requirement_id", "token_count", "content"]
+    got = chunking.class_b(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        want = sorted(x for x in slow_class_b(text) if x[-1])
+        assert sorted((tuple(r[c] for c in columns) for r in got if r["doc_id"] == i), key=lambda x: x[:3]) == want
+
+
+def test_router(spark):
+    texts = ["§ 1 Eins\n(1) Text steht hier lang genug.\n§ 2 Zwei\nText\n§ 3 Drei\nText", "1.1 Ziel\nText steht hier.\n1.2 Zweck\nMehr.", "Freier Text. Mit Sätzen.", "Inhaltsverzeichnis\nText", "GROSSE ZEILE\nText\nNOCH EINE\nText"]
+    got = chunking.routed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).groupBy("doc_id").agg(F.min("doc_class").alias("c"), F.max("doc_class").alias("d")).orderBy("doc_id").collect()
+    assert [(r["c"], r["d"]) for r in got] == [("A", "A"), ("B", "B"), ("C", "C"), ("B", "B"), ("B", "B")]
+
+
 def test_statement_filters(spark):
     rows = [(1, "Der Halter", "muss", "Hund", 0.9, None), (2, "er", "muss", "Nr", 0.9, None), (3, "Halter", "§", "Hund", 0.9, None), (4, "Halter", "muss", "Hund", 0.4, None), (5, "12", None, "Hund", 0.9, None)]
     got = statements.filtered(spark.createDataFrame(rows, "svo_id long, subject string, predicate string, object string, confidence double, subject_type string")).orderBy("svo_id").collect()
