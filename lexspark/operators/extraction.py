@@ -18,6 +18,8 @@ from lexspark.operators.statements import confidence
 
 # ---- fixed values: dependency labels
 SUBJECTS, OBJECTS = ["sb", "sp", "nsubj"], ["oa", "og", "op", "oc", "pd", "obj", "obl", "da", "mo", "nk", "attr"]
+#: Parts of a norm that its citations name.
+NORM_PARTS = [r"\bAbs\.\s*\d", r"\bSatz\s*\d", r"\bNr\.\s*\d"]
 DETERMINERS = ["der", "die", "das", "dem", "den", "des", "ein", "eine", "einen", "einem", "einer", "eines"]
 
 
@@ -67,7 +69,8 @@ def statements(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
 def document_type(title: Column, filename: Column, text: Column, rules: dict[str, dict]) -> Column:
     """The best-scored type that reaches its minimum, else `text`.
 
-    rules: type -> title, filename and signals (patterns), min_paragraphs, max_paragraphs, question_share, minimum.
+    rules: type -> title, filename and signals (patterns), min_paragraphs, max_paragraphs, question_share, minimum, and
+    whether two of Abs., Satz and Nr. (norm_structure), a table of contents (toc), ids of requirements (requirements) count.
     Title .40, filename .30, signals .05 each up to .20 (first 5000 characters), structure .10 or .05 each.
     """
     head = F.substring(text, 1, 5000)
@@ -86,6 +89,12 @@ def document_type(title: Column, filename: Column, text: Column, rules: dict[str
             score += bonus(paragraphs >= rule["min_paragraphs"], 0.10)
         if "max_paragraphs" in rule:
             score += bonus(paragraphs <= rule["max_paragraphs"], 0.05)
+        if rule.get("norm_structure"):
+            score += bonus(sum((F.when(text.rlike(p), 1).otherwise(0) for p in NORM_PARTS), F.lit(0)) >= 2, 0.10)
+        if rule.get("toc"):
+            score += bonus(T.structure(text)["toc"], 0.10)
+        if rule.get("requirements"):
+            score += bonus(text.rlike(r"\b[A-Z]-\d{3}\b"), 0.10)
         if "question_share" in rule:
             score += bonus((F.length(text) > 100) & (F.coalesce(questions, F.lit(0.0)) >= rule["question_share"]), 0.10)
         scored.append(F.when(score >= rule["minimum"], F.struct(F.round(score, 4).alias("score"), F.lit(-len(scored)).alias("order"), F.lit(name).alias("name"))))

@@ -97,3 +97,15 @@ def bundle_state(jobs: DataFrame) -> DataFrame:
     pending = F.greatest(F.lit(0), F.col("total") - F.col("done") - F.col("errors"))
     status = F.when(pending > 0, "running").when(F.col("errors") == 0, "done").when(F.col("done") == 0, "error").otherwise("partial")
     return per.select("bundle", "total", "done", "errors", pending.cast("long").alias("pending"), status.alias("status"))
+
+
+def open_questions(questions: DataFrame, title_part: str | None = None) -> DataFrame:
+    """Questions that nobody has reviewed, of documents whose title has a part, in any case."""
+    rows = questions.where(~F.col("reviewed"))
+    return rows if title_part is None else rows.where(F.col("title").ilike(f"%{title_part}%"))
+
+
+def jobs_of_documents(jobs: DataFrame, docs: DataFrame, title_part: str, limit: int = 50) -> DataFrame:
+    """The latest jobs of documents whose title has a part; jobs name documents by text."""
+    named = docs.where(F.col("title").ilike(f"%{title_part}%")).select(F.col("doc_id").cast("string").alias("doc_id"), "title")
+    return jobs.join(named, "doc_id").orderBy(F.desc("ts"), "event_id").limit(limit)

@@ -43,7 +43,8 @@ def full_text_search(queries: DataFrame, chunks: DataFrame, k: int = R.TOP_PER_C
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
     words = chunks.select("chunk_id", "doc_class", terms("content").alias("w"))
-    index = words.select("chunk_id", "doc_class", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("chunk_id", "doc_class", "length", "term").agg(F.count("*").alias("tf"))
+    every = words.select("chunk_id", "doc_class", F.size("w").alias("length"), F.explode("w").alias("term"))
+    index = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "doc_class", "length", "term").agg(F.count("*").alias("tf"))  # only words that are asked for
     hits = index.join(asked, "term").groupBy("query_id", "chunk_id", "doc_class", "length").agg(F.count("*").alias("found"), F.sum("tf").alias("tf")).join(sizes, "query_id").where("found = wanted")
     scored = hits.select("query_id", "chunk_id", "doc_class", F.round(F.col("tf") / F.col("length"), 6).alias("score"))
     order = Window.partitionBy("query_id", "doc_class").orderBy(F.desc("score"), "chunk_id")
@@ -94,14 +95,41 @@ def with_cross_references(found: DataFrame, links: DataFrame, depth: int = 2) ->
     return reached
 
 
-def rerank(found: DataFrame, chunks: DataFrame, pre: int = R.TOP_PRE, final: int = R.TOP_FINAL) -> DataFrame:
-    """Equal contents once (the best score, the first chunk), the best `pre`, class weights, then the best `final`."""
+def retrieved(lookup: DataFrame, lists: list[DataFrame], chunks: DataFrame, links: DataFrame | None = None, k: int = R.RRF_K) -> DataFrame:
+    """query_id, chunk_id, score, direct: the whole search for all queries and classes in one plan.
+
+    lookup: query_id, chunk_id, score of direct hits. lists: vector and full-text hits, with query_id, chunk_id, doc_class,
+    rank. Per query and class the lists are fused and weighted by class. Direct hits come before class A, then B, then C,
+    and a chunk counts where it is first seen. Then come parents, and with `links` the chunks that ones of class A refer to.
+    """
+    every = lists[0].select("query_id", "chunk_id", "doc_class", "rank")
+    for more in lists[1:]:
+        every = every.unionByName(more.select("query_id", "chunk_id", "doc_class", "rank"))
+    weight = T.lookup(F.col("doc_class"), {c: str(w) for c, w in R.CLASS_WEIGHTS.items()}, "1.0").cast("double")
+    fused = every.groupBy("query_id", "chunk_id", "doc_class").agg(F.sum(1.0 / (k + F.col("rank"))).alias("sum"))
+    fused = fused.select("query_id", "chunk_id", F.round(F.col("sum") * weight, 9).alias("score"), F.col("doc_class").alias("turn"))
+    seen = first_seen(lookup.select("query_id", "chunk_id", "score", F.lit("").alias("turn")).unionByName(fused), "turn")
+    found = with_parents(seen, chunks)
+    if links is not None:
+        class_a = chunks.where("doc_class = 'A'").select("chunk_id")
+        reached = with_cross_references(found.join(class_a, "chunk_id", "left_semi"), links)
+        found = found.unionByName(reached.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
+    direct = lookup.select("query_id", "chunk_id", F.lit(True).alias("direct")).distinct()
+    return found.join(direct, ["query_id", "chunk_id"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+
+
+def rerank(found: DataFrame, chunks: DataFrame, pre: int = R.TOP_PRE, final: int = R.TOP_FINAL, boost: float = 2.0) -> DataFrame:
+    """Equal contents once (the best score, the first chunk), the best `pre`, class weights, then the best `final`.
+
+    Where `found` says what was found directly (`direct`), the weighted scores of those chunks are multiplied by `boost`.
+    """
+    found = found if "direct" in found.columns else found.withColumn("direct", F.lit(False))
     rows = found.join(chunks.select("chunk_id", "doc_class", "confidence_weight", F.md5("content").alias("hash"), "token_count"), "chunk_id")
     same = Window.partitionBy("query_id", "hash")
     once = rows.withColumn("best", F.max("score").over(same)).withColumn("r", F.row_number().over(same.orderBy("chunk_id"))).where("r = 1")
     order = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c), "chunk_id")
     first = once.withColumn("r", F.row_number().over(order("best"))).where(F.col("r") <= pre)
-    weighted = first.withColumn("final", F.round(F.col("best") * F.col("confidence_weight"), 9))
+    weighted = first.withColumn("final", F.round(F.col("best") * F.col("confidence_weight") * F.when(F.col("direct"), boost).otherwise(1.0), 9))
     return weighted.withColumn("rank", F.row_number().over(order("final"))).where(F.col("rank") <= final).select("query_id", "chunk_id", F.col("final").alias("score"), "rank", "token_count")
 
 

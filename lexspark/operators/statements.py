@@ -82,6 +82,17 @@ def model_signals(svo: DataFrame, ner: DataFrame) -> DataFrame:
     return joined.select("chunk_id", F.when(F.col("binding"), F.col("names")).alias("entities"), "attributes", "persistence")
 
 
+def annotations(entities: Column, definition: Column, attributes: Column, persistence: Column, relations: Column) -> Column:
+    """Lines for a chunk's model signals, in this order; arrays of names, a name, a flag, and an array of (von, zu)."""
+    filled = lambda a: F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    lines = lambda a, before, after: F.transform(filled(a), lambda x: F.concat(F.lit(before), x, F.lit(after)))
+    pairs = F.filter(F.coalesce(relations, F.array().cast("array<struct<von:string,zu:string>>")), lambda r: (F.coalesce(r["von"], F.lit("")) != "") & (F.coalesce(r["zu"], F.lit("")) != ""))
+    return F.concat(
+        lines(entities, "[IM-ENTITY-KANDIDAT: ", " → Tabelle]"), lines(F.array(definition), "[IM-ENTITY-DEF: ", " = kanonische Definition]"), lines(attributes, "[IM-ATTRIBUT-KANDIDAT: ", " → Spalte]"),
+        F.when(F.coalesce(persistence, F.lit(False)), F.array(F.lit("[IM-PERSISTENZ: Datenpersistenz erforderlich]"))).otherwise(F.array().cast("array<string>")),
+        F.transform(pairs, lambda r: F.concat(F.lit("[IM-RELATION: "), r["von"], F.lit(" → "), r["zu"], F.lit("]"))))
+
+
 def merged_labels(svo: DataFrame, answers: DataFrame) -> DataFrame:
     """Model answers (svo_id, norm_type, level) replace UNKNOWN where they are sure enough; levels hoch .9, mittel .7, niedrig .5."""
     sure = F.when(F.col("level") == "hoch", 0.9).when(F.col("level") == "mittel", 0.7).when(F.col("level") == "niedrig", 0.5).otherwise(0.0)

@@ -130,6 +130,9 @@ query("prj_01_06_projections", lambda v: v.docs.select("doc_id", F.coalesce(C("v
       "SELECT doc_id, coalesce(CAST(valid_to AS VARCHAR), 'offen') AS until, CAST(date_diff('day', valid_from, DATE '2025-01-01') AS BIGINT) AS days, strftime(valid_from, '%d.%m.%Y') AS shown, upper(left(title, 3)) AS short FROM docs", "docs")
 query("prj_05_job_days", lambda v: v.jobs.groupBy(F.to_date("ts").alias("day"), "event_type").agg(n()), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
+query("fil_10_open_questions", lambda v: reports.open_questions(v.sentences.where(T.is_question(C("sentence"))).withColumn("reviewed", (C("chunk_id") + C("i")) % 3 == 0).join(v.docs.select("doc_id", "title"), "doc_id"), "KUMENT 1").select("chunk_id", "i", "title", "sentence"),
+      "SELECT chunk_id, i, title, sentence FROM sentences JOIN docs USING (doc_id) WHERE length(sentence) BETWEEN 10 AND 300 AND ends_with(rtrim(sentence, ' '), '?') AND (chunk_id + i) % 3 <> 0 AND title ILIKE '%KUMENT 1%'", "sentences", "docs")
+
 # ---- joins
 query("joi_01_chunks_with_documents", lambda v: v.chunks.join(v.docs.select("doc_id", "title", "source_type"), "doc_id").groupBy("source_type").agg(n(), F.sum("token_count").cast("long").alias("tokens")),
       "SELECT source_type, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks JOIN docs USING (doc_id) GROUP BY source_type", "docs", "chunks")
@@ -143,6 +146,9 @@ query("joi_06_not_exported", lambda v: v.chunks.join(v.chunks.where(C("chunk_id"
 query("joi_07_jobs_of_customers", lambda v: v.table("customer").select(C("c_custkey").alias("user_id")).join(v.jobs.groupBy("user_id").agg(n("events")), "user_id", "left"), "SELECT c_custkey AS user_id, events FROM customer LEFT JOIN (SELECT user_id, count(*) AS events FROM events GROUP BY user_id) e ON e.user_id = c_custkey")
 query("joi_09_abbreviations_per_document", lambda v: reports.abbreviation_counts(v.docs, v.chunks), """
 SELECT d.doc_id, CAST(coalesce((SELECT sum(n) FROM (SELECT min(len(abbrevs)) AS n, abbrevs, doc_id FROM chunks WHERE len(abbrevs) > 0 GROUP BY doc_id, abbrevs) a WHERE a.doc_id = d.doc_id), 0) AS BIGINT) AS abbreviations FROM docs d""", "docs", "chunks")
+query("joi_12_jobs_of_documents", lambda v: reports.jobs_of_documents(v.jobs.select("event_id", C("user_id").cast("string").alias("doc_id"), "event_type", "ts"), v.docs, "kument 1").select("event_id", "doc_id", "event_type", "title"), """
+SELECT event_id, user_id::VARCHAR AS doc_id, event_type, title FROM events JOIN docs d ON user_id::VARCHAR = d.doc_id::VARCHAR WHERE title ILIKE '%kument 1%' ORDER BY ts DESC, event_id LIMIT 50""", "docs")
+query("joi_18_job_errors", lambda v: v.table("events").select("event_id", "event_type", F.when(C("event_type") == "error", F.left("props", F.lit(80))).alias("error")), "SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN left(props, 80) END AS error FROM events")
 query("joi_13_near_rule_entities", lambda v: statements.without_near_rules(v.ner).select("chunk_id", "i", "label", "source"), """
 SELECT chunk_id, i, label, source FROM ner a WHERE source = 'flair' OR NOT EXISTS (SELECT 1 FROM ner b WHERE b.source = 'flair' AND b.chunk_id = a.chunk_id AND b.label = a.label AND abs(a.i - b.i) < 5)""", "ner")
 query("joi_15_parent_references", lambda v: v.chunks.select("chunk_id", "parent_id").join(v.chunks.select(C("chunk_id").alias("parent_id"), C("norm_reference").alias("parent_reference")), "parent_id").select("chunk_id", "parent_reference"),
@@ -223,6 +229,25 @@ SELECT p.chunk_id, CASE WHEN binding THEN names END AS entities, attributes, per
   SELECT chunk_id, bool_or(norm_type = 'MUST' AND regexp_matches(lower(sentence), '{R.bordered(R.ATTRIBUTE_PREDICATES)}')) AS attributes, bool_or(norm_type = 'MUST' AND regexp_matches(lower(sentence), '{R.bordered(R.PERSISTENCE_PREDICATES)}')) AS persistence,
     bool_or(norm_type IN ('MUST', 'DEF')) AS binding FROM svo GROUP BY chunk_id) p
 LEFT JOIN (SELECT chunk_id, array_to_string(list_sort(list(DISTINCT text)), ',') AS names FROM ner WHERE label IN ('ROLLE', 'DATENOBJEKT') GROUP BY chunk_id) e USING (chunk_id)""", "svo", "ner")
+
+
+def _annotated(v: Views) -> DataFrame:
+    """Signals of a chunk: names by label, the first subject of a definition, pairs of subject and object of duties."""
+    named = lambda label: F.array_sort(F.collect_set(F.when(C("label") == label, C("text"))))
+    names = v.ner.groupBy("chunk_id").agg(named("ROLLE").alias("entities"), named("DATENOBJEKT").alias("attributes"))
+    pairs = F.array_sort(F.collect_set(F.when(C("norm_type") == "MUST", F.struct(C("subject").alias("von"), C("object").alias("zu")))))
+    said = v.svo.groupBy("chunk_id").agg(F.min(F.when(C("norm_type") == "DEF", C("subject"))).alias("definition"), F.bool_or(C("norm_type") == "DEADLINE").alias("persistence"), pairs.alias("relations"))
+    lines = statements.annotations(C("entities"), C("definition"), C("attributes"), C("persistence"), C("relations"))
+    return said.join(names, "chunk_id", "left").select("chunk_id", F.array_join(lines, "\n").alias("lines"))
+
+
+query("ctx_02_annotations", _annotated, """
+SELECT chunk_id, array_to_string(list_concat(list_transform(coalesce(entities, []), lambda x: '[IM-ENTITY-KANDIDAT: ' || x || ' → Tabelle]'), CASE WHEN definition IS NOT NULL THEN ['[IM-ENTITY-DEF: ' || definition || ' = kanonische Definition]'] ELSE [] END,
+  list_transform(coalesce(attributes, []), lambda x: '[IM-ATTRIBUT-KANDIDAT: ' || x || ' → Spalte]'), CASE WHEN persistence THEN ['[IM-PERSISTENZ: Datenpersistenz erforderlich]'] ELSE [] END,
+  list_transform(coalesce(relations, []), lambda x: '[IM-RELATION: ' || x.von || ' → ' || x.zu || ']')), chr(10)) AS lines
+FROM (SELECT chunk_id, min(subject) FILTER (WHERE norm_type = 'DEF') AS definition, bool_or(norm_type = 'DEADLINE') AS persistence,
+  list_sort(list(DISTINCT {'von': subject, 'zu': object}) FILTER (WHERE norm_type = 'MUST' AND subject IS NOT NULL AND object IS NOT NULL)) AS relations FROM svo GROUP BY chunk_id)
+LEFT JOIN (SELECT chunk_id, list_sort(list(DISTINCT text) FILTER (WHERE label = 'ROLLE')) AS entities, list_sort(list(DISTINCT text) FILTER (WHERE label = 'DATENOBJEKT')) AS attributes FROM ner GROUP BY chunk_id) USING (chunk_id)""", "svo", "ner")
 query("llm_00_prompt_batches", lambda v: statements.prompt_batches(v.svo).select("doc_id", "batch", "statements", F.md5("prompt").alias("md5")), """
 SELECT doc_id, CAST((n - 1) // 20 AS BIGINT) AS batch, count(*) AS statements, md5(string_agg(printf('SVO-%03d: %s', (n - 1) % 20 + 1, sentence), chr(10) ORDER BY n)) AS md5
 FROM (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY svo_id) AS n FROM svo WHERE norm_type = 'UNKNOWN' AND length(sentence) >= 15) GROUP BY ALL""", "svo")
@@ -323,11 +348,31 @@ query("rnk_03_set_05_top_02_rerank", _ranked, _RAG + _PARENTS + _RERANK + " SELE
 query("win_03_ctx_03_context", lambda v: retrieval.context(retrieval.within_budget(_ranked(v), 400), v.chunks).select("query_id", "used", "chunks", F.md5("context").alias("md5")), _RAG + _PARENTS + _RERANK + """
 SELECT query_id, CAST(max(used) AS BIGINT) AS used, count(*) AS chunks, md5(string_agg('[' || concat_ws(' | ', 'Q' || rank, norm_reference, upper(chunk_type), CASE WHEN doc_class = 'C' THEN 'Konfidenz: niedrig' END) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS md5
 FROM (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked) r JOIN (SELECT chunk_id, norm_reference, chunk_type, doc_class, content FROM chunks) c USING (chunk_id) WHERE used <= 400 GROUP BY query_id""")
+
+
+def _turned(v: Views) -> DataFrame:
+    """A second list of the same hits in another order, in the place of vector hits."""
+    return _text_hits(v).withColumn("rank", 13 - C("rank"))
+
+
+query("ret_07_whole_search", lambda v: retrieval.retrieved(_lookup(v), [_turned(v), _text_hits(v)], v.chunks).select("query_id", "chunk_id", "score", "direct"), _RAG + """,
+weighed AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)) * CASE doc_class WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END, 9) AS score
+  FROM (SELECT query_id, chunk_id, doc_class, rank FROM fts UNION ALL SELECT query_id, chunk_id, doc_class, 13 - rank FROM fts) GROUP BY query_id, chunk_id, doc_class),
+seen AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS score, true AS direct FROM lookup WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, score, false FROM weighed w WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.rank <= 6 AND l.query_id = w.query_id AND l.chunk_id = w.chunk_id))
+SELECT * FROM seen UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE, false FROM (SELECT DISTINCT f.query_id, c.parent_id AS chunk_id FROM seen f JOIN chunks c USING (chunk_id)
+  WHERE c.parent_id IS NOT NULL AND (c.doc_class = 'A' OR (c.doc_class = 'B' AND c.token_count > 450)) AND c.parent_id IN (SELECT chunk_id FROM chunks)) p WHERE NOT EXISTS (SELECT 1 FROM seen f WHERE f.query_id = p.query_id AND f.chunk_id = p.chunk_id)""")
+query("rnk_02_direct_hits_first", lambda v: retrieval.rerank(retrieval.retrieved(_lookup(v), [_text_hits(v)], v.chunks.withColumn("parent_id", F.lit(None).cast("long"))), v.chunks), _RAG + """,
+weighed AS (SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank) * CASE doc_class WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END, 9) AS score FROM fts),
+seen AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS score, true AS direct FROM lookup WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, score, false FROM weighed w WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.rank <= 6 AND l.query_id = w.query_id AND l.chunk_id = w.chunk_id)),
+once AS (SELECT e.*, c.confidence_weight, c.token_count, max(score) OVER w AS best, row_number() OVER (w ORDER BY chunk_id) AS r FROM seen e JOIN chunks c USING (chunk_id) WINDOW w AS (PARTITION BY query_id, md5(content))),
+pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, chunk_id) AS p FROM once WHERE r = 1) WHERE p <= 16),
+final AS (SELECT query_id, chunk_id, round(best * confidence_weight * CASE WHEN direct THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score, token_count FROM pre)
+SELECT query_id, chunk_id, score, rank, token_count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM final) WHERE rank <= 8""")
 query("emb_01_normalised", lambda v: v.vectors.select("vec_id", F.round(F.aggregate(T.normalised(C("embedding")), F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "SELECT vec_id, round(list_sum(embedding) / sqrt(list_inner_product(embedding, embedding)), 6) AS total FROM vectors", "vectors")
 query("emb_02_compute_once", lambda v: v.table("documents").select("doc_id", F.md5("text").alias("h")).join(v.table("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("computed_for")), "h").select("doc_id", "computed_for"), "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS computed_for FROM documents")
 query("emb_03_cosine", lambda v: _asked(v).join(F.broadcast(v.vectors.where("vec_id = 7").select("embedding"))).select("query_id", F.round(T.cosine(C("q"), C("embedding")), 6).alias("cosine")), "SELECT q.vec_id AS query_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS cosine FROM vectors q, vectors c WHERE q.vec_id < 5 AND c.vec_id = 7", "vectors")
 query("srt_01_ordered_limit", lambda v: v.chunks.orderBy(F.desc("token_count"), "chunk_id").limit(50).select("chunk_id", "token_count"), "SELECT chunk_id, token_count FROM chunks ORDER BY token_count DESC, chunk_id LIMIT 50", "chunks")
-query("srt_02_random_sample", lambda v: v.svo.orderBy(F.rand(42)).limit(15).select("svo_id", "sentence"))
+query("srt_02_random_sample", lambda v: v.svo.orderBy(F.md5(C("svo_id").cast("string")), "svo_id").limit(15).select("svo_id", "sentence"), "SELECT svo_id, sentence FROM svo ORDER BY md5(svo_id::VARCHAR), svo_id LIMIT 15", "svo")
 query("win_04_latest_job", lambda v: v.jobs.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "user_id", "event_type"), "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 query("snk_07_job_states", lambda v: reports.job_state(v.jobs), """
 SELECT user_id, CASE last WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'parsing' END AS status, updates, errors, CASE WHEN last IN ('purchase', 'error') THEN seconds END AS seconds FROM (
@@ -345,7 +390,16 @@ SELECT 'norm/' || doc_id AS s, unnest(['type', 'title', 'sourceType', 'docId', '
   unnest(['Norm', title, source_type, doc_id::VARCHAR, jurisdiction, valid_from::VARCHAR, '§ ' || (doc_id % 50 + 1)]) AS o FROM docs""", "docs")
 query("kg_02_svo_triples", lambda v: graph.svo_triples(v.svo, v.chunks.where(C("chunk_id") % 3 == 0)).groupBy("p").agg(n()), """
 SELECT p, count(*) AS n FROM (SELECT unnest(['type', 'subject', 'predicate', 'object', 'normType', 'confidence', 'inDocument', 'normReference']) AS p, unnest(['Statement', subject, predicate, object, norm_type, printf('%.4f', confidence), 'norm/' || doc_id, '§']) AS o FROM svo WHERE chunk_id % 3 <> 0) WHERE o IS NOT NULL GROUP BY p""", "svo")
-query("kg_03_ner_triples", lambda v: graph.ner_triples(v.ner).groupBy("p").agg(n(), F.countDistinct("s").alias("subjects")))
+query("kg_03_ner_triples", lambda v: graph.ner_triples(v.ner).groupBy("p").agg(n(), F.countDistinct("s").alias("subjects")), """
+SELECT p, n, n AS subjects FROM (SELECT unnest(['type', 'label']) AS p, (SELECT count(*) FROM (SELECT DISTINCT label, text FROM ner)) AS n
+UNION ALL SELECT unnest(['entity', 'source', 'inDocument', 'normReference']), (SELECT count(*) FROM ner))""", "ner")
+query("kg_04_exported_graphs", lambda v: graph.export_all(v.spark, {"norms": lambda: graph.norm_triples(v.docs), "svo": lambda: graph.svo_triples(v.svo), "ner": lambda: graph.ner_triples(v.ner), "lost": lambda: graph.norm_triples(v.table("region"))}).select("graph", "triples", C("error").isNotNull().alias("failed")), """
+SELECT 'norms' AS graph, (SELECT 7 * count(*) FROM docs) AS triples, false AS failed
+UNION ALL SELECT 'svo', (SELECT CAST(sum(5 + (subject IS NOT NULL)::INT + (predicate IS NOT NULL)::INT + (object IS NOT NULL)::INT) AS BIGINT) FROM svo), false
+UNION ALL SELECT 'ner', (SELECT 4 * count(*) FROM ner) + 2 * (SELECT count(*) FROM (SELECT DISTINCT label, text FROM ner)), false
+UNION ALL SELECT 'lost', 0, true""", "docs", "svo", "ner")
+query("kg_06_entities_by_label", lambda v: graph.entities_by_label(graph.ner_triples(v.ner), "ROLLE"), """
+SELECT text, '§ ' || (doc_id % 50 + 1) AS "normReference", count(*) AS frequency FROM ner WHERE label = 'ROLLE' GROUP BY 1, 2 ORDER BY frequency DESC, text, "normReference" LIMIT 30""", "ner")
 query("kg_05_joi_16_by_subject", lambda v: graph.by_subject(graph.svo_triples(v.svo), "the").select("s", "predicate", "object", "normType"), """
 SELECT 'svo/' || svo_id AS s, predicate, object, norm_type AS "normType" FROM svo WHERE lower(subject) = 'the' ORDER BY printf('%.4f', confidence) DESC, s LIMIT 50""", "svo")
 query("kg_07_joi_17_dependencies", lambda v: graph.dependencies(_triples(v)), """
@@ -361,16 +415,28 @@ query("txt_12_synonyms", lambda v: v.chunks.select("chunk_id", A.synonyms(C("con
 query("txt_13_original", lambda v: v.chunks.select("chunk_id", "content", A.abbreviations(C("content")).alias("r")).select("chunk_id", (A.original(C("r.text"), C("r.map")) == C("content")).alias("same")), "SELECT chunk_id, true AS same FROM chunks", "chunks")
 #: Rules of the query below; the operator takes any.
 _TYPES = {
-    "gesetz": {"title": [r"gesetz", r"dokument \d*0$"], "filename": [r"gesetz"], "signals": [r"§", r"abs\."], "min_paragraphs": 3, "minimum": 0.45},
-    "leitfaden": {"title": [r"leitfaden", r"dokument \d*[5-9]$"], "filename": [r"leitfaden"], "signals": [r"kann", r"hinweis"], "max_paragraphs": 2, "question_share": 0.1, "minimum": 0.45},
+    "gesetz": {"title": [r"gesetz", r"dokument \d*0$"], "filename": [r"gesetz"], "signals": [r"§", r"abs\."], "min_paragraphs": 3, "norm_structure": True, "minimum": 0.55},
+    "leitfaden": {"title": [r"leitfaden", r"dokument \d*[5-9]$"], "filename": [r"leitfaden"], "signals": [r"kann", r"hinweis"], "max_paragraphs": 2, "question_share": 0.1, "toc": True, "minimum": 0.5},
+    "lastenheft": {"title": [r"dokument \d*[34]$"], "signals": [r"anforderung"], "requirements": True, "minimum": 0.45},
 }
-query("txt_15_document_type", lambda v: chunking.rendered_documents(v.chunks).join(v.docs.select("doc_id", "title"), "doc_id").select("doc_id", extraction.document_type(C("title"), F.concat(C("title"), F.lit(".pdf")), C("text"), _TYPES).alias("kind")), """
-SELECT doc_id, CASE WHEN g >= 0.4499 AND g >= l THEN 'gesetz' WHEN l >= 0.4499 THEN 'leitfaden' ELSE 'text' END AS kind FROM (
-SELECT doc_id, CASE WHEN regexp_matches(title, '[0]$') THEN 0.4 ELSE 0 END + least(0.2, CASE WHEN contains(h, '§') THEN 0.05 ELSE 0 END + CASE WHEN contains(h, 'abs.') THEN 0.05 ELSE 0 END) + CASE WHEN p >= 3 THEN 0.1 ELSE 0 END AS g,
+
+
+def _typed(v: Views) -> DataFrame:
+    d = C("doc_id")
+    more = F.when(d % 4 == 0, " Satz 1").when(d % 4 == 3, " A-123").when(d % 3 == 2, "\nInhaltsverzeichnis").otherwise("")
+    text = chunking.rendered_documents(v.chunks).select("doc_id", F.concat("text", more).alias("text"))
+    return text.join(v.docs.select("doc_id", "title"), "doc_id").select("doc_id", extraction.document_type(C("title"), F.concat(C("title"), F.lit(".pdf")), C("text"), _TYPES).alias("kind"))
+
+
+query("txt_15_document_type", _typed, r"""
+SELECT doc_id, CASE WHEN g >= 0.5499 THEN 'gesetz' WHEN l >= 0.4999 THEN 'leitfaden' WHEN r >= 0.4499 THEN 'lastenheft' ELSE 'text' END AS kind FROM (
+SELECT doc_id, CASE WHEN regexp_matches(title, '[0]$') THEN 0.4 ELSE 0 END + least(0.2, CASE WHEN contains(h, '§') THEN 0.05 ELSE 0 END + CASE WHEN contains(h, 'abs.') THEN 0.05 ELSE 0 END) + CASE WHEN p >= 3 THEN 0.1 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '\bAbs\.\s*\d')::INT + regexp_matches(text, '\bSatz\s*\d')::INT + regexp_matches(text, '\bNr\.\s*\d')::INT >= 2 THEN 0.1 ELSE 0 END AS g,
   CASE WHEN regexp_matches(title, '[5-9]$') THEN 0.4 ELSE 0 END + least(0.2, CASE WHEN contains(h, 'kann') THEN 0.05 ELSE 0 END + CASE WHEN contains(h, 'hinweis') THEN 0.05 ELSE 0 END) + CASE WHEN p <= 2 THEN 0.05 ELSE 0 END
-    + CASE WHEN length(text) > 100 AND coalesce(q::DOUBLE / nullif(e, 0), 0) >= 0.1 THEN 0.1 ELSE 0 END AS l
-FROM (SELECT doc_id, title, text, lower(left(text, 5000)) AS h, len(regexp_extract_all(text, '§\\s*\\d+')) AS p, len(regexp_extract_all(text, '\\?')) AS q, len(regexp_extract_all(text, '[.!?]')) AS e
-  FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS text FROM chunks GROUP BY doc_id) t JOIN docs USING (doc_id)))""", "chunks", "docs")
+    + CASE WHEN length(text) > 100 AND coalesce(q::DOUBLE / nullif(e, 0), 0) >= 0.1 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(left(text, 5000), '(?im)^\s*(?:inhaltsverzeichnis|table\s+of\s+contents)\s*$') THEN 0.1 ELSE 0 END AS l,
+  CASE WHEN regexp_matches(title, '[34]$') THEN 0.4 ELSE 0 END + CASE WHEN contains(h, 'anforderung') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '\b[A-Z]-\d{3}\b') THEN 0.1 ELSE 0 END AS r
+FROM (SELECT doc_id, title, text, lower(left(text, 5000)) AS h, len(regexp_extract_all(text, '§\s*\d+')) AS p, len(regexp_extract_all(text, '\?')) AS q, len(regexp_extract_all(text, '[.!?]')) AS e
+  FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) || CASE WHEN doc_id % 4 = 0 THEN ' Satz 1' WHEN doc_id % 4 = 3 THEN ' A-123' WHEN doc_id % 3 = 2 THEN chr(10) || 'Inhaltsverzeichnis' ELSE '' END AS text FROM chunks GROUP BY doc_id) t JOIN docs USING (doc_id)))""", "chunks", "docs")
 query("txt_18_ret_01_query_plan", lambda v: extraction.query_plan(v.sentences.where(T.is_question(C("sentence"))).select((C("chunk_id") * 1000 + C("i")).alias("query_id"), C("sentence").alias("text"), F.lit("Eine Antwort.").alias("hyde"), F.lit("Allgemein?").alias("step_back"))).groupBy("kind", "strategy", "weight", "classes").agg(n()))
 query("txt_19_json_answers", lambda v: v.docs.select("doc_id", extraction.json_of(F.concat(F.lit('Antwort: ```json [{"id": "'), C("title"), F.lit('"}, {"id": '))).alias("json")), """SELECT doc_id, '[{"id": "' || title || '"}]' AS json FROM docs""", "docs")
 query("txt_23_progress", lambda v: reports.job_state(v.jobs).select("user_id", extraction.progress(C("updates"), C("updates") + C("errors"), F.lit(60)).alias("p")).select("user_id", "p.percent", "p.rate"), """
@@ -380,15 +446,21 @@ query("ans_01_generated_answers", lambda v: v.docs.select("doc_id", extraction.g
 
 
 def _tokens(v: Views) -> DataFrame:
-    """A parse by place: the second word is the root, the first its subject, the third its object, others hang on the word before."""
-    words = v.chunks.select(C("chunk_id").alias("sent_id"), F.posexplode(F.slice(F.split("content", " "), 1, 4)).alias("i", "text"))
-    dep = F.when(C("i") == 1, "ROOT").when(C("i") == 0, "sb").when(C("i") == 2, "oa").otherwise("nk")
-    return words.select("sent_id", "i", "text", F.lower("text").alias("lemma"), F.when(C("i") == 1, "VERB").otherwise("NOUN").alias("pos"), dep.alias("dep"), F.when(C("i") == 3, 2).otherwise(1).alias("head"))
+    """A parse of all words by place: the second is the root, the first its subject, the third its object with the fourth
+    below it. Then come infinitives of the root (every 7th word from the sixth on), each with an object and a noun below
+    that, and modifiers of the root."""
+    i = C("i")
+    words = v.chunks.select(C("chunk_id").alias("sent_id"), F.posexplode(F.split("content", " ")).alias("i", "text"))
+    late, place = i > 4, i % 7
+    dep = F.when(i == 1, "ROOT").when(i == 0, "sb").when(i == 2, "oa").when(i == 3, "nk").when(late & (place == 5), "oc").when(late & (place == 6), "oa").when(late & (place == 0), "nk").otherwise("mo")
+    head = F.when(i == 3, 2).when(late & place.isin(6, 0), i - 1).otherwise(1)
+    return words.select("sent_id", "i", "text", F.lower("text").alias("lemma"), F.when((i == 1) | late & (place == 5), "VERB").otherwise("NOUN").alias("pos"), dep.alias("dep"), head.alias("head"))
 
 
 query("svo_02_06_statements", lambda v: extraction.statements(_tokens(v), v.chunks.select(C("chunk_id").alias("sent_id"), C("content").alias("sentence"))).select("sent_id", "subject", "predicate", "object"), r"""
-SELECT sent_id, CASE WHEN len(w) >= 2 THEN w[1] END AS subject, w[2] AS predicate, CASE WHEN len(w) >= 3 THEN CASE WHEN len(w) >= 4 AND lower(w[3]) IN ('der', 'die', 'das', 'dem', 'den', 'des', 'ein', 'eine', 'einen', 'einem', 'einer', 'eines') THEN w[4] WHEN len(w) >= 4 THEN w[3] || ' ' || w[4] ELSE w[3] END END AS object
-FROM (SELECT chunk_id AS sent_id, string_split(content, ' ')[1:4] AS w FROM chunks) WHERE len(w) >= 2""", "chunks")
+SELECT sent_id, w[1] AS subject, array_to_string(list_concat([w[2]], list_transform(list_filter(range(6, len(w) + 1), lambda i: i % 7 = 6), lambda i: w[i])), ' ') AS predicate,
+  CASE WHEN len(o) = 2 AND lower(o[1]) IN ('der', 'die', 'das', 'dem', 'den', 'des', 'ein', 'eine', 'einen', 'einem', 'einer', 'eines') THEN o[2] WHEN len(o) > 0 THEN array_to_string(o, ' ') END AS object
+FROM (SELECT *, CASE WHEN len(w) >= 7 THEN w[7:8] ELSE w[3:4] END AS o FROM (SELECT chunk_id AS sent_id, string_split(content, ' ') AS w FROM chunks)) WHERE len(w) >= 2""", "chunks")
 
 # ---- sources and sinks
 query("src_02_content_types", lambda v: v.docs.select("doc_id", F.concat("title", pick_extension(C("doc_id"))).alias("filename")).select("doc_id", files.content_type(C("filename")).alias("content_type"), files.table_kind(C("filename")).alias("kind")), """

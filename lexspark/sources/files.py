@@ -12,7 +12,11 @@ CONTENT_TYPES = {
     "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xls": "application/vnd.ms-excel", "ods": "application/vnd.oasis.opendocument.spreadsheet",
     "odt": "application/vnd.oasis.opendocument.text", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "html": "text/html", "htm": "text/html",
-    "txt": "text/plain", "md": "text/markdown", "xml": "application/xml", "json": "application/json", "rtf": "application/rtf", "csv": "text/csv"}
+    "txt": "text/plain", "md": "text/markdown", "xml": "application/xml", "json": "application/json", "rtf": "application/rtf", "csv": "text/csv",
+    "odp": "application/vnd.oasis.opendocument.presentation", "ppt": "application/vnd.ms-powerpoint", "tsv": "text/tab-separated-values", "epub": "application/epub+zip",
+    "eml": "message/rfc822", "msg": "application/vnd.ms-outlook"}
+#: Types without a stable structure: always class C.
+FORCED_C = [CONTENT_TYPES[x] for x in ("pptx", "ppt", "odp", "eml", "msg")]
 DEFAULT_TYPE = "application/octet-stream"
 TABLE_KINDS = {"docx": "docx", "pdf": "pdf", "xlsx": "sheet", "xls": "sheet", "ods": "sheet"}
 
