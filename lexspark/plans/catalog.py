@@ -183,7 +183,8 @@ query("txt_03_04_structure_and_class", lambda v: _structured(v).select("doc_id",
       with_views("", "chunks").rstrip() + ", " + _STRUCTURED + " SELECT doc_id, paragraphs, headings, toc, doc_class FROM classed")
 query("chk_r_routed_chunks", lambda v: chunking.routed(_structured(v)).select("doc_id", "doc_class", "place", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
 query("txt_05_norm_reference", lambda v: v.chunks.select("chunk_id", T.norm_reference(C("content")).alias("reference")).where("reference is not null"))
-query("txt_06_cross_references", lambda v: v.chunks.select("chunk_id", F.array_join(T.cross_references(C("content")), ";").alias("refs")).where("refs <> ''"))
+_REFS = "list_filter(regexp_extract_all(content, '" + T.CROSS_REFERENCE + "'), lambda x, k: list_position(regexp_extract_all(content, '" + T.CROSS_REFERENCE + "'), x) = k)[1:10]"
+query("txt_06_cross_references", lambda v: v.chunks.select("chunk_id", F.array_join(T.cross_references(C("content")), ";").alias("refs")).where("refs <> ''"), f"SELECT chunk_id, array_to_string({_REFS}, ';') AS refs FROM chunks WHERE len(regexp_extract_all(content, '{T.CROSS_REFERENCE}')) > 0", "chunks")
 query("txt_07_chunk_type", lambda v: v.chunks.groupBy("chunk_type").agg(n()), "SELECT chunk_type, count(*) AS n FROM chunks GROUP BY chunk_type", "chunks")
 query("txt_08_requirement_id", lambda v: v.chunks.select("chunk_id", T.requirement_id(F.concat("content", F.lit(" REQ-0"), C("pos").cast("string"), F.lit("01"))).alias("requirement")), r"SELECT chunk_id, nullif(regexp_extract(content || ' REQ-0' || pos || '01', '\b([A-Z]{1,4}-\d{3,})\b', 1), '') AS requirement FROM chunks", "chunks")
 query("txt_09_sentences", lambda v: v.sentences.groupBy("doc_id").agg(n("sentences"), F.sum(F.length("sentence")).cast("long").alias("chars")), "SELECT doc_id, count(*) AS sentences, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM sentences GROUP BY doc_id", "sentences")
@@ -191,7 +192,9 @@ query("txt_10_content_hash", lambda v: v.table("documents").groupBy(F.md5("text"
 query("txt_14_row_prose", lambda v: v.table("customer").select("c_custkey", T.row_prose(F.array(F.lit("Kunde"), F.lit("Segment"), F.lit("")), F.array("c_name", "c_mktsegment", F.when(C("c_custkey") % 2 == 0, C("c_custkey").cast("string")))).alias("prose")), """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Kunde: ' || c_name || '; Segment: ' || c_mktsegment || '; Spalte 3: ' || c_custkey || '.' ELSE 'Kunde "' || c_name || '": Segment ist "' || c_mktsegment || '".' END AS prose FROM customer""")
 query("txt_16_query_type", lambda v: v.sentences.select("chunk_id", "i", T.query_type(C("sentence")).alias("kind")).groupBy("kind").agg(n()), "SELECT CASE WHEN regexp_matches(lower(sentence), '" + R.QUERY_NORM + "') THEN 'NORM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_IM) + "') THEN 'IM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_ENTITY) + "') THEN 'ENTITY' ELSE 'GENERAL' END AS kind, count(*) AS n FROM sentences GROUP BY 1", "sentences")
-query("txt_17_query_reference", lambda v: v.sentences.select(T.query_reference(C("sentence")).alias("reference")).where("reference is not null").groupBy("reference").agg(n()))
+_ASKED_FOR = T._QUERY_REFERENCE.replace("(?iu)", "(?i)")
+_ASKED = "concat_ws(' ', '§ ' || nullif(regexp_extract(sentence, '%s', 1), ''), 'Abs. ' || nullif(regexp_extract(sentence, '%s', 2), ''), 'Satz ' || nullif(regexp_extract(sentence, '%s', 3), ''), 'Nr. ' || nullif(regexp_extract(sentence, '%s', 4), ''), nullif(regexp_extract(sentence, '%s', 5), ''))".replace("%s", _ASKED_FOR)
+query("txt_17_query_reference", lambda v: v.sentences.select(T.query_reference(C("sentence")).alias("reference")).where("reference is not null").groupBy("reference").agg(n()), f"SELECT {_ASKED} AS reference, count(*) AS n FROM sentences WHERE regexp_matches(sentence, '{_ASKED_FOR}') GROUP BY 1", "sentences")
 query("txt_20_template", lambda v: v.docs.select("doc_id", T.render(F.lit("{{title}} ({{kind}}){{none}}"), {"title": C("title"), "kind": C("source_type")}).alias("text")), "SELECT doc_id, title || ' (' || source_type || ')' AS text FROM docs", "docs")
 query("txt_21_uri_parts", lambda v: v.docs.select("doc_id", T.uri_part(F.concat("title", F.lit(" / "), "source_type")).alias("uri"), F.format_string("%.4f", C("doc_id") / 8.0).alias("number")), r"SELECT doc_id, regexp_replace(trim(title || ' / ' || source_type), '[^\p{L}\p{N}_-]+', '_', 'g') AS uri, printf('%.4f', doc_id / 8.0) AS number FROM docs", "docs")
 query("txt_22_targets", lambda v: reports.svo_completeness(v.svo).select(T.meets_target(C("subject_percent"), 80.0).alias("subject_ok"), T.meets_target(C("avg_confidence"), 0.65).alias("confidence_ok")), "SELECT round(sum((subject IS NOT NULL)::INT)::DOUBLE * 100.0 / count(*), 1) > 80.0 AS subject_ok, round(avg(confidence), 3) > 0.65 AS confidence_ok FROM svo", "svo")
@@ -222,7 +225,8 @@ query("ner_01_word_entities", lambda v: v.ner.select("chunk_id", "i", "text", "l
 query("ner_04_05_corrected", lambda v: statements.corrected(v.ner).groupBy("text", "label").agg(n()), f"""
 SELECT text, CASE WHEN text IN ({_L(R.AGNOSTIC_OBJECTS)}) THEN 'DATENOBJEKT' {' '.join(f"WHEN text = '{k}' THEN '{x}'" for k, x in R.NER_CORRECTIONS.items())} ELSE label END AS label, count(*) AS n FROM ner WHERE confidence >= 0.5 AND text NOT IN ({_L(R.NER_BLACKLIST)}) GROUP BY ALL""", "ner")
 query("ner_06_without_references", lambda v: statements.rule_entities(v.chunks).where(~((C("label") == "GESETZ") & C("text").rlike(r"^§\s*\d+"))).groupBy("label").agg(n()))
-query("ner_07_context", lambda v: statements.context_checked(v.ner, v.chunks).groupBy("label").agg(n()))
+query("ner_07_context", lambda v: statements.context_checked(v.ner, v.chunks).groupBy("label").agg(n()), "SELECT CASE " + " ".join(f"WHEN label = '{k}' AND NOT regexp_matches(around, '({'|'.join(x.replace('.', chr(92) + '.') for x in words)})') THEN 'SONSTIGE'" for k, words in R.NER_CONTEXT.items()) + """ ELSE label END AS label, count(*) AS n
+FROM (SELECT n.*, lower(substr(content, greatest(1, instr(content, text) - 80), instr(content, text) + 80 + length(text) - greatest(1, instr(content, text) - 80))) AS around FROM ner n JOIN (SELECT chunk_id, content FROM chunks) c USING (chunk_id)) GROUP BY 1""", "ner")
 query("set_04_best_entities", lambda v: statements.best_entities(v.ner).select("chunk_id", "i", "text", "label"), "SELECT chunk_id, i, text, label FROM ner QUALIFY row_number() OVER (PARTITION BY chunk_id, lower(text), label ORDER BY confidence DESC, i) = 1", "ner")
 query("ims_01_model_signals", lambda v: statements.model_signals(v.svo, v.ner), f"""
 SELECT p.chunk_id, CASE WHEN binding THEN names END AS entities, attributes, persistence FROM (
@@ -334,7 +338,13 @@ def _links(v: Views) -> DataFrame:
     return refs.join(heads, ["doc_id", "norm_reference"]).select("chunk_id", "target").distinct()
 
 
-query("ret_09_joi_11_cross_references", lambda v: retrieval.with_cross_references(_fused(v), _links(v)))
+query("ret_09_joi_11_cross_references", lambda v: retrieval.with_cross_references(_fused(v), _links(v)), _RAG + r""",
+heads AS (SELECT doc_id, norm_reference, min(chunk_id) AS target FROM chunks WHERE hierarchy_level = 1 AND norm_reference IS NOT NULL GROUP BY ALL),
+refs AS (SELECT chunk_id, doc_id, '§ ' || regexp_extract(unnest(""" + _REFS + r"""), '(\d+)', 1) AS norm_reference FROM chunks),
+links AS (SELECT DISTINCT chunk_id, target FROM refs JOIN heads USING (doc_id, norm_reference)),
+one AS (SELECT DISTINCT query_id, target AS chunk_id FROM fused JOIN links USING (chunk_id) WHERE (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM fused)),
+two AS (SELECT DISTINCT query_id, target AS chunk_id FROM one JOIN links USING (chunk_id) WHERE (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM fused UNION ALL SELECT (query_id, chunk_id) FROM one))
+SELECT query_id, chunk_id, score FROM fused UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM one UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM two""")
 
 
 def _ranked(v: Views) -> DataFrame:
@@ -406,7 +416,12 @@ query("kg_07_joi_17_dependencies", lambda v: graph.dependencies(_triples(v)), ""
 SELECT '§ ' || (d.doc_id % 50 + 1) AS "normReference", title, n FROM docs d JOIN (SELECT doc_id % 50 AS k, count(*) AS n FROM svo GROUP BY 1) s ON s.k = d.doc_id % 50 ORDER BY n DESC, title LIMIT 50""", "svo", "docs")
 query("kg_08_impact", lambda v: graph.impact(graph.svo_triples(v.svo), "norm/3").select("s", "subject", "object", "normType"), """SELECT 'svo/' || svo_id AS s, subject, object, norm_type AS "normType" FROM svo WHERE doc_id = 3 ORDER BY s LIMIT 100""", "svo")
 query("kg_09_rdf_classes", lambda v: v.ner.groupBy(T.lookup(C("label"), R.RDF_CLASSES, "Entity").alias("class")).agg(n()), """SELECT CASE label WHEN 'BEHÖRDE' THEN 'Authority' WHEN 'ROLLE' THEN 'Role' WHEN 'DATENOBJEKT' THEN 'DataObject' END AS "class", count(*) AS n FROM ner GROUP BY 1""", "ner")
-query("snk_11_n_triples", lambda v: graph.n_triples(_triples(v)).groupBy("graph").agg(n("lines")))
+query("snk_11_n_triples", lambda v: graph.n_triples(_triples(v)).groupBy("graph").agg(n("lines"), F.sum(F.length("value")).alias("characters")), """
+SELECT graph, count(*) AS lines, CAST(sum(length(s) + length(p) + length(o) + 10) AS BIGINT) AS characters FROM (
+SELECT 'norms' AS graph, 'norm/' || doc_id AS s, unnest(['type', 'title', 'sourceType', 'docId', 'jurisdiction', 'validFrom', 'normReference']) AS p, unnest(['Norm', title, source_type, doc_id::VARCHAR, jurisdiction, valid_from::VARCHAR, '§ ' || (doc_id % 50 + 1)]) AS o FROM docs
+UNION ALL SELECT 'svo', 'svo/' || svo_id, unnest(['type', 'subject', 'predicate', 'object', 'normType', 'confidence', 'inDocument', 'normReference']), unnest(['Statement', replace(subject, '"', '""'), replace(predicate, '"', '""'), replace(object, '"', '""'), norm_type, printf('%.4f', confidence), 'norm/' || doc_id, '§ ' || (doc_id % 50 + 1)]) FROM svo
+UNION ALL SELECT 'ner', 'entity/' || label || '/' || text, unnest(['type', 'label']), unnest([CASE label WHEN 'BEHÖRDE' THEN 'Authority' WHEN 'ROLLE' THEN 'Role' WHEN 'DATENOBJEKT' THEN 'DataObject' ELSE 'Entity' END, text]) FROM (SELECT DISTINCT label, text FROM ner)
+UNION ALL SELECT 'ner', 'occurrence/' || chunk_id || '/' || i, unnest(['entity', 'source', 'inDocument', 'normReference']), unnest(['entity/' || label || '/' || text, source, 'norm/' || doc_id, '§ ' || (doc_id % 50 + 1)]) FROM ner) WHERE o IS NOT NULL GROUP BY graph""", "docs", "svo", "ner")
 
 # ---- abbreviations, document types, answers, progress
 query("txt_11_abbreviations", lambda v: v.chunks.select("chunk_id", A.abbreviations(C("content")).alias("r")).select("chunk_id", F.size("r.map").cast("long").alias("replaced"), F.length("r.text").cast("long").alias("chars")).where("replaced > 0"), r"""
@@ -437,7 +452,11 @@ SELECT doc_id, CASE WHEN regexp_matches(title, '[0]$') THEN 0.4 ELSE 0 END + lea
   CASE WHEN regexp_matches(title, '[34]$') THEN 0.4 ELSE 0 END + CASE WHEN contains(h, 'anforderung') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '\b[A-Z]-\d{3}\b') THEN 0.1 ELSE 0 END AS r
 FROM (SELECT doc_id, title, text, lower(left(text, 5000)) AS h, len(regexp_extract_all(text, '§\s*\d+')) AS p, len(regexp_extract_all(text, '\?')) AS q, len(regexp_extract_all(text, '[.!?]')) AS e
   FROM (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) || CASE WHEN doc_id % 4 = 0 THEN ' Satz 1' WHEN doc_id % 4 = 3 THEN ' A-123' WHEN doc_id % 3 = 2 THEN chr(10) || 'Inhaltsverzeichnis' ELSE '' END AS text FROM chunks GROUP BY doc_id) t JOIN docs USING (doc_id)))""", "chunks", "docs")
-query("txt_18_ret_01_query_plan", lambda v: extraction.query_plan(v.sentences.where(T.is_question(C("sentence"))).select((C("chunk_id") * 1000 + C("i")).alias("query_id"), C("sentence").alias("text"), F.lit("Eine Antwort.").alias("hyde"), F.lit("Allgemein?").alias("step_back"))).groupBy("kind", "strategy", "weight", "classes").agg(n()))
+query("txt_18_ret_01_query_plan", lambda v: extraction.query_plan(v.sentences.where(T.is_question(C("sentence"))).select((C("chunk_id") * 1000 + C("i")).alias("query_id"), C("sentence").alias("text"), F.lit("Eine Antwort.").alias("hyde"), F.lit("Allgemein?").alias("step_back"))).groupBy("kind", "strategy", "weight", "classes").agg(n()), f"""
+SELECT kind, strategy, weight, CASE WHEN kind = 'NORM' THEN 'A' WHEN kind IN ('IM', 'ENTITY') THEN 'A,B' END AS classes, count(*) AS n FROM (
+SELECT kind, unnest(['direct', 'hyde', 'step_back']) AS strategy, unnest([1.0::DOUBLE, 0.8::DOUBLE, 0.6::DOUBLE]) AS weight, unnest([true, NOT referred, kind = 'NORM']) AS used FROM (
+SELECT CASE WHEN regexp_matches(lower(sentence), '{R.QUERY_NORM}') THEN 'NORM' WHEN regexp_matches(lower(sentence), '{R.bordered(R.QUERY_IM)}') THEN 'IM' WHEN regexp_matches(lower(sentence), '{R.bordered(R.QUERY_ENTITY)}') THEN 'ENTITY' ELSE 'GENERAL' END AS kind,
+  regexp_matches(sentence, '{_ASKED_FOR}') AS referred FROM sentences WHERE length(sentence) BETWEEN 10 AND 300 AND ends_with(rtrim(sentence, ' '), '?'))) WHERE used GROUP BY ALL""", "sentences")
 query("txt_19_json_answers", lambda v: v.docs.select("doc_id", extraction.json_of(F.concat(F.lit('Antwort: ```json [{"id": "'), C("title"), F.lit('"}, {"id": '))).alias("json")), """SELECT doc_id, '[{"id": "' || title || '"}]' AS json FROM docs""", "docs")
 query("txt_23_progress", lambda v: reports.job_state(v.jobs).select("user_id", extraction.progress(C("updates"), C("updates") + C("errors"), F.lit(60)).alias("p")).select("user_id", "p.percent", "p.rate"), """
 SELECT user_id, round(count(*) * 100.0::DOUBLE / (count(*) + sum((event_type = 'error')::INT)), 1) AS percent, round(count(*)::DOUBLE / 60, 3) AS rate FROM events GROUP BY user_id""")
@@ -465,7 +484,10 @@ FROM (SELECT *, CASE WHEN len(w) >= 7 THEN w[7:8] ELSE w[3:4] END AS o FROM (SEL
 # ---- sources and sinks
 query("src_02_content_types", lambda v: v.docs.select("doc_id", F.concat("title", pick_extension(C("doc_id"))).alias("filename")).select("doc_id", files.content_type(C("filename")).alias("content_type"), files.table_kind(C("filename")).alias("kind")), """
 SELECT doc_id, (['application/pdf', 'text/plain', 'application/vnd.ms-excel', 'application/octet-stream'])[doc_id % 4 + 1] AS content_type, (['pdf', NULL, 'sheet', NULL])[doc_id % 4 + 1] AS kind FROM docs""", "docs")
-query("src_03_html_text", lambda v: v.table("pages").select("page_id", F.md5(files.html_text(C("html"))).alias("md5")))
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)</(p|div|li|h[1-6]|tr)>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _VISIBLE = f"replace({_VISIBLE}, '{_entity}', '{_char}')"
+query("src_03_html_text", lambda v: v.table("pages").select("page_id", F.md5(files.html_text(C("html"))).alias("md5")), f"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_VISIBLE}, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS md5 FROM pages")
 query("src_04_joined_parts", lambda v: v.table("documents").select("doc_id", F.md5(files.joined_parts(F.split("text", "\n"))).alias("md5")), r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10) || chr(10))) AS md5 FROM documents")
 query("src_10_chunk_scan", lambda v: v.chunks.where(C("doc_class").isin("A", "B") & (C("token_count") >= 10)).select("chunk_id", "doc_class", "token_count"), "SELECT chunk_id, doc_class, token_count FROM chunks WHERE doc_class IN ('A', 'B') AND token_count >= 10", "chunks")
 query("src_13_bundle_jobs", lambda v: files.bundle_jobs(v.table("region").select(C("r_regionkey").alias("bundle_id"), F.sequence(C("r_regionkey") * 40, C("r_regionkey") * 60).alias("doc_ids")), v.docs.where("doc_id % 9 <> 0")), """

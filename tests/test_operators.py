@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import abbreviations as A
+from lexspark.functions import rules as R
 from lexspark.functions import text as T
 from lexspark.operators import chunking, extraction, retrieval, statements
 from lexspark.sources import files, sinks
@@ -212,3 +213,13 @@ def test_landing_stream(spark, tmp_path):
     stream = landing.documents(spark, str(tmp_path / "in"), events.schema)
     landing.start(stream, lambda b: landing.job_windows(b), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert sorted((r["event_type"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("error", 1), ("view", 2)]
+
+
+def test_rule_entities_against_brute_force(spark):
+    texts = ["Binnen zwei Wochen gilt § 12a Abs. 3 Satz 2 und Art. 5 TierSchG, unverzüglich.", "Die Übertragung nach BGB erfolgt innerhalb von drei Tagen; 14 Tage Frist, § 3", "", None, "übung, Größe, Weg."]
+    got = statements.rule_entities(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")).collect()
+    want = []
+    for k, text in enumerate(texts):
+        for label, patterns in R.NER_REGEX.items():
+            want += [(k, label, i, m[0]) for i, m in enumerate(re.finditer("|".join(f"(?:{p})" for p in patterns), text or "", re.I))]
+    assert sorted((r["chunk_id"], r["label"], r["i"], r["text"]) for r in got) == sorted(want)
