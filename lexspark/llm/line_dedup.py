@@ -71,9 +71,9 @@ def signatures(every: DataFrame) -> DataFrame:
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """bucket, h, g, one, members: the lines of all buckets of several lines, with the bucket's chosen line."""
+    """bucket, h, one, members: the lines of all buckets of several lines, with the bucket's chosen line."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)])
-    rows = signed.select("h", "g", F.explode(keys).alias("bucket")).repartition(partitions(signed.sparkSession), "bucket")
+    rows = signed.select("h", F.explode(keys).alias("bucket")).repartition(partitions(signed.sparkSession), "bucket")
     each = rows.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket")).alias("one"), F.count("*").alias("members")).where("members > 1")
     return rows.join(each.hint("shuffle_hash"), "bucket")  # few buckets hold several lines
 
@@ -87,17 +87,23 @@ def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
     """h, g, line: the lines of some h. A line that stands very often is dealt to several tasks."""
     salted = wanted.select("h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = every.select("h", "g", "line", F.pmod(F.hash("d", "pos"), F.lit(SALT)).alias("salt"))
-    return rows.join(salted, ["h", "salt"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
+    return rows.join(salted.hint("shuffle_hash"), ["h", "salt"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """h, g, shingles (distinct hashes), n (their number), bits (a bit that each shingle's hash names, in WORDS longs)."""
-    rows = shingled(texts, 1)
-    sets = rows.groupBy("h", "g").agg(F.collect_set("s0").alias("shingles"))
+    """h, g, shingles (distinct hashes), n (their number)."""
+    b = F.encode("line", "UTF-32")
+    bound = F.array(F.struct(b.alias("b"), F.greatest(F.lit(0), F.length(b) / 4 - SHINGLE).cast("int").alias("last")))  # so that it is encoded once
+    each = F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda at: F.xxhash64(F.substring(x["b"], at * 4 + 1, F.lit(4 * SHINGLE)))))
+    return texts.select("h", "g", F.array_distinct(F.get(each, F.lit(0))).alias("shingles")).withColumn("n", F.size("shingles"))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """h, g, bits: WORDS longs, in which every shingle sets the bit that its hash names."""
     word = F.shiftright("s0", 6).bitwiseAND(F.lit(WORDS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s0").bitwiseAND(F.lit(63)).cast("int"))
-    words = rows.groupBy("h", "g").agg(*[F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
-    return sets.join(words, ["h", "g"]).select("h", "g", "shingles", F.size("shingles").alias("n"), F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
+    words = shingled(texts, 1).groupBy("h", "g").agg(*[F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    return words.select("h", "g", F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
 
 def _enough(common: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -118,9 +124,9 @@ def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("a", "u", "a"), "a").join(side("b", "v", "b"), "b")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs that bitmaps do not rule out."""
-    both = _sides(pairs, sets, "n", "bits")
+def possible(pairs: DataFrame, maps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs that bitmaps do not rule out. maps: h, g, n, bits."""
+    both = _sides(pairs, maps, "n", "bits")
     return both.where(_possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), similarity)).select("a", "b").distinct()
 
 
@@ -130,17 +136,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.where(_enough(F.size(F.array_intersect("shingles_a", "shingles_b")), F.col("n_a"), F.col("n_b"), similarity)).select("u", "v")
 
 
-def crossing(bucketed: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def crossing(bucketed: DataFrame, roots: DataFrame, maps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of lines of one bucket in different components that may be similar, each from one of its buckets.
 
     Pairs with the chosen line are known already.
     """
-    known = roots.select("node.h", "node.g", "component")
-    rows = bucketed.where("members > 2 and h <> one").select("bucket", "h", "g").join(known, ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
+    lines = maps.select("h", "g", "n", "bits").join(roots.select("node.h", "node.g", "component"), ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
+    rows = bucketed.where("members > 2 and h <> one").select("bucket", "h").join(lines.select("h", "g", "component"), "h")
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("least <> most")
-    rows = written(rows.join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed")
+    rows = written(rows.select("bucket", "h", "g").join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed")
     own = rows.groupBy("h", "g").agg(F.collect_set("bucket").alias("buckets"))  # one per band at most
-    rows = rows.join(own, ["h", "g"]).join(sets.select("h", "g", "n", "bits"), ["h", "g"])
+    rows = rows.join(own, ["h", "g"]).join(lines, ["h", "g"])
     dealt = rows.withColumn("chunk", F.pmod(F.hash("h", "g"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     key = ["bucket", "low", "high"]
@@ -157,11 +163,13 @@ def crossing(bucketed: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
     return both.where(once & apart & may & first).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
 
 
-def joined_components(bucketed: DataFrame, sets: DataFrame) -> DataFrame:
+def joined_components(bucketed: DataFrame, texts: DataFrame) -> DataFrame:
     """node, component: those of the first pass, made one where a pair of a bucket links them."""
-    first = verified(written(possible(candidates(bucketed), sets), "line-pairs"), sets)
+    sets = written(shingle_sets(texts), "line-sets")
+    maps = written(bitmaps(texts).join(sets.select("h", "g", "n"), ["h", "g"]), "line-bitmaps")
+    first = verified(written(possible(candidates(bucketed), maps), "line-pairs"), sets)
     roots = written(components(first, "line-components"), "line-roots")
-    links = written(verified(written(crossing(bucketed, roots, sets), "line-crossing"), sets), "line-links")
+    links = written(verified(written(crossing(bucketed, roots, maps), "line-crossing"), sets), "line-links")
     if links.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components")
@@ -186,8 +194,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     """The same columns and rows, with `text` (and n_chars) of the lines that stay."""
     every = lines(documents.select("doc_id", "text"))
     bucketed = written(buckets(signatures(every)), "line-buckets")
-    sets = written(shingle_sets(written(line_texts(bucketed, every), "line-texts")), "line-sets")
-    roots = joined_components(bucketed, sets)
+    roots = joined_components(bucketed, written(line_texts(bucketed, every), "line-texts"))
     places = written(kept(first_places(every), roots), "line-places")
     doc, d, stay = (free(documents, x) for x in ("doc_of_places", "text_of_places", "places"))
     places = places.select(F.col("doc").alias(doc), F.col("d").alias(d), F.col("kept").alias(stay))
