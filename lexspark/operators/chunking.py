@@ -150,17 +150,19 @@ def class_c(documents: DataFrame) -> DataFrame:
     mean = F.aggregate(first, F.lit(0).cast("long"), lambda a, x: a + T.token_estimate(x)) / F.size(first)
     size = F.greatest(F.lit(3), F.least(F.lit(10), F.floor(F.lit(WINDOW_TOKENS) / mean))).cast("int")
     overlap = F.greatest(F.lit(1), F.floor(F.size("s") * F.lit(OVERLAP))).cast("int")
-    # characters up to each sentence, so that a window's size needs no joined text
-    ends = F.aggregate("s", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    rows = s.select("doc_id", "s", size.alias("size"), overlap.alias("overlap"), ends.alias("ends"))
+    rows = s.select("doc_id", "s", size.alias("size"), overlap.alias("overlap"), F.transform("s", lambda x: F.length(x)).alias("lengths"))
     count = F.size("s")
 
     def grown(at: Column) -> Column:
-        """The window from `at`: the usual size, or more until it has the least number of tokens or reaches the end."""
-        low = F.least(F.col("size"), count - at)
-        chars = lambda k: F.get("ends", at + k) - F.get("ends", at) + k - 1
-        fits = F.filter(F.sequence(low, count - at), lambda k: (F.floor(chars(k) / 4) >= LEAST_TOKENS) | (at + k >= count))
-        return F.get(fits, F.lit(0))
+        """The window from `at`: the usual size, or more until it has the least number of tokens or reaches the end.
+
+        A further sentence adds two characters at least, so a bounded number of sizes is tried.
+        """
+        low, rest = F.least(F.col("size"), count - at), count - at
+        chars = lambda k: F.aggregate(F.slice("lengths", at + 1, k), F.lit(0), lambda a, x: a + x) + k - 1
+        enough = lambda k: (F.floor(chars(k) / 4) >= LEAST_TOKENS) | (k >= rest)
+        more = F.filter(F.sequence(low, F.least(rest, low + 2 * LEAST_TOKENS)), enough)
+        return F.when(enough(low), low).otherwise(F.get(more, F.lit(0)))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,k:int>>").alias("out"))
 
