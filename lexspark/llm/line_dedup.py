@@ -6,7 +6,8 @@ taken per distinct line. Only these leave the tasks that read the texts. A band
 them are in just one band (the lines of the affine plane of order 3), so that few orders give many bands: a pair of
 similarity 0.8 meets in one of them with a chance of 0.990. Candidates are all pairs of a band's bucket. First each line
 of a bucket is compared with one line of it, another in every band, and a distributed union-find over the pairs that
-pass names the components. Then all pairs of a bucket that still lie in different components are compared, by salted
+pass names the components. STARS - 1 times more, lines are compared with another line of their bucket if that lies in
+another component. So large families come together at linear cost. Then all pairs of a bucket that still lie in different components are compared, by salted
 pairs of chunks in separate tasks, and the components they link become one. Only the texts of candidates are fetched.
 A pair is ruled out if the bitmaps of its shingle sets show that too much is missing on one side, a bound that never
 rules out a similar pair; for the others the exact Jaccard similarity of the whole shingle sets decides. Of each component the first line by (doc_id, text,
@@ -35,6 +36,8 @@ STRIDE = 4
 #: Bands of three orders each: the points of the lines of the affine plane of order 3.
 BANDS = [tuple(3 * x + (m * x + c) % 3 for x in range(3)) for m in range(3) for c in range(3)] + [(3 * c, 3 * c + 1, 3 * c + 2) for c in range(3)]
 FUNCTIONS = 9
+#: Lines of a bucket that all others are compared with, one after the other, before pairs are.
+STARS = 3
 #: Parts that the occurrences of a line are dealt to when its text is fetched.
 SALT = 8
 #: Lines of a chunk. A task of the second pass compares two chunks at a time.
@@ -136,12 +139,25 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.where(_enough(F.size(F.array_intersect("shingles_a", "shingles_b")), F.col("n_a"), F.col("n_b"), similarity)).select("u", "v")
 
 
-def crossing(bucketed: DataFrame, roots: DataFrame, maps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def placed(maps: DataFrame, roots: DataFrame) -> DataFrame:
+    """h, g, n, bits, component of all candidates: a line without a link is a component of its own."""
+    known = roots.select("node.h", "node.g", "component")
+    return maps.select("h", "g", "n", "bits").join(known, ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
+
+
+def other_stars(bucketed: DataFrame, lines: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs a < b of h: every line of a bucket with one line of it, chosen by the turn, in another component."""
+    rows = bucketed.where("members > 2").select("bucket", "h").join(lines.select("h", "component"), "h")
+    chosen = rows.groupBy("bucket").agg(F.min_by(F.struct("h", "component"), F.xxhash64("h", "bucket", F.lit(turn))).alias("c"))
+    apart = rows.join(chosen, "bucket").where("component <> c.component and h <> c.h")
+    return apart.select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b")).distinct()
+
+
+def crossing(bucketed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of lines of one bucket in different components that may be similar, each from one of its buckets.
 
     Pairs with the chosen line are known already.
     """
-    lines = maps.select("h", "g", "n", "bits").join(roots.select("node.h", "node.g", "component"), ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
     rows = bucketed.where("members > 2 and h <> one").select("bucket", "h").join(lines.select("h", "g", "component"), "h")
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("least <> most")
     rows = written(rows.select("bucket", "h", "g").join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed")
@@ -164,15 +180,18 @@ def crossing(bucketed: DataFrame, roots: DataFrame, maps: DataFrame, similarity:
 
 
 def joined_components(bucketed: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, component: those of the first pass, made one where a pair of a bucket links them."""
+    """node, component: those of stars, made one where a pair of a bucket links them."""
     sets = written(shingle_sets(texts), "line-sets")
     maps = written(bitmaps(texts).join(sets.select("h", "g", "n"), ["h", "g"]), "line-bitmaps")
     first = verified(written(possible(candidates(bucketed), maps), "line-pairs"), sets)
     roots = written(components(first, "line-components"), "line-roots")
-    links = written(verified(written(crossing(bucketed, roots, maps), "line-crossing"), sets), "line-links")
-    if links.isEmpty():
-        return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components")
+    for turn in range(1, STARS + 1):
+        lines = placed(maps, roots)
+        pairs = possible(other_stars(bucketed, lines, turn), maps) if turn < STARS else crossing(bucketed, lines)
+        links = written(verified(written(pairs, "line-pairs"), sets), "line-links")
+        if not links.isEmpty():
+            roots = written(components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components"), "line-roots")
+    return roots
 
 
 def kept(places: DataFrame, roots: DataFrame) -> DataFrame:
