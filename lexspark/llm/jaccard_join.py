@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 TREES, DEPTH = 10, 5
 RECALL = 0.999
 #: Texts of a chunk. A task compares two chunks.
-CHUNK = 512
+CHUNK = 1024
 #: Two texts of this similarity to a third are links of similarity SIMILARITY: 1 - 2 * (1 - 0.9) = 0.8.
 TIGHT = 0.9
 
