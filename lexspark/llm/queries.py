@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, topk, url_filter
+from lexspark.llm import bit_codes, bpe_model, divergence, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, topk, url_filter, whitening
 from lexspark.llm.common import shared_dir, table
 from lexspark.llm.tokens import vocabulary_path
 
@@ -53,6 +53,18 @@ def op10_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_model.query(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.query(table(spark, sf_dir, "documents"))
+
+
+def op13_rotated_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_codes.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,7 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sum_of_squares_packing,
         op9_content_defined_fingerprints,
         op10_byte_bpe_codec,
+        op11_tsqr_whitening,
+        op12_source_divergence,
+        op13_rotated_bit_codes,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_temporal_url_filter": url_filter.ORACLE_SQL, "op7_block_pruned_top_k": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_temporal_url_filter": url_filter.ORACLE_SQL, "op7_block_pruned_top_k": topk.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
