@@ -2,63 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
+from lexspark.sources.shared import written
 
-#: Queries that are broadcast to the chunks; beyond it they are joined block by block.
-BROADCAST_QUERIES = 1000
+#: Bytes of query vectors, and of their best scores, that a task holds: the queries of a block.
+BLOCK_BYTES = 64 << 20
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, thresholds: dict[str, float], k: int = R.TOP_PER_CLASS) -> DataFrame:
-    """query_id, chunk_id, doc_class, score, rank: the k most similar chunks per query and class above its threshold.
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.sqrt((m * m).sum(axis=1))[:, None]
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    Inputs: query_id, q; chunk_id, doc_class, v. Queries are sent to the chunks in blocks whose number is checked, each
-    of a bounded number of rows, so no side of unknown size is broadcast.
-    """
-    least = T.lookup(F.col("doc_class"), {k_: str(v) for k_, v in thresholds.items()}).cast("double")
-    asked = queries.select("query_id", T.normalised(F.col("q")).alias("q"))
-    unit = chunks.where("v is not null").select("chunk_id", "doc_class", T.normalised(F.col("v")).alias("v"))
-    n = -(-asked.count() // BROADCAST_QUERIES)
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n))).cast("int"))
-    out = None
-    for b in range(max(1, n)):
-        pairs = unit.join(F.broadcast(blocks.where(F.col("block") == b).drop("block")))  # BROADCAST_QUERIES rows, about
-        dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        scored = pairs.select("query_id", "chunk_id", "doc_class", F.round(dot, 6).alias("score")).where(F.col("score") >= least)
-        out = scored if out is None else out.unionByName(scored)
-    order = Window.partitionBy("query_id", "doc_class").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def _best_of_task(names: np.ndarray, queries: np.ndarray, classes: list[str], least: np.ndarray, k: int):
+    """Over batches of (chunk_id, doc_class, v), the k best chunks of each query and class, in a matrix of k columns."""
 
-def terms(text: str):
-    """Lower-cased words of a text column, as an array."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = queries.shape[1]
+        best = np.full((len(classes), len(names), k), -np.inf)
+        found = np.zeros(best.shape, np.int64)
+        for batch in batches:
+            ids, kinds = batch.column(0).to_numpy(), np.array([classes.index(c) for c in batch.column(1).to_pylist()], int)
+            score = np.round(queries @ _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)).T, 6)
+            for c in np.unique(kinds):
+                own = np.where(score[:, kinds == c] >= least[c], score[:, kinds == c], -np.inf)
+                some = np.flatnonzero(own.max(axis=1) >= best[c, :, -1])
+                every = np.hstack([best[c][some], own[some]])
+                id_of = np.hstack([found[c][some], np.broadcast_to(ids[kinds == c], own[some].shape)])
+                top = np.lexsort((id_of, -every), axis=1)[:, :k]
+                best[c][some], found[c][some] = np.take_along_axis(every, top, 1), np.take_along_axis(id_of, top, 1)
+        c, q, _ = some = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(names[q]), "chunk_id": pa.array(found[some]), "doc_class": pa.array(np.array(classes, object)[c], pa.string()), "score": pa.array(best[some])})
 
+    return run
 
-def full_text_search(queries: DataFrame, chunks: DataFrame, k: int = R.TOP_PER_CLASS) -> DataFrame:
-    """Chunks that hold all the words of a query, by the sum of their frequencies over the chunk's words; k per class."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    words = chunks.select("chunk_id", "doc_class", terms("content").alias("w"))
-    every = words.select("chunk_id", "doc_class", F.size("w").alias("length"), F.explode("w").alias("term"))
-    index = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "doc_class", "length", "term").agg(F.count("*").alias("tf"))  # only words that are asked for
-    hits = index.join(asked, "term").groupBy("query_id", "chunk_id", "doc_class", "length").agg(F.count("*").alias("found"), F.sum("tf").alias("tf")).join(sizes, "query_id").where("found = wanted")
-    scored = hits.select("query_id", "chunk_id", "doc_class", F.round(F.col("tf") / F.col("length"), 6).alias("score"))
+
+def vector_search(queries: DataFrame, chunks: DataFrame, thresholds: dict[str, float], k: int = R.TOP_PER_CLASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, chunk_id, doc_class, score, rank: the k most similar chunks per query and class at or above its threshold.
+
+    Inputs: query_id, q; chunk_id, doc_class, v. Query vectors go in blocks of about block_bytes, with their best scores,
+    to tasks that hold each Arrow batch of chunks as a matrix; a task hands on k rows per query and class at most, so
+    chunks are not shuffled. Vectors of the queries' most frequent length are compared; null vectors and classes without
+    a threshold take no part.
+    """
+    classes, schema = sorted(thresholds), "query_id long, chunk_id long, doc_class string, score double"
+    asked = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), F.transform("q", lambda x: x.cast("double")).alias("q"))
+    sizes = asked.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if not sizes or not sizes["d"]:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    d, many = sizes
+    asked, blocks = asked.where(F.size("q") == d), -(-many * (d + 2 * k * len(classes)) * 8 // block_bytes)
+    vectors = chunks.where(F.col("doc_class").isin(classes) & (F.size("v") == d)).select(F.col("chunk_id").cast("long"), "doc_class", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    out = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about block_bytes
+        if rows:
+            run = _best_of_task(np.array([r[0] for r in rows]), _unit(np.array([r[1] for r in rows])), classes, np.array([thresholds[c] for c in classes]), k)
+            scored = vectors.mapInArrow(run, schema)
+            out = scored if out is None else out.unionByName(scored)
     order = Window.partitionBy("query_id", "doc_class").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def direct_lookup(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFrame:
     """Chunks whose reference is or starts with the query's (1.0); where there are none, those with its number (0.9)."""
     asked = queries.select("query_id", "reference", F.regexp_extract("reference", r"(\d+)", 1).alias("number"))
     keyed = chunks.where("norm_reference is not null").select("chunk_id", "hierarchy_level", "norm_reference", F.regexp_extract("norm_reference", r"(\d+)", 1).alias("number"))
-    same = keyed.join(asked, "number")
-    exact = same.where(F.ilike("norm_reference", F.concat("reference", F.lit("%")))).withColumn("score", F.lit(1.0))
-    fuzzy = same.join(exact.select("query_id").distinct(), "query_id", "left_anti").withColumn("score", F.lit(0.9))
-    rows = exact.unionByName(fuzzy)
+    same = keyed.join(asked, "number").withColumn("exact", F.ilike("norm_reference", F.concat("reference", F.lit("%"))))
+    rows = same.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query_id"))).where("exact or not any_exact").withColumn("score", F.when(F.col("exact"), 1.0).otherwise(0.9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hierarchy_level", "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
@@ -78,9 +97,10 @@ def first_seen(rows: DataFrame, ordinal: str) -> DataFrame:
 
 
 def with_parents(found: DataFrame, chunks: DataFrame, tokens: int = 450) -> DataFrame:
-    """Adds parents not yet found, score 0: always of class A, of class B for long chunks."""
-    tree = chunks.select("chunk_id", "parent_id", "doc_class", "token_count")
-    wanted = found.join(tree, "chunk_id").where("parent_id is not null").where((F.col("doc_class") == "A") | ((F.col("doc_class") == "B") & (F.col("token_count") > tokens)))
+    """Adds parents not yet found, score 0: always of class A, of class B for long chunks and for tables."""
+    tree = chunks.select("chunk_id", "parent_id", "doc_class", "token_count", "chunk_type")
+    kept = (F.col("doc_class") == "A") | ((F.col("doc_class") == "B") & ((F.col("token_count") > tokens) | (F.col("chunk_type") == "tabelle")))
+    wanted = found.join(tree, "chunk_id").where("parent_id is not null").where(kept)
     parents = wanted.select("query_id", F.col("parent_id").alias("chunk_id")).distinct().join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     new = parents.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return found.select("query_id", "chunk_id", "score").unionByName(new.select("query_id", "chunk_id", F.lit(0.0).alias("score")))
@@ -101,6 +121,7 @@ def retrieved(lookup: DataFrame, lists: list[DataFrame], chunks: DataFrame, link
     lookup: query_id, chunk_id, score of direct hits. lists: vector and full-text hits, with query_id, chunk_id, doc_class,
     rank. Per query and class the lists are fused and weighted by class. Direct hits come before class A, then B, then C,
     and a chunk counts where it is first seen. Then come parents, and with `links` the chunks that ones of class A refer to.
+    What the searches have found is written once, a bounded number of rows per query, and expanded from there.
     """
     every = lists[0].select("query_id", "chunk_id", "doc_class", "rank")
     for more in lists[1:]:
@@ -108,13 +129,13 @@ def retrieved(lookup: DataFrame, lists: list[DataFrame], chunks: DataFrame, link
     weight = T.lookup(F.col("doc_class"), {c: str(w) for c, w in R.CLASS_WEIGHTS.items()}, "1.0").cast("double")
     fused = every.groupBy("query_id", "chunk_id", "doc_class").agg(F.sum(1.0 / (k + F.col("rank"))).alias("sum"))
     fused = fused.select("query_id", "chunk_id", F.round(F.col("sum") * weight, 9).alias("score"), F.col("doc_class").alias("turn"))
-    seen = first_seen(lookup.select("query_id", "chunk_id", "score", F.lit("").alias("turn")).unionByName(fused), "turn")
+    seen = written(first_seen(lookup.select("query_id", "chunk_id", "score", F.lit("").alias("turn")).unionByName(fused), "turn"), "search-hits")
     found = with_parents(seen, chunks)
     if links is not None:
-        class_a = chunks.where("doc_class = 'A'").select("chunk_id")
-        reached = with_cross_references(found.join(class_a, "chunk_id", "left_semi"), links)
-        found = found.unionByName(reached.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
-    direct = lookup.select("query_id", "chunk_id", F.lit(True).alias("direct")).distinct()
+        found = written(found.join(chunks.select("chunk_id", "doc_class"), "chunk_id", "left"), "search-parents")
+        reached = with_cross_references(found.where("doc_class = 'A'"), links)
+        found = found.drop("doc_class").unionByName(reached.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
+    direct = seen.where("turn = ''").select("query_id", "chunk_id", F.lit(True).alias("direct"))
     return found.join(direct, ["query_id", "chunk_id"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
 
 

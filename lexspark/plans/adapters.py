@@ -18,6 +18,8 @@ MARKERS = [
     "Der Halter muss dies anmelden.", "Dies darf nicht erfolgen.", "Dies erfolgt binnen 2 Wochen.", "Halter im Sinne dieses Gesetzes sind Personen.",
     "Die Aufsicht obliegt der Gemeinde.", "Hunde sind ausgenommen.", "Die Behörde kann nach § 5 Abs. 2 Ausnahmen erteilen.", "Wer ist hier zuständig?",
     "Die Meldung nach DSGVO und § 9 ist zu prüfen.", "", "", ""]
+#: Asked of every other document of the query set; the others are asked for two words of their own.
+QUESTIONS = ["Muss der Halter anmelden?", "Aufsichten der Gemeinden", "Ausnahme der Behörden", "Meldungen zur DSGVO", "ausgenommener Hund"]
 ABBREVIATIONS = [["DSGVO", "BGB"], ["DSGVO"], [], ["BSI", "BGB", "DSGVO"]]
 
 
@@ -57,7 +59,8 @@ class Views:
             F.when(p % 4 != 0, key - p % 4).alias("parent_id"), content.alias("content"), F.when(kind == "A", F.concat(F.lit("§ "), para.cast("string"))).alias("norm_reference"),
             (p % 7 != 0).alias("has_embedding"),
             F.element_at(F.array(*[F.array(*[F.lit(x) for x in a]).cast("array<string>") for a in ABBREVIATIONS]), (d % 4 + 1).cast("int")).alias("abbrevs"))
-        return rows.withColumn("token_count", T.token_estimate(F.col("content"))).withColumn("chunk_type", T.chunk_type(F.col("content"))).withColumn(
+        kind = F.when((F.col("doc_class") == "B") & F.contains("content", F.lit("|")), "tabelle").otherwise(T.chunk_type(F.col("content")))
+        return rows.withColumn("token_count", T.token_estimate(F.col("content"))).withColumn("chunk_type", kind).withColumn(
             "confidence_weight", F.when(F.col("doc_class") == "A", 1.0).when(F.col("doc_class") == "B", 0.85).otherwise(0.65))
 
     @cached_property
@@ -104,6 +107,19 @@ class Views:
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", pick(["A", "B", "C"], F.col("label") % 3).alias("doc_class"), "embedding")
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """The query set: every document whose id is divisible by 20, with a text, a reference and a vector."""
+        d = F.col("doc_id")
+        own = F.regexp_extract("text", r"^\S+\s+(\S+\s+\S+)", 1)
+        rows = self.table("documents").where(d % 20 == 0).select(d.alias("query_id"), F.when(d % 40 == 0, pick(QUESTIONS, F.floor(d / 40) % 5)).otherwise(own).alias("text"), F.concat(F.lit("§ "), (d % 50 * 4 + 1).cast("string")).alias("reference"))
+        return rows.join(self.table("embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("q")), F.col("query_id") % 500 == F.col("v")).drop("v")
+
+    @cached_property
+    def chunk_vectors(self) -> DataFrame:
+        vector = self.table("embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("v"))
+        return self.chunks.where("has_embedding").join(vector, (F.col("doc_id") * 7 + F.col("pos")) % 500 == F.col("i")).select("chunk_id", "doc_class", "v")
+
 
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -131,7 +147,7 @@ contents AS (SELECT *, CASE WHEN doc_class = 'A' AND pos % 4 = 0 THEN '§ ' || p
   || trim(line, ' ') || CASE WHEN marker <> '' THEN ' ' || marker ELSE '' END AS content FROM rendered),
 chunks AS (SELECT doc_id * 100000 + pos AS chunk_id, doc_id, pos, doc_class, CAST(CASE WHEN pos % 4 = 0 THEN 1 ELSE 2 END AS BIGINT) AS hierarchy_level, CASE WHEN pos % 4 <> 0 THEN doc_id * 100000 + pos - pos % 4 END AS parent_id,
   content, CASE WHEN doc_class = 'A' THEN '§ ' || para END AS norm_reference, pos % 7 <> 0 AS has_embedding, ([{', '.join(_sql_list(a) + '::VARCHAR[]' for a in ABBREVIATIONS)}])[doc_id % 4 + 1] AS abbrevs,
-  CAST(greatest(1, length(content) // 4) AS BIGINT) AS token_count, {_sql_case('content', [(n, R.unbordered(p)) for n, p in R.CHUNK_TYPES], "'tatbestand'")} AS chunk_type,
+  CAST(greatest(1, length(content) // 4) AS BIGINT) AS token_count, CASE WHEN doc_class = 'B' AND contains(content, '|') THEN 'tabelle' ELSE {_sql_case('content', [(n, R.unbordered(p)) for n, p in R.CHUNK_TYPES], "'tatbestand'")} END AS chunk_type,
   CASE doc_class WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END AS confidence_weight FROM contents)""",
     "sentences": r"""parts AS (SELECT chunk_id, doc_id, pos, doc_class, list_filter(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS l FROM chunks),
 sentences AS (SELECT chunk_id, doc_id, pos, doc_class, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS i, unnest(l) AS sentence FROM parts)""",
@@ -147,7 +163,9 @@ ner AS (SELECT chunk_id, doc_id, i, text, CASE {_NER_EXACT} {_NER_SUFFIX} END AS
   (['rule', 'flair'])[(chunk_id + i) % 2 + 1] AS source FROM tokens WHERE text <> '' AND (CASE {_NER_EXACT} {_NER_SUFFIX} END) IS NOT NULL)""",
     "vectors": "vectors AS (SELECT vec_id, (['A', 'B', 'C'])[label % 3 + 1] AS doc_class, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)",
 }
-_NEEDS = {"sentences": ["chunks"], "svo": ["sentences"], "ner": ["chunks"]}
+CTE["asked"] = rf"""asked AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 40 = 0 THEN ({_sql_list(QUESTIONS)})[doc_id // 40 % 5 + 1] ELSE regexp_extract(text, '^\S+\s+(\S+\s+\S+)', 1) END AS text, '§ ' || (doc_id % 50 * 4 + 1) AS reference FROM documents WHERE doc_id % 20 = 0)"""
+CTE["chunk_vectors"] = "chunk_vectors AS (SELECT chunk_id, c.doc_class, embedding FROM chunks c JOIN vectors ON vec_id = (doc_id * 7 + pos) % 500 WHERE has_embedding)"
+_NEEDS = {"chunk_vectors": ["chunks", "vectors"], "sentences": ["chunks"], "svo": ["sentences"], "ner": ["chunks"]}
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import abbreviations as A
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
-from lexspark.operators import chunking, extraction, graph, reports, retrieval, statements
+from lexspark.operators import chunking, extraction, fulltext, graph, reports, retrieval, statements
 from lexspark.plans.adapters import Views, with_views
 from lexspark.sources import files, sinks
 
@@ -192,7 +192,7 @@ query("txt_10_content_hash", lambda v: v.table("documents").groupBy(F.md5("text"
 query("txt_14_row_prose", lambda v: v.table("customer").select("c_custkey", T.row_prose(F.array(F.lit("Kunde"), F.lit("Segment"), F.lit("")), F.array("c_name", "c_mktsegment", F.when(C("c_custkey") % 2 == 0, C("c_custkey").cast("string")))).alias("prose")), """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Kunde: ' || c_name || '; Segment: ' || c_mktsegment || '; Spalte 3: ' || c_custkey || '.' ELSE 'Kunde "' || c_name || '": Segment ist "' || c_mktsegment || '".' END AS prose FROM customer""")
 query("txt_16_query_type", lambda v: v.sentences.select("chunk_id", "i", T.query_type(C("sentence")).alias("kind")).groupBy("kind").agg(n()), "SELECT CASE WHEN regexp_matches(lower(sentence), '" + R.QUERY_NORM + "') THEN 'NORM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_IM) + "') THEN 'IM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_ENTITY) + "') THEN 'ENTITY' ELSE 'GENERAL' END AS kind, count(*) AS n FROM sentences GROUP BY 1", "sentences")
-_ASKED_FOR = T._QUERY_REFERENCE.replace("(?iu)", "(?i)")
+_ASKED_FOR = T.QUERY_REFERENCE.replace("(?iu)", "(?i)").replace(r"G\b)", r"G)(?:[^\p{L}\p{N}_]|$)")  # \b of this dialect knows ASCII alone
 _ASKED = "concat_ws(' ', '§ ' || nullif(regexp_extract(sentence, '%s', 1), ''), 'Abs. ' || nullif(regexp_extract(sentence, '%s', 2), ''), 'Satz ' || nullif(regexp_extract(sentence, '%s', 3), ''), 'Nr. ' || nullif(regexp_extract(sentence, '%s', 4), ''), nullif(regexp_extract(sentence, '%s', 5), ''))".replace("%s", _ASKED_FOR)
 query("txt_17_query_reference", lambda v: v.sentences.select(T.query_reference(C("sentence")).alias("reference")).where("reference is not null").groupBy("reference").agg(n()), f"SELECT {_ASKED} AS reference, count(*) AS n FROM sentences WHERE regexp_matches(sentence, '{_ASKED_FOR}') GROUP BY 1", "sentences")
 query("txt_20_template", lambda v: v.docs.select("doc_id", T.render(F.lit("{{title}} ({{kind}}){{none}}"), {"title": C("title"), "kind": C("source_type")}).alias("text")), "SELECT doc_id, title || ' (' || source_type || ')' AS text FROM docs", "docs")
@@ -267,68 +267,73 @@ SELECT norm_type, count(*) AS n, round(avg(norm_confidence), 3) AS avg_confidenc
   SELECT CASE WHEN u THEN CASE WHEN svo_id % 2 = 0 THEN 'MUST' ELSE 'MAY' END ELSE norm_type END AS norm_type, CASE WHEN u THEN 0.9::DOUBLE ELSE norm_confidence END AS norm_confidence
   FROM (SELECT *, norm_type = 'UNKNOWN' AND svo_id % 11 = 0 AND svo_id % 3 = 0 AS u FROM svo)) GROUP BY norm_type""", "svo")
 
-# ---- retrieval
+# ---- retrieval: the query set of Views.asked against all chunks
 _THRESHOLDS = {"A": 0.2, "B": 0.2, "C": 0.2}
 
 
-def _asked(v: Views) -> DataFrame:
-    return v.table("embeddings").where(C("vec_id") < 5).select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
+def _vector_queries(v: Views) -> DataFrame:
+    return v.table("embeddings").where(C("vec_id") % 20 == 0).select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
 
 
-def _vector_hits(v: Views) -> DataFrame:
-    return retrieval.vector_search(_asked(v), v.vectors.select(C("vec_id").alias("chunk_id"), "doc_class", C("embedding").alias("v")), _THRESHOLDS)
+def _similar(query: str, chunk: str) -> str:
+    return f"round(list_inner_product({query}, {chunk}) / (sqrt(list_inner_product({query}, {query})) * sqrt(list_inner_product({chunk}, {chunk}))), 6)"
 
 
-_HITS = """hits AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.doc_class, round(list_inner_product(q.embedding, c.embedding) / (sqrt(list_inner_product(q.embedding, q.embedding)) * sqrt(list_inner_product(c.embedding, c.embedding))), 6) AS score,
-  CAST(row_number() OVER (PARTITION BY q.vec_id, c.doc_class ORDER BY score DESC, c.vec_id) AS INTEGER) AS rank FROM vectors q, vectors c WHERE q.vec_id < 5 QUALIFY score >= 0.2) WHERE rank <= 12)"""
-query("ret_03_top_01_win_02_vector_search", _vector_hits, with_views("", "vectors").rstrip() + ", " + _HITS + " SELECT * FROM hits")
+query("ret_03_top_01_win_02_vector_search", lambda v: retrieval.vector_search(_vector_queries(v), v.vectors.select(C("vec_id").alias("chunk_id"), "doc_class", C("embedding").alias("v")), _THRESHOLDS), f"""
+SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.doc_class, {_similar('q.embedding', 'c.embedding')} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id, c.doc_class ORDER BY score DESC, c.vec_id) AS INTEGER) AS rank
+  FROM vectors q, vectors c WHERE q.vec_id % 20 = 0 QUALIFY score >= 0.2) WHERE rank <= 12""", "vectors")
 
 
-def _text_queries(v: Views) -> DataFrame:
-    asked = v.table("region").select(C("r_regionkey").cast("long").alias("query_id"))
-    return asked.select("query_id", F.element_at(F.array(*[F.lit(x) for x in ("Halter anmelden", "Aufsicht Gemeinde", "Behörde Ausnahmen", "Meldung DSGVO", "Hunde ausgenommen")]), (C("query_id") + 1).cast("int")).alias("text"))
+def _vector_hits(v: Views) -> DataFrame:
+    return retrieval.vector_search(v.asked, v.chunk_vectors, _THRESHOLDS)
 
 
 def _text_hits(v: Views) -> DataFrame:
-    return retrieval.full_text_search(_text_queries(v), v.chunks)
+    return fulltext.search(v.asked, v.chunks)
 
 
-_FTS = r"""asked AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, (['halter anmelden', 'aufsicht gemeinde', 'behörde ausnahmen', 'meldung dsgvo', 'hunde ausgenommen'])[r_regionkey + 1] AS text FROM region),
-qterms AS (SELECT query_id, unnest(string_split(text, ' ')) AS term FROM asked),
-wlists AS (SELECT chunk_id, doc_class, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM chunks),
-postings AS (SELECT chunk_id, doc_class, length, term, count(*) AS tf FROM (SELECT chunk_id, doc_class, len(w) AS length, unnest(w) AS term FROM wlists) GROUP BY ALL),
-fts AS (SELECT query_id, chunk_id, doc_class, score, rank FROM (SELECT query_id, chunk_id, doc_class, round(sum(tf) / length, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, doc_class ORDER BY round(sum(tf) / length, 6) DESC, chunk_id) AS INTEGER) AS rank
-  FROM postings JOIN qterms USING (term) GROUP BY query_id, chunk_id, doc_class, length HAVING count(*) = 2) WHERE rank <= 12)"""
-query("ret_04_full_text", _text_hits, with_views("", "chunks").rstrip() + ", " + _FTS + " SELECT * FROM fts")
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+_FTS = rf"""qwords AS (SELECT query_id, unnest({_WORDS.format('text')}) AS word FROM asked),
+places AS (SELECT chunk_id, doc_class, unnest(w) AS word, unnest(generate_series(1, len(w))) AS place FROM (SELECT chunk_id, doc_class, {_WORDS.format('content')} AS w FROM chunks)),
+distinct_words AS (SELECT word FROM places UNION SELECT word FROM qwords), {fulltext.STEMS_SQL.strip()},
+qterms AS (SELECT DISTINCT query_id, term FROM qwords JOIN vocabulary USING (word)), wanted AS (SELECT query_id, count(*) AS wanted FROM qterms GROUP BY query_id),
+entries AS (SELECT query_id, chunk_id, doc_class, term, place FROM places JOIN vocabulary USING (word) JOIN qterms USING (term)),
+complete AS (SELECT query_id, chunk_id, wanted FROM (SELECT query_id, chunk_id, count(DISTINCT term) AS held FROM entries GROUP BY ALL) JOIN wanted USING (query_id) WHERE held = wanted),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY place) AS j FROM entries JOIN complete USING (query_id, chunk_id)),
+latest AS (SELECT query_id, chunk_id, a.doc_class, a.wanted, a.j, a.place, b.term, max(b.j) AS l, max(b.place) AS lp FROM numbered a JOIN numbered b USING (query_id, chunk_id) WHERE b.j <= a.j GROUP BY ALL),
+spans AS (SELECT query_id, chunk_id, doc_class, min(l) AS first, min(lp) AS first_place, j, place FROM latest GROUP BY query_id, chunk_id, doc_class, wanted, j, place HAVING count(*) = wanted),
+covers AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id, first ORDER BY j) = 1),
+densities AS (SELECT query_id, chunk_id, doc_class, round(sum(0.1::DOUBLE / (1 + (place - first_place) - (j - first))), 6) AS score FROM covers GROUP BY ALL),
+fts AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc_class ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM densities) WHERE rank <= 12)"""
+query("ret_04_full_text", _text_hits, with_views("", "chunks", "asked").rstrip() + ", " + _FTS + " SELECT * FROM fts")
 
 
 def _lookup(v: Views) -> DataFrame:
-    asked = v.table("region").select(C("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("§ "), (C("r_regionkey") * 4 + 1).cast("string")).alias("reference"))
-    return retrieval.direct_lookup(asked, v.chunks)
+    return retrieval.direct_lookup(v.asked, v.chunks)
 
 
-query("ret_02_direct_lookup", _lookup, r"""
-SELECT query_id, chunk_id, 1.0::DOUBLE AS score, rank FROM (SELECT CAST(r_regionkey AS BIGINT) AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY hierarchy_level, chunk_id) AS INTEGER) AS rank
-FROM region JOIN chunks ON norm_reference = '§ ' || (r_regionkey * 4 + 1)) WHERE rank <= 6""".replace("SELECT query_id", "SELECT query_id", 1), "chunks")
+_LOOKUP = r"""found AS (SELECT query_id, chunk_id, hierarchy_level, starts_with(norm_reference, reference) AS exact FROM asked JOIN chunks ON regexp_extract(norm_reference, '\d+') = regexp_extract(reference, '\d+')),
+lookup AS (SELECT * FROM (SELECT query_id, chunk_id, CASE WHEN exact THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, hierarchy_level, chunk_id) AS INTEGER) AS rank
+  FROM (SELECT *, bool_or(exact) OVER (PARTITION BY query_id) AS any_exact FROM found) WHERE exact OR NOT any_exact) WHERE rank <= 6)"""
+query("ret_02_direct_lookup", _lookup, with_views("", "chunks", "asked").rstrip() + ", " + _LOOKUP + " SELECT query_id, chunk_id, score, rank FROM lookup")
 
 
 def _fused(v: Views) -> DataFrame:
     return retrieval.fuse(_text_hits(v), _lookup(v))
 
 
-_LOOKUP = r"""lookup AS (SELECT * FROM (SELECT CAST(r_regionkey AS BIGINT) AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY hierarchy_level, chunk_id) AS INTEGER) AS rank FROM region JOIN chunks ON norm_reference = '§ ' || (r_regionkey * 4 + 1)) WHERE rank <= 6),
+_RAG = with_views("", "chunk_vectors", "asked").rstrip() + ", " + _FTS + ", " + _LOOKUP + """,
 fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS lists FROM (SELECT query_id, chunk_id, rank FROM fts UNION ALL SELECT query_id, chunk_id, rank FROM lookup) GROUP BY ALL)"""
-_RAG = with_views("", "chunks").rstrip() + ", " + _FTS + ", " + _LOOKUP
 query("ret_05_fusion", _fused, _RAG + " SELECT * FROM fused")
 
 
-def _expanded(v: Views) -> DataFrame:
-    return retrieval.with_parents(_fused(v), v.chunks)
+def _parents_of(found: str) -> str:
+    return f"""SELECT query_id, chunk_id FROM (SELECT DISTINCT f.query_id, c.parent_id AS chunk_id FROM {found} f JOIN chunks c USING (chunk_id)
+  WHERE c.parent_id IS NOT NULL AND (c.doc_class = 'A' OR (c.doc_class = 'B' AND (c.token_count > 450 OR c.chunk_type = 'tabelle'))) AND c.parent_id IN (SELECT chunk_id FROM chunks)) p
+  WHERE NOT EXISTS (SELECT 1 FROM {found} f WHERE f.query_id = p.query_id AND f.chunk_id = p.chunk_id)"""
 
 
-_PARENTS = """, expanded AS (SELECT query_id, chunk_id, score FROM fused UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM (SELECT DISTINCT f.query_id, c.parent_id AS chunk_id FROM fused f JOIN chunks c USING (chunk_id)
-  WHERE c.parent_id IS NOT NULL AND (c.doc_class = 'A' OR (c.doc_class = 'B' AND c.token_count > 450)) AND c.parent_id IN (SELECT chunk_id FROM chunks)) p WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.query_id = p.query_id AND f.chunk_id = p.chunk_id))"""
-query("ret_08_joi_10_set_02_parents", _expanded, _RAG + _PARENTS + " SELECT * FROM expanded")
+query("ret_08_joi_10_set_02_parents", lambda v: retrieval.with_parents(_fused(v), v.chunks), _RAG + f" SELECT query_id, chunk_id, score FROM fused UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM ({_parents_of('fused')})")
 
 
 def _links(v: Views) -> DataFrame:
@@ -338,49 +343,48 @@ def _links(v: Views) -> DataFrame:
     return refs.join(heads, ["doc_id", "norm_reference"]).select("chunk_id", "target").distinct()
 
 
-query("ret_09_joi_11_cross_references", lambda v: retrieval.with_cross_references(_fused(v), _links(v)), _RAG + r""",
-heads AS (SELECT doc_id, norm_reference, min(chunk_id) AS target FROM chunks WHERE hierarchy_level = 1 AND norm_reference IS NOT NULL GROUP BY ALL),
+_LINKS = r"""heads AS (SELECT doc_id, norm_reference, min(chunk_id) AS target FROM chunks WHERE hierarchy_level = 1 AND norm_reference IS NOT NULL GROUP BY ALL),
 refs AS (SELECT chunk_id, doc_id, '§ ' || regexp_extract(unnest(""" + _REFS + r"""), '(\d+)', 1) AS norm_reference FROM chunks),
-links AS (SELECT DISTINCT chunk_id, target FROM refs JOIN heads USING (doc_id, norm_reference)),
-one AS (SELECT DISTINCT query_id, target AS chunk_id FROM fused JOIN links USING (chunk_id) WHERE (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM fused)),
-two AS (SELECT DISTINCT query_id, target AS chunk_id FROM one JOIN links USING (chunk_id) WHERE (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM fused UNION ALL SELECT (query_id, chunk_id) FROM one))
-SELECT query_id, chunk_id, score FROM fused UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM one UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM two""")
+links AS (SELECT DISTINCT chunk_id, target FROM refs JOIN heads USING (doc_id, norm_reference))"""
 
 
-def _ranked(v: Views) -> DataFrame:
-    return retrieval.rerank(_expanded(v), v.chunks)
+def _reached_from(found: str) -> str:
+    return f"""one AS (SELECT DISTINCT query_id, target AS chunk_id FROM {found} JOIN links USING (chunk_id) WHERE (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM {found})),
+two AS (SELECT DISTINCT query_id, target AS chunk_id FROM one JOIN links USING (chunk_id) WHERE (query_id, target) NOT IN (SELECT (query_id, chunk_id) FROM {found} UNION ALL SELECT (query_id, chunk_id) FROM one))"""
 
 
-_RERANK = """, once AS (SELECT e.*, c.confidence_weight, c.token_count, max(score) OVER w AS best, row_number() OVER (w ORDER BY chunk_id) AS r FROM expanded e JOIN chunks c USING (chunk_id) WINDOW w AS (PARTITION BY query_id, md5(content))),
-pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, chunk_id) AS p FROM once WHERE r = 1) WHERE p <= 16),
-ranked AS (SELECT query_id, chunk_id, score, rank, token_count FROM (SELECT query_id, chunk_id, round(best * confidence_weight, 9) AS score, token_count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(best * confidence_weight, 9) DESC, chunk_id) AS INTEGER) AS rank FROM pre) WHERE rank <= 8)"""
-query("rnk_03_set_05_top_02_rerank", _ranked, _RAG + _PARENTS + _RERANK + " SELECT * FROM ranked")
-query("win_03_ctx_03_context", lambda v: retrieval.context(retrieval.within_budget(_ranked(v), 400), v.chunks).select("query_id", "used", "chunks", F.md5("context").alias("md5")), _RAG + _PARENTS + _RERANK + """
-SELECT query_id, CAST(max(used) AS BIGINT) AS used, count(*) AS chunks, md5(string_agg('[' || concat_ws(' | ', 'Q' || rank, norm_reference, upper(chunk_type), CASE WHEN doc_class = 'C' THEN 'Konfidenz: niedrig' END) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS md5
-FROM (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked) r JOIN (SELECT chunk_id, norm_reference, chunk_type, doc_class, content FROM chunks) c USING (chunk_id) WHERE used <= 400 GROUP BY query_id""")
+query("ret_09_joi_11_cross_references", lambda v: retrieval.with_cross_references(_fused(v), _links(v)), _RAG + ", " + _LINKS + ", " + _reached_from("fused") + """
+SELECT query_id, chunk_id, score FROM fused UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM one UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE FROM two""")
 
 
-def _turned(v: Views) -> DataFrame:
-    """A second list of the same hits in another order, in the place of vector hits."""
-    return _text_hits(v).withColumn("rank", 13 - C("rank"))
+def _whole(v: Views) -> DataFrame:
+    """Lookup, vectors, text, fusion by class, parents and tables, and cross references of class A."""
+    return retrieval.retrieved(_lookup(v), [_vector_hits(v), _text_hits(v)], v.chunks, _links(v))
 
 
-query("ret_07_whole_search", lambda v: retrieval.retrieved(_lookup(v), [_turned(v), _text_hits(v)], v.chunks).select("query_id", "chunk_id", "score", "direct"), _RAG + """,
+_WHOLE = _RAG + ", " + _LINKS + f""",
+alike AS (SELECT query_id, chunk_id, c.doc_class, {_similar('q.embedding', 'c.embedding')} AS score, CAST(row_number() OVER (PARTITION BY query_id, c.doc_class ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
+  FROM asked JOIN vectors q ON q.vec_id = query_id % 500, chunk_vectors c QUALIFY score >= 0.2),
 weighed AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)) * CASE doc_class WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END, 9) AS score
-  FROM (SELECT query_id, chunk_id, doc_class, rank FROM fts UNION ALL SELECT query_id, chunk_id, doc_class, 13 - rank FROM fts) GROUP BY query_id, chunk_id, doc_class),
-seen AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS score, true AS direct FROM lookup WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, score, false FROM weighed w WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.rank <= 6 AND l.query_id = w.query_id AND l.chunk_id = w.chunk_id))
-SELECT * FROM seen UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE, false FROM (SELECT DISTINCT f.query_id, c.parent_id AS chunk_id FROM seen f JOIN chunks c USING (chunk_id)
-  WHERE c.parent_id IS NOT NULL AND (c.doc_class = 'A' OR (c.doc_class = 'B' AND c.token_count > 450)) AND c.parent_id IN (SELECT chunk_id FROM chunks)) p WHERE NOT EXISTS (SELECT 1 FROM seen f WHERE f.query_id = p.query_id AND f.chunk_id = p.chunk_id)""")
-query("rnk_02_direct_hits_first", lambda v: retrieval.rerank(retrieval.retrieved(_lookup(v), [_text_hits(v)], v.chunks.withColumn("parent_id", F.lit(None).cast("long"))), v.chunks), _RAG + """,
-weighed AS (SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank) * CASE doc_class WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END, 9) AS score FROM fts),
-seen AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS score, true AS direct FROM lookup WHERE rank <= 6 UNION ALL SELECT query_id, chunk_id, score, false FROM weighed w WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.rank <= 6 AND l.query_id = w.query_id AND l.chunk_id = w.chunk_id)),
-once AS (SELECT e.*, c.confidence_weight, c.token_count, max(score) OVER w AS best, row_number() OVER (w ORDER BY chunk_id) AS r FROM seen e JOIN chunks c USING (chunk_id) WINDOW w AS (PARTITION BY query_id, md5(content))),
+  FROM (SELECT query_id, chunk_id, doc_class, rank FROM fts UNION ALL SELECT query_id, chunk_id, doc_class, rank FROM alike WHERE rank <= 12) GROUP BY query_id, chunk_id, doc_class),
+seen AS (SELECT query_id, chunk_id, score, true AS direct FROM lookup UNION ALL SELECT query_id, chunk_id, score, false FROM weighed w WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.query_id = w.query_id AND l.chunk_id = w.chunk_id)),
+grown AS (SELECT * FROM seen UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE, false FROM ({_parents_of('seen')})),
+of_a AS (SELECT g.* FROM grown g JOIN chunks c USING (chunk_id) WHERE c.doc_class = 'A'), {_reached_from('of_a')},
+whole AS (SELECT * FROM grown UNION ALL SELECT query_id, chunk_id, 0.0::DOUBLE, false FROM (SELECT * FROM one UNION ALL SELECT * FROM two) r WHERE NOT EXISTS (SELECT 1 FROM grown g WHERE g.query_id = r.query_id AND g.chunk_id = r.chunk_id))"""
+_RERANK = """,
+once AS (SELECT e.*, c.confidence_weight, c.token_count, max(score) OVER w AS best, row_number() OVER (w ORDER BY chunk_id) AS r FROM whole e JOIN chunks c USING (chunk_id) WINDOW w AS (PARTITION BY query_id, md5(content))),
 pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, chunk_id) AS p FROM once WHERE r = 1) WHERE p <= 16),
-final AS (SELECT query_id, chunk_id, round(best * confidence_weight * CASE WHEN direct THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score, token_count FROM pre)
-SELECT query_id, chunk_id, score, rank, token_count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM final) WHERE rank <= 8""")
+final AS (SELECT query_id, chunk_id, round(best * confidence_weight * CASE WHEN direct THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score, token_count FROM pre),
+ranked AS (SELECT query_id, chunk_id, score, rank, token_count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM final) WHERE rank <= 8)"""
+query("ret_07_whole_search", lambda v: _whole(v).select("query_id", "chunk_id", "score", "direct"), _WHOLE + " SELECT * FROM whole")
+query("rnk_02_direct_hits_first", lambda v: retrieval.rerank(_whole(v), v.chunks), _WHOLE + _RERANK + " SELECT * FROM ranked")
+query("rnk_03_set_05_top_02_rerank", lambda v: retrieval.rerank(_fused(v), v.chunks), _RAG + ", whole AS (SELECT *, false AS direct FROM fused)" + _RERANK + " SELECT * FROM ranked")
+query("win_03_ctx_03_context", lambda v: retrieval.context(retrieval.within_budget(retrieval.rerank(_whole(v), v.chunks), 400), v.chunks).select("query_id", "used", "chunks", F.md5("context").alias("md5")), _WHOLE + _RERANK + """
+SELECT query_id, CAST(max(used) AS BIGINT) AS used, count(*) AS chunks, md5(string_agg('[' || concat_ws(' | ', 'Q' || rank, norm_reference, upper(chunk_type), CASE WHEN doc_class = 'C' THEN 'Konfidenz: niedrig' END) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS md5
+FROM (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked) r JOIN (SELECT chunk_id, norm_reference, chunk_type, doc_class, content FROM chunks) c USING (chunk_id) WHERE used <= 400 GROUP BY query_id""")
 query("emb_01_normalised", lambda v: v.vectors.select("vec_id", F.round(F.aggregate(T.normalised(C("embedding")), F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "SELECT vec_id, round(list_sum(embedding) / sqrt(list_inner_product(embedding, embedding)), 6) AS total FROM vectors", "vectors")
 query("emb_02_compute_once", lambda v: v.table("documents").select("doc_id", F.md5("text").alias("h")).join(v.table("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("computed_for")), "h").select("doc_id", "computed_for"), "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS computed_for FROM documents")
-query("emb_03_cosine", lambda v: _asked(v).join(F.broadcast(v.vectors.where("vec_id = 7").select("embedding"))).select("query_id", F.round(T.cosine(C("q"), C("embedding")), 6).alias("cosine")), "SELECT q.vec_id AS query_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS cosine FROM vectors q, vectors c WHERE q.vec_id < 5 AND c.vec_id = 7", "vectors")
+query("emb_03_cosine", lambda v: _vector_queries(v).join(F.broadcast(v.vectors.where("vec_id = 7").agg(F.min("embedding").alias("embedding")))).select("query_id", F.round(T.cosine(C("q"), C("embedding")), 6).alias("cosine")), "SELECT q.vec_id AS query_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS cosine FROM vectors q, vectors c WHERE q.vec_id % 20 = 0 AND c.vec_id = 7", "vectors")
 query("srt_01_ordered_limit", lambda v: v.chunks.orderBy(F.desc("token_count"), "chunk_id").limit(50).select("chunk_id", "token_count"), "SELECT chunk_id, token_count FROM chunks ORDER BY token_count DESC, chunk_id LIMIT 50", "chunks")
 query("srt_02_random_sample", lambda v: v.svo.orderBy(F.md5(C("svo_id").cast("string")), "svo_id").limit(15).select("svo_id", "sentence"), "SELECT svo_id, sentence FROM svo ORDER BY md5(svo_id::VARCHAR), svo_id LIMIT 15", "svo")
 query("win_04_latest_job", lambda v: v.jobs.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "user_id", "event_type"), "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")

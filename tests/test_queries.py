@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__
 from lexspark.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+#: Every query with SQL is compared on the larger tables; those without are run whole on the smaller ones.
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -41,7 +42,8 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
+    df = catalog.QUERIES[name](spark, SMALL)
+    assert len(df.collect()) > 0 and df.columns
 
 
 def test_entry(spark):
