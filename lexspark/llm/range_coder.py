@@ -8,14 +8,16 @@ confidence, and the frequency of the id in order 0. Any other id gets its share
 0 has not seen it, an adaptive escape, and stands among the block's new ids. All these shares make one interval, so an
 id costs one step of the coder.
 
-The model learns at the end of each round of a few ids (the weights from its last TAUGHT ids), and order 0's frequencies are renewed at the STEPS of a block.
+The model learns from every id, at the end of each round of ROUND ids, and order 0's frequencies are renewed every RENEWAL
+ids, more often at first. New ids are coded before the others, by shares that fall with the id as the numbers of a
+vocabulary in order of frequency do; so the decoder knows all ids of a block from the start, and keeps their counts.
 All arithmetic is on whole numbers (but for sums and quotients that doubles hold exactly), so blocks decode alike on
 every machine. Many blocks advance together as numpy vectors: lane i is the ith longest block, and the lanes still going
 are the first ones.
 
 The coder keeps 64 bits of low and range, and moves 32 bits out whenever the range is below 2 ** 32. Where the interval
 then straddles a multiple of 2 ** 32, it is cut there, so that there is never a carry. A coded block is the number of
-new ids and these ids, 16 bits each, then the coder's words of 32 bits, all little-endian.
+new ids and of their words, 16 bits each, then the words of 32 bits of new ids, and of all, all little-endian.
 """
 
 from __future__ import annotations
@@ -30,16 +32,17 @@ import numpy as np
 BLOCK = 2048
 #: Blocks that advance together; about 60 kB of model and work space each.
 LANES = 4096
-#: Ids of a block after which the model learns, and those of them after which order 0's frequencies are renewed.
-ROUNDS = (0, 4, 8, 16, 32, 64, 96, 128, 160, *range(192, BLOCK, 64))
-STEPS = (0, 16, 64, 192, 512, 1024)
-TAUGHT = 8
+#: Ids after which the model learns, and ids after which order 0's frequencies are renewed.
+ROUND, RENEWAL = 4, 8
 _PLACES, _PLACE_BITS = 1024, 10  # of an order-1 or order-2 context, in each lane
 _COUNTS = 512  # places of ids' numbers, in each lane
 _ONE = 4096  # probabilities are in 4096ths
 _TOTAL = 19  # bits of the interval that is shared out: products with a place in order 0 stay below 2 ** 31
 _LOW32, _32, _SHARED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(_TOTAL)
 
+#: Parts of the interval for a new id, and where they begin; built by rule. All of them are less than 2 ** _TOTAL.
+_NEW_SIZE = np.maximum(1, 100_000 // (np.arange(65536) + 300)).astype(np.uint64)
+_NEW_START = np.r_[np.uint64(0), np.cumsum(_NEW_SIZE)]
 #: 1 / (1 + exp(-x)) in 4096ths for x in 256ths from -8 on; built by rule. The largest chances leave order 0 a share of
 #: at least BLOCK parts of the interval.
 _SQUASH = np.array([min(_ONE - 256, max(16, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
@@ -111,11 +114,10 @@ class _Model:
 
     def learn(self, guess: list[_Guess], n: int, ids: np.ndarray, new: np.ndarray) -> None:
         """What came in a round (steps x lanes, as new), in the first n lanes. The last id of one context counts."""
-        guess, steps = [g if g.at.ndim > 2 else None for g in guess][0] or guess, len(ids)
-        if isinstance(guess, list):
-            part = lambda name, k=0: np.stack([getattr(g, name)[..., :n] for g in guess[-k:]], axis=1)
+        if guess[0].at.ndim > 2:
+            part = lambda name: getattr(guess[0], name)[..., :n]
         else:
-            part = lambda name, k=0: getattr(guess, name)[:, -k:, :n]
+            part = lambda name: np.stack([getattr(g, name)[..., :n] for g in guess], axis=1)
         at, entry = part("at"), part("entry")
         counted = (ids & np.uint32(_COUNTS - 1)) + self.count_base[:n]
         often = self.counts.take(counted)
@@ -126,15 +128,13 @@ class _Model:
         fresh = ids << np.uint32(5) | often << np.uint32(3)
         kept = np.where(sure > 1, entry - sure + (sure >> np.uint32(1)), fresh + np.uint32(1))
         self.entries[at] = np.where(same, fresh + sure + (sure < 7), kept)
-        k = min(TAUGHT, steps)
-        agree = known[0, -k:] == known[1, -k:]
-        error = same[:, -k:] * np.int32(_ONE) - part("chance", k)
-        error[1] *= ~(same[0, -k:] | agree)
+        error = same * np.int32(_ONE) - part("chance")
+        error[1] *= ~(same[0] | (known[0] == known[1]))
         error >>= 1
-        np.add.at(self.weights, part("weight_at", k).ravel(), error.repeat((2, 1), axis=0).ravel())
+        np.add.at(self.weights, part("weight_at").ravel(), error.repeat((2, 1), axis=0).ravel())
         literal = (~(same[0] | same[1])).sum(axis=0, dtype=np.int32)
         chance = self.new[:n]
-        chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 6  # a round has 64 ids at most
+        chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 6
         np.maximum(chance, 32, out=chance)
 
 
@@ -219,88 +219,127 @@ def _rounds(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Begin and end of the rounds of falling sizes, and how many lanes go on beyond each step, and beyond the last."""
     longest = int(sizes[0])
     going = np.searchsorted(-sizes, -np.arange(longest + 1), "left")
-    ends = [*(t for t in ROUNDS if 0 < t < longest), longest]
-    for a, b in zip([0, *ends], ends):
+    for a in range(0, longest, ROUND):
+        b = min(a + ROUND, longest)
         yield a, b, going[a : b + 1]
 
 
-def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the run of equal values at each place of sorted rows begins, and the place after its end."""
-    place = np.arange(ordered.shape[1], dtype=np.uint16)
-    starts = np.ones(ordered.shape, bool)
-    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=starts[:, 1:])
-    first = np.maximum.accumulate(np.where(starts, place, np.uint16(0)), axis=1)
-    ends = np.ones(ordered.shape, bool)
-    ends[:, :-1] = starts[:, 1:]
-    last = np.minimum.accumulate(np.where(ends, place + np.uint16(1), np.uint16(0xFFFF))[:, ::-1], axis=1)[:, ::-1]
-    return first, last
+def _renewed(step: int) -> bool:
+    return step % RENEWAL == 0 or step < 8 * RENEWAL
+
+
+class _Order0:
+    """Counts of the ids of each lane as of the last renewal, lane by lane in one array. Id 0 came once before all others."""
+
+    def __init__(self, alphabets: list[np.ndarray]):
+        """alphabets: the ids of each lane in order, 0 first."""
+        self.begin = np.cumsum([0, *map(len, alphabets)])
+        self.ids = np.concatenate(alphabets).astype(np.uint32)
+        self.counts = np.zeros(len(self.ids), np.int32)
+        self.counts[self.begin[:-1]] = 1
+        self.seen = 1
+        self.keys = (np.repeat(np.arange(len(alphabets)), np.diff(self.begin)) << 16) + self.ids
+        self.lane_key = np.arange(len(alphabets)) << 16
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """Where the ids of the first lanes (steps x lanes) stand."""
+        return np.searchsorted(self.keys, ids + self.lane_key[: ids.shape[-1]])
+
+    def renew(self, lanes: int, places: np.ndarray, steps: int) -> None:
+        """Counts the ids at the places, of the first lanes, which have come in the steps since the last time."""
+        np.add.at(self.counts, places, 1)
+        self.seen += steps
+        known = self.counts[: self.begin[lanes]]
+        end = np.cumsum(known)
+        self.end = (end - np.repeat(np.arange(lanes) * self.seen, np.diff(self.begin[: lanes + 1]))).astype(np.int32)
+        self.start = self.end - known
+
+    def spread(self, lanes: int) -> np.ndarray:
+        """The place of each of the ids seen, in order: `seen` for each lane."""
+        return np.repeat(np.arange(self.begin[lanes], dtype=np.int32), self.counts[: self.begin[lanes]])
+
+
+def _encode_new(lists: list[np.ndarray]) -> list[bytes]:
+    order = sorted(range(len(lists)), key=lambda i: -len(lists[i]))
+    sizes = np.array([len(lists[i]) for i in order])
+    steps = np.zeros((int(sizes[0]), len(lists)), np.int64)
+    for lane, i in enumerate(order):
+        steps[: sizes[lane], lane] = lists[i]
+    coder = _Encoder(len(lists), len(steps) + 4)
+    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(len(steps)), "left")):
+        coder.narrow(n, _NEW_START[steps[t, :n]], _NEW_SIZE[steps[t, :n]])
+    out = [b""] * len(lists)
+    for i, size, words in zip(order, sizes, coder.finish()):
+        out[i] = words if size else b""
+    return out
+
+
+def _decode_new(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    order = sorted(range(len(codes)), key=lambda i: -sizes[i])
+    many = np.array([sizes[i] for i in order])
+    steps = np.zeros((int(many[0]), len(codes)), np.uint32)
+    coder = _Decoder([codes[i] for i in order])
+    for t, n in enumerate(np.searchsorted(-many, -np.arange(len(steps)), "left")):
+        x = np.minimum(np.searchsorted(_NEW_START, coder.target(n).astype(np.uint64), "right") - 1, 65535)
+        coder.narrow(n, _NEW_START[x], _NEW_SIZE[x])
+        steps[t, :n] = x
+    out = [np.zeros(0, np.uint32)] * len(codes)
+    for lane, i in enumerate(order):
+        out[i] = steps[: many[lane], lane]
+    return out
 
 
 def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     lanes, longest = len(blocks), int(sizes[0])
-    width = longest + 1
-    ids = np.full((lanes, width), 0xFFFF, np.uint16)
-    ids[:, 0] = 0  # order 0 has seen id 0 once before all others
+    steps = np.zeros((longest + 2, lanes), np.uint32)
+    places = np.zeros((longest, lanes), np.int64)
+    alphabets, first = [], 0
     for lane, b in enumerate(blocks):
-        ids[lane, 1 : len(b) + 1] = b
-    order = np.empty((lanes, width), np.uint16)
-    begin, end = np.empty((width, lanes), np.uint16), np.empty((width, lanes), np.uint16)  # of an id's run in order
-    for lane in range(0, lanes, 128):
-        part = slice(lane, lane + 128)
-        places = ids[part].argsort(axis=1, kind="stable")
-        order[part] = places
-        for out, run in zip((begin, end), _runs(np.take_along_axis(ids[part], places, 1))):
-            by_step = np.empty_like(run)
-            np.put_along_axis(by_step, places, run, 1)
-            out[:, part] = by_step.T
-    row = np.arange(lanes) * (width + 1)
-    steps = np.zeros((width + 1, lanes), np.uint32)
-    steps[1:] = ids.T
-    before = np.zeros((lanes, width + 1), np.uint16)
+        steps[2 : len(b) + 2, lane] = b
+        ids, place = np.unique(np.r_[0, b], return_inverse=True)
+        places[: len(b), lane] = first + place[1:]
+        alphabets.append(ids)
+        first += len(ids)
     fresh = np.zeros((longest, lanes), bool)
-    model, coder = _Model(lanes), _Encoder(lanes, longest + 4)
+    model, coder, order0, counted = _Model(lanes), _Encoder(lanes, longest + 4), _Order0(alphabets), 0
     for a, b, going in _rounds(sizes):
-        if a in STEPS:
-            seen = a + 1
-            np.cumsum(order < np.uint16(seen), axis=1, dtype=np.uint16, out=before[:, 1:])
-            known = before.ravel()
         n = going[0]
-        x = steps[a + 2 : b + 2, :n]
+        if _renewed(a):
+            order0.renew(n, places[counted:a, :n].ravel(), a - counted)
+            counted = a
+        x, place = steps[a + 2 : b + 2, :n], places[a:b, :n]
+        ended = np.arange(a, b)[:, None] >= sizes[:n]
         guess = model.predict(steps[a + 1 : b + 1, :n], steps[a:b, :n])
         is2 = x == guess.ids[0]
         is1 = (x == guess.ids[1]) & ~is2
-        at, to = known.take(begin[a + 1 : b + 1, :n] + row[:n]).astype(np.int32), known.take(end[a + 1 : b + 1, :n] + row[:n])
-        new = ~(is2 | is1) & (at == to)
-        start, size = _parts(guess, seen, at, to, is2, is1, new)
+        at, to = order0.start.take(place), order0.end.take(place)
+        new = ~(is2 | is1 | ended) & (at == to)
+        start, size = _parts(guess, order0.seen, at, to, is2, is1, new)
         for i in range(b - a):
             coder.narrow(going[i], start[i, : going[i]], size[i, : going[i]])
         fresh[a:b, :n] = new
         if (n := going[-1]) and b < longest:
             model.learn([guess], n, x[:, :n], new[:, :n])
-    fresh = np.ascontiguousarray(fresh.T) & (np.arange(longest) < sizes[:, None])
-    many, heads = fresh.sum(axis=1), iter(np.split(ids[:, 1:][fresh].astype("<u2"), fresh.sum(axis=1).cumsum()[:-1]))
-    return [int(k).to_bytes(2, "little") + next(heads).tobytes() + words for k, words in zip(many, coder.finish())]
+    lists = [steps[2:, lane][fresh[:, lane]] for lane in range(lanes)]
+    return [len(k).to_bytes(2, "little") + (len(w) // 4).to_bytes(2, "little") + w + words for k, w, words in zip(lists, _encode_new(lists), coder.finish())]
 
 
 def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     lanes, longest = len(codes), int(sizes[0])
     many = [int.from_bytes(c[:2], "little") for c in codes]
-    fresh = np.zeros((lanes, max(many) + 1), np.uint16)
-    for lane, (c, k) in enumerate(zip(codes, many)):
-        fresh[lane, :k] = np.frombuffer(c, "<u2", k, 2)
-    next_new = np.arange(lanes) * fresh.shape[1]
-    fresh = fresh.ravel()
-    coder = _Decoder([c[2 + 2 * k :] for c, k in zip(codes, many)])
+    ends = [4 + 4 * int.from_bytes(c[2:4], "little") for c in codes]
+    lists = _decode_new([c[4:e] for c, e in zip(codes, ends)], many)
+    next_new = np.cumsum([0, *many])[:-1]
+    fresh = np.r_[np.concatenate(lists), np.uint32(0)]
+    coder, order0 = _Decoder([c[e:] for c, e in zip(codes, ends)]), _Order0([np.unique(np.r_[np.uint32(0), x]) for x in lists])
     steps = np.zeros((longest + 2, lanes), np.uint32)
-    was_new = np.zeros((64, lanes), bool)
-    model = _Model(lanes)
+    was_new = np.zeros((ROUND, lanes), bool)
+    model, counted = _Model(lanes), 0
     for a, b, going in _rounds(sizes):
-        if a in STEPS:
-            seen = a + 1
-            ordered = np.sort(steps[1 : a + 2].T.astype(np.uint16, order="C"), axis=1, kind="stable")
-            first, last = (x.ravel() for x in _runs(ordered))
-            ordered = ordered.ravel()
-            row = np.arange(lanes) * seen
+        if _renewed(a):
+            n = going[0]
+            order0.renew(n, order0.place(steps[counted + 2 : a + 2, :n]).ravel(), a - counted)
+            counted, seen, ordered, row = a, order0.seen, order0.spread(n), np.arange(n) * order0.seen
         guesses = []
         for i, n in enumerate(going[:-1]):
             guess = model.predict(steps[a + i + 1, :n], steps[a + i, :n])
@@ -314,13 +353,13 @@ def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
             v -= 1
             place = np.minimum((v / guess.order0).astype(np.int64), seen - 1)
             np.maximum(place, 0, out=place)
-            place += row[:n]
-            x = np.where(is2, guess.ids[0], np.where(is1, guess.ids[1], ordered.take(place)))
+            place = ordered.take(place + row[:n])
+            x = np.where(is2, guess.ids[0], np.where(is1, guess.ids[1], order0.ids.take(place)))
             if len(who := np.flatnonzero(new)):
                 at = next_new[who]
                 x[who] = fresh[at]
                 next_new[who] = at + 1
-            start, size = _parts(guess, seen, first.take(place).astype(np.int32), last.take(place), is2, is1, new)
+            start, size = _parts(guess, seen, order0.start.take(place), order0.end.take(place), is2, is1, new)
             coder.narrow(n, start, size)
             steps[a + i + 2, :n] = x
             was_new[i, :n] = new
@@ -338,7 +377,9 @@ def _in_lanes(sizes: list[int]) -> list[list[int]]:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of at most BLOCK ids below 65536 as bytes."""
+    """Each block of at most BLOCK ids as bytes. An id beyond 16 bits is an error."""
+    if any(len(b) and (b.max() > 65535 or b.min() < 0) for b in map(np.asarray, blocks)):
+        raise ValueError("ids beyond 16 bits cannot be coded")
     out = [b""] * len(blocks)
     for part in _in_lanes([len(b) for b in blocks]):
         for i, code in zip(part, _encode([blocks[i] for i in part], np.array([len(blocks[i]) for i in part]))):
