@@ -1,7 +1,4 @@
-"""Statements from a token table, document types from scored rules, and records from model answers.
-
-tokens: sent_id, i, text, lemma, pos, dep, head (the i of its head; the root's is its own), as a parser gives them.
-"""
+"""Document types from scored rules, query plans, and records from model answers."""
 
 from __future__ import annotations
 
@@ -14,56 +11,9 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
-from lexspark.operators.statements import confidence
 
-# ---- fixed values: dependency labels
-SUBJECTS, OBJECTS = ["sb", "sp", "nsubj"], ["oa", "og", "op", "oc", "pd", "obj", "obl", "da", "mo", "nk", "attr"]
 #: Parts of a norm that its citations name.
 NORM_PARTS = [r"\bAbs\.\s*\d", r"\bSatz\s*\d", r"\bNr\.\s*\d"]
-DETERMINERS = ["der", "die", "das", "dem", "den", "des", "ein", "eine", "einen", "einem", "einer", "eines"]
-
-
-def part_of_speech(pos: Column, tag: Column, dep: Column) -> Column:
-    """The coarse tag, or from the fine tag or the dependency where that is missing."""
-    fine = F.when(tag.startswith("V"), "VERB").when(tag.isin("NN", "NE"), "NOUN").when(tag.startswith("P"), "PRON").when(tag.startswith("ADJ"), "ADJ")
-    return F.coalesce(F.nullif(pos, F.lit("")), fine, F.when(dep.isin(SUBJECTS + ["oa"]), "NOUN"), F.lit("X"))
-
-
-def first_child(tokens: DataFrame, heads: DataFrame, labels: list[str], name: str) -> DataFrame:
-    """sent_id, head and the first child of it with one of the labels, as `name`."""
-    children = tokens.where(F.col("dep").isin(labels) & (F.col("head") != F.col("i")))
-    return children.join(heads.select("sent_id", F.col("i").alias("head")), ["sent_id", "head"]).groupBy("sent_id", "head").agg(F.min("i").alias(name))
-
-
-def phrase(tokens: DataFrame, nouns: DataFrame, name: str) -> DataFrame:
-    """The noun with its children and grandchildren in order, without a leading determiner. nouns: sent_id, root, noun."""
-    kids = tokens.where(F.col("head") != F.col("i")).select("sent_id", F.col("head").alias("up"), F.col("i").alias("kid"))
-    one = nouns.join(kids, (nouns["noun"] == kids["up"]) & (nouns["sent_id"] == kids["sent_id"])).select(nouns["sent_id"], "root", F.col("kid").alias("i"))
-    two = one.alias("a").join(kids.alias("b"), (F.col("a.i") == F.col("b.up")) & (F.col("a.sent_id") == F.col("b.sent_id"))).select("a.sent_id", "root", F.col("kid").alias("i"))
-    members = nouns.select("sent_id", "root", F.col("noun").alias("i")).unionByName(one).unionByName(two).distinct()
-    words = members.join(tokens.select("sent_id", "i", "text", "pos"), ["sent_id", "i"]).where("pos not in ('PUNCT', 'SCONJ')")
-    listed = words.groupBy("sent_id", "root").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("w"))
-    texts = F.transform("w", lambda x: x["text"])
-    bare = F.when((F.size(texts) > 1) & F.lower(F.get(texts, F.lit(0))).isin(DETERMINERS), F.slice(texts, 2, 1 << 30)).otherwise(texts)
-    return listed.select("sent_id", "root", F.array_join(bare, " ").alias(name))
-
-
-def statements(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
-    """A statement per root verb: subject, predicate (the verb's cluster in order), object (also of its infinitive), type and confidence."""
-    verbs = tokens.where((F.upper("dep") == "ROOT") | (F.col("head") == F.col("i"))).select("sent_id", "i", "lemma", "text")
-    cluster = tokens.join(verbs.select("sent_id", F.col("i").alias("root")), "sent_id").where((F.col("i") == F.col("root")) | ((F.col("head") == F.col("root")) & F.col("dep").isin("oc", "aux", "svp", "pm", "ng") & F.col("pos").isin("VERB", "AUX", "PART")))
-    predicate = cluster.groupBy("sent_id", "root").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("w")).select("sent_id", "root", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("predicate"))
-    lower = cluster.where("dep = 'oc' and i <> root").select("sent_id", "i")
-    subject = first_child(tokens, verbs, SUBJECTS, "noun").withColumnRenamed("head", "root")
-    nominal = tokens.where("pos not in ('VERB', 'AUX', 'PART')")
-    own = first_child(nominal, verbs, OBJECTS, "own").withColumnRenamed("head", "root")
-    deep = first_child(nominal, lower, OBJECTS, "deep").select("sent_id", "deep").groupBy("sent_id").agg(F.min("deep").alias("deep"))
-    objects = verbs.select("sent_id", F.col("i").alias("root")).join(own, ["sent_id", "root"], "left").join(deep, "sent_id", "left").select("sent_id", "root", F.coalesce("deep", "own").alias("noun")).where("noun is not null")
-    out = verbs.select("sent_id", F.col("i").alias("root"), F.col("lemma").alias("predicate_lemma")).join(predicate, ["sent_id", "root"])
-    out = out.join(phrase(tokens, subject, "subject"), ["sent_id", "root"], "left").join(phrase(tokens, objects, "object"), ["sent_id", "root"], "left").join(sentences.select("sent_id", "sentence"), "sent_id")
-    kind = out.withColumn("norm_type", T.norm_type(F.col("sentence")))
-    sure = confidence(F.col("subject"), F.col("predicate"), F.col("object"), T.norm_confidence(F.col("norm_type")))
-    return kind.withColumn("confidence", sure).withColumn("subject_type", T.entity_type(F.col("subject"), R.SUBJECT_EXACT, R.SUBJECT_SUFFIX)).withColumn("object_type", T.entity_type(F.col("object"), R.OBJECT_EXACT, R.OBJECT_SUFFIX)).drop("root")
 
 
 def document_type(title: Column, filename: Column, text: Column, rules: dict[str, dict]) -> Column:

@@ -20,6 +20,9 @@ MARKERS = [
     "Die Meldung nach DSGVO und § 9 ist zu prüfen.", "", "", ""]
 #: Asked of every other document of the query set; the others are asked for two words of their own.
 QUESTIONS = ["Muss der Halter anmelden?", "Aufsichten der Gemeinden", "Ausnahme der Behörden", "Meldungen zur DSGVO", "ausgenommener Hund"]
+#: Labels and tags of the tokens, some more often than others.
+TOKEN_LABELS = ["sb", "oa", "oc", "mo", "nk", "nk", "det", "attr", "op", "rc", "og", "aux", "cj", "punct", "obl", "sp"]
+TOKEN_TAGS = ["NOUN", "NOUN", "VERB", "ADJ", "DET", "AUX", "PUNCT", "NOUN", "PRON", "ADJ"]
 ABBREVIATIONS = [["DSGVO", "BGB"], ["DSGVO"], [], ["BSI", "BGB", "DSGVO"]]
 
 
@@ -120,6 +123,19 @@ class Views:
         vector = self.table("embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("v"))
         return self.chunks.where("has_embedding").join(vector, (F.col("doc_id") * 7 + F.col("pos")) % 500 == F.col("i")).select("chunk_id", "doc_class", "v")
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Words of the chunks with trees of many shapes, labels and tags by a hash of their places, in the stead of a parser."""
+        words = self.chunks.select(F.col("chunk_id").alias("sent_id"), F.split("content", " ").alias("w")).select("sent_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "text"))
+        i, root = F.col("i").cast("long"), F.least(F.col("sent_id") % 3, F.col("n") - 1)
+        rows = words.select("sent_id", "i", "text", root.alias("root"), ((F.col("sent_id") * 7919 + i * i * 131 + i * 104729) % 1000003).alias("h"))
+        h, r, i = F.col("h"), F.col("root"), F.col("i")
+        head = F.when(i < r, F.when(h % 2 == 0, r).otherwise(i + 1)).otherwise(F.when(h % 5 < 2, r).otherwise(F.greatest(r, i + 1 - h % 5)))
+        dep, pos = pick(TOKEN_LABELS, F.floor(h / 5) % len(TOKEN_LABELS)), pick(TOKEN_TAGS, F.floor(h / 101) % len(TOKEN_TAGS))
+        return rows.select(
+            "sent_id", "i", "text", F.lower("text").alias("lemma"), F.when(i == r, F.when(F.col("sent_id") % 2 == 0, "AUX").otherwise("VERB")).otherwise(pos).alias("pos"),
+            F.when(i == r, "ROOT").otherwise(dep).alias("dep"), F.when(i == r, r).otherwise(head).cast("int").alias("head"))
+
 
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -165,7 +181,12 @@ ner AS (SELECT chunk_id, doc_id, i, text, CASE {_NER_EXACT} {_NER_SUFFIX} END AS
 }
 CTE["asked"] = rf"""asked AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 40 = 0 THEN ({_sql_list(QUESTIONS)})[doc_id // 40 % 5 + 1] ELSE regexp_extract(text, '^\S+\s+(\S+\s+\S+)', 1) END AS text, '§ ' || (doc_id % 50 * 4 + 1) AS reference FROM documents WHERE doc_id % 20 = 0)"""
 CTE["chunk_vectors"] = "chunk_vectors AS (SELECT chunk_id, c.doc_class, embedding FROM chunks c JOIN vectors ON vec_id = (doc_id * 7 + pos) % 500 WHERE has_embedding)"
-_NEEDS = {"chunk_vectors": ["chunks", "vectors"], "sentences": ["chunks"], "svo": ["sentences"], "ner": ["chunks"]}
+CTE["tokens"] = f"""token_words AS (SELECT chunk_id AS sent_id, len(w) AS n, CAST(unnest(generate_series(0, len(w) - 1)) AS BIGINT) AS i, unnest(w) AS text FROM (SELECT chunk_id, string_split(content, ' ') AS w FROM chunks)),
+token_hashes AS (SELECT *, least(sent_id % 3, n - 1) AS r, (sent_id * 7919 + i * i * 131 + i * 104729) % 1000003 AS h FROM token_words),
+tokens AS (SELECT sent_id, i, text, lower(text) AS lemma, CASE WHEN i = r THEN CASE WHEN sent_id % 2 = 0 THEN 'AUX' ELSE 'VERB' END ELSE ({_sql_list(TOKEN_TAGS)})[h // 101 % {len(TOKEN_TAGS)} + 1] END AS pos,
+  CASE WHEN i = r THEN 'ROOT' ELSE ({_sql_list(TOKEN_LABELS)})[h // 5 % {len(TOKEN_LABELS)} + 1] END AS dep,
+  CASE WHEN i = r THEN r WHEN i < r THEN CASE WHEN h % 2 = 0 THEN r ELSE i + 1 END WHEN h % 5 < 2 THEN r ELSE greatest(r, i + 1 - h % 5) END AS head FROM token_hashes)"""
+_NEEDS = {"tokens": ["chunks"], "chunk_vectors": ["chunks", "vectors"], "sentences": ["chunks"], "svo": ["sentences"], "ner": ["chunks"]}
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import abbreviations as A
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
-from lexspark.operators import chunking, extraction, fulltext, graph, reports, retrieval, statements
+from lexspark.operators import chunking, extraction, fulltext, graph, reports, retrieval, statements, trees
 from lexspark.plans.adapters import Views, with_views
 from lexspark.sources import files, sinks
 
@@ -468,22 +468,49 @@ query("ans_01_generated_answers", lambda v: v.docs.select("doc_id", extraction.g
       "SELECT doc_id, title AS antwort, 'UNKNOWN' AS normtyp, 'hoch' AS konfidenz, false AS nicht_beantwortbar FROM docs", "docs")
 
 
-def _tokens(v: Views) -> DataFrame:
-    """A parse of all words by place: the second is the root, the first its subject, the third its object with the fourth
-    below it. Then come infinitives of the root (every 7th word from the sixth on), each with an object and a noun below
-    that, and modifiers of the root."""
-    i = C("i")
-    words = v.chunks.select(C("chunk_id").alias("sent_id"), F.posexplode(F.split("content", " ")).alias("i", "text"))
-    late, place = i > 4, i % 7
-    dep = F.when(i == 1, "ROOT").when(i == 0, "sb").when(i == 2, "oa").when(i == 3, "nk").when(late & (place == 5), "oc").when(late & (place == 6), "oa").when(late & (place == 0), "nk").otherwise("mo")
-    head = F.when(i == 3, 2).when(late & place.isin(6, 0), i - 1).otherwise(1)
-    return words.select("sent_id", "i", "text", F.lower("text").alias("lemma"), F.when((i == 1) | late & (place == 5), "VERB").otherwise("NOUN").alias("pos"), dep.alias("dep"), head.alias("head"))
-
-
-query("svo_02_06_statements", lambda v: extraction.statements(_tokens(v), v.chunks.select(C("chunk_id").alias("sent_id"), C("content").alias("sentence"))).select("sent_id", "subject", "predicate", "object"), r"""
-SELECT sent_id, w[1] AS subject, array_to_string(list_concat([w[2]], list_transform(list_filter(range(6, len(w) + 1), lambda i: i % 7 = 6), lambda i: w[i])), ' ') AS predicate,
-  CASE WHEN len(o) = 2 AND lower(o[1]) IN ('der', 'die', 'das', 'dem', 'den', 'des', 'ein', 'eine', 'einen', 'einem', 'einer', 'eines') THEN o[2] WHEN len(o) > 0 THEN array_to_string(o, ' ') END AS object
-FROM (SELECT *, CASE WHEN len(w) >= 7 THEN w[7:8] ELSE w[3:4] END AS o FROM (SELECT chunk_id AS sent_id, string_split(content, ' ') AS w FROM chunks)) WHERE len(w) >= 2""", "chunks")
+def _in(labels: list[str]) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in labels) + ")"
+
+
+def _first_child(name: str, labels: list[str], nominal: bool = False) -> str:
+    """The first child with one of the labels; if nominal, only where that child is no verb."""
+    first = f"SELECT sent_id, head, min(i) AS c FROM kids WHERE dep IN {_in(labels)} GROUP BY ALL"
+    return f"{name} AS ({f'SELECT f.* FROM ({first}) f JOIN tokens t ON t.sent_id = f.sent_id AND t.i = f.c WHERE t.pos NOT IN {_VERBAL}' if nominal else first})"
+
+
+def _phrase(name: str, noun: str) -> str:
+    allowed = f"dep NOT IN {_in(trees.PHRASE_ENDS)} AND pos NOT IN ('VERB', 'AUX', 'PUNCT') AND (dep IN {_in(trees.MODIFIERS)} OR pos = 'ADJ')"
+    return f"""{name}_near AS (SELECT p.sent_id, p.i AS root, k.i FROM parts p JOIN kids k ON k.sent_id = p.sent_id AND k.head = p.{noun} WHERE {allowed.replace('dep', 'k.dep').replace('pos', 'k.pos')}),
+{name}_words AS (SELECT m.*, t.text, sum((t.pos <> 'DET' AND lower(t.text) NOT IN {_in(trees.DETERMINERS)})::INT) OVER (PARTITION BY m.sent_id, m.root ORDER BY m.i) AS words FROM (SELECT sent_id, i AS root, {noun} AS i FROM parts WHERE {noun} IS NOT NULL
+  UNION SELECT * FROM {name}_near UNION SELECT n.sent_id, n.root, k.i FROM {name}_near n JOIN kids k ON k.sent_id = n.sent_id AND k.head = n.i WHERE k.pos = 'ADJ' AND k.dep IN {_in(trees.MODIFIERS)}) m JOIN tokens t ON t.sent_id = m.sent_id AND t.i = m.i),
+{name} AS (SELECT p.sent_id, p.i AS root, coalesce((SELECT string_agg(text, ' ' ORDER BY i) FROM {name}_words w WHERE w.sent_id = p.sent_id AND w.root = p.i AND words > 0), any_value(t.text)) AS phrase FROM parts p JOIN tokens t ON t.sent_id = p.sent_id AND t.i = p.{noun} GROUP BY p.sent_id, p.i)"""
+
+
+_VERBAL = "('VERB', 'AUX')"
+_PARTS = rf"""kids AS (SELECT * FROM tokens WHERE head <> i), roots AS (SELECT * FROM tokens WHERE dep = 'ROOT'),
+{_first_child('subjects', trees.SUBJECTS)}, {_first_child('objects', trees.OBJECTS)}, {_first_child('under', trees.OBJECTS_BELOW_OBJECT, True)}, {_first_child('near', trees.OBJECTS_BELOW_VERB, True)}, {_first_child('low', trees.OBJECTS_BELOW_INFINITIVE, True)},
+deepest AS (SELECT k.sent_id, k.head, arg_min(l.c, k.i) AS c FROM kids k JOIN low l ON l.sent_id = k.sent_id AND l.head = k.i WHERE k.pos = 'VERB' GROUP BY ALL),
+of_child AS (SELECT sent_id, head, coalesce(n.c, d.c) AS c FROM near n FULL JOIN deepest d USING (sent_id, head)),
+by_auxiliary AS (SELECT k.sent_id, k.head, arg_min(o.c, k.i) AS c FROM kids k JOIN of_child o ON o.sent_id = k.sent_id AND o.head = k.i WHERE k.pos IN {_VERBAL} AND k.dep IN {_in(trees.VERBS_BELOW_AUXILIARY)} GROUP BY ALL),
+by_verb AS (SELECT k.sent_id, k.head, arg_min(l.c, k.i) AS c FROM kids k JOIN low l ON l.sent_id = k.sent_id AND l.head = k.i WHERE k.pos = 'VERB' AND k.dep IN {_in(trees.VERBS_BELOW_VERB)} GROUP BY ALL),
+main AS (SELECT sent_id, head, min(i) AS c FROM kids WHERE pos = 'VERB' AND dep IN {_in(trees.MAIN_VERB)} GROUP BY ALL),
+found AS (SELECT r.sent_id, r.i, CASE WHEN s.pos IN {_VERBAL} THEN coalesce(s2.c, s1.c) ELSE s1.c END AS subject, CASE WHEN o.pos IN {_VERBAL} THEN u.c ELSE o1.c END AS own, CASE r.pos WHEN 'AUX' THEN a.c WHEN 'VERB' THEN v.c END AS other, CASE WHEN r.pos = 'AUX' THEN coalesce(m.c, r.i) ELSE r.i END AS main
+  FROM roots r LEFT JOIN subjects s1 ON s1.sent_id = r.sent_id AND s1.head = r.i LEFT JOIN tokens s ON s.sent_id = r.sent_id AND s.i = s1.c LEFT JOIN subjects s2 ON s2.sent_id = r.sent_id AND s2.head = s1.c
+  LEFT JOIN objects o1 ON o1.sent_id = r.sent_id AND o1.head = r.i LEFT JOIN tokens o ON o.sent_id = r.sent_id AND o.i = o1.c LEFT JOIN under u ON u.sent_id = r.sent_id AND u.head = o1.c
+  LEFT JOIN by_auxiliary a ON a.sent_id = r.sent_id AND a.head = r.i LEFT JOIN by_verb v ON v.sent_id = r.sent_id AND v.head = r.i LEFT JOIN main m ON m.sent_id = r.sent_id AND m.head = r.i),
+cluster AS (SELECT sent_id, i AS root, i FROM found UNION SELECT sent_id, i, main FROM found UNION SELECT f.sent_id, f.i, k.i FROM found f JOIN kids k ON k.sent_id = f.sent_id AND k.head = f.i WHERE k.pos = 'AUX' AND k.dep IN {_in(trees.AUXILIARIES)}),
+predicates AS (SELECT c.sent_id, c.root, string_agg(t.text, ' ' ORDER BY c.i) AS predicate FROM cluster c JOIN tokens t ON t.sent_id = c.sent_id AND t.i = c.i GROUP BY ALL),
+parts AS (SELECT sent_id, i, main, predicate, CASE WHEN passive THEN subject ELSE object END AS object, CASE WHEN NOT passive THEN subject END AS subject FROM (SELECT *, coalesce(own, other) AS object,
+  coalesce(own, other) IS NULL AND subject IS NOT NULL AND regexp_matches(predicate, '(^|[^\p{{L}}\p{{N}}_])zu[\p{{L}}\p{{N}}_]+en($|[^\p{{L}}\p{{N}}_])') AS passive FROM found JOIN predicates p USING (sent_id) WHERE p.root = found.i)),
+{_phrase('subject_phrases', 'subject')},
+{_phrase('object_phrases', 'object')},
+adverbials AS (SELECT k.sent_id, p.i AS root, k.i AS top FROM parts p JOIN kids k ON k.sent_id = p.sent_id AND k.head = p.i WHERE k.dep IN {_in(trees.CONTEXT)} AND k.pos NOT IN ('PUNCT', 'CCONJ') AND k.i IS DISTINCT FROM p.object AND k.i IS DISTINCT FROM p.subject),
+below AS (SELECT sent_id, root, top, top AS i FROM adverbials UNION ALL SELECT b.sent_id, b.root, b.top, k.i FROM below b JOIN kids k ON k.sent_id = b.sent_id AND k.head = b.i),
+contexts AS (SELECT sent_id, root, string_agg(phrase, '; ' ORDER BY top) AS context FROM (SELECT b.sent_id, b.root, b.top, string_agg(t.text, ' ' ORDER BY b.i) AS phrase FROM below b JOIN tokens t ON t.sent_id = b.sent_id AND t.i = b.i GROUP BY ALL) WHERE length(phrase) < 100 GROUP BY ALL)
+SELECT p.sent_id, s.phrase AS subject, p.predicate, m.lemma AS predicate_lemma, o.phrase AS object, c.context FROM parts p JOIN tokens m ON m.sent_id = p.sent_id AND m.i = p.main LEFT JOIN subject_phrases s ON s.sent_id = p.sent_id AND s.root = p.i
+  LEFT JOIN object_phrases o ON o.sent_id = p.sent_id AND o.root = p.i LEFT JOIN contexts c ON c.sent_id = p.sent_id AND c.root = p.i"""
+query("svo_02_06_statements", lambda v: trees.statements(v.tokens, v.chunks.select(C("chunk_id").alias("sent_id"), C("content").alias("sentence"))).select("sent_id", "subject", "predicate", "predicate_lemma", "object", "context"),
+      with_views("", "tokens").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PARTS)
 
 # ---- sources and sinks
 query("src_02_content_types", lambda v: v.docs.select("doc_id", F.concat("title", pick_extension(C("doc_id"))).alias("filename")).select("doc_id", files.content_type(C("filename")).alias("content_type"), files.table_kind(C("filename")).alias("kind")), """

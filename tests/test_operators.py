@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import abbreviations as A
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
-from lexspark.operators import chunking, extraction, retrieval, statements
+from lexspark.operators import chunking, extraction, retrieval, statements, trees
 from lexspark.sources import files, sinks
 from lexspark.streaming import landing
 
@@ -147,7 +147,7 @@ def test_statement_filters(spark):
 def test_statements_from_tokens(spark):
     words = [("Der", "der", "DET", "nk", 1), ("Halter", "halter", "NOUN", "sb", 2), ("muss", "müssen", "AUX", "ROOT", 2), ("den", "der", "DET", "nk", 4), ("Hund", "hund", "NOUN", "oa", 5), ("anmelden", "anmelden", "VERB", "oc", 2), (".", ".", "PUNCT", "punct", 2)]
     tokens = spark.createDataFrame([(1, i, *w) for i, w in enumerate(words)], "sent_id long, i int, text string, lemma string, pos string, dep string, head int")
-    got = extraction.statements(tokens, spark.createDataFrame([(1, "Der Halter muss den Hund anmelden.")], "sent_id long, sentence string")).collect()
+    got = trees.statements(tokens, spark.createDataFrame([(1, "Der Halter muss den Hund anmelden.")], "sent_id long, sentence string")).collect()
     assert [(r["subject"], r["predicate"], r["object"], r["norm_type"], r["subject_type"]) for r in got] == [("Halter", "muss anmelden", "Hund", "MUST", "ROLLE")]
 
 
