@@ -17,7 +17,8 @@ from lexspark.functions import text as T
 MARKERS = [
     "Der Halter muss dies anmelden.", "Dies darf nicht erfolgen.", "Dies erfolgt binnen 2 Wochen.", "Halter im Sinne dieses Gesetzes sind Personen.",
     "Die Aufsicht obliegt der Gemeinde.", "Hunde sind ausgenommen.", "Die Behörde kann nach § 5 Abs. 2 Ausnahmen erteilen.", "Wer ist hier zuständig?",
-    "Die Meldung nach DSGVO und § 9 ist zu prüfen.", "", "", ""]
+    "Die Meldung nach DSGVO und § 9 ist zu prüfen.", "Die haltende Person muss den Hund im zentralen Register und im Hunderegister registrieren, EIGENTÜMERIN und Chip angeben.",
+    "Halterinnen und Halter weisen Versicherungsschutz nach; die örtlich zuständige Behörde prüft die persönlichen Daten.", ""]
 #: Asked of every other document of the query set; the others are asked for two words of their own.
 QUESTIONS = ["Muss der Halter anmelden?", "Aufsichten der Gemeinden", "Ausnahme der Behörden", "Meldungen zur DSGVO", "ausgenommener Hund"]
 #: Labels and tags of the tokens, some more often than others.

@@ -430,7 +430,17 @@ UNION ALL SELECT 'ner', 'occurrence/' || chunk_id || '/' || i, unnest(['entity',
 # ---- abbreviations, document types, answers, progress
 query("txt_11_abbreviations", lambda v: v.chunks.select("chunk_id", A.abbreviations(C("content")).alias("r")).select("chunk_id", F.size("r.map").cast("long").alias("replaced"), F.length("r.text").cast("long").alias("chars")).where("replaced > 0"), r"""
 SELECT chunk_id, CAST(len(regexp_extract_all(content, '\bDSGVO\b')) AS BIGINT) AS replaced, CAST(length(regexp_replace(content, '\bDSGVO\b', 'Datenschutz-Grundverordnung', 'g')) AS BIGINT) AS chars FROM chunks WHERE regexp_matches(content, '\bDSGVO\b')""", "chunks")
-query("txt_12_synonyms", lambda v: v.chunks.select("chunk_id", A.synonyms(C("content")).alias("r")).select("chunk_id", F.size("r.map").cast("long").alias("replaced"), F.md5("r.text").alias("md5")).where("replaced > 0"))
+_VARIANTS = ", ".join("('" + v + "', '" + c + "', " + ("[" + ", ".join(f"'{w.lower()}'" for w in words) + "]::VARCHAR[]" if words else "[]::VARCHAR[]") + ")" for c, variants, words in A.SYNONYMS for v in variants)
+query("txt_12_synonyms", lambda v: v.chunks.select("chunk_id", F.explode(A.synonyms(C("content"))["map"]).alias("m")).select("chunk_id", "m.abbrev", "m.resolved", *[C("m." + c).cast("long").alias(c) for c in ("orig_start", "orig_end", "res_start", "res_end")]),
+      with_views("", "chunks").rstrip() + rf""", variants(variant, canonical, words) AS (VALUES {_VARIANTS}),
+split AS (SELECT chunk_id, content, variant, canonical, words, string_split(lower(content), lower(variant)) AS s FROM chunks JOIN variants ON contains(lower(content), lower(variant))),
+placed AS (SELECT chunk_id, content, canonical, words, length(variant) AS size, unnest(list_transform(range(1, len(s)), lambda k: CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + (k - 1) * length(variant) AS BIGINT))) AS place FROM split),
+near AS (SELECT *, substr(content, place + 1, size) AS found, lower(substr(content, greatest(1, place - 149), place + size + 151 - greatest(1, place - 149))) AS around FROM placed WHERE NOT regexp_matches(CASE WHEN place > 0 THEN substr(content, place, 1) ELSE ' ' END || substr(content, place + size + 1, 1), '[\p{{L}}\p{{N}}_]')),
+counted AS (SELECT * FROM near WHERE len(words) = 0 OR len(list_filter(words, lambda w: contains(around, w))) > 0),
+kept AS (SELECT * FROM counted a WHERE NOT EXISTS (SELECT 1 FROM counted b WHERE b.chunk_id = a.chunk_id AND b.place < a.place + a.size AND a.place < b.place + b.size AND (b.size > a.size OR (b.size = a.size AND b.place < a.place)))),
+cased AS (SELECT chunk_id, found AS abbrev, place, size, CASE WHEN found = upper(found) THEN upper(canonical) WHEN found = lower(found) THEN lower(canonical) WHEN found[1] = upper(found[1]) THEN upper(canonical[1]) || canonical[2:] ELSE canonical END AS resolved FROM kept)
+SELECT chunk_id, abbrev, resolved, place AS orig_start, place + size AS orig_end, CAST(place + moved AS BIGINT) AS res_start, CAST(place + moved + length(resolved) AS BIGINT) AS res_end
+FROM (SELECT *, coalesce(sum(length(resolved) - size) OVER (PARTITION BY chunk_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM cased)""")
 query("txt_13_original", lambda v: v.chunks.select("chunk_id", "content", A.abbreviations(C("content")).alias("r")).select("chunk_id", (A.original(C("r.text"), C("r.map")) == C("content")).alias("same")), "SELECT chunk_id, true AS same FROM chunks", "chunks")
 #: Rules of the query below; the operator takes any.
 _TYPES = {

@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,53 @@ def test_abbreviations(spark):
     assert got[0]["back"] == text and got[1]["text"] == ""
     assert got[0]["text"].startswith("Nach Datenschutz-Grundverordnung und Bürgerliches Gesetzbuch gilt") and "DSGVOX" in got[0]["text"]
     assert all(got[0]["text"][m["res_start"] : m["res_end"]] == m["resolved"] and text[m["orig_start"] : m["orig_end"]] == m["abbrev"] for m in got[0]["map"])
-    assert A.resolve("Die haltende Person mit Hund", {"haltende Person": ("Hundehalter", "S", ["Hund"])}, 150, True)[0] == "Die hundehalter mit Hund"
+
+
+def slow_resolve(text, table, window, fold):
+    """One entry after the other, the longest first, over text that they have not yet covered."""
+    covered, spans = [m.span() for p in A.PROTECTED for m in re.finditer(p, text)], []
+    places = sorted(((len(f), f, full, words) for f, full, _, words in table if f != full), key=lambda e: -e[0])
+    for size in sorted({e[0] for e in places}, reverse=True):
+        found = []
+        for _, form, full, words in (e for e in places if e[0] == size):
+            for m in re.finditer(r"(?<!\w)(?=(" + re.escape(form) + r")(?!\w))", text, re.I if fold else 0):
+                a, b = m.span(1)
+                if not any(x < b and a < y for x, y in covered) and (not words or any(w.lower() in text[max(0, a - window) : b + window].lower() for w in words)):
+                    found.append((a, b, full))
+        for a, b, full in sorted(found):
+            if not any(x < b and a < y for x, y, _ in spans):
+                old = text[a:b]
+                spans.append((a, b, full if not fold else full.upper() if old.isupper() else full.lower() if old.islower() else full[0].upper() + full[1:] if old[0].isupper() else full))
+    spans.sort()
+    out, at = "", 0
+    for a, b, full in spans:
+        out, at = out + text[at:a] + full, b
+    return out + text[at:], [s[:2] for s in spans]
+
+
+def test_forms_against_brute_force():
+    rng = np.random.default_rng(5)
+    variants = [(v, c, "S", w) for c, vs, w in A.SYNONYMS for v in vs]
+    others = ["Hund", "Tier", "und", "§ 3 Abs. 1", "Art. 13", "2024-01-31", "1.2.", "Urteil", "İstanbul", "x_", ",", ".", "die", "zuständige", "AGX", "§5BGB", "Nr. 7"]
+    for table, window, fold in ((A.ABBREVIATIONS, A.ABBREVIATION_CONTEXT, False), (variants, A.SYNONYM_CONTEXT, True), ([("ab", "X", "", []), ("b c", "Yy", "", []), ("a", "Z", "", []), ("ab c", "ab c", "", [])], 10, True)):
+        finder, hits = A.Finder({f: (full, label, words) for f, full, label, words in table}, window, fold), 0
+        for _ in range(400):
+            words = [str(rng.choice([e[0] for e in table])) if rng.random() < 0.35 else str(rng.choice(others)) for _ in range(rng.integers(0, 40))]
+            words = [getattr(w, str(rng.choice(["upper", "lower", "swapcase", "strip", "strip", "strip"])))() for w in words] if fold else words
+            text = "".join(w + str(rng.choice([" ", " ", " ", "", "-"])) for w in words)
+            got, spans = finder.resolve(text)
+            want, places = slow_resolve(text, table, window, fold)
+            assert (got, [s[2:4] for s in spans]) == (want, places)
+            assert all(got[s[4] : s[5]] == s[1] and text[s[2] : s[3]] == s[0] for s in spans)
+            hits += len(spans)
+        assert hits > 300
+    assert A.Finder({}, 10, True).resolve("abc") == ("abc", [])
+
+
+@pytest.mark.parametrize("text, want", [("Die haltende Person mit Hund", "Die Hundehalter mit Hund"), ("HUNDEHALTERIN und Hund", "HUNDEHALTER und Hund"), ("hundehalterin, Hund", "hundehalter, Hund"), ("ein Chip allein", "ein Chip allein"), ("ein Chip im Tier", "ein Transponder im Tier"), ("örtlich zuständige Behörde", "zuständige behörde")])
+def test_synonyms(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(A.synonyms(F.col("t"))["text"]).first()[0].lower() == want.lower()
+    assert spark.createDataFrame([(text,)], "t string").select(A.normalised(F.col("t"))["text"]).first()[0] == A.Finder({v: (c, "S", w) for c, vs, w in A.SYNONYMS for v in vs}, A.SYNONYM_CONTEXT, True).resolve(text)[0]
 
 
 def test_chunkers(spark):
