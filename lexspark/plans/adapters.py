@@ -69,7 +69,7 @@ class Views:
 
     @cached_property
     def sentences(self) -> DataFrame:
-        each = self.chunks.select("chunk_id", "doc_id", "pos", "doc_class", F.posexplode(T.sentences(F.col("content"))).alias("i", "sentence"))
+        each = self.chunks.select("chunk_id", "doc_id", "pos", "doc_class", "norm_reference", F.posexplode(T.sentences(F.col("content"))).alias("i", "sentence"))
         return each.withColumn("i", F.col("i").cast("long"))
 
     @cached_property
@@ -79,7 +79,7 @@ class Views:
         word = lambda n: F.nullif(F.regexp_extract(s, r"^\s*" + r"\S+\s+" * n + r"(\S+)", 1), F.lit(""))
         last = F.nullif(F.regexp_extract(s, r"(\S*[\p{L}\p{N}])[^\p{L}\p{N}]*$", 1), F.lit(""))
         base = self.sentences.select(
-            key.alias("svo_id"), "chunk_id", "doc_id", "doc_class", "sentence", F.when(key % 3 != 0, word(0)).alias("subject"), word(1).alias("predicate"),
+            key.alias("svo_id"), "chunk_id", "doc_id", "doc_class", "norm_reference", "sentence", F.lower(word(1)).alias("predicate_lemma"), F.when(key % 4 == 0, word(2)).alias("context"), F.when(key % 3 != 0, word(0)).alias("subject"), word(1).alias("predicate"),
             F.when(key % 2 == 0, last).alias("object"), T.norm_type(s).alias("norm_type"))
         base = base.withColumn("norm_confidence", T.norm_confidence(F.col("norm_type")))
         have = lambda c: F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)
@@ -89,9 +89,9 @@ class Views:
 
     @cached_property
     def ner(self) -> DataFrame:
-        words = self.chunks.select("chunk_id", "doc_id", F.posexplode(F.split("content", " ")).alias("i", "word"))
+        words = self.chunks.select("chunk_id", "doc_id", "norm_reference", "chunk_type", F.posexplode(F.split("content", " ")).alias("i", "word"))
         word = F.regexp_extract("word", r"^[^\p{L}]*([\p{L}\p{N}-]*\p{L})[^\p{L}]*$", 1)
-        rows = words.select("chunk_id", "doc_id", F.col("i").cast("long").alias("i"), word.alias("text")).where("text <> ''")
+        rows = words.select("chunk_id", "doc_id", "norm_reference", "chunk_type", F.col("i").cast("long").alias("i"), word.alias("text")).where("text <> ''")
         lower = F.lower("text")
         label = kind = None
         for name, values in R.NER_EXACT.items():
@@ -166,17 +166,18 @@ chunks AS (SELECT doc_id * 100000 + pos AS chunk_id, doc_id, pos, doc_class, CAS
   content, CASE WHEN doc_class = 'A' THEN '§ ' || para END AS norm_reference, pos % 7 <> 0 AS has_embedding, ([{', '.join(_sql_list(a) + '::VARCHAR[]' for a in ABBREVIATIONS)}])[doc_id % 4 + 1] AS abbrevs,
   CAST(greatest(1, length(content) // 4) AS BIGINT) AS token_count, CASE WHEN doc_class = 'B' AND contains(content, '|') THEN 'tabelle' ELSE {_sql_case('content', [(n, R.unbordered(p)) for n, p in R.CHUNK_TYPES], "'tatbestand'")} END AS chunk_type,
   CASE doc_class WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END AS confidence_weight FROM contents)""",
-    "sentences": r"""parts AS (SELECT chunk_id, doc_id, pos, doc_class, list_filter(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS l FROM chunks),
-sentences AS (SELECT chunk_id, doc_id, pos, doc_class, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS i, unnest(l) AS sentence FROM parts)""",
-    "svo": rf"""svo0 AS (SELECT chunk_id * 1000 + i AS svo_id, chunk_id, doc_id, doc_class, sentence, CASE WHEN (chunk_id * 1000 + i) % 3 <> 0 THEN nullif(regexp_extract(sentence, '^\s*(\S+)', 1), '') END AS subject,
+    "sentences": r"""parts AS (SELECT chunk_id, doc_id, pos, doc_class, norm_reference, list_filter(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS l FROM chunks),
+sentences AS (SELECT chunk_id, doc_id, pos, doc_class, norm_reference, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS i, unnest(l) AS sentence FROM parts)""",
+    "svo": rf"""svo0 AS (SELECT chunk_id * 1000 + i AS svo_id, chunk_id, doc_id, doc_class, norm_reference, sentence, lower(nullif(regexp_extract(sentence, '^\s*\S+\s+(\S+)', 1), '')) AS predicate_lemma,
+  CASE WHEN (chunk_id * 1000 + i) % 4 = 0 THEN nullif(regexp_extract(sentence, '^\s*\S+\s+\S+\s+(\S+)', 1), '') END AS context, CASE WHEN (chunk_id * 1000 + i) % 3 <> 0 THEN nullif(regexp_extract(sentence, '^\s*(\S+)', 1), '') END AS subject,
   nullif(regexp_extract(sentence, '^\s*\S+\s+(\S+)', 1), '') AS predicate, CASE WHEN (chunk_id * 1000 + i) % 2 = 0 THEN nullif(regexp_extract(sentence, '(\S*[\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]*$', 1), '') END AS object,
   {_sql_case('sentence', [(n, R.bordered(p)) for n, _, p in R.NORM_TYPES], "'UNKNOWN'")} AS norm_type FROM sentences),
 svo1 AS (SELECT *, CAST({_NORM_CONFIDENCE} AS DOUBLE) AS norm_confidence FROM svo0),
 svo AS (SELECT *, round(0.35::DOUBLE * (subject IS NOT NULL)::INT + 0.30::DOUBLE * (predicate IS NOT NULL)::INT + 0.25::DOUBLE * (object IS NOT NULL)::INT + 0.10::DOUBLE * norm_confidence, 3) AS confidence,
   {_sql_entity('subject', R.SUBJECT_EXACT, R.SUBJECT_SUFFIX)} AS subject_type, {_sql_entity('object', R.OBJECT_EXACT, R.OBJECT_SUFFIX)} AS object_type FROM svo1)""",
-    "ner": rf"""words AS (SELECT chunk_id, doc_id, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS i, unnest(l) AS word FROM (SELECT chunk_id, doc_id, string_split(content, ' ') AS l FROM chunks)),
-tokens AS (SELECT chunk_id, doc_id, i, regexp_extract(word, '^[^\p{{L}}]*([\p{{L}}\p{{N}}-]*\p{{L}})[^\p{{L}}]*$', 1) AS text FROM words),
-ner AS (SELECT chunk_id, doc_id, i, text, CASE {_NER_EXACT} {_NER_SUFFIX} END AS label, CASE WHEN (CASE {_NER_EXACT} END) IS NOT NULL THEN 0.85::DOUBLE ELSE 0.80::DOUBLE END AS confidence,
+    "ner": rf"""words AS (SELECT chunk_id, doc_id, norm_reference, chunk_type, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS i, unnest(l) AS word FROM (SELECT chunk_id, doc_id, norm_reference, chunk_type, string_split(content, ' ') AS l FROM chunks)),
+tokens AS (SELECT chunk_id, doc_id, norm_reference, chunk_type, i, regexp_extract(word, '^[^\p{{L}}]*([\p{{L}}\p{{N}}-]*\p{{L}})[^\p{{L}}]*$', 1) AS text FROM words),
+ner AS (SELECT chunk_id, doc_id, norm_reference, chunk_type, i, text, CASE {_NER_EXACT} {_NER_SUFFIX} END AS label, CASE WHEN (CASE {_NER_EXACT} END) IS NOT NULL THEN 0.85::DOUBLE ELSE 0.80::DOUBLE END AS confidence,
   (['rule', 'flair'])[(chunk_id + i) % 2 + 1] AS source FROM tokens WHERE text <> '' AND (CASE {_NER_EXACT} {_NER_SUFFIX} END) IS NOT NULL)""",
     "vectors": "vectors AS (SELECT vec_id, (['A', 'B', 'C'])[label % 3 + 1] AS doc_class, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)",
 }
