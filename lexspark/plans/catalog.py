@@ -190,8 +190,8 @@ query("txt_07_chunk_type", lambda v: v.chunks.groupBy("chunk_type").agg(n()), "S
 query("txt_08_requirement_id", lambda v: v.chunks.select("chunk_id", T.requirement_id(F.concat("content", F.lit(" REQ-0"), C("pos").cast("string"), F.lit("01"))).alias("requirement")), r"SELECT chunk_id, nullif(regexp_extract(content || ' REQ-0' || pos || '01', '\b([A-Z]{1,4}-\d{3,})\b', 1), '') AS requirement FROM chunks", "chunks")
 query("txt_09_sentences", lambda v: v.sentences.groupBy("doc_id").agg(n("sentences"), F.sum(F.length("sentence")).cast("long").alias("chars")), "SELECT doc_id, count(*) AS sentences, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM sentences GROUP BY doc_id", "sentences")
 query("txt_10_content_hash", lambda v: v.table("documents").groupBy(F.md5("text").alias("md5")).agg(n()).where("n > 1"), "SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
-query("txt_14_row_prose", lambda v: v.table("customer").select("c_custkey", T.row_prose(F.array(F.lit("Kunde"), F.lit("Segment"), F.lit("")), F.array("c_name", "c_mktsegment", F.when(C("c_custkey") % 2 == 0, C("c_custkey").cast("string")))).alias("prose")), """
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Kunde: ' || c_name || '; Segment: ' || c_mktsegment || '; Spalte 3: ' || c_custkey || '.' ELSE 'Kunde "' || c_name || '": Segment ist "' || c_mktsegment || '".' END AS prose FROM customer""")
+query("txt_14_row_prose", lambda v: v.table("customer").select("c_custkey", T.row_prose(F.array(F.lit("Kunde"), F.lit("Segment")), F.array("c_name", "c_mktsegment", F.when(C("c_custkey") % 2 == 0, C("c_custkey").cast("string")))).alias("prose")), """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Kunde: ' || c_name || '. Segment: ' || c_mktsegment || '. Spalte 3: ' || c_custkey || '.' ELSE 'Kunde "' || c_name || '": Segment ist "' || c_mktsegment || '".' END AS prose FROM customer""")
 query("txt_16_query_type", lambda v: v.sentences.select("chunk_id", "i", T.query_type(C("sentence")).alias("kind")).groupBy("kind").agg(n()), "SELECT CASE WHEN regexp_matches(lower(sentence), '" + R.QUERY_NORM + "') THEN 'NORM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_IM) + "') THEN 'IM' WHEN regexp_matches(lower(sentence), '" + R.bordered(R.QUERY_ENTITY) + "') THEN 'ENTITY' ELSE 'GENERAL' END AS kind, count(*) AS n FROM sentences GROUP BY 1", "sentences")
 _ASKED_FOR = T.QUERY_REFERENCE.replace("(?iu)", "(?i)").replace(r"G\b)", r"G)(?:[^\p{L}\p{N}_]|$)")  # \b of this dialect knows ASCII alone
 _ASKED = "concat_ws(' ', '§ ' || nullif(regexp_extract(sentence, '%s', 1), ''), 'Abs. ' || nullif(regexp_extract(sentence, '%s', 2), ''), 'Satz ' || nullif(regexp_extract(sentence, '%s', 3), ''), 'Nr. ' || nullif(regexp_extract(sentence, '%s', 4), ''), nullif(regexp_extract(sentence, '%s', 5), ''))".replace("%s", _ASKED_FOR)
