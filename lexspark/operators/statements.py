@@ -33,13 +33,29 @@ def best_entities(ner: DataFrame) -> DataFrame:
 
 
 def without_near_rules(ner: DataFrame, near: int = 5) -> DataFrame:
-    """Rule entities go where a model entity of the same chunk and label starts closer than `near` places."""
+    """Rule entities go where a model entity of the same chunk and label starts closer than `near` places.
+
+    Places lie in bins of `near`: a rule entity can only be near to model entities of its own bin and of the two beside it,
+    which stand in for their neighbours, so that the join has the bin in its key.
+    """
     model = ner.where("source = 'flair'").select(F.col("chunk_id").alias("mc"), F.col("label").alias("ml"), F.col("i").alias("mi"))
-    rule = ner.where("source = 'rule'")
-    kept = rule.join(model, (F.col("chunk_id") == F.col("mc")) & (F.col("label") == F.col("ml")) & (F.abs(F.col("i") - F.col("mi")) < near), "left_anti")
+    model = model.withColumn("mb", F.explode(F.array(*[F.floor(F.col("mi") / near) + step for step in (-1, 0, 1)])))
+    rule = ner.where("source = 'rule'").withColumn("_bin", F.floor(F.col("i") / near))
+    same = (F.col("chunk_id") == F.col("mc")) & (F.col("label") == F.col("ml")) & (F.col("_bin") == F.col("mb"))
+    kept = rule.join(model, same & (F.abs(F.col("i") - F.col("mi")) < near), "left_anti").drop("_bin")
     return kept.unionByName(ner.where("source = 'flair'"))
 
 
+def combined(ner: DataFrame, strategy: str = "merge", least: float = 0.6, near: int = 5) -> DataFrame:
+    """Entities by strategy: those of the model (`flair_only`) or of the rules (`rules_only`), or the model's with what the
+    rules add (`merge`); then the least confidence."""
+    if strategy not in ("merge", "flair_only", "rules_only"):
+        raise ValueError(f"no strategy {strategy}")
+    source = {"flair_only": "flair", "rules_only": "rule"}.get(strategy)
+    rows = ner.where(F.col("source") == source) if source else without_near_rules(ner, near)
+    return rows.where(F.col("confidence") >= least)
+
+
 def corrected(ner: DataFrame, least: float = 0.5) -> DataFrame:
     """Least confidence, blacklist, label corrections, then agnostic data objects."""
     table = F.create_map(*[F.lit(x) for kv in R.NER_CORRECTIONS.items() for x in kv])
@@ -102,10 +118,53 @@ def merged_labels(svo: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.withColumn("norm_confidence", F.when(use, F.col("answer_confidence")).otherwise(F.col("norm_confidence"))).withColumn("norm_type", F.when(use, F.col("answer")).otherwise(F.col("norm_type"))).drop("answer", "answer_confidence")
 
 
-def prompt_batches(svo: DataFrame, size: int = 20) -> DataFrame:
-    """UNKNOWN statements of 15 characters and more as numbered lines, in batches per document."""
-    order = Window.partitionBy("doc_id").orderBy("svo_id")
-    rows = svo.where((F.col("norm_type") == "UNKNOWN") & (F.length("sentence") >= 15)).withColumn("n", F.row_number().over(order))
-    line = F.format_string("SVO-%03d: %s", ((F.col("n") - 1) % size + 1).cast("int"), F.col("sentence"))
-    return rows.select("doc_id", F.floor((F.col("n") - 1) / size).cast("long").alias("batch"), "n", line.alias("line")).groupBy("doc_id", "batch").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("prompt"), F.count("*").alias("statements"))
+# ---- fixed values: why a statement is not sent to a model
+TOO_SHORT, IS_NOUN, NO_BUDGET = "Text zu kurz", "Prädikat ist Substantiv", "Budget erreicht"
+#: Ranges of documents within which calls are numbered.
+RANGES = 64
+
+
+def numbered_calls(per: DataFrame, key: str, many: str, ranges: int = RANGES) -> DataFrame:
+    """Adds `before`: the sum of `many` over all rows with a lesser key, a distinct number.
+
+    Two levels of sums: rows lie in ranges of the key by its approximate quantiles, the sum of a range is one number to the
+    driver, and a row adds what its range holds before it. No task sees more than a range, and any bounds give right sums.
+    """
+    wanted = [i / ranges for i in range(1, ranges)]
+    bounds = sorted({int(x) for x in per.select(F.col(key).cast("double")).approxQuantile(key, wanted, 0.1 / ranges)})
+    place = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    ranged = per.withColumn("_range", place)
+    sums = dict(ranged.groupBy("_range").agg(F.sum(many)).collect())
+    offsets, total = [], 0
+    for i in range(len(bounds) + 1):
+        offsets.append(total)
+        total += sums.get(i) or 0
+    before = F.sum(many).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("before", F.coalesce(before, F.lit(0)) + F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_range"))).drop("_range")
+
+
+def assigned(svo: DataFrame, size: int = 20, budget: int = 0) -> DataFrame:
+    """svo_id, doc_id, batch, call, n, reason, sentence of every UNKNOWN statement.
+
+    The statements of a document are cut into batches of `size` in order; calls are all batches in order of the documents,
+    from 1. Within a batch, short texts and nouns in the place of predicates are skipped, with their reason; so is all
+    beyond `budget` calls, if one is given. n numbers what is left of a batch.
+    """
+    order, of_batch = Window.partitionBy("doc_id").orderBy("svo_id"), Window.partitionBy("doc_id", "batch").orderBy("svo_id")
+    text, predicate = F.trim(F.coalesce("sentence", F.lit(""))), F.trim(F.coalesce("predicate", F.lit("")))
+    noun = predicate.rlike(r"^\p{Lu}\p{L}*$") & (F.length(predicate) > 3)
+    rows = svo.where("norm_type = 'UNKNOWN'").select("svo_id", "doc_id", "sentence", F.when(F.length(text) < 15, TOO_SHORT).when(noun, IS_NOUN).alias("reason"), F.floor((F.row_number().over(order) - 1) / size).cast("long").alias("batch"))
+    batches = rows.groupBy("doc_id").agg((F.max("batch") + 1).alias("batches"))
+    rows = rows.join(numbered_calls(batches, "doc_id", "batches").select("doc_id", "before"), "doc_id").withColumn("call", F.col("before") + F.col("batch") + 1)
+    if budget:
+        rows = rows.withColumn("reason", F.when(F.col("call") > budget, NO_BUDGET).otherwise(F.col("reason")))
+    sent = F.when(F.col("reason").isNull(), F.sum(F.col("reason").isNull().cast("int")).over(of_batch))
+    return rows.select("svo_id", "doc_id", "batch", "call", sent.alias("n"), "reason", "sentence")
+
+
+def prompt_batches(svo: DataFrame, size: int = 20, budget: int = 0) -> DataFrame:
+    """doc_id, batch, call, prompt, asked, statements: UNKNOWN statements as numbered lines, by assigned(). Batches of which nothing is asked have no prompt."""
+    rows = assigned(svo, size, budget)
+    line = F.when(F.col("n").isNotNull(), F.struct("n", F.format_string("SVO-%03d: %s", F.col("n"), F.col("sentence")).alias("line")))
+    per = rows.groupBy("doc_id", "batch", "call").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.count("n").alias("asked"), F.count("*").alias("statements"))
+    return per.where("asked > 0").select("doc_id", "batch", "call", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("prompt"), "asked", "statements")

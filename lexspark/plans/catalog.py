@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,6 +153,10 @@ SELECT event_id, user_id::VARCHAR AS doc_id, event_type, title FROM events JOIN
 query("joi_18_job_errors", lambda v: v.table("events").select("event_id", "event_type", F.when(C("event_type") == "error", F.left("props", F.lit(80))).alias("error")), "SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN left(props, 80) END AS error FROM events")
 query("joi_13_near_rule_entities", lambda v: statements.without_near_rules(v.ner).select("chunk_id", "i", "label", "source"), """
 SELECT chunk_id, i, label, source FROM ner a WHERE source = 'flair' OR NOT EXISTS (SELECT 1 FROM ner b WHERE b.source = 'flair' AND b.chunk_id = a.chunk_id AND b.label = a.label AND abs(a.i - b.i) < 5)""", "ner")
+_NEAR = "EXISTS (SELECT 1 FROM ner b WHERE b.source = 'flair' AND b.chunk_id = a.chunk_id AND b.label = a.label AND abs(a.i - b.i) < 5)"
+query("ner_03_strategies", lambda v: reduce(DataFrame.unionByName, [statements.combined(v.ner, s).groupBy("label", "source").agg(n()).withColumn("strategy", F.lit(s)) for s in ("merge", "flair_only", "rules_only")]), f"""
+SELECT label, source, count(*) AS n, 'merge' AS strategy FROM ner a WHERE confidence >= 0.6 AND (source = 'flair' OR NOT {_NEAR}) GROUP BY ALL
+UNION ALL SELECT label, source, count(*), CASE source WHEN 'flair' THEN 'flair_only' ELSE 'rules_only' END FROM ner WHERE confidence >= 0.6 GROUP BY ALL""", "ner")
 query("joi_15_parent_references", lambda v: v.chunks.select("chunk_id", "parent_id").join(v.chunks.select(C("chunk_id").alias("parent_id"), C("norm_reference").alias("parent_reference")), "parent_id").select("chunk_id", "parent_reference"),
       "SELECT c.chunk_id, p.norm_reference AS parent_reference FROM chunks c JOIN chunks p ON p.chunk_id = c.parent_id", "chunks")
 
@@ -201,9 +206,9 @@ query("txt_21_uri_parts", lambda v: v.docs.select("doc_id", T.uri_part(F.concat(
 query("txt_22_targets", lambda v: reports.svo_completeness(v.svo).select(T.meets_target(C("subject_percent"), 80.0).alias("subject_ok"), T.meets_target(C("avg_confidence"), 0.65).alias("confidence_ok")), "SELECT round(sum((subject IS NOT NULL)::INT)::DOUBLE * 100.0 / count(*), 1) > 80.0 AS subject_ok, round(avg(confidence), 3) > 0.65 AS confidence_ok FROM svo", "svo")
 
 # ---- chunkers and questions
-query("chk_a_paragraph_chunks", lambda v: chunking.class_a(chunking.rendered_documents(v.chunks.where("doc_class = 'A'"))).select("doc_id", "para", "n", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
-query("chk_b_section_chunks", lambda v: chunking.class_b(chunking.rendered_documents(v.chunks.where("doc_class = 'B'"))).select("doc_id", "section", "part", "n", "hierarchy_level", "breadcrumb", "chunk_type", "requirement_id", "token_count", F.md5("content").alias("md5")))
-query("chk_c_sentence_windows", lambda v: chunking.class_c(chunking.rendered_documents(v.chunks.where("doc_class = 'C'"))).select("doc_id", "n", "token_count", F.md5("content").alias("md5")))
+query("chk_a_paragraph_chunks", lambda v: chunking.class_a(chunking.rendered_documents(v.chunks)).select("doc_id", "para", "n", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
+query("chk_b_section_chunks", lambda v: chunking.class_b(chunking.rendered_documents(v.chunks)).select("doc_id", "section", "part", "n", "hierarchy_level", "breadcrumb", "chunk_type", "requirement_id", "token_count", F.md5("content").alias("md5")))
+query("chk_c_sentence_windows", lambda v: chunking.class_c(chunking.rendered_documents(v.chunks)).select("doc_id", "n", "token_count", F.md5("content").alias("md5")))
 query("chk_l_first_chunks", lambda v: v.chunks.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("r <= 5").select("doc_id", "chunk_id"), "SELECT doc_id, chunk_id FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5", "chunks")
 _QTYPE = f"""CASE WHEN regexp_matches(lower(s), '{R.unbordered(R.RHETORICAL)}') THEN 'rhetorisch' WHEN regexp_extract(lower(s), '^[^\\p{{L}}]*(\\p{{L}}+)', 1) IN ({', '.join("'" + w + "'" for w in R.QUESTION_WORDS)}) THEN 'direkt' WHEN len(regexp_extract_all(s, '\\?')) >= 2 THEN 'mehrfach' ELSE 'indirekt' END"""
 query("qst_01_questions", lambda v: v.sentences.where(T.is_question(C("sentence"))).select("chunk_id", "i", "sentence", T.question_type(C("sentence")).alias("kind")), f"SELECT chunk_id, i, s AS sentence, {_QTYPE} AS kind FROM (SELECT chunk_id, i, sentence AS s FROM sentences) WHERE length(s) BETWEEN 10 AND 300 AND ends_with(rtrim(s, ' '), '?')", "sentences")
@@ -253,9 +258,14 @@ SELECT chunk_id, array_to_string(list_concat(list_transform(coalesce(entities, [
 FROM (SELECT chunk_id, min(subject) FILTER (WHERE norm_type = 'DEF') AS definition, bool_or(norm_type = 'DEADLINE') AS persistence,
   list_sort(list(DISTINCT {'von': subject, 'zu': object}) FILTER (WHERE norm_type = 'MUST' AND subject IS NOT NULL AND object IS NOT NULL)) AS relations FROM svo GROUP BY chunk_id)
 LEFT JOIN (SELECT chunk_id, list_sort(list(DISTINCT text) FILTER (WHERE label = 'ROLLE')) AS entities, list_sort(list(DISTINCT text) FILTER (WHERE label = 'DATENOBJEKT')) AS attributes FROM ner GROUP BY chunk_id) USING (chunk_id)""", "svo", "ner")
-query("llm_00_prompt_batches", lambda v: statements.prompt_batches(v.svo).select("doc_id", "batch", "statements", F.md5("prompt").alias("md5")), """
-SELECT doc_id, CAST((n - 1) // 20 AS BIGINT) AS batch, count(*) AS statements, md5(string_agg(printf('SVO-%03d: %s', (n - 1) % 20 + 1, sentence), chr(10) ORDER BY n)) AS md5
-FROM (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY svo_id) AS n FROM svo WHERE norm_type = 'UNKNOWN' AND length(sentence) >= 15) GROUP BY ALL""", "svo")
+_CALLS = r"""places AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY svo_id) - 1) // 20 AS BIGINT) AS batch FROM svo WHERE norm_type = 'UNKNOWN'),
+offsets AS (SELECT doc_id, coalesce(sum(batches) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, max(batch) + 1 AS batches FROM places GROUP BY doc_id)),
+calls AS (SELECT *, CAST(before + batch + 1 AS BIGINT) AS call, CASE WHEN length(trim(sentence)) < 15 THEN 'Text zu kurz' WHEN regexp_matches(trim(predicate), '^\p{Lu}\p{L}*$') AND length(trim(predicate)) > 3 THEN 'Prädikat ist Substantiv' END AS why FROM places JOIN offsets USING (doc_id)),
+assigned AS (SELECT *, CASE WHEN reason IS NULL THEN sum((reason IS NULL)::INT) OVER (PARTITION BY doc_id, batch ORDER BY svo_id) END AS n FROM (SELECT *, CASE WHEN call > {budget} THEN 'Budget erreicht' ELSE why END AS reason FROM calls))"""
+query("llm_00_prompt_batches", lambda v: statements.prompt_batches(v.svo).select("doc_id", "batch", "call", "asked", "statements", F.md5("prompt").alias("md5")), with_views("", "svo").rstrip() + ", " + _CALLS.replace("{budget}", "1e18") + """
+SELECT doc_id, batch, call, count(n) AS asked, count(*) AS statements, md5(string_agg(printf('SVO-%03d: %s', CAST(n AS INTEGER), sentence), chr(10) ORDER BY n) FILTER (n IS NOT NULL)) AS md5 FROM assigned GROUP BY ALL HAVING count(n) > 0""")
+query("llm_01_calls_within_budget", lambda v: statements.assigned(v.svo, budget=100).groupBy("reason", (C("call") <= 100).alias("within")).agg(n(), F.countDistinct("call").alias("calls"), F.max("n").cast("long").alias("most")), with_views("", "svo").rstrip() + ", " + _CALLS.replace("{budget}", "100") + """
+SELECT reason, call <= 100 AS within, count(*) AS n, count(DISTINCT call) AS calls, CAST(max(n) AS BIGINT) AS most FROM assigned GROUP BY ALL""")
 
 
 def _answers(v: Views) -> DataFrame:
@@ -562,8 +572,8 @@ for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;",
 query("src_03_html_text", lambda v: v.table("pages").select("page_id", F.md5(files.html_text(C("html"))).alias("md5")), f"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_VISIBLE}, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS md5 FROM pages")
 query("src_04_joined_parts", lambda v: v.table("documents").select("doc_id", F.md5(files.joined_parts(F.split("text", "\n"))).alias("md5")), r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10) || chr(10))) AS md5 FROM documents")
 query("src_10_chunk_scan", lambda v: v.chunks.where(C("doc_class").isin("A", "B") & (C("token_count") >= 10)).select("chunk_id", "doc_class", "token_count"), "SELECT chunk_id, doc_class, token_count FROM chunks WHERE doc_class IN ('A', 'B') AND token_count >= 10", "chunks")
-query("src_13_bundle_jobs", lambda v: files.bundle_jobs(v.table("region").select(C("r_regionkey").alias("bundle_id"), F.sequence(C("r_regionkey") * 40, C("r_regionkey") * 60).alias("doc_ids")), v.docs.where("doc_id % 9 <> 0")), """
-SELECT r_regionkey AS bundle_id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM docs WHERE doc_id % 9 <> 0) THEN 'queued' ELSE 'error' END AS status FROM (SELECT r_regionkey, unnest(generate_series(r_regionkey * 40, r_regionkey * 60)) AS doc_id FROM region)""", "docs")
+query("src_13_bundle_jobs", lambda v: files.bundle_jobs(v.docs.select(F.floor(C("doc_id") / 40).alias("bundle_id")).distinct().select("bundle_id", F.sequence(C("bundle_id") * 40, C("bundle_id") * 40 + 44).alias("doc_ids")), v.docs.where("doc_id % 9 <> 0")), """
+SELECT bundle_id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM docs WHERE doc_id % 9 <> 0) THEN 'queued' ELSE 'error' END AS status FROM (SELECT bundle_id, unnest(generate_series(bundle_id * 40, bundle_id * 40 + 44)) AS doc_id FROM (SELECT DISTINCT doc_id // 40 AS bundle_id FROM documents))""", "docs")
 query("snk_01_upsert", lambda v: sinks.upserted(v.docs.where("doc_id % 2 = 0").select("doc_id", "title", "source_type"), v.docs.where("doc_id % 3 = 0").select("doc_id", F.upper("title").alias("title"), F.lit("neu").alias("source_type")), "doc_id", ["title"]), """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN doc_id % 2 = 0 THEN source_type ELSE 'neu' END AS source_type FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""", "docs")
 query("snk_02_03_stored_chunks", lambda v: sinks.stored_chunks(v.chunks, v.docs).select("chunk_id", "id", "chunk_type", "content_hash"), "SELECT chunk_id, md5(doc_id || '|' || doc_class || '|' || pos) AS id, chunk_type, md5(content) AS content_hash FROM chunks", "chunks")

@@ -270,3 +270,37 @@ def test_rule_entities_against_brute_force(spark):
         for label, patterns in R.NER_REGEX.items():
             want += [(k, label, i, m[0]) for i, m in enumerate(re.finditer("|".join(f"(?:{p})" for p in patterns), text or "", re.I))]
     assert sorted((r["chunk_id"], r["label"], r["i"], r["text"]) for r in got) == sorted(want)
+
+
+def test_near_rules_and_strategies_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(5)), int(rng.integers(40)), str(rng.choice(["A", "B"])), str(rng.choice(["rule", "flair"])), float(rng.choice([0.5, 0.6, 0.9]))) for _ in range(400)]
+    ner = spark.createDataFrame(rows, "chunk_id long, i long, label string, source string, confidence double").repartition(4)
+    near = lambda r: any(m[3] == "flair" and m[0] == r[0] and m[2] == r[2] and abs(m[1] - r[1]) < 5 for m in rows)
+    got = lambda s: sorted(map(tuple, statements.combined(ner, s).collect()))
+    assert got("merge") == sorted(r for r in rows if r[4] >= 0.6 and (r[3] == "flair" or not near(r)))
+    assert got("flair_only") == sorted(r for r in rows if r[4] >= 0.6 and r[3] == "flair") and got("rules_only") == sorted(r for r in rows if r[4] >= 0.6 and r[3] == "rule")
+    with pytest.raises(ValueError):
+        statements.combined(ner, "x")
+
+
+@pytest.mark.parametrize("parts, budget", [(1, 0), (7, 0), (3, 9)])
+def test_calls_against_a_loop(spark, parts, budget):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(30)) * 7 - 20, str(rng.choice(["kurz", "ein langer Satz mit Wörtern", "noch ein Satz, der lang ist"])), str(rng.choice(["Halten", "gilt", "Ist", None, "GILT1"])), str(rng.choice(["UNKNOWN", "MUST"]))) for i in range(600)]
+    want, call = {}, 0
+    for doc in sorted({r[1] for r in rows}):
+        of = [r for r in rows if r[1] == doc and r[4] == "UNKNOWN"]
+        for b in range(0, len(of), 4):
+            call, n = call + 1, 0
+            for r in of[b : b + 4]:
+                pred = r[3] or ""
+                reason = "Budget erreicht" if budget and call > budget else "Text zu kurz" if len(r[2]) < 15 else "Prädikat ist Substantiv" if pred and pred[0].isupper() and pred.isalpha() and len(pred) > 3 else None
+                n += reason is None
+                want[r[0]] = (doc, b // 4, call, n if reason is None else None, reason)
+    svo = spark.createDataFrame(rows, "svo_id long, doc_id long, sentence string, predicate string, norm_type string").repartition(parts)
+    assert {r["svo_id"]: (r["doc_id"], r["batch"], r["call"], r["n"], r["reason"]) for r in statements.assigned(svo, 4, budget).collect()} == want
+    prompts = statements.prompt_batches(svo, 4, budget).collect()
+    assert {r["call"]: r["asked"] for r in prompts} == {c: k for c in {v[2] for v in want.values()} if (k := sum(v[2] == c and v[3] is not None for v in want.values()))}
+    assert all(r["prompt"].count("\n") + 1 == r["asked"] and r["prompt"].startswith("SVO-001: ") for r in prompts)
+    assert statements.prompt_batches(svo.limit(0)).count() == 0
