@@ -6,6 +6,7 @@ Names start with the operator's id. A query gets `Views` and returns a DataFrame
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +18,7 @@ from lexspark.functions import rules as R
 from lexspark.functions import text as T
 from lexspark.operators import chunking, extraction, fulltext, graph, reports, retrieval, statements, trees
 from lexspark.plans.adapters import Views, with_views
-from lexspark.sources import files, sinks
+from lexspark.sources import files, shared, sinks, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -576,6 +577,19 @@ query("src_13_bundle_jobs", lambda v: files.bundle_jobs(v.docs.select(F.floor(C(
 SELECT bundle_id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM docs WHERE doc_id % 9 <> 0) THEN 'queued' ELSE 'error' END AS status FROM (SELECT bundle_id, unnest(generate_series(bundle_id * 40, bundle_id * 40 + 44)) AS doc_id FROM (SELECT DISTINCT doc_id // 40 AS bundle_id FROM documents))""", "docs")
 query("snk_01_upsert", lambda v: sinks.upserted(v.docs.where("doc_id % 2 = 0").select("doc_id", "title", "source_type"), v.docs.where("doc_id % 3 = 0").select("doc_id", F.upper("title").alias("title"), F.lit("neu").alias("source_type")), "doc_id", ["title"]), """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN doc_id % 2 = 0 THEN source_type ELSE 'neu' END AS source_type FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""", "docs")
+def _stored_upserts(v: Views) -> DataFrame:
+    """Three commits to a stored table, one of them tried again, and what is read back."""
+    table = snapshots.Table(v.spark, f"{shared.folder(v.spark)}/documents-{uuid.uuid4().hex}", "doc_id", 16)
+    rows = v.docs.select("doc_id", "title", "source_type")
+    table.upsert("first", rows.where("doc_id % 2 = 0"), ["title"])
+    for _ in range(2):
+        table.upsert("second", rows.where("doc_id % 3 = 0").select("doc_id", F.upper("title").alias("title"), F.lit("neu").alias("source_type")), ["title"])
+    table.replace("third", rows.where("doc_id % 10 = 4").select("doc_id", F.lit("ersetzt").alias("title"), "source_type"))
+    return table.read()
+
+
+query("snk_01_05_stored_upserts", _stored_upserts, """
+SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'ersetzt' WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN doc_id % 10 <> 4 AND doc_id % 2 <> 0 THEN 'neu' ELSE source_type END AS source_type FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 10 = 4""", "docs")
 query("snk_02_03_stored_chunks", lambda v: sinks.stored_chunks(v.chunks, v.docs).select("chunk_id", "id", "chunk_type", "content_hash"), "SELECT chunk_id, md5(doc_id || '|' || doc_class || '|' || pos) AS id, chunk_type, md5(content) AS content_hash FROM chunks", "chunks")
 query("snk_05_replaced", lambda v: sinks.replaced(v.ner.select("chunk_id", "i", "label"), v.ner.where("chunk_id % 5 = 0").select("chunk_id", "i", F.lit("neu").alias("label")), "chunk_id"), "SELECT chunk_id, i, CASE WHEN chunk_id % 5 = 0 THEN 'neu' ELSE label END AS label FROM ner", "ner")
 query("snk_12_sync_log", lambda v: sinks.sync_log(v.chunks.select("chunk_id", F.lit(0).cast("long").alias("triple_count"), F.lit("pending").alias("status")), v.ner), """
