@@ -5,9 +5,11 @@ with all its subdomains, or of a path prefix. Entries become validity intervals
 checked against the entries in force on the day it was fetched: its URL gives a few keys (its host, the host's parent
 domains, its path prefixes), and an equality join on the key with a range condition on the day finds them.
 
-Captures are first reduced to distinct (key, day) pairs, so a host with a third of all captures meets the list once a
-day, and the verdicts are joined back on key and day. Keys reach as far as the list does: the most labels of its domains
-and the most parts of its prefixes are looked up first, in one row. Of several entries for one pattern on one day the
+Captures are first counted by key and day, within tasks before they are shuffled, so a host with a third of all captures
+meets the list once a day, and the verdicts are joined back on key and day. There, keys of more than one in HOT of all
+rows, fewer than HOT in number, are split into SALTS parts by a hash of the capture. Keys reach as far as the list does:
+the fewest and most labels of its domains and the most parts of its prefixes are looked up first, in one row, so that
+captures do not meet under `com` unless the list holds it. Of several entries for one pattern on one day the
 last by action (`remove` after `add`) counts, and repeated ones count once.
 
 A result row stands for all captures of one capture_id, host, path and day, and `captures` says how many they are; so
@@ -22,6 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.llm.common import written
+
+HOT, SALTS = 1000, 64
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -30,19 +37,19 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
 
 
-def depths(entries: DataFrame) -> tuple[int, int]:
-    """The most labels of a domain, and the most parts of a prefix's path, in the list."""
-    labels = F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\."))))
+def depths(entries: DataFrame) -> tuple[int, int, int]:
+    """The fewest and most labels of a domain, and the most parts of a prefix's path, in the list."""
+    labels = F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))
     parts = F.max(F.when(F.col("kind") == "prefix", F.size(F.filter(F.split("pattern", "/"), lambda x: x != "")) - 1))
-    found = entries.agg(labels, parts).first()
-    return found[0] or 0, found[1] or 0
+    found = entries.agg(F.min(labels), F.max(labels), parts).first()
+    return found[0] or 1, found[1] or 0, found[2] or 0
 
 
-def keys_of(host: Column, path: Column, labels: int, parts: int) -> Column:
-    """kind:pattern strings that an entry can match: the host, its domains of so many labels, its path prefixes of so many parts."""
+def keys_of(host: Column, path: Column, fewest: int, labels: int, parts: int) -> Column:
+    """kind:pattern strings that an entry can match: the host, its domains of fewest to most labels, its path prefixes of so many parts."""
     own, names = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
-    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k > 0)
-    domains = F.transform(upto(F.least(F.size(own), F.lit(labels))), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(own, -k, k), ".")))
+    upto = lambda n, first=1: F.filter(F.sequence(F.lit(0), n), lambda k: k >= first)
+    domains = F.transform(upto(F.least(F.size(own), F.lit(labels)), fewest), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(own, -k, k), ".")))
     prefixes = F.transform(upto(F.least(F.size(names), F.lit(parts))), lambda k: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(names, 1, k), "/")))
     keys = F.concat(F.array(F.concat(F.lit("host:"), host)), domains, F.coalesce(prefixes, F.array().cast("array<string>")))
     return F.when(F.coalesce(host, F.lit("")) != "", keys).otherwise(F.array().cast("array<string>"))
@@ -60,17 +67,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return lasting.select("list_name", "key", F.col("day").alias("valid_from"), "valid_to")
 
 
+def _joined(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Captures' keys with their verdicts; the keys and days of the most rows are split by a salt."""
+    total = verdicts.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * HOT > total
+    hot = verdicts.where(is_hot).select("key", "day", F.lit(True).alias("hot"))  # fewer than HOT rows
+    salted = asked.join(F.broadcast(hot), ["key", "day"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("capture_id", "host", "path"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(verdicts.select("key", "day", "entry", "n", F.explode(salts).alias("salt")), ["key", "day", "salt"]).drop("salt")
+
+
 def check(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """capture_id, host, path, day, captures, blocked, entries (in force), list_name, key and valid_from of the one longest in force."""
-    labels, parts = depths(entries)
+    fewest, labels, parts = depths(entries)
     each = ["capture_id", "host", "path", "day"]
     rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "day").groupBy(each).agg(F.count("*").alias("captures"))
-    asked = rows.where("day is not null").select(*each, F.explode(keys_of(F.col("host"), F.col("path"), labels, parts)).alias("key"))  # no row without a key
+    asked = rows.where("day is not null").select(*each, F.explode(keys_of(F.col("host"), F.col("path"), fewest, labels, parts)).alias("key"))  # no row without a key
     lists = intervals(entries)
-    found = asked.select("key", "day").distinct().join(lists, "key").where((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
+    counted = asked.groupBy("key", "day").agg(F.count("*").alias("rows"))
+    found = counted.join(lists, "key").where((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     entry = F.struct("valid_from", "list_name", "key")
-    verdicts = found.groupBy("key", "day").agg(F.min(entry).alias("entry"), F.count("*").alias("n"))
-    blocked = asked.join(verdicts, ["key", "day"]).groupBy(each).agg(F.sum("n").alias("entries"), F.min("entry").alias("entry"))
+    verdicts = written(found.groupBy("key", "day").agg(F.min(entry).alias("entry"), F.count("*").alias("n"), F.first("rows").alias("rows")), "url-verdicts")
+    blocked = _joined(asked, verdicts).groupBy(each).agg(F.sum("n").alias("entries"), F.min("entry").alias("entry"))
     renamed = blocked.select(*[F.col(c).alias(f"_{c}") for c in each], "entries", "entry")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in each]
     out = rows.join(renamed, same, "left")

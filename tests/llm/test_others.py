@@ -66,6 +66,24 @@ def test_url_filter_against_brute_force(spark):
     assert {(r["capture_id"], r["host"], r["path"], r["day"]): (r["captures"], r["entries"]) for r in got} == want and len(got) == len(want)
 
 
+def test_url_filter_splits_hot_keys(spark):
+    """Captures of one host lie in many tasks when they are joined with their verdicts, and none waits under a domain that the list lacks."""
+    captures = spark.createDataFrame([(i, f"https://a.hot.example.com/p{i}" if i % 3 else f"https://h{i}.other.com/x", D(2024, 1, 5)) for i in range(3000)], "capture_id long, url string, day date").repartition(6)
+    entries = spark.createDataFrame([("l", "domain", "hot.example.com", "add", D(2024, 1, 1)), ("l", "host", "h3.other.com", "add", D(2024, 1, 1)), ("l", "domain", "a.b.c.d", "add", D(2024, 1, 1))], "list_name string, kind string, pattern string, action string, day date")
+    fewest, labels, parts = url_filter.depths(entries)
+    assert (fewest, labels, parts) == (3, 4, 0)
+    keys = {r[0] for r in captures.select(F.explode(url_filter.keys_of(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), fewest, labels, parts))).distinct().collect()}
+    assert "domain:com" not in keys and "domain:other.com" not in keys and "domain:hot.example.com" in keys
+    asked = captures.select("capture_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"), "day", F.lit("domain:hot.example.com").alias("key"))
+    verdicts = spark.createDataFrame([("domain:hot.example.com", D(2024, 1, 5), "e", 1, 3000)], "key string, day date, entry string, n long, rows long")
+    joined = url_filter._joined(asked, verdicts)
+    assert joined.count() == 3000 and "salt" in joined._jdf.queryExecution().toString()
+    parts = asked.select(F.pmod(F.xxhash64("capture_id", "host", "path"), F.lit(url_filter.SALTS)).alias("salt")).groupBy("salt").count().collect()
+    assert len(parts) == url_filter.SALTS and max(r["count"] for r in parts) < 100
+    out = url_filter.check(captures, entries).collect()
+    assert len(out) == 3000 and all(r["blocked"] == (r["host"] == "a.hot.example.com" or r["host"] == "h3.other.com") for r in out)
+
+
 def brute(rows, k=10):
     rows = [r for r in rows if r[0] is not None]
     good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and len(v)]
