@@ -1,7 +1,11 @@
-"""Chunkers for paragraph-structured (A), chapter-structured (B) and free (C) documents, from array functions only."""
+"""Chunkers for paragraph-structured (A), chapter-structured (B) and free (C) documents, from array functions, with Arrow functions for the greedy steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +26,31 @@ def rendered_documents(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["content"]), "\n").alias("text"))
 
 
-def packed_sentences(text: Column, limit: int) -> Column:
-    """Sentences joined greedily: a group closes before the sentence that would pass the token limit."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("tokens"))
+def _groups(sizes: Column, limit: int) -> Column:
+    """Begins and sizes of the groups of a greedy packing: a group closes before the size that would pass the limit."""
+
+    @F.pandas_udf("array<struct<at:int,k:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def groups(values: np.ndarray | None) -> list[dict[str, int]] | None:
+            if values is None:
+                return None
+            ends, out, at = np.cumsum(values), [], 0
+            while at < len(ends):
+                end = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), "right")))
+                out.append({"at": at, "k": end - at})
+                at = end
+            return out
 
-    def add(s: Column, sentence: Column) -> Column:
-        size = T.token_estimate(sentence)
-        closes = (s["tokens"] + size > limit) & (s["now"] != "")
-        return F.struct(
-            F.when(closes, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(closes | (s["now"] == ""), sentence).otherwise(F.concat(s["now"], F.lit(" "), sentence)).alias("now"),
-            F.when(closes, size).otherwise(s["tokens"] + size).alias("tokens"))
+        for rows in batches:
+            yield rows.map(groups)
 
-    end = lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-    return F.aggregate(T.sentences(text), state, add, end)
+    return run(sizes)
+
+
+def packed_sentences(text: Column, limit: int) -> Column:
+    """Sentences joined greedily: a group closes before the sentence that would pass the token limit. Linear in the text."""
+    each = T.sentences(text)
+    return F.transform(_groups(F.transform(each, T.token_estimate), limit), lambda g: F.array_join(F.slice(each, g["at"] + 1, g["k"]), " "))
 
 
 def _trimmed(text: Column) -> Column:
@@ -143,6 +158,31 @@ def routed(documents: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c).where(F.trim("content") != "")
 
 
+def _windows(lengths: Column, size: Column, overlap: Column) -> Column:
+    """Begins and sizes of windows over sentences of these lengths.
+
+    A window has the usual size, or more until it has the least number of tokens or reaches the end; the next begins where
+    it, or a window of the usual size if that is longer, ends, less the overlap, and one further on at least.
+    """
+
+    @F.pandas_udf("array<struct<at:int,k:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def spans(values: np.ndarray, size: int, overlap: int) -> list[dict[str, int]]:
+            ends, out, at = np.r_[0, np.cumsum(values + 1)], [], 0  # with the blanks between
+            while at < len(values):
+                k = min(size, len(values) - at)
+                least = int(np.searchsorted(ends, ends[at] + 4 * LEAST_TOKENS + 1, "left")) - at
+                k = min(max(k, least), len(values) - at)
+                out.append({"at": at, "k": k})
+                at += max(1, max(k, size) - overlap)
+            return out
+
+        for rows in batches:
+            yield pd.Series([spans(*row) for row in zip(*rows)])
+
+    return run(lengths, size, overlap)
+
+
 def class_c(documents: DataFrame) -> DataFrame:
     """Windows of sentences: 3 to 10 by the mean size of the first twenty, grown to the least size, a fifth of all overlapping."""
     s = documents.select("doc_id", F.transform(T.sentences(F.col("text"), capital=True), _trimmed).alias("s")).where(F.size("s") > 0)
@@ -150,27 +190,6 @@ def class_c(documents: DataFrame) -> DataFrame:
     mean = F.aggregate(first, F.lit(0).cast("long"), lambda a, x: a + T.token_estimate(x)) / F.size(first)
     size = F.greatest(F.lit(3), F.least(F.lit(10), F.floor(F.lit(WINDOW_TOKENS) / mean))).cast("int")
     overlap = F.greatest(F.lit(1), F.floor(F.size("s") * F.lit(OVERLAP))).cast("int")
-    rows = s.select("doc_id", "s", size.alias("size"), overlap.alias("overlap"), F.transform("s", lambda x: F.length(x)).alias("lengths"))
-    count = F.size("s")
-
-    def grown(at: Column) -> Column:
-        """The window from `at`: the usual size, or more until it has the least number of tokens or reaches the end.
-
-        A further sentence adds two characters at least, so a bounded number of sizes is tried.
-        """
-        low, rest = F.least(F.col("size"), count - at), count - at
-        chars = lambda k: F.aggregate(F.slice("lengths", at + 1, k), F.lit(0), lambda a, x: a + x) + k - 1
-        enough = lambda k: (F.floor(chars(k) / 4) >= LEAST_TOKENS) | (k >= rest)
-        more = F.filter(F.sequence(low, F.least(rest, low + 2 * LEAST_TOKENS)), enough)
-        return F.when(enough(low), low).otherwise(F.get(more, F.lit(0)))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,k:int>>").alias("out"))
-
-    def move(a: Column, i: Column) -> Column:
-        k = grown(i)
-        here = a["at"] == i
-        return F.struct(F.when(here, i + F.greatest(F.lit(1), F.greatest(k, F.col("size")) - F.col("overlap"))).otherwise(a["at"]).alias("at"), F.when(here, F.concat(a["out"], F.array(F.struct(i.alias("at"), k.alias("k"))))).otherwise(a["out"]).alias("out"))
-
-    spans = F.aggregate(F.sequence(F.lit(0), count - 1), start, move, lambda a: a["out"])
-    each = rows.select("doc_id", "s", F.posexplode(spans).alias("n", "span"))
+    rows = s.select("doc_id", "s", _windows(F.transform("s", F.length), size, overlap).alias("spans"))
+    each = rows.select("doc_id", "s", F.posexplode("spans").alias("n", "span"))
     return each.select("doc_id", "n", F.array_join(F.slice("s", F.col("span.at") + 1, F.col("span.k")), " ").alias("content")).withColumn("token_count", T.token_estimate(F.col("content")))
