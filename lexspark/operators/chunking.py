@@ -16,7 +16,8 @@ PARENT_TOKENS, CHILD_TOKENS, SENTENCE_TOKENS = 1024, 256, 128
 WINDOW_WORDS, PREFIX_WORDS, INTRO_TOKENS = 436, 76, 128
 WINDOW_TOKENS, LEAST_TOKENS, OVERLAP = 384, 50, 0.20
 NUMBERED = r"(?mdU)^(\d+(?:\.\d+)*)\s+(.+?)(?:\s*\.{3,}.*)?$"
-TABLE = r"(?>(?:[^\n]+\|[^\n]+\n){2,}+)|(?>(?:[^\n]+\t[^\n]+\n){3,}+)"
+#: Two lines with a bar inside, or three with a tab, from the start of a line on: a search within lines would take the square of their length.
+TABLE = r"(?md)^(?:(?>(?:[^\n]+\|[^\n]+\n){2,}+)|(?>(?:[^\n]+\t[^\n]+\n){3,}+))"
 DEFINITION = r"im\s+sinne\s+(?:dieses\s+gesetzes|dieser\s+verordnung|des\s+§\s*\d+)"
 
 
