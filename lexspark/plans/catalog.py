@@ -163,7 +163,29 @@ query("joi_15_parent_references", lambda v: v.chunks.select("chunk_id", "parent_
 
 # ---- text
 query("txt_01_token_estimate", lambda v: v.table("documents").select("doc_id", T.token_estimate(C("text")).alias("tokens")), "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM documents")
-query("txt_02_clean", lambda v: v.chunks.select("chunk_id", F.md5(T.clean(C("content"))).alias("md5")))
+_WORD = r"[\p{L}\p{N}_]"
+#: The cleaner's steps in a dialect without looking around: pattern, replacement, and how often (what stands before a match is consumed).
+_STEPS_SQL = {
+    "control": (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", 1), "spaces": (r"[\x{a0}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}]", " ", 1), "hyphens": (rf"({_WORD})-\n({_WORD})", r"\1\2", 1), "links": (r"https?://\S+", "", 1), "www": (r"www\.\S+", "", 1),
+    "image rights": (r"(?i)bildrechte[a-z0-9_]*\s*::?\s*.*?(?:\n|$)", "", 1), "stock photos": (r"(?i)©\s*\S+.*?stock\.adobe\.com\S*", "", 1), "copyright lines": (r"(?m)^\s*©\s*.{0,80}$", "", 1), "bullet starts": (r"(?m)^[▪•·‣◦●⁃►▸]\s*", "", 1),
+    "bullets": (r"[▪•·‣◦●⁃►▸]", " ", 1), "double quotes": (r"[„“”«»]", '"', 1), "single quotes": (r"[‘’‹›]", "''", 1), "private use": (r"[\x{e000}-\x{f8ff}]", "", 1), "zero width": (r"[\x{200b}-\x{200f}\x{2028}\x{2029}\x{feff}]", "", 1),
+    "footnote after word": (rf"({_WORD})\d+\)", r"\1", 1), "footnote before word": (r"(^|[^\p{L}\p{N}_§])\d{1,2}([A-ZÄÖÜ])", r"\1\2", 1), "footnote after paragraph": (rf"(§\s*\d+{_WORD}*)\d\)", r"\1", 1), "footnote lines": (r"(?m)^\s*\d+\)\s*.+$", "", 1),
+    "blanks": (r"[ \t]{2,}", " ", 1), "blank lines": (r"\n{3,}", "\n\n", 1), "joined paragraphs": (r"\n\n([a-zäöü])", r" \1", 1), "joined lines": (r"(^|[^.!?:;\n])\n([a-zäöüA-ZÄÖÜ])", r"\1 \2", 2), "blank lines again": (r"\n{3,}", "\n\n", 1),
+}
+
+
+def _step_sql(step: str, text: str) -> str:
+    if step == "repeated lines":
+        return f"(SELECT array_to_string(list_filter(l, lambda x, i: i = 1 OR trim(x, ' ') <> trim(l[i - 1], ' ')), chr(10)) FROM (SELECT string_split({text}, chr(10)) AS l))"
+    pattern, new, times = _STEPS_SQL[step]
+    for _ in range(times):
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+_CLEANED = "c0 AS (SELECT chunk_id, content AS t FROM chunks), " + ", ".join(f"c{i + 1} AS MATERIALIZED (SELECT chunk_id, {_step_sql(step, 't')} AS t FROM c{i})" for i, (step, _, _) in enumerate(T.CLEANING))
+query("txt_02_clean", lambda v: v.chunks.select("chunk_id", F.md5(T.clean(C("content"))).alias("md5")), with_views("", "chunks").rstrip() + ", " + _CLEANED + rf"""
+SELECT chunk_id, md5(trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), chr(10)), '  +', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' ')) AS md5 FROM c{len(T.CLEANING)}""")
 query("txt_02a_control_characters", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(C("content"), "control")).alias("md5")), r"SELECT chunk_id, md5(regexp_replace(content, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS md5 FROM chunks", "chunks")
 query("txt_02b_spaces", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(C("content"), "spaces")).alias("md5")), r"SELECT chunk_id, md5(regexp_replace(content, '[\x{a0}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}]', ' ', 'g')) AS md5 FROM chunks", "chunks")
 query("txt_02d_links", lambda v: v.table("pages").select("page_id", F.md5(T.clean_step(T.clean_step(C("html"), "links"), "www")).alias("md5")), r"SELECT page_id, md5(regexp_replace(regexp_replace(html, 'https?://\S+', '', 'g'), 'www\.\S+', '', 'g')) AS md5 FROM pages")
@@ -173,7 +195,7 @@ query("txt_02h_quotes", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step
 query("txt_02i_invisible", lambda v: v.chunks.select("chunk_id", F.md5(T.clean_step(T.clean_step(C("content"), "private use"), "zero width")).alias("md5")), r"SELECT chunk_id, md5(regexp_replace(content, '[\x{e000}-\x{f8ff}\x{200b}-\x{200f}\x{2028}\x{2029}\x{feff}]', '', 'g')) AS md5 FROM chunks", "chunks")
 query("txt_02k_blanks", lambda v: v.table("documents").select("doc_id", F.md5(T.clean_step(T.clean_step(C("text"), "blanks"), "blank lines")).alias("md5")), r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS md5 FROM documents")
 for step in ("hyphens", "image rights", "footnote after word", "footnote before word", "joined lines"):
-    query("txt_02_" + step.replace(" ", "_"), lambda v, s=step: v.table("documents").select("doc_id", F.md5(T.clean_step(C("text"), s)).alias("md5")))
+    query("txt_02_" + step.replace(" ", "_"), lambda v, s=step: v.table("documents").select("doc_id", F.md5(T.clean_step(C("text"), s)).alias("md5")), f"SELECT doc_id, md5({_step_sql(step, 'text')}) AS md5 FROM documents")
 def _structured(v: Views) -> DataFrame:
     """Rendered documents, some with a heading in capitals, some with a table of contents, in a line of its own or not."""
     d = C("doc_id")
@@ -189,7 +211,10 @@ SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*§\s*\d+[\p{L}\p{N}_]*\s+\S
 query("txt_03_04_structure_and_class", lambda v: _structured(v).select("doc_id", T.structure(C("text")).alias("s")).select("doc_id", "s.*", T.class_hint(C("s.paragraphs"), C("s.headings"), C("s.toc")).alias("doc_class")),
       with_views("", "chunks").rstrip() + ", " + _STRUCTURED + " SELECT doc_id, paragraphs, headings, toc, doc_class FROM classed")
 query("chk_r_routed_chunks", lambda v: chunking.routed(_structured(v)).select("doc_id", "doc_class", "place", "hierarchy_level", "chunk_type", "token_count", F.md5("content").alias("md5")))
-query("txt_05_norm_reference", lambda v: v.chunks.select("chunk_id", T.norm_reference(C("content")).alias("reference")).where("reference is not null"))
+query("txt_05_norm_reference", lambda v: v.chunks.select("chunk_id", T.norm_reference(C("content")).alias("reference")).where("reference is not null"), r"""
+SELECT chunk_id, CASE WHEN title <> '' THEN head || ' ' || title WHEN l[2] IS NOT NULL AND length(l[2]) < 80 AND NOT regexp_matches(l[2], '^\(\d+\)') AND NOT starts_with(l[2], '§') THEN head || ' ' || l[2] ELSE head END AS reference
+FROM (SELECT chunk_id, l, regexp_extract(l[1], '^(§\s*\d+[\p{L}\p{N}_]*)((?:\s+[\p{L}\p{N}_]+)*)', 1) AS head, trim(regexp_extract(l[1], '^(§\s*\d+[\p{L}\p{N}_]*)((?:\s+[\p{L}\p{N}_]+)*)', 2), ' ') AS title
+  FROM (SELECT chunk_id, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM chunks)) WHERE head <> ''""", "chunks")
 _REFS = "list_filter(regexp_extract_all(content, '" + T.CROSS_REFERENCE + "'), lambda x, k: list_position(regexp_extract_all(content, '" + T.CROSS_REFERENCE + "'), x) = k)[1:10]"
 query("txt_06_cross_references", lambda v: v.chunks.select("chunk_id", F.array_join(T.cross_references(C("content")), ";").alias("refs")).where("refs <> ''"), f"SELECT chunk_id, array_to_string({_REFS}, ';') AS refs FROM chunks WHERE len(regexp_extract_all(content, '{T.CROSS_REFERENCE}')) > 0", "chunks")
 query("txt_07_chunk_type", lambda v: v.chunks.groupBy("chunk_type").agg(n()), "SELECT chunk_type, count(*) AS n FROM chunks GROUP BY chunk_type", "chunks")
