@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import abbreviations as A
@@ -538,11 +538,24 @@ SELECT kind, strategy, weight, CASE WHEN kind = 'NORM' THEN 'A' WHEN kind IN ('I
 SELECT kind, unnest(['direct', 'hyde', 'step_back']) AS strategy, unnest([1.0::DOUBLE, 0.8::DOUBLE, 0.6::DOUBLE]) AS weight, unnest([true, NOT referred, kind = 'NORM']) AS used FROM (
 SELECT CASE WHEN regexp_matches(lower(sentence), '{R.QUERY_NORM}') THEN 'NORM' WHEN regexp_matches(lower(sentence), '{R.bordered(R.QUERY_IM)}') THEN 'IM' WHEN regexp_matches(lower(sentence), '{R.bordered(R.QUERY_ENTITY)}') THEN 'ENTITY' ELSE 'GENERAL' END AS kind,
   regexp_matches(sentence, '{_ASKED_FOR}') AS referred FROM sentences WHERE length(sentence) BETWEEN 10 AND 300 AND ends_with(rtrim(sentence, ' '), '?'))) WHERE used GROUP BY ALL""", "sentences")
-query("txt_19_json_answers", lambda v: v.docs.select("doc_id", extraction.json_of(F.concat(F.lit('Antwort: ```json [{"id": "'), C("title"), F.lit('"}, {"id": '))).alias("json")), """SELECT doc_id, '[{"id": "' || title || '"}]' AS json FROM docs""", "docs")
+#: Shapes of model answers by doc_id: before and after the title. None: the answer has no title.
+_JSON_ANSWERS = [('Antwort: ```json [{"id": "', '"}, {"id": '), ('```json {"id": "', '", "n": 3} ```'), ("keine Antwort zu ", ""), ('[{"id": "', '", "l": [1, 2]}, {"id": "x"}] und mehr'), ('vorher {"a": {"b": null, "c": "', '"}} nachher [1]'), ('[{"id": "', '"}, {"id": "y"}, {"id": "z", "l": [')]
+_JSON_FOUND = [('[{"id": "', '"}]'), ('{"id": "', '", "n": 3}'), None, ('[{"id": "', '", "l": [1, 2]}, {"id": "x"}]'), ('{"a": {"b": null, "c": "', '"}}'), ('[{"id": "', '"}, {"id": "y"}]')]
+_ANSWERS = [('{"antwort": "', '", "konfidenz": "hoch"}'), ('```json {"antwort": "', '", "normtyp": "MUST", "quellen": ["§ 1", "§ 2"], "konfidenz": "mittel", "hinweis": "geprüft", "nicht_beantwortbar": false} ```'), ("  Frei: ", "  "), ('{"nicht_beantwortbar": true, "hinweis": "', '"}'), ('{"antwort": "', '", "quellen": []')]
+
+
+def _shaped(shapes: list[tuple[str, str]]) -> Column:
+    """The title in a shape that the id gives."""
+    part = lambda k: F.get(F.array(*[F.lit(x[k]) for x in shapes]), (C("doc_id") % len(shapes)).cast("int"))
+    return F.concat(part(0), "title", part(1))
+
+
+query("txt_19_json_answers", lambda v: v.docs.select("doc_id", extraction.json_of(_shaped(_JSON_ANSWERS)).alias("json")), "SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{x[0]}' || title || '{x[1]}'" for i, x in enumerate(_JSON_FOUND) if x) + " END AS json FROM docs", "docs")
 query("txt_23_progress", lambda v: reports.job_state(v.jobs).select("user_id", extraction.progress(C("updates"), C("updates") + C("errors"), F.lit(60)).alias("p")).select("user_id", "p.percent", "p.rate"), """
 SELECT user_id, round(count(*) * 100.0::DOUBLE / (count(*) + sum((event_type = 'error')::INT)), 1) AS percent, round(count(*)::DOUBLE / 60, 3) AS rate FROM events GROUP BY user_id""")
-query("ans_01_generated_answers", lambda v: v.docs.select("doc_id", extraction.generated_answer(F.concat(F.lit('{"antwort": "'), C("title"), F.lit('", "konfidenz": "hoch"}'))).alias("a")).select("doc_id", "a.antwort", "a.normtyp", "a.konfidenz", "a.nicht_beantwortbar"),
-      "SELECT doc_id, title AS antwort, 'UNKNOWN' AS normtyp, 'hoch' AS konfidenz, false AS nicht_beantwortbar FROM docs", "docs")
+query("ans_01_generated_answers", lambda v: v.docs.select("doc_id", extraction.generated_answer(_shaped(_ANSWERS)).alias("a")).select("doc_id", "a.antwort", "a.normtyp", F.array_join("a.quellen", ";").alias("quellen"), "a.konfidenz", "a.hinweis", "a.nicht_beantwortbar"), """
+SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'Frei: ' || title WHEN 3 THEN '{"nicht_beantwortbar": true, "hinweis": "' || title || '"}' WHEN 4 THEN '{"antwort": "' || title || '", "quellen": []' ELSE title END AS antwort, CASE doc_id % 5 WHEN 1 THEN 'MUST' ELSE 'UNKNOWN' END AS normtyp,
+  CASE doc_id % 5 WHEN 1 THEN '§ 1;§ 2' ELSE '' END AS quellen, CASE doc_id % 5 WHEN 0 THEN 'hoch' WHEN 1 THEN 'mittel' ELSE 'niedrig' END AS konfidenz, CASE doc_id % 5 WHEN 1 THEN 'geprüft' WHEN 3 THEN title END AS hinweis, doc_id % 5 = 3 AS nicht_beantwortbar FROM docs""", "docs")
 
 
 def _in(labels: list[str]) -> str:
