@@ -252,11 +252,15 @@ SELECT svo_id, s AS subject, o AS object, round(CASE WHEN coalesce(lower(s) IN (
 SELECT *, CASE WHEN NOT (lower(subject) IN ({_L(R.STOP_SUBJECTS)}) OR length(subject) < 3 OR regexp_matches(subject, '^(S\.|Abs\.|Nr\.)\s*\d+$') OR regexp_matches(subject, '^\d+$')) THEN subject END AS s,
   CASE WHEN NOT (lower(object) IN ({_L([x.lower() for x in R.STOP_OBJECTS])}) OR length(object) < 3 OR regexp_matches(object, '^\d{{1,4}}$')) THEN object END AS o
 FROM svo WHERE confidence >= 0.5) WHERE predicate IS NOT NULL AND predicate <> '' AND predicate NOT IN ({_L(R.STOP_PREDICATES)})""", "svo")
-query("ner_01_rule_entities", lambda v: statements.rule_entities(v.chunks).groupBy("label").agg(n(), F.countDistinct("chunk_id").alias("chunks")))
+#: The last pattern's words, whose borders this dialect does not know, are taken out of runs of word characters.
+_RULES = rf"""deadlines AS (SELECT chunk_id, 'FRIST' AS label, unnest(regexp_extract_all(content, '(?i){"|".join(f"(?:{p})" for p in R.NER_REGEX["FRIST"])}')) AS text FROM chunks),
+laws AS (SELECT chunk_id, 'GESETZ' AS label, unnest(regexp_extract_all(content, '(?i){"|".join(f"(?:{p})" for p in R.NER_REGEX["GESETZ"][:-1])}|[\p{{L}}\p{{N}}_]+')) AS text FROM chunks),
+rule_entities AS (SELECT * FROM deadlines UNION ALL SELECT * FROM laws WHERE regexp_matches(text, '(?i)^(?:§|art\.\s*\d)') OR regexp_full_match(text, '(?i)[a-z][a-z]+g'))"""
+query("ner_01_rule_entities", lambda v: statements.rule_entities(v.chunks).groupBy("label").agg(n(), F.countDistinct("chunk_id").alias("chunks")), with_views("", "chunks").rstrip() + ", " + _RULES + " SELECT label, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM rule_entities GROUP BY label")
 query("ner_01_word_entities", lambda v: v.ner.select("chunk_id", "i", "text", "label", "confidence"), "SELECT chunk_id, i, text, label, confidence FROM ner", "ner")
 query("ner_04_05_corrected", lambda v: statements.corrected(v.ner).groupBy("text", "label").agg(n()), f"""
 SELECT text, CASE WHEN text IN ({_L(R.AGNOSTIC_OBJECTS)}) THEN 'DATENOBJEKT' {' '.join(f"WHEN text = '{k}' THEN '{x}'" for k, x in R.NER_CORRECTIONS.items())} ELSE label END AS label, count(*) AS n FROM ner WHERE confidence >= 0.5 AND text NOT IN ({_L(R.NER_BLACKLIST)}) GROUP BY ALL""", "ner")
-query("ner_06_without_references", lambda v: statements.rule_entities(v.chunks).where(~((C("label") == "GESETZ") & C("text").rlike(r"^§\s*\d+"))).groupBy("label").agg(n()))
+query("ner_06_without_references", lambda v: statements.rule_entities(v.chunks).where(~((C("label") == "GESETZ") & C("text").rlike(r"^§\s*\d+"))).groupBy("label").agg(n()), with_views("", "chunks").rstrip() + ", " + _RULES + r" SELECT label, count(*) AS n FROM rule_entities WHERE NOT (label = 'GESETZ' AND regexp_matches(text, '^§\s*\d+')) GROUP BY label")
 query("ner_07_context", lambda v: statements.context_checked(v.ner, v.chunks).groupBy("label").agg(n()), "SELECT CASE " + " ".join(f"WHEN label = '{k}' AND NOT regexp_matches(around, '({'|'.join(x.replace('.', chr(92) + '.') for x in words)})') THEN 'SONSTIGE'" for k, words in R.NER_CONTEXT.items()) + """ ELSE label END AS label, count(*) AS n
 FROM (SELECT n.*, lower(substr(content, greatest(1, instr(content, text) - 80), instr(content, text) + 80 + length(text) - greatest(1, instr(content, text) - 80))) AS around FROM ner n JOIN (SELECT chunk_id, content FROM chunks) c USING (chunk_id)) GROUP BY 1""", "ner")
 query("set_04_best_entities", lambda v: statements.best_entities(v.ner).select("chunk_id", "i", "text", "label"), "SELECT chunk_id, i, text, label FROM ner QUALIFY row_number() OVER (PARTITION BY chunk_id, lower(text), label ORDER BY confidence DESC, i) = 1", "ner")
