@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.llm.tokens import released
+
 DIMENSIONS = 4096
 CENTROIDS = 4
 #: Distinct texts per language that the centroids are clustered from, at most: those of the least hashes.
@@ -82,6 +84,7 @@ def _frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all training rows each place occurs, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         total, rows = np.zeros(DIMENSIONS + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -141,6 +144,7 @@ def predict(documents: DataFrame, model: Model, name: str = "language") -> DataF
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        released()
         for texts in batches:
             got = shared.value.predict(texts.tolist())
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "rejected"), got)))

@@ -11,6 +11,7 @@ own key, as two 64-bit integers, so that nothing is ever taken for another.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import sys
 from array import array
@@ -237,6 +238,13 @@ def library_table(path: str) -> PieceTable:
     )
 
 
+def released() -> None:
+    """Frees this worker's table, for operators without ids: Spark hands on its workers, and memory, from stage to stage."""
+    library_table.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def ended_ids(table: PieceTable, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids with the end id after each text, and where those of each text begin, and the last end."""
     ids, bounds = table.encode(texts)

@@ -432,6 +432,14 @@ def test_line_dedup_finds_short_near_copies(spark):
     assert line_dedup.query(table).where("text <> ''").count() <= 3000 * 1.015  # at 0.82 and 0.9 the bands find 0.994 and more
 
 
+def test_language_frees_the_table_of_ids():
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    held = tokens.library_table(path)
+    tokens.released()
+    assert tokens.library_table.cache_info().currsize == 0
+    assert tokens.library_table(path) is not held
+
+
 def test_sharding(docs, none):
     got = sharding.query(docs).collect()
     assert len(got) == len(rows())
