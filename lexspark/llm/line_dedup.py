@@ -1,17 +1,18 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only (operator 6).
 
 A line's character shingles are taken from its fixed-width encoding, STRIDE to a row, so that every position is found at
-once however long the line is. Each shingle is hashed once, and the least hashes under FUNCTIONS different orders are
-taken per distinct line. Only these leave the tasks that read the texts. A band is three of the orders, and each two of
-them are in just one band (the lines of the affine plane of order 3), so that few orders give many bands: a pair of
-similarity 0.8 meets in one of them with a chance of 0.990. Candidates are all pairs of a band's bucket. First each line
-of a bucket is compared with one line of it, another in every band, and a distributed union-find over the pairs that
-pass names the components. STARS - 1 times more, lines are compared with another line of their bucket if that lies in
-another component. So large families come together at linear cost. Then all pairs of a bucket that still lie in different components are compared, by salted
-pairs of chunks in separate tasks, and the components they link become one. Only the texts of candidates are fetched.
-A pair is ruled out if the bitmaps of its shingle sets show that too much is missing on one side, a bound that never
-rules out a similar pair; for the others the exact Jaccard similarity of the whole shingle sets decides. Of each component the first line by (doc_id, text,
-position) stays, in its document; all others go.
+once however long the line is. Each shingle is hashed once; its orders are rotations of that hash, whose leading bits
+differ from order to order, and the least of each order are taken per line. Only these leave the tasks that read the
+texts. A band is three of the orders, and each two of them are in just one band (the lines of the affine plane of order
+3), so that few orders give many bands: a pair of similarity 0.8 meets in one of them with a chance of 0.990. Candidates
+are all pairs of a band's bucket. First each line of a bucket is compared with one line of it, another in every band, and
+a distributed union-find over the pairs that pass names the components. So large families come together at linear cost.
+Then all pairs of a bucket that still lie in different components are compared, by salted pairs of chunks in separate
+tasks, and the components they link become one. There, pairs are ruled out if the bitmaps of their shingle sets show that
+too much is missing on one side, a bound that never rules out a similar pair. In both passes the exact Jaccard similarity
+of the whole shingle sets decides. Only the texts of candidates are fetched, and only texts travel: a set, eight times as
+large, is made in the task that compares it. Of each component the first line by (doc_id, text, position) stays, in its
+document; all others go.
 
 A line is named by a 64-bit and a 32-bit hash.
 
@@ -22,7 +23,8 @@ alike. A null doc_id comes first. All columns stay; text is changed, and n_chars
 
 from __future__ import annotations
 
-import xxhash
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,15 @@ STRIDE = 4
 #: Bands of three orders each: the points of the lines of the affine plane of order 3.
 BANDS = [tuple(3 * x + (m * x + c) % 3 for x in range(3)) for m in range(3) for c in range(3)] + [(3 * c, 3 * c + 1, 3 * c + 2) for c in range(3)]
 FUNCTIONS = 9
-#: Lines of a bucket that all others are compared with, one after the other, before pairs are.
-STARS = 3
 #: Parts that the occurrences of a line are dealt to when its text is fetched.
 SALT = 8
-#: Lines of a chunk. A task of the second pass compares two chunks at a time.
+#: Lines, and shingles, of a chunk. A task of the second pass compares two chunks at a time.
 CHUNK = 1024
+CHUNK_SHINGLES = 1 << 19
 #: Longs of the bitmap of a shingle set, a power of two.
 WORDS = 16
-#: Fixed masks, one per order of the hashes, from a rule.
-MASKS = [xxhash.xxh64_intdigest(f"order {i}") - 2**63 for i in range(FUNCTIONS)]
+#: Bits by which a shingle's hash is rotated for its orders.
+TURNS = [64 // FUNCTIONS * i for i in range(FUNCTIONS)]
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -67,10 +68,14 @@ def shingled(texts: DataFrame, stride: int) -> DataFrame:
     return rows.select("h", "g", *[F.xxhash64(F.expr(f"substring(b, least(at + {k}, last) * 4 + 1, {4 * SHINGLE})")).alias(f"s{k}") for k in range(stride)])
 
 
+def _turned(s: Column, bits: int) -> Column:
+    return F.shiftleft(s, bits).bitwiseOR(F.shiftrightunsigned(s, 64 - bits)) if bits else s
+
+
 def signatures(every: DataFrame) -> DataFrame:
-    """h, g, and the least hash m0, m1, ... of every distinct line under each order."""
-    ordered = lambda m: F.least(*[F.xxhash64(F.col(f"s{k}").bitwiseXOR(F.lit(m))) for k in range(STRIDE)])
-    return shingled(every, STRIDE).groupBy("h", "g").agg(*[F.min(ordered(m)).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    """h, g, and the least rotated hash m0, m1, ... of every distinct line under each order."""
+    ordered = lambda bits: F.least(*[_turned(F.col(f"s{k}"), bits) for k in range(STRIDE)])
+    return shingled(every, STRIDE).groupBy("h", "g").agg(*[F.min(ordered(bits)).alias(f"m{i}") for i, bits in enumerate(TURNS)])
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -82,8 +87,10 @@ def buckets(signed: DataFrame) -> DataFrame:
 
 
 def candidates(bucketed: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of h: every line of a bucket with the bucket's chosen line."""
-    return bucketed.where("h <> one").select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct()
+    """Distinct pairs (hub, h): every line of a bucket with the bucket's chosen line. part: deals out those of a frequent hub."""
+    pairs = bucketed.where("h <> one").groupBy(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).agg(F.min("one").alias("hub"), F.max("members").alias("members"))
+    other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    return pairs.select("hub", other.alias("h"), F.pmod(F.hash(other), F.ceil(F.col("members") / CHUNK).cast("int")).alias("part"))
 
 
 def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
@@ -93,12 +100,12 @@ def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
     return rows.join(salted.hint("shuffle_hash"), ["h", "salt"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """h, g, shingles (distinct hashes), n (their number)."""
-    b = F.encode("line", "UTF-32")
+def _shingles(line: Column) -> Column:
+    """A line's distinct hashes."""
+    b = F.encode(line, "UTF-32")
     bound = F.array(F.struct(b.alias("b"), F.greatest(F.lit(0), F.length(b) / 4 - SHINGLE).cast("int").alias("last")))  # so that it is encoded once
     each = F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda at: F.xxhash64(F.substring(x["b"], at * 4 + 1, F.lit(4 * SHINGLE)))))
-    return texts.select("h", "g", F.array_distinct(F.get(each, F.lit(0))).alias("shingles")).withColumn("n", F.size("shingles"))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
@@ -121,77 +128,91 @@ def _possible(n: Column, m: Column, x: Column, y: Column, similarity: float) ->
     return _enough(F.least(n, m), n, m, similarity) & _enough(n - alone(x, y), n, m, similarity) & _enough(m - alone(y, x), n, m, similarity)
 
 
-def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """Pairs (a, b) with the columns of both lines, and their names u and v."""
-    side = lambda h, name, end: sets.select(F.col("h").alias(h), F.struct("h", "g").alias(name), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-    return pairs.join(side("a", "u", "a"), "a").join(side("b", "v", "b"), "b")
+def _similar(a: Column, b: Column, similarity: float) -> Column:
+    return _enough(F.size(F.array_intersect(a, b)), F.size(a), F.size(b), similarity)
 
 
-def possible(pairs: DataFrame, maps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs that bitmaps do not rule out. maps: h, g, n, bits."""
-    both = _sides(pairs, maps, "n", "bits")
-    return both.where(_possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), similarity)).select("a", "b").distinct()
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: names of the lines of pairs (hub, part, h) whose whole shingle sets are similar enough.
 
+    Lines are dealt by hub and part as texts; the set of a hub is made once in each of its parts.
+    """
+    n = partitions(pairs.sparkSession)
+    name = F.struct("h", "g")
+    hubs = pairs.select("hub", "part").distinct().join(texts.withColumnRenamed("h", "hub"), "hub")
+    hubs = hubs.repartition(n, "hub", "part").select("hub", "part", F.struct(F.col("hub").alias("h"), "g").alias("u"), _shingles(F.col("line")).alias("shingles_a"))
+    others = pairs.join(texts, "h").select("hub", "part", name.alias("v"), "line").repartition(n, "hub", "part")
+    both = others.join(hubs.hint("shuffle_hash"), ["hub", "part"]).select("u", "v", "shingles_a", _shingles(F.col("line")).alias("shingles_b"))
+    return both.where(_similar(F.col("shingles_a"), F.col("shingles_b"), similarity)).select("u", "v")
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """u, v: names of the lines of pairs whose whole shingle sets are similar enough."""
-    both = _sides(pairs, sets, "n", "shingles")
-    return both.where(_enough(F.size(F.array_intersect("shingles_a", "shingles_b")), F.col("n_a"), F.col("n_b"), similarity)).select("u", "v")
 
+def mixed_rows(bucketed: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket, members, h, g, component: lines other than the chosen one, of buckets in which these lie in several components.
+
+    Pairs with the chosen line are known already. A line without a link is a component of its own.
+    """
+    rows = bucketed.where("members > 2 and h <> one").select("bucket", "h").join(texts.select("h", "g"), "h")
+    rows = rows.join(roots.select("node.h", "node.g", "component"), ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most")
+    return rows.join(mixed.select("bucket", "members"), "bucket")
 
-def placed(maps: DataFrame, roots: DataFrame) -> DataFrame:
-    """h, g, n, bits, component of all candidates: a line without a link is a component of its own."""
-    known = roots.select("node.h", "node.g", "component")
-    return maps.select("h", "g", "n", "bits").join(known, ["h", "g"], "left").withColumn("component", F.coalesce("component", F.struct("h", "g")))
+
+def dealt(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """The rows with their lines' buckets, n and bits, once for each pair of chunks (low, high) that `chunk` is in."""
+    own = rows.groupBy("h", "g").agg(F.collect_set("bucket").alias("buckets"))  # one per band at most
+    rows = rows.join(own.join(maps, ["h", "g"]), ["h", "g"])
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    rows = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.hash("h", "g"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "h", "g", "component", "buckets", "n", "bits")
 
 
-def other_stars(bucketed: DataFrame, lines: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs a < b of h: every line of a bucket with one line of it, chosen by the turn, in another component."""
-    rows = bucketed.where("members > 2").select("bucket", "h").join(lines.select("h", "component"), "h")
-    chosen = rows.groupBy("bucket").agg(F.min_by(F.struct("h", "component"), F.xxhash64("h", "bucket", F.lit(turn))).alias("c"))
-    apart = rows.join(chosen, "bucket").where("component <> c.component and h <> c.h")
-    return apart.select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b")).distinct()
+KEY = ["bucket", "low", "high"]
 
 
-def crossing(bucketed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of lines of one bucket in different components that may be similar, each from one of its buckets.
+def _paired(rows: DataFrame, similarity: float, more: Callable[[DataFrame], DataFrame] = lambda side: side) -> DataFrame:
+    """Pairs of rows of one key, with _a and _b after their names: those that may be similar, each from one of its buckets.
 
-    Pairs with the chosen line are known already.
+    more: what each side gets in the task that compares it.
     """
-    rows = bucketed.where("members > 2 and h <> one").select("bucket", "h").join(lines.select("h", "g", "component"), "h")
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("least <> most")
-    rows = written(rows.select("bucket", "h", "g").join(mixed.select("bucket", "chunks"), "bucket"), "line-mixed")
-    own = rows.groupBy("h", "g").agg(F.collect_set("bucket").alias("buckets"))  # one per band at most
-    rows = rows.join(own, ["h", "g"]).join(lines, ["h", "g"])
-    dealt = rows.withColumn("chunk", F.pmod(F.hash("h", "g"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    key = ["bucket", "low", "high"]
 
     def side(end: str, name: str) -> DataFrame:
-        each = ("h", "g", "component", "buckets", "n", "bits")
-        return dealt.where(F.col("chunk") == F.col(end)).select(*key, *[F.col(c).alias(f"{c}_{name}") for c in each])
+        own = more(rows.where(F.col("chunk") == F.col(end)).repartition(partitions(rows.sparkSession), *KEY))
+        return own.select(*KEY, *[F.col(c).alias(f"{c}_{name}") for c in own.columns if c not in KEY])
 
-    both = side("low", "a").hint("merge").join(side("high", "b"), key)
+    both = side("low", "a").hint("merge").join(side("high", "b"), KEY)
     once = (F.col("low") < F.col("high")) | (F.struct("h_a", "g_a") < F.struct("h_b", "g_b"))
     apart = F.col("component_a") != F.col("component_b")
     may = _possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), similarity)
     first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
-    return both.where(once & apart & may & first).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
+    return both.where(once & apart & may & first)
+
+
+def crossing(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: names of similar lines of one bucket in different components. rows: those of dealt().
+
+    Which rows have a possible partner is found from bitmaps; only these get their texts, and their sets.
+    """
+    name = lambda end: F.struct(F.col(f"h_{end}").alias("h"), F.col(f"g_{end}").alias("g"))
+    may = _paired(rows, similarity).select(*KEY, F.explode(F.array(name("a"), name("b"))).alias("x")).select(*KEY, "x.h", "x.g").distinct()
+    wanted = written(rows.join(may, [*KEY, "h", "g"], "left_semi"), "line-wanted")
+    whole = wanted.join(texts, ["h", "g"])
+    both = _paired(whole, similarity, lambda side: side.withColumn("shingles", _shingles(F.col("line"))).drop("line"))
+    similar = both.where(_similar(F.col("shingles_a"), F.col("shingles_b"), similarity))
+    return similar.select(name("a").alias("u"), name("b").alias("v"))
 
 
 def joined_components(bucketed: DataFrame, texts: DataFrame) -> DataFrame:
     """node, component: those of stars, made one where a pair of a bucket links them."""
-    sets = written(shingle_sets(texts), "line-sets")
-    maps = written(bitmaps(texts).join(sets.select("h", "g", "n"), ["h", "g"]), "line-bitmaps")
-    first = verified(written(possible(candidates(bucketed), maps), "line-pairs"), sets)
+    first = written(verified(written(candidates(bucketed), "line-pairs"), texts), "line-links")
     roots = written(components(first, "line-components"), "line-roots")
-    for turn in range(1, STARS + 1):
-        lines = placed(maps, roots)
-        pairs = possible(other_stars(bucketed, lines, turn), maps) if turn < STARS else crossing(bucketed, lines)
-        links = written(verified(written(pairs, "line-pairs"), sets), "line-links")
-        if not links.isEmpty():
-            roots = written(components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components"), "line-roots")
-    return roots
+    rows = written(mixed_rows(bucketed, roots, texts), "line-mixed")
+    own = texts.join(rows.select("h", "g").distinct(), ["h", "g"], "left_semi")
+    maps = bitmaps(own).join(own.select("h", "g", F.size(_shingles(F.col("line"))).alias("n")), ["h", "g"])
+    links = written(crossing(written(dealt(rows, maps), "line-chunks"), own), "line-links")
+    if links.isEmpty():
+        return roots
+    return written(components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components"), "line-roots")
 
 
 def kept(places: DataFrame, roots: DataFrame) -> DataFrame:
