@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def removed(df: DataFrame) -> None:
     path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ARROW_ROWS at most at a time: a frame that was not read by table() comes in larger batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
+
+
 def named(columns: list[str]) -> list[Column]:
     """Columns by their whole names, whatever characters these hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

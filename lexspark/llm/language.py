@@ -30,6 +30,8 @@ SAMPLE = 800
 #: The radius is the largest distance in the sample and this share of what is left up to 1.
 MARGIN = 0.5
 UNKNOWN = "und"
+#: Texts whose vectors are held at a time, about 64 kB each; a batch from Spark may have far more rows.
+ROWS = 256
 
 
 def has_letter(text: str) -> bool:
@@ -55,8 +57,13 @@ def counts(text: str) -> np.ndarray:
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(np.array([counts(t) for t in texts], np.float32)) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    v = np.empty((len(texts), DIMENSIONS), np.float32)
+    for row, text in zip(v, texts):
+        row[:] = counts(text)
+    np.log1p(v, out=v)
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return v
 
 
 @dataclass(frozen=True)
@@ -69,11 +76,12 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, cosine and whether it is rejected."""
         found, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
-        if known and self.languages:
-            near = vectors([texts[i] for i in known], self.idf) @ self.centroids.reshape(-1, DIMENSIONS).T
-            near = near.reshape(len(known), len(self.languages), -1).max(axis=2)
-            for i, row in zip(known, near):
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
+        for at in range(0, len(known), ROWS):
+            part = known[at : at + ROWS]
+            near = vectors([texts[i] for i in part], self.idf) @ self.centroids.reshape(-1, DIMENSIONS).T
+            near = near.reshape(len(part), len(self.languages), -1).max(axis=2)
+            for i, row in zip(part, near):
                 best = int(np.argmax(row))
                 found[i], score[i] = self.languages[best], float(min(1.0, max(0.0, row[best])))
                 rejected[i] = bool(1 - row[best] > self.radius[best])

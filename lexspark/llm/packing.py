@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.llm.common import sliced
 from lexspark.llm.tokens import ended_ids, library_table
 
 WINDOW = 1024
@@ -133,7 +134,7 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
 
     def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         table = library_table(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, bounds = ended_ids(table, batch.column(1), end_id)
             yield from zip(batch.column(0).to_pylist(), np.split(ids, bounds[1:-1]))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import partitions, ranged
+from lexspark.llm.common import partitions, ranged, sliced
 from lexspark.llm.range_coder import BLOCK, LANES, checksum, decode_blocks, encode_blocks
 from lexspark.llm.tokens import ended_ids, library_table
 
@@ -68,7 +68,7 @@ def encode(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         table = library_table(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, bounds = ended_ids(table, batch.column(2), end_id)
             yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.split(ids, bounds[1:-1]))
 

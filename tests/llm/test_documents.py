@@ -1,6 +1,7 @@
 """Operators on documents over rows with nulls, empty and long texts, ties, repeats, clashing columns, and none at all."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe_model, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, tokens
+from lexspark.llm import bpe_model, common, fingerprints, jaccard_join, language, line_dedup, packing, sharding, token_store, tokens
 from lexspark.llm.shingles import shingles
 from lexspark.llm.tokens import vocabulary_path
 
@@ -457,6 +458,26 @@ def test_language_frees_the_table_of_ids():
     assert tokens.library_table(path) is not held
 
 
+def test_language_holds_few_vectors_at_a_time():
+    texts = [None, "", "12", *(f"{'abcdefgh'[i % 8]}ort und satz {i}" for i in range(1500))]
+    idf = np.ones(language.DIMENSIONS, np.float32)
+    centroids = np.array([language.vectors([t], idf) for t in ("aort und satz", "gort und satz")], np.float32)
+    model = language.Model(["a", "g"], idf, centroids, np.array([0.4, 0.5]))
+    tracemalloc.start()
+    got = model.predict(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # of all texts at once: over 70 MB
+    each = [model.predict([t]) for t in texts]
+    assert got[0] == [x[0][0] for x in each] and got[2] == [x[2][0] for x in each] and np.allclose(got[1], [x[1][0] for x in each])
+
+
+def test_packing_slices_large_batches():
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": [f"x{i}" if i % 7 else None for i in range(1000)]})
+    parts = list(common.sliced([batch]))
+    assert max(p.num_rows for p in parts) == common.ARROW_ROWS and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+
+
 def test_sharding(docs, none):
     got = sharding.query(docs).collect()
     assert len(got) == len(rows())
