@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only (operator 6).
 
 A line's character shingles are taken from its fixed-width encoding, STRIDE to a row, so that every position is found at
-once however long the line is. Each shingle is hashed once; its orders are rotations of that hash, whose leading bits
-differ from order to order, and the least of each order are taken per line. Only these leave the tasks that read the
-texts. A band is three of the orders, and each two of them are in just one band (the lines of the affine plane of order
+once however long the line is. Each shingle is hashed once; its orders are by nearness of that hash to anchors, spread
+evenly over all hashes, so that the firsts of two orders are hardly ever one shingle. The first of each order is taken
+per line. Only these leave the tasks that read the texts. A band is three of the orders, and each two of them are in just one band (the lines of the affine plane of order
 3), so that few orders give many bands: a pair of similarity 0.8 meets in one of them with a chance of 0.990. Candidates
 are all pairs of a band's bucket. First each line of a bucket is compared with one line of it, another in every band, and
 a distributed union-find over the pairs that pass names the components. So large families come together at linear cost.
@@ -44,9 +44,10 @@ SALT = 8
 CHUNK = 1024
 CHUNK_SHINGLES = 1 << 19
 #: Longs of the bitmap of a shingle set, a power of two.
-WORDS = 16
-#: Bits by which a shingle's hash is rotated for its orders.
-TURNS = [64 // FUNCTIONS * i for i in range(FUNCTIONS)]
+WORDS = 64
+BITS = [f"w{w}" for w in range(WORDS)]
+#: A shingle's place in an order is its hash, xor the order's anchor.
+ANCHORS = [(2**64 // FUNCTIONS * i + 0x1B873593CC9E2D51) % 2**64 - 2**63 for i in range(FUNCTIONS)]
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -68,14 +69,10 @@ def shingled(texts: DataFrame, stride: int) -> DataFrame:
     return rows.select("h", "g", *[F.xxhash64(F.expr(f"substring(b, least(at + {k}, last) * 4 + 1, {4 * SHINGLE})")).alias(f"s{k}") for k in range(stride)])
 
 
-def _turned(s: Column, bits: int) -> Column:
-    return F.shiftleft(s, bits).bitwiseOR(F.shiftrightunsigned(s, 64 - bits)) if bits else s
-
-
 def signatures(every: DataFrame) -> DataFrame:
-    """h, g, and the least rotated hash m0, m1, ... of every distinct line under each order."""
-    ordered = lambda bits: F.least(*[_turned(F.col(f"s{k}"), bits) for k in range(STRIDE)])
-    return shingled(every, STRIDE).groupBy("h", "g").agg(*[F.min(ordered(bits)).alias(f"m{i}") for i, bits in enumerate(TURNS)])
+    """h, g, and the least place m0, m1, ... of every distinct line's shingles in each order."""
+    first = lambda anchor: F.least(*[F.col(f"s{k}").bitwiseXOR(F.lit(anchor)) for k in range(STRIDE)])
+    return shingled(every, STRIDE).groupBy("h", "g").agg(*[F.min(first(anchor)).alias(f"m{i}") for i, anchor in enumerate(ANCHORS)])
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -109,11 +106,17 @@ def _shingles(line: Column) -> Column:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """h, g, bits: WORDS longs, in which every shingle sets the bit that its hash names."""
+    """h, g, n: the size of a line's shingle set; w0, w1, ...: a bitmap, in which every shingle sets the bit that its hash names.
+
+    more: by how many the shingles exceed the bits. The words are columns, not an array, so that a pair's test is short code.
+    """
     word = F.shiftright("s0", 6).bitwiseAND(F.lit(WORDS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s0").bitwiseAND(F.lit(63)).cast("int"))
-    words = shingled(texts, 1).groupBy("h", "g").agg(*[F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
-    return words.select("h", "g", F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
+    none = F.lit(0).cast("long")
+    own = shingled(texts, 1).select("h", "g", word.alias("word"), bit.alias("bit")).groupBy("h", "g", "word").agg(F.bit_or("bit").alias("bits"))
+    words = own.groupBy("h", "g").agg(F.sum(F.bit_count("bits")).cast("int").alias("set"), *[F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), none).alias(x) for w, x in enumerate(BITS)])
+    sizes = texts.select("h", "g", F.size(_shingles(F.col("line"))).alias("n"))
+    return words.join(sizes, ["h", "g"]).select("h", "g", "n", (F.col("n") - F.col("set")).alias("more"), *BITS)
 
 
 def _enough(common: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -122,10 +125,13 @@ def _enough(common: Column, n: Column, m: Column, similarity: float) -> Column:
     return common * (1000 + share) >= (n + m) * share
 
 
-def _possible(n: Column, m: Column, x: Column, y: Column, similarity: float) -> Column:
-    """False only if the sets cannot be similar: each bit of one set alone is a shingle at least that the other lacks."""
-    alone = lambda a, b: sum((F.bit_count(F.get(a, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(w))))) for w in range(1, WORDS)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0))))))
-    return _enough(F.least(n, m), n, m, similarity) & _enough(n - alone(x, y), n, m, similarity) & _enough(m - alone(y, x), n, m, similarity)
+def _possible(similarity: float) -> Column:
+    """False only if the sets of a pair cannot be similar: common shingles share their bits, and a bit has one, but for `more`."""
+    shared = F.least("more_a", "more_b")
+    for x in BITS:
+        shared += F.bit_count(F.col(f"{x}_a").bitwiseAND(F.col(f"{x}_b")))
+    n, m = F.col("n_a"), F.col("n_b")
+    return _enough(F.least(n, m), n, m, similarity) & _enough(shared, n, m, similarity)
 
 
 def _similar(a: Column, b: Column, similarity: float) -> Column:
@@ -158,13 +164,13 @@ def mixed_rows(bucketed: DataFrame, roots: DataFrame, texts: DataFrame) -> DataF
 
 
 def dealt(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """The rows with their lines' buckets, n and bits, once for each pair of chunks (low, high) that `chunk` is in."""
+    """The rows with their lines' buckets and bitmaps, once for each pair of chunks (low, high) that `chunk` is in."""
     own = rows.groupBy("h", "g").agg(F.collect_set("bucket").alias("buckets"))  # one per band at most
     rows = rows.join(own.join(maps, ["h", "g"]), ["h", "g"])
     sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     rows = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.hash("h", "g"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "h", "g", "component", "buckets", "n", "bits")
+    return rows.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "h", "g", F.col("component.h").alias("root_h"), F.col("component.g").alias("root_g"), "buckets", "n", "more", *BITS)
 
 
 KEY = ["bucket", "low", "high"]
@@ -181,11 +187,10 @@ def _paired(rows: DataFrame, similarity: float, more: Callable[[DataFrame], Data
         return own.select(*KEY, *[F.col(c).alias(f"{c}_{name}") for c in own.columns if c not in KEY])
 
     both = side("low", "a").hint("merge").join(side("high", "b"), KEY)
-    once = (F.col("low") < F.col("high")) | (F.struct("h_a", "g_a") < F.struct("h_b", "g_b"))
-    apart = F.col("component_a") != F.col("component_b")
-    may = _possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), similarity)
+    once = (F.col("low") < F.col("high")) | (F.col("h_a") < F.col("h_b")) | ((F.col("h_a") == F.col("h_b")) & (F.col("g_a") < F.col("g_b")))
+    apart = (F.col("root_h_a") != F.col("root_h_b")) | (F.col("root_g_a") != F.col("root_g_b"))
     first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
-    return both.where(once & apart & may & first)
+    return both.where(once & apart & _possible(similarity) & first)
 
 
 def crossing(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -208,8 +213,7 @@ def joined_components(bucketed: DataFrame, texts: DataFrame) -> DataFrame:
     roots = written(components(first, "line-components"), "line-roots")
     rows = written(mixed_rows(bucketed, roots, texts), "line-mixed")
     own = texts.join(rows.select("h", "g").distinct(), ["h", "g"], "left_semi")
-    maps = bitmaps(own).join(own.select("h", "g", F.size(_shingles(F.col("line"))).alias("n")), ["h", "g"])
-    links = written(crossing(written(dealt(rows, maps), "line-chunks"), own), "line-links")
+    links = written(crossing(written(dealt(rows, bitmaps(own)), "line-chunks"), own), "line-links")
     if links.isEmpty():
         return roots
     return written(components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "line-components"), "line-roots")

@@ -450,6 +450,27 @@ def test_line_dedup_moves_texts_instead_of_shingle_sets(spark):
     assert not longs
 
 
+def test_line_dedup_rules_out_pairs_below_the_threshold_by_bitmaps(spark):
+    """Lines of one family, each pair of which has a similarity of 0.7: all share buckets, and none is worth a look at its text."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    base = "".join(rng.choice(letters, 1007))
+    table = spark.createDataFrame([(i, base[: 81 * i] + "".join(rng.choice(letters, 81)) + base[81 * i + 81 :]) for i in range(12)], "doc_id long, text string")
+    own, wanted, dealt = line_dedup.written, [], []
+
+    def counted(df, name):
+        found = own(df, name)
+        {"line-wanted": wanted, "line-chunks": dealt}.get(name, []).append(found.count())
+        return found
+
+    try:
+        line_dedup.written = counted
+        assert line_dedup.query(table).where("text <> ''").count() == 12
+    finally:
+        line_dedup.written = own
+    assert dealt[0] > 12 and wanted == [0]
+
+
 def test_language_frees_the_table_of_ids():
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     held = tokens.library_table(path)
