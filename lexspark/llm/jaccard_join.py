@@ -17,6 +17,9 @@ tasks, none of which has two chunks of one cluster: so sets are copied once for
 holds two chunks at most, and gives a row per text, not per pair. No link is lost in a large group of near copies, and
 none is written out.
 
+No join is broadcast: the driver, which would build the tables, holds none of them, whatever their size. What several
+steps of a round read is written once.
+
 Result, a row per document: doc_id, class_id (the least doc_id of its component of links), links (other documents of
 similarity SIMILARITY or more). Texts without words are linked to equal texts only; null texts are linked to nothing and
 have themselves as class. A null doc_id counts as least, and class_id is then the row's own doc_id. Repeated rows are
@@ -91,7 +94,7 @@ def _subtrees(classes: DataFrame, depth: int, known: DataFrame | None) -> tuple[
     each = rows.groupBy("subtree").agg(*members).where("members > 1 and looking")
     kept = each.groupBy("members", "a", "b").agg(F.min("subtree").alias("subtree"))
     if known is not None:
-        kept = kept.join(known, ["members", "a", "b"], "left_anti")
+        kept = kept.join(known.hint("merge"), ["members", "a", "b"], "left_anti")
     kept = written(kept, "jaccard-subtrees")
     return rows.join(kept.select("subtree", "members").hint("shuffle_hash"), "subtree").select("subtree", "node", "members"), kept.drop("subtree")
 
@@ -108,7 +111,7 @@ def _shingled(candidates: DataFrame, documents: DataFrame) -> DataFrame:
             yield batch.set_column(0, "found", pa.array([s.tobytes() for s in sets], pa.binary())).filter(pa.array(right))
 
     # both keys, so that rows without a doc_id are dealt to all tasks
-    joined = documents.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("x"))).select("text", *carried)
+    joined = documents.select("doc_id", "text").join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("x"))).select("text", *carried)
     return joined.mapInArrow(run, T.StructType([T.StructField("found", T.BinaryType()), *joined.schema[1:]]))
 
 
@@ -251,15 +254,15 @@ def _dealt(members: DataFrame) -> DataFrame:
     sizes = written(sizes.withColumn("first", F.coalesce(F.sum("chunks").over(before), zero).cast("int")), "jaccard-chunks")
     chunks = sizes.select("subtree", "cluster", "looking", F.explode(F.expr("sequence(first, first + chunks - 1)")).alias("chunk"))
     other = chunks.select("subtree", F.col("cluster").alias("its"), F.col("looking").alias("its_looking"), F.col("chunk").alias("other"))
-    pairs = chunks.join(other, "subtree").where("(cluster = '' or cluster <> its) and (looking or its_looking)").select("subtree", "chunk", "other")
-    numbered = large.join(sizes.select("subtree", "cluster", "first", "chunks"), ["subtree", "cluster"]).withColumn("chunk", F.col("first") + F.pmod(F.hash("node"), "chunks"))
-    each = numbered.join(pairs, ["subtree", "chunk"]).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    pairs = chunks.join(other.hint("merge"), "subtree").where("(cluster = '' or cluster <> its) and (looking or its_looking)").select("subtree", "chunk", "other")
+    numbered = large.join(sizes.select("subtree", "cluster", "first", "chunks").hint("merge"), ["subtree", "cluster"]).withColumn("chunk", F.col("first") + F.pmod(F.hash("node"), "chunks"))
+    each = numbered.join(pairs.hint("merge"), ["subtree", "chunk"]).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     return small.unionByName(each.select("node", task)).groupBy("node").agg(F.collect_list("task").alias("tasks"))
 
 
 def _links(members: DataFrame, documents: DataFrame) -> DataFrame:
     """node, root, links, ... of each task's part of a subtree. A text's set is shuffled once for each of its tasks."""
-    ready = _shingled(members.join(_dealt(members), "node"), documents).withColumn("t", F.explode("tasks"))
+    ready = _shingled(members.join(_dealt(members).hint("merge"), "node"), documents).withColumn("t", F.explode("tasks"))
     dealt = ready.select("t.subtree", "t.low", "t.high", "t.chunk", *_DEALT[4:])
     return dealt.repartition(partitions(members.sparkSession), "subtree", "low", "high").sortWithinPartitions("subtree", "low", "high").mapInArrow(_verify, _LINKS)
 
@@ -268,24 +271,30 @@ def linked(classes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     """node, root, links of all verified parts, and node, cluster of the texts in clusters; classes: node, least_id, x, copies, labels."""
     none = F.array().cast("array<long>")
     looking = classes.select("node").withColumn("looking", F.lit(True))
-    before = classes.select("node", none.alias("before")).limit(0)
-    known = clusters = found = None
+    known = before = verified = clusters = found = None
     for depth in range(DEPTH, shortest_prefix(SIMILARITY, RECALL) - 1, -1):
-        current = classes.join(looking, "node", "left").withColumn("looking", F.coalesce("looking", F.lit(False)))
+        current = classes.join(looking.hint("merge"), "node", "left").withColumn("looking", F.coalesce("looking", F.lit(False)))
         subtrees, kept = _subtrees(current.select("node", "looking", "labels"), depth, known)
         known = kept if known is None else known.unionByName(kept)
-        lists = written(subtrees.groupBy("node").agg(F.collect_list(F.struct("subtree", "members")).alias("subtrees")), "jaccard-lists")  # TREES at most
-        members = current.select("node", "least_id", "x", "copies", "looking").join(lists, "node").join(before, "node", "left").withColumn("before", F.coalesce("before", none))
+        lists = subtrees.groupBy("node").agg(F.collect_list(F.struct("subtree", "members")).alias("subtrees"))  # TREES at most
+        members = current.select("node", "least_id", "x", "copies", "looking").join(lists.hint("merge"), "node")
+        if before is not None:
+            members = members.join(before.hint("merge"), "node", "left")
+        members = members.withColumn("before", F.coalesce("before", none) if before is not None else none)
+        members = written(members, "jaccard-members")  # it is read several times
         if clusters is None:
             clusters = written(_clusters(members, documents), "jaccard-clusters")
-        got = written(_links(members.join(clusters, "node", "left"), documents), "jaccard-links")
+        got = written(_links(members.join(clusters.hint("merge"), "node", "left"), documents), "jaccard-links")
         found = got if found is None else found.unionByName(got)
-        own = lists.select("node", F.transform("subtrees", lambda x: x["subtree"]).alias("before"))
-        before = before.unionByName(own).groupBy("node").agg(F.flatten(F.collect_list("before")).alias("before"))
+        own = members.select("node", F.transform("subtrees", lambda x: x["subtree"]).alias("before"))
+        verified = own if verified is None else verified.unionByName(own)
+        before = verified.groupBy("node").agg(F.flatten(F.collect_list("before")).alias("before"))
         # a text of a cluster has found its partners there for certain
         sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum(f"e{depth}").alias("stand"))
-        sums = sums.join(clusters, "node", "full").select("node", (F.coalesce("links", F.lit(0)) < RECALL * F.coalesce("stand", F.lit(0.0))).alias("short"))
-        looking = classes.select("node").join(sums, "node", "left").where("short is null or short").select("node", F.lit(True).alias("looking"))
+        sums = sums.join(clusters.hint("merge"), "node", "full").select("node", (F.coalesce("links", F.lit(0)) < RECALL * F.coalesce("stand", F.lit(0.0))).alias("short"))
+        looking = classes.select("node").join(sums.hint("merge"), "node", "left").where("short is null or short").select("node", F.lit(True).alias("looking"))
+        if depth > shortest_prefix(SIMILARITY, RECALL):
+            looking = written(looking, "jaccard-looking")
     return found, clusters
 
 
@@ -295,19 +304,20 @@ def classified(documents: DataFrame) -> DataFrame:
     signed = written(labels(documents), "jaccard-labels")
     groups = signed.where("digest is not null").groupBy(F.col("digest").alias("node"))
     classes = groups.agg(F.min(F.struct("doc_id", "md5", "x")).alias("least"), F.count("*").alias("copies"), F.min("labels").alias("labels"))
-    found, clusters = linked(written(classes.select("node", F.col("least.doc_id").alias("least_id"), "least.x", "copies", "labels"), "jaccard-nodes"), documents)
+    classes = written(classes, "jaccard-nodes")
+    found, clusters = linked(classes.select("node", F.col("least.doc_id").alias("least_id"), "least.x", "copies", "labels"), documents)
     edges = found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(clusters.select(F.col("node").alias("u"), F.col("cluster").alias("v")))
     roots = components(edges, "jaccard-components")
-    own = clusters.join(classes.select("node", "copies"), "node")
+    own = clusters.join(classes.select("node", "copies").hint("merge"), "node")
     together = own.groupBy("cluster").agg(F.sum("copies").alias("together"))
-    within = own.join(together, "cluster").select("node", (F.col("together") - F.col("copies")).alias("links"))
+    within = own.join(together.hint("merge"), "cluster").select("node", (F.col("together") - F.col("copies")).alias("links"))
     links = found.select("node", "links").unionByName(within).groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
+    known = classes.select("node", "least", "copies").join(links.hint("merge"), "node", "left").join(roots.hint("merge"), "node", "left")
     known = written(known.withColumn("component", F.coalesce("component", "node")), "jaccard-classes")
     first = known.groupBy("component").agg(F.min("least").alias("first"))
     others = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
-    per_set = known.join(first, "component").select(F.col("node").alias("digest"), "first", others.alias("links"))
-    rows = signed.where("digest is not null").select("doc_id", "md5", "digest").join(per_set, "digest")
+    per_set = known.join(first.hint("merge"), "component").select(F.col("node").alias("digest"), "first", others.alias("links"))
+    rows = signed.where("digest is not null").select("doc_id", "md5", "digest").join(per_set.hint("merge"), "digest")
     stays = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.md5") == F.col("md5"))
     rows = rows.select("doc_id", "md5", F.coalesce("first.doc_id", "doc_id").alias("class_id"), "links", stays.alias("stays"))
     null = signed.where("digest is null").select("doc_id", "md5", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("stays"))

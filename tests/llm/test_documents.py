@@ -306,6 +306,20 @@ def test_jaccard_join_finds_what_brute_force_finds(spark):
     assert [r["class_id"] for r in got] == [table[i]["doc_id"] for i in root]
 
 
+def test_jaccard_join_broadcasts_nothing(spark):
+    before = plans_so_far(spark)
+    assert jaccard_join.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count() > 100
+    plans = {k: x for k, x in plans_so_far(spark).items() if k not in before}
+    assert len(plans) > 10 and not [x for x in plans.values() if "Broadcast" in x]
+
+
+def plans_so_far(spark):
+    """The last plan of each execution so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+
 def test_large_group_of_near_copies(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1 :]) for i in range(300)]
