@@ -99,9 +99,9 @@ def line_texts(wanted: DataFrame, every: DataFrame) -> DataFrame:
 
 def _shingles(line: Column) -> Column:
     """A line's distinct hashes."""
-    b = F.encode(line, "UTF-32")
-    bound = F.array(F.struct(b.alias("b"), F.greatest(F.lit(0), F.length(b) / 4 - SHINGLE).cast("int").alias("last")))  # so that it is encoded once
-    each = F.transform(bound, lambda x: F.transform(F.sequence(F.lit(0), x["last"]), lambda at: F.xxhash64(F.substring(x["b"], at * 4 + 1, F.lit(4 * SHINGLE)))))
+    bound = F.array(F.encode(line, "UTF-32"))  # so that it is encoded once
+    last = lambda b: F.greatest(F.lit(1), F.length(b) - (4 * SHINGLE - 1))
+    each = F.transform(bound, lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda at: F.xxhash64(F.substring(b, at, F.lit(4 * SHINGLE)))))
     return F.array_distinct(F.get(each, F.lit(0)))
 
 
@@ -141,14 +141,16 @@ def _similar(a: Column, b: Column, similarity: float) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """u, v: names of the lines of pairs (hub, part, h) whose whole shingle sets are similar enough.
 
-    Lines are dealt by hub and part as texts; the set of a hub is made once in each of its parts.
+    Lines are dealt by hub and part as texts; the set of a hub is made once in each of its parts. The other's is made before
+    the join: a column made after it would go into the join's condition, which makes it as often as it reads it.
     """
     n = partitions(pairs.sparkSession)
     name = F.struct("h", "g")
     hubs = pairs.select("hub", "part").distinct().join(texts.withColumnRenamed("h", "hub"), "hub")
     hubs = hubs.repartition(n, "hub", "part").select("hub", "part", F.struct(F.col("hub").alias("h"), "g").alias("u"), _shingles(F.col("line")).alias("shingles_a"))
     others = pairs.join(texts, "h").select("hub", "part", name.alias("v"), "line").repartition(n, "hub", "part")
-    both = others.join(hubs.hint("shuffle_hash"), ["hub", "part"]).select("u", "v", "shingles_a", _shingles(F.col("line")).alias("shingles_b"))
+    others = others.select("hub", "part", "v", _shingles(F.col("line")).alias("shingles_b"))
+    both = others.join(hubs.hint("shuffle_hash"), ["hub", "part"])
     return both.where(_similar(F.col("shingles_a"), F.col("shingles_b"), similarity)).select("u", "v")
 
 

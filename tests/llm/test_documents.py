@@ -464,6 +464,14 @@ def test_line_dedup_moves_texts_instead_of_shingle_sets(spark):
     assert not longs
 
 
+def test_line_dedup_makes_the_sets_of_a_pair_once(spark):
+    pairs = spark.createDataFrame([(1, 2, 0)], "hub long, h long, part int")
+    texts = spark.createDataFrame([(1, 1, "the same long line of words"), (2, 2, "the same long line of words!")], "h long, g int, line string")
+    found = line_dedup.verified(pairs, texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 2  # one a side
+    assert [(x.u.h, x.v.h) for x in found.collect()] == [(1, 2)]
+
+
 def test_line_dedup_rules_out_pairs_below_the_threshold_by_bitmaps(spark):
     """Lines of one family, each pair of which has a similarity of 0.7: all share buckets, and none is worth a look at its text."""
     rng = np.random.default_rng(5)
