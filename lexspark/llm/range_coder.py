@@ -1,141 +1,159 @@
 """A context-mixing range coder for token ids (operator 2).
 
 A block of at most BLOCK ids is coded on its own: its model starts afresh, and its checksum is that of its ids. Order 2
-and order 1 each predict one id, the last that followed their context, with a confidence; order 0 predicts by the
-frequencies of the block's ids so far. Whether the order-2 id is right, else whether the order-1 id is, gets a
+and order 1 each predict one id, the last that followed their context, with a confidence; order 0 has the frequencies of
+the ids that are still to come in the block. Whether the order-2 id is right, else whether the order-1 id is, gets a
 probability that mixes, in the logistic domain, the learned weights of what order 2, and order 1, knows of its id: the
-confidence, and the frequency of the id in order 0. Any other id gets its share of order 0's frequencies, or, where order
-0 has not seen it, an adaptive escape, and stands among the block's new ids. All these shares make one interval, so an
-id costs one step of the coder.
+confidence, and how often the id stands in the block. Any other id gets its share of order 0's frequencies. All these
+shares make one interval, so an id costs one step of the coder.
 
-The model learns from every id, at the end of each round of ROUND ids, and order 0's frequencies are renewed every RENEWAL
-ids, more often at first. New ids are coded before the others, by shares that fall with the id as the numbers of a
-vocabulary in order of frequency do; so the decoder knows all ids of a block from the start, and keeps their counts.
-All arithmetic is on whole numbers (but for sums and quotients that doubles hold exactly), so blocks decode alike on
-every machine. Many blocks advance together as numpy vectors: lane i is the ith longest block, and the lanes still going
-are the first ones.
+A block begins with its distinct ids, in order, and how often each stands there: gaps between ids by shares that follow
+the mean of the gaps before, numbers by shares that fall with the number. So the decoder knows order 0 from the start; it
+is counted down as ids come, at remaining sizes that fall by a quarter, later by half. The model learns from every id.
+All arithmetic is on whole numbers (but for quotients that doubles hold exactly), so blocks decode alike on every machine.
+Many blocks advance together as numpy vectors: lane i is the ith longest block. They end together, so that all have the
+same number of ids to come; the lanes that have begun are the first ones.
 
 The coder keeps 64 bits of low and range, and moves 32 bits out whenever the range is below 2 ** 32. Where the interval
 then straddles a multiple of 2 ** 32, it is cut there, so that there is never a carry. A coded block is the number of
-new ids and of their words, 16 bits each, then the words of 32 bits of new ids, and of all, all little-endian.
+distinct ids and of their words, 16 bits each, then the words of 32 bits of distinct ids, and of all, all little-endian.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 
 BLOCK = 2048
-#: Blocks that advance together; about 60 kB of model and work space each.
+#: Blocks that advance together; about 30 kB of model and work space each.
 LANES = 4096
-#: Ids after which the model learns, and ids after which order 0's frequencies are renewed.
-ROUND, RENEWAL = 4, 8
-_PLACES, _PLACE_BITS = 1024, 10  # of an order-1 or order-2 context, in each lane
-_COUNTS = 512  # places of ids' numbers, in each lane
+_PLACE_BITS = 11
+_PLACES = 1 << _PLACE_BITS  # of an order-1 or order-2 context, in each lane
+_CONTEXTS = 128  # of weights, in each lane: 32 of order 2, 64 and 32 of order 1
 _ONE = 4096  # probabilities are in 4096ths
 _TOTAL = 19  # bits of the interval that is shared out: products with a place in order 0 stay below 2 ** 31
 _LOW32, _32, _SHARED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(_TOTAL)
 
-#: Parts of the interval for a new id, and where they begin; built by rule. All of them are less than 2 ** _TOTAL.
-_NEW_SIZE = np.maximum(1, 100_000 // (np.arange(65536) + 300)).astype(np.uint64)
-_NEW_START = np.r_[np.uint64(0), np.cumsum(_NEW_SIZE)]
 #: 1 / (1 + exp(-x)) in 4096ths for x in 256ths from -8 on; built by rule. The largest chances leave order 0 a share of
 #: at least BLOCK parts of the interval.
 _SQUASH = np.array([min(_ONE - 256, max(16, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
-_MOST_ORDER_1, _MOST_NEW = _ONE * 3 // 4, _ONE * 3 // 4
+_MOST_ORDER_1 = _ONE * 3 // 4
+#: Weights at the start, in 4096ths, by what a context's order is asked for and its confidence; those that documents tend to.
+_WEIGHTS = np.array([[w] * 4 for w in (
+    (-16000, -9000, -700, 0, 400, 300, 300, 5000),  # order 2 by its own context
+    (-8000, -6500, -1700, -800, -600, -500, -400, -1000),  # and by order 1's, where that has another id
+    (-8000, -3500, 500, 1000, 1000, 700, 600, 8000),  # or the same
+    (-14000, -12000, -3500, -200, 400, 400, 300, 5000),  # order 1
+)], np.int32).ravel()
 
 
-@dataclass(frozen=True)
-class _Guess:
-    """Predictions for ids of some lanes, one step (lanes) or several (steps x lanes)."""
+def _shares(weights: list[float], least: int = 1) -> np.ndarray:
+    """Where the parts of an interval begin that are in proportion to the weights, at least `least` each; their end at last."""
+    room = (1 << _TOTAL) // least - len(weights)
+    return least * np.r_[0, np.cumsum([1 + int(room * w / sum(weights)) for w in weights])].astype(np.int64)
 
-    at: np.ndarray  # places of the entries of order 2 and 1
-    entry: np.ndarray
-    ids: np.ndarray
-    weight_at: np.ndarray
-    chance: np.ndarray
-    agree: np.ndarray
-    order2: np.ndarray  # width of order 2's part of the interval
-    base: np.ndarray  # and of order 1's with it
-    order0: np.ndarray  # width of order 0's part; the rest is for new ids
+
+#: Parts for how often an id stands in a block, from 1 on; built by rule.
+_NUMBER = _shares([c**-1.75 for c in range(1, BLOCK + 1)])
+#: Least means of gaps, in 16ths, of the contexts of gaps: powers of the root of 2.
+_MEANS = np.array([round(16 * 2 ** (q / 2)) for q in range(1, 32)])
+_GAP_BITS, _GAP_STEP = 17, 9
+
+
+def _gap_shares(mean: float) -> np.ndarray:
+    """Parts for how many bits a gap of that mean has below its first: mostly as a geometric distribution has them."""
+    near = [math.exp((1 - 2**b) / mean) - math.exp((1 - 2 ** (b + 1)) / mean) for b in range(_GAP_BITS)]
+    wide = [2 ** -abs(b - math.log2(mean)) / 3 for b in range(_GAP_BITS)]
+    return _shares([0.7 * n + 0.3 * w for n, w in zip(near, wide)], 1 << _GAP_STEP)
+
+
+_GAP = np.stack([_gap_shares(2 ** ((q + 0.5) / 2)) for q in range(len(_MEANS) + 1)])
+#: The bits of a gap at each multiple of 2 ** _GAP_STEP.
+_GAP_AT = np.stack([np.searchsorted(row[1:_GAP_BITS], np.arange(1 << (_TOTAL - _GAP_STEP)) << _GAP_STEP, "right") for row in _GAP])
 
 
 class _Model:
-    """What the encoder and the decoder both learn."""
+    """What the encoder and the decoder both learn. An id is its rank * 32 + its class * 8 (a word); an entry is a word + its confidence."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
-        self.lanes = lanes
-        self.entries = np.zeros(2 * lanes * _PLACES, np.uint32)  # (id * 4 + class) * 8 + confidence, by order 2 and 1
+        self.entries = np.zeros(2 * lanes * _PLACES, np.uint16)  # by order 2 and 1
         self.entry_base = np.stack([lane * _PLACES, (lanes + lane) * _PLACES])
-        self.counts = np.zeros(lanes * _COUNTS, np.uint8)  # the class of an id in order 0: how often it came, 3 at most
-        self.count_base = lane * _COUNTS
-        self.weights = np.full(128 * lanes, -300, np.int32)  # in 4096ths: by input and context, and lane
-        self.weight_base = np.array([[0], [32], [96]]) * lanes + lane
-        self.new = np.full(lanes, _MOST_NEW, np.int32)
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> _Guess:
-        """one, two: the ids before, of the first lanes."""
-        n, extra = one.shape[-1], (1,) * (one.ndim - 1)
-        each = lambda base: base[:, :n].reshape(len(base), *extra, n)
-        place = np.empty((2, *one.shape), np.uint32)
-        np.multiply(one, np.uint32(2654435761), out=place[1])
-        np.add(place[1], two * np.uint32(2246822519), out=place[0])
-        place >>= np.uint32(32 - _PLACE_BITS)
-        at = each(self.entry_base) + place
-        entry = self.entries.take(at)
-        ids = entry >> np.uint32(5)
-        agree = ids[0] == ids[1]
-        context = np.empty((3, *one.shape), np.int64)
-        np.bitwise_and(entry, np.uint32(31), out=context[:2], casting="unsafe")
+        self.weights = np.tile(_WEIGHTS, lanes)  # in 4096ths
+        self.weight_base = np.array([[0], [32], [96]]) + lane * _CONTEXTS
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """one, two: the words before, of the first lanes."""
+        n = len(one)
+        at = np.empty((2, n), np.int64)
+        place = one * np.uint16(40503)
+        place += two * np.uint16(34283)
+        place >>= np.uint16(16 - _PLACE_BITS)
+        at[0] = place
+        at[1] = one >> np.uint16(5)
+        at += self.entry_base[:, :n]
+        self.at = at
+        self.entry = entry = self.entries.take(at)
+        self.ids = entry & np.uint16(0xFFF8)
+        self.agree = agree = (entry[0] ^ entry[1]) < 32
+        context = np.empty((3, n), np.int64)
+        np.bitwise_and(entry, np.uint16(31), out=context[:2], casting="unsafe")
         context[2] = context[1]
         context[1] += agree * np.int64(32)
-        context *= self.lanes
-        context += each(self.weight_base)
-        weight = self.weights.take(context)
-        weight[0] += weight[1]
-        dot = weight[::2]
+        context += self.weight_base[:, :n]
+        self.context = context
+        self.weight = weight = self.weights.take(context)
+        dot = np.empty((2, n), np.int32)
+        np.add(weight[0], weight[1], out=dot[0])
+        dot[1] = weight[2]
         dot >>= 4
         dot += 2048
-        chance = _SQUASH.take(dot, mode="clip")
+        self.chance = chance = _SQUASH.take(dot, mode="clip")
         chance[1] *= ~agree
         np.minimum(chance[1], _MOST_ORDER_1, out=chance[1])
-        order2 = chance[0] << (_TOTAL - 12)
+        self.order2 = order2 = chance[0] << (_TOTAL - 12)  # width of order 2's part of the interval
         rest = (1 << _TOTAL) - order2
-        base = rest * chance[1] >> 12
+        base = rest * chance[1]
+        base >>= 12
         rest -= base
         base += order2
-        rest -= rest * self.new[:n] >> 12
-        return _Guess(at, entry, ids, context, chance, agree, order2, base, rest)
-
-    def learn(self, guess: list[_Guess], n: int, ids: np.ndarray, new: np.ndarray) -> None:
-        """What came in a round (steps x lanes, as new), in the first n lanes. The last id of one context counts."""
-        if guess[0].at.ndim > 2:
-            part = lambda name: getattr(guess[0], name)[..., :n]
-        else:
-            part = lambda name: np.stack([getattr(g, name)[..., :n] for g in guess], axis=1)
-        at, entry = part("at"), part("entry")
-        counted = (ids & np.uint32(_COUNTS - 1)) + self.count_base[:n]
-        often = self.counts.take(counted)
-        often += often < 3
-        self.counts[counted] = often
-        sure, known = entry & np.uint32(7), entry >> np.uint32(5)
-        same = known == ids
-        fresh = ids << np.uint32(5) | often << np.uint32(3)
-        kept = np.where(sure > 1, entry - sure + (sure >> np.uint32(1)), fresh + np.uint32(1))
-        self.entries[at] = np.where(same, fresh + sure + (sure < 7), kept)
-        error = same * np.int32(_ONE) - part("chance")
-        error[1] *= ~(same[0] | (known[0] == known[1]))
+        self.base, self.order0 = base, rest  # the width of order 1's part with it, and of order 0's
+
+    def parts(self, same: np.ndarray, first: np.ndarray, last: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids' parts of the interval; order 0 has them at places first to last of `seen`."""
+        start, end = first * self.order0, last * self.order0
+        start //= seen
+        end //= seen
+        start += self.base
+        end += self.base
+        np.copyto(start, self.order2, where=same[1])
+        np.copyto(end, self.base, where=same[1])
+        np.copyto(start, 0, where=same[0])
+        np.copyto(end, self.order2, where=same[0])
+        end -= start
+        return start.astype(np.uint64), end.astype(np.uint64)
+
+    def learn(self, word: np.ndarray, same: np.ndarray) -> None:
+        """What came, and whether it is the id of order 2, or 1."""
+        entry = self.entry
+        sure = entry & np.uint16(7)
+        fresh = word + np.uint16(1)
+        less = entry - (sure + np.uint16(1) >> np.uint16(1))
+        np.copyto(less, fresh, where=sure < 2)
+        np.copyto(less, entry + (sure < 7), where=same)
+        self.entries[self.at] = less
+        error = same * np.int32(_ONE)
+        error -= self.chance
         error >>= 1
-        np.add.at(self.weights, part("weight_at").ravel(), error.repeat((2, 1), axis=0).ravel())
-        literal = (~(same[0] | same[1])).sum(axis=0, dtype=np.int32)
-        chance = self.new[:n]
-        chance += (new.sum(axis=0, dtype=np.int32) * np.int32(_MOST_NEW) - literal * chance) >> 6
-        np.maximum(chance, 32, out=chance)
+        error[1] *= ~(same[0] | self.agree)
+        weight = self.weight
+        weight[:2] += error[0]
+        weight[2] += error[1]
+        self.weights[self.context] = weight
+
+
 
 
 class _Encoder:
@@ -146,9 +164,9 @@ class _Encoder:
         self.start = np.arange(lanes) * room
         self.at = self.start.copy()
 
-    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray, shared: np.uint64 = _SHARED) -> None:
         low, span = self.low[:n], self.range[:n]
-        span >>= _SHARED
+        span >>= shared
         low += span * start
         span *= size
         if len(short := np.flatnonzero(span <= _LOW32)):
@@ -172,19 +190,19 @@ def _cut(low: np.ndarray, span: np.ndarray) -> np.ndarray:
 class _Decoder:
     def __init__(self, codes: list[bytes]):
         room = max(map(len, codes)) // 4 + 4
-        data = np.zeros((len(codes), room), np.uint64)
+        data = np.zeros((len(codes), room), np.uint32)
         for i, b in enumerate(codes):
             data[i, : len(b) // 4] = np.frombuffer(b, "<u4")
         self.low = np.zeros(len(codes), np.uint64)
         self.range = np.full(len(codes), 2**64 - 1, np.uint64)
-        self.value = data[:, 0] << _32 | data[:, 1]  # less low
+        self.value = data[:, 0].astype(np.uint64) << _32 | data[:, 1]  # less low
         self.data = data.ravel()
         self.at = np.arange(len(codes)) * room + 2
 
-    def target(self, n: int) -> np.ndarray:
+    def target(self, n: int, shared: np.uint64 = _SHARED) -> np.ndarray:
         span = self.range[:n]
-        span >>= _SHARED
-        return np.minimum(self.value[:n] // span, np.uint64((1 << _TOTAL) - 1)).astype(np.int32)
+        span >>= shared
+        return np.minimum(self.value[:n] // span, np.uint64((1 << int(shared)) - 1)).astype(np.int32)
 
     def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
         """After target(n)."""
@@ -201,173 +219,197 @@ class _Decoder:
             low[short], span[short] = l << _32, r << _32
 
 
-def _parts(guess: _Guess, seen: int, first: np.ndarray, last: np.ndarray, is2: np.ndarray, is1: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the ids' parts of the interval; order 0 has them at places first to last of `seen`."""
-    start, end = first * guess.order0, last.astype(np.int32) * guess.order0
-    start //= seen
-    end //= seen
-    start += guess.base
-    end += guess.base
-    for where, low, high in ((is2, 0, guess.order2), (is1, guess.order2, guess.base), (new, guess.base + guess.order0, 1 << _TOTAL)):
-        np.copyto(start, low, where=where)
-        np.copyto(end, high, where=where)
-    end -= start
-    return start.astype(np.uint64), end.astype(np.uint64)
-
-
-def _rounds(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Begin and end of the rounds of falling sizes, and how many lanes go on beyond each step, and beyond the last."""
-    longest = int(sizes[0])
-    going = np.searchsorted(-sizes, -np.arange(longest + 1), "left")
-    for a in range(0, longest, ROUND):
-        b = min(a + ROUND, longest)
-        yield a, b, going[a : b + 1]
-
-
-def _renewed(step: int) -> bool:
-    return step % RENEWAL == 0 or step < 8 * RENEWAL
-
-
 class _Order0:
-    """Counts of the ids of each lane as of the last renewal, lane by lane in one array. Id 0 came once before all others."""
-
-    def __init__(self, alphabets: list[np.ndarray]):
-        """alphabets: the ids of each lane in order, 0 first."""
-        self.begin = np.cumsum([0, *map(len, alphabets)])
-        self.ids = np.concatenate(alphabets).astype(np.uint32)
-        self.counts = np.zeros(len(self.ids), np.int32)
-        self.counts[self.begin[:-1]] = 1
-        self.seen = 1
-        self.keys = (np.repeat(np.arange(len(alphabets)), np.diff(self.begin)) << 16) + self.ids
-        self.lane_key = np.arange(len(alphabets)) << 16
-
-    def place(self, ids: np.ndarray) -> np.ndarray:
-        """Where the ids of the first lanes (steps x lanes) stand."""
-        return np.searchsorted(self.keys, ids + self.lane_key[: ids.shape[-1]])
-
-    def renew(self, lanes: int, places: np.ndarray, steps: int) -> None:
-        """Counts the ids at the places, of the first lanes, which have come in the steps since the last time."""
-        np.add.at(self.counts, places, 1)
-        self.seen += steps
+    """How often the ids of each lane are still to come as of the last renewal, lane by lane in one array."""
+
+    def __init__(self, many: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        """many: distinct ids of each lane; ids, counts: of all lanes, one after another."""
+        self.begin = np.r_[0, np.cumsum(many)]
+        self.ids, self.many = ids, many
+        self.counts = counts.astype(np.int32)
+        rank = np.arange(len(ids)) - np.repeat(self.begin[:-1], many)
+        often = (counts > 1).astype(np.int64) + (counts > 3) + (counts > 15)
+        self.words = (rank << 5 | often << 3).astype(np.uint16)
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Where the ids of the first lanes stand."""
+        return (words >> np.uint16(5)) + self.begin[: words.shape[-1]]
+
+    def renew(self, lanes: int, came: np.ndarray) -> None:
+        """Takes off what came, as places; then `spans` are the first places of ids in the rest of their lanes, and their numbers, 12 bits each."""
+        np.subtract.at(self.counts, came, np.int32(1))
         known = self.counts[: self.begin[lanes]]
-        end = np.cumsum(known)
-        self.end = (end - np.repeat(np.arange(lanes) * self.seen, np.diff(self.begin[: lanes + 1]))).astype(np.int32)
-        self.start = self.end - known
-
-    def spread(self, lanes: int) -> np.ndarray:
-        """The place of each of the ids seen, in order: `seen` for each lane."""
-        return np.repeat(np.arange(self.begin[lanes], dtype=np.int32), self.counts[: self.begin[lanes]])
-
-
-def _encode_new(lists: list[np.ndarray]) -> list[bytes]:
-    order = sorted(range(len(lists)), key=lambda i: -len(lists[i]))
-    sizes = np.array([len(lists[i]) for i in order])
-    steps = np.zeros((int(sizes[0]), len(lists)), np.int64)
-    for lane, i in enumerate(order):
-        steps[: sizes[lane], lane] = lists[i]
-    coder = _Encoder(len(lists), len(steps) + 4)
-    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(len(steps)), "left")):
-        coder.narrow(n, _NEW_START[steps[t, :n]], _NEW_SIZE[steps[t, :n]])
-    out = [b""] * len(lists)
-    for i, size, words in zip(order, sizes, coder.finish()):
-        out[i] = words if size else b""
-    return out
-
-
-def _decode_new(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(codes)), key=lambda i: -sizes[i])
-    many = np.array([sizes[i] for i in order])
-    steps = np.zeros((int(many[0]), len(codes)), np.uint32)
-    coder = _Decoder([codes[i] for i in order])
-    for t, n in enumerate(np.searchsorted(-many, -np.arange(len(steps)), "left")):
-        x = np.minimum(np.searchsorted(_NEW_START, coder.target(n).astype(np.uint64), "right") - 1, 65535)
-        coder.narrow(n, _NEW_START[x], _NEW_SIZE[x])
-        steps[t, :n] = x
-    out = [np.zeros(0, np.uint32)] * len(codes)
-    for lane, i in enumerate(order):
-        out[i] = steps[: many[lane], lane]
-    return out
+        start = np.cumsum(known, dtype=np.int32)
+        start -= known
+        start -= np.repeat(start[self.begin[:lanes]], self.many[:lanes])
+        start <<= 12
+        start |= known
+        self.spans = start
+
+    def spread(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words to come, in order, of the first lanes one after another, and where each lane begins."""
+        words = np.repeat(self.words[: self.begin[lanes]], self.counts[: self.begin[lanes]])
+        ends = np.cumsum(np.add.reduceat(self.counts[: self.begin[lanes]], self.begin[:lanes]))
+        return words, np.r_[0, ends[:-1]]
+
+
+def _renewals(longest: int) -> list[tuple[int, int, int]]:
+    """Steps from one renewal to the next, from the longest block's first on, and how many are to come in a whole block at that renewal.
+
+    They depend on what is to come alone, so that a block's code is the same beside any others.
+    """
+    left, cuts = BLOCK, [0]
+    while left > 8:
+        left = left * 3 // 4 if left > 128 else left // 2
+        cuts.append(BLOCK - left)
+    return [(max(a, BLOCK - longest), b, BLOCK - a) for a, b in zip(cuts, [*cuts[1:], BLOCK]) if b > BLOCK - longest]
+
+
+def _begun(sizes: np.ndarray) -> np.ndarray:
+    """How many lanes, of falling sizes, have begun at each step of BLOCK."""
+    return np.searchsorted(-sizes, np.arange(-BLOCK, 0), "right")
+
+
+def _going(many: np.ndarray) -> np.ndarray:
+    """How many lanes, of falling numbers, go on at each step."""
+    return np.searchsorted(-many, -np.arange(int(many[0])), "left")
+
+
+def _encode_alphabets(many: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Distinct ids of lanes, one lane after another, and how often each stands there."""
+    order = np.argsort(-many, kind="stable")
+    lane = np.empty_like(order)
+    lane[order] = np.arange(len(order))
+    begin = np.cumsum(many) - many
+    gap = np.diff(ids.astype(np.int64), prepend=-1)
+    gap[begin] = ids[begin].astype(np.int64) + 1
+    gaps, often = (np.ones((int(many.max()), len(many)), np.int64) for _ in range(2))
+    at = np.arange(len(ids)) - np.repeat(begin, many), np.repeat(lane, many)
+    gaps[at], often[at] = gap, counts
+    coder, mean = _Encoder(len(many), 3 * len(gaps) + 4), np.full(len(many), 64)
+    for g, c, n in zip(gaps, often, _going(many[order])):
+        g, c, q = g[:n], c[:n], np.searchsorted(_MEANS, mean[:n], "right")
+        bits = np.frexp(g)[1] - 1
+        start = _GAP[q, bits]
+        coder.narrow(n, start.astype(np.uint64), (_GAP[q, bits + 1] - start).astype(np.uint64))
+        coder.narrow(n, (g - (1 << bits)).astype(np.uint64), np.uint64(1), bits.astype(np.uint64))
+        coder.narrow(n, _NUMBER[c - 1].astype(np.uint64), (_NUMBER[c] - _NUMBER[c - 1]).astype(np.uint64))
+        mean[:n] += (g << 4) - mean[:n] >> 3
+    words = coder.finish()
+    return [words[i] for i in lane]
+
+
+def _decode_alphabets(codes: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(-many, kind="stable")
+    gaps, often = (np.ones((int(many.max()), len(many)), np.int64) for _ in range(2))
+    coder, mean = _Decoder([codes[i] for i in order]), np.full(len(many), 64)
+    for t, n in enumerate(_going(many[order])):
+        q, v = np.searchsorted(_MEANS, mean[:n], "right"), coder.target(n)
+        bits = _GAP_AT[q, v >> _GAP_STEP]
+        start = _GAP[q, bits]
+        coder.narrow(n, start.astype(np.uint64), (_GAP[q, bits + 1] - start).astype(np.uint64))
+        span = coder.range[:n]
+        span >>= bits.astype(np.uint64)
+        low = np.minimum(coder.value[:n] // span, ((1 << bits) - 1).astype(np.uint64))
+        coder.narrow(n, low, np.uint64(1))
+        gaps[t, :n] = g = low.astype(np.int64) + (1 << bits)
+        often[t, :n] = c = np.minimum(np.searchsorted(_NUMBER, coder.target(n), "right"), BLOCK)
+        coder.narrow(n, _NUMBER[c - 1].astype(np.uint64), (_NUMBER[c] - _NUMBER[c - 1]).astype(np.uint64))
+        mean[:n] += (g << 4) - mean[:n] >> 3
+    lane = np.empty_like(order)
+    lane[order] = np.arange(len(order))
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many), np.repeat(lane, many)
+    return (np.cumsum(gaps, axis=0) - 1)[at], often[at]
 
 
 def _encode(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
-    lanes, longest = len(blocks), int(sizes[0])
-    steps = np.zeros((longest + 2, lanes), np.uint32)
-    places = np.zeros((longest, lanes), np.int64)
-    alphabets, first = [], 0
-    for lane, b in enumerate(blocks):
-        steps[2 : len(b) + 2, lane] = b
-        ids, place = np.unique(np.r_[0, b], return_inverse=True)
-        places[: len(b), lane] = first + place[1:]
+    lanes = len(blocks)
+    rank_of = np.zeros(1 << 16, np.uint16)
+    ranks, alphabets, numbers = [], [], []
+    for b in blocks:
+        rank_of[b] = own = np.arange(len(b), dtype=np.uint16)
+        ids = np.sort(b[rank_of[b] == own])
+        rank_of[ids] = own[: len(ids)]
+        ranks.append(rank := rank_of[b])
         alphabets.append(ids)
-        first += len(ids)
-    fresh = np.zeros((longest, lanes), bool)
-    model, coder, order0, counted = _Model(lanes), _Encoder(lanes, longest + 4), _Order0(alphabets), 0
-    for a, b, going in _rounds(sizes):
-        n = going[0]
-        if _renewed(a):
-            order0.renew(n, places[counted:a, :n].ravel(), a - counted)
-            counted = a
-        x, place = steps[a + 2 : b + 2, :n], places[a:b, :n]
-        ended = np.arange(a, b)[:, None] >= sizes[:n]
-        guess = model.predict(steps[a + 1 : b + 1, :n], steps[a:b, :n])
-        is2 = x == guess.ids[0]
-        is1 = (x == guess.ids[1]) & ~is2
-        at, to = order0.start.take(place), order0.end.take(place)
-        new = ~(is2 | is1 | ended) & (at == to)
-        start, size = _parts(guess, order0.seen, at, to, is2, is1, new)
-        for i in range(b - a):
-            coder.narrow(going[i], start[i, : going[i]], size[i, : going[i]])
-        fresh[a:b, :n] = new
-        if (n := going[-1]) and b < longest:
-            model.learn([guess], n, x[:, :n], new[:, :n])
-    lists = [steps[2:, lane][fresh[:, lane]] for lane in range(lanes)]
-    return [len(k).to_bytes(2, "little") + (len(w) // 4).to_bytes(2, "little") + w + words for k, w, words in zip(lists, _encode_new(lists), coder.finish())]
+        numbers.append(np.bincount(rank))
+    many = np.array([len(x) for x in alphabets])
+    order0 = _Order0(many, np.concatenate(alphabets), np.concatenate(numbers))
+    steps = np.zeros((lanes, BLOCK + 2), np.uint16)
+    for row, rank, a in zip(steps, ranks, order0.begin):
+        order0.words[a:].take(rank, out=row[BLOCK + 2 - len(rank) :], mode="clip")
+    steps = np.ascontiguousarray(steps.T)
+    model, coder, begun = _Model(lanes), _Encoder(lanes, int(sizes[0]) + 4), _begun(sizes)
+    came = np.zeros(0, np.int64)
+    for a, b, seen in _renewals(int(sizes[0])):
+        order0.renew(begun[b - 1], came)
+        came = []
+        for t in range(a, b):
+            n = begun[t]
+            word = steps[t + 2, :n]
+            model.predict(steps[t + 1, :n], steps[t, :n])
+            same = model.ids == (word & np.uint16(0xFFF8))
+            same[1] &= ~model.agree
+            place = order0.place(word)
+            span = order0.spans.take(place)
+            first = span >> 12
+            span &= 4095
+            span += first
+            coder.narrow(n, *model.parts(same, first, span, seen))
+            same[1] = model.ids[1] == word
+            model.learn(word, same)
+            came.append(place)
+        came = np.concatenate(came)
+    heads = _encode_alphabets(many, order0.ids, np.concatenate(numbers))
+    return [int(k).to_bytes(2, "little") + (len(w) // 4).to_bytes(2, "little") + w + words for k, w, words in zip(many, heads, coder.finish())]
 
 
 def _decode(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
-    lanes, longest = len(codes), int(sizes[0])
-    many = [int.from_bytes(c[:2], "little") for c in codes]
+    lanes = len(codes)
+    many = np.array([int.from_bytes(c[:2], "little") for c in codes])
     ends = [4 + 4 * int.from_bytes(c[2:4], "little") for c in codes]
-    lists = _decode_new([c[4:e] for c, e in zip(codes, ends)], many)
-    next_new = np.cumsum([0, *many])[:-1]
-    fresh = np.r_[np.concatenate(lists), np.uint32(0)]
-    coder, order0 = _Decoder([c[e:] for c, e in zip(codes, ends)]), _Order0([np.unique(np.r_[np.uint32(0), x]) for x in lists])
-    steps = np.zeros((longest + 2, lanes), np.uint32)
-    was_new = np.zeros((ROUND, lanes), bool)
-    model, counted = _Model(lanes), 0
-    for a, b, going in _rounds(sizes):
-        if _renewed(a):
-            n = going[0]
-            order0.renew(n, order0.place(steps[counted + 2 : a + 2, :n]).ravel(), a - counted)
-            counted, seen, ordered, row = a, order0.seen, order0.spread(n), np.arange(n) * order0.seen
-        guesses = []
-        for i, n in enumerate(going[:-1]):
-            guess = model.predict(steps[a + i + 1, :n], steps[a + i, :n])
+    ids, counts = _decode_alphabets([c[4:e] for c, e in zip(codes, ends)], many)
+    order0 = _Order0(many, ids, counts)
+    if (np.add.reduceat(counts, order0.begin[:-1]) != sizes).any():
+        raise ValueError("a block's numbers of ids are wrong")
+    coder = _Decoder([c[e:] for c, e in zip(codes, ends)])
+    steps = np.zeros((BLOCK + 2, lanes), np.uint16)
+    model, begun = _Model(lanes), _begun(sizes)
+    came = np.zeros(0, np.int64)
+    for a, b, seen in _renewals(int(sizes[0])):
+        order0.renew(begun[b - 1], came)
+        spread, row = order0.spread(begun[b - 1])
+        came = []
+        for t in range(a, b):
+            n = begun[t]
+            model.predict(steps[t + 1, :n], steps[t, :n])
             v = coder.target(n)
-            is2 = v < guess.order2
-            is1 = (v < guess.base) & ~is2
-            v -= guess.base
-            new = v >= guess.order0
+            is2 = v < model.order2
+            is1 = v < model.base
+            is1 ^= is2
+            v -= model.base
             v += 1
             v *= seen
             v -= 1
-            place = np.minimum((v / guess.order0).astype(np.int64), seen - 1)
-            np.maximum(place, 0, out=place)
-            place = ordered.take(place + row[:n])
-            x = np.where(is2, guess.ids[0], np.where(is1, guess.ids[1], order0.ids.take(place)))
-            if len(who := np.flatnonzero(new)):
-                at = next_new[who]
-                x[who] = fresh[at]
-                next_new[who] = at + 1
-            start, size = _parts(guess, seen, order0.start.take(place), order0.end.take(place), is2, is1, new)
-            coder.narrow(n, start, size)
-            steps[a + i + 2, :n] = x
-            was_new[i, :n] = new
-            guesses.append(guess)
-        if (n := going[-1]) and b < longest:
-            model.learn(guesses, n, steps[a + 2 : b + 2, :n], was_new[: b - a, :n])
+            slot = (v / model.order0).astype(np.int64)
+            np.clip(slot, 0, seen - 1, out=slot)
+            slot += row[:n]
+            word = spread.take(slot, mode="clip")
+            np.copyto(word, model.ids[1], where=is1)
+            np.copyto(word, model.ids[0], where=is2)
+            steps[t + 2, :n] = word
+            place = order0.place(word)
+            span = order0.spans.take(place, mode="clip")
+            first = span >> 12
+            span &= 4095
+            span += first
+            coder.narrow(n, *model.parts((is2, is1), first, span, seen))
+            same = np.stack([is2, model.ids[1] == word])
+            model.learn(word, same)
+            came.append(place)
+        came = np.concatenate(came)
     back = np.ascontiguousarray(steps[2:].T)
-    return [back[lane, :size] for lane, size in enumerate(sizes)]
+    return [ids[order0.begin[lane] : order0.begin[lane + 1]].take(back[lane, BLOCK - size :] >> np.uint16(5)).astype(np.uint32) for lane, size in enumerate(sizes)]
 
 
 def _in_lanes(sizes: list[int]) -> list[list[int]]:

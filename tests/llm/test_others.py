@@ -139,6 +139,14 @@ def test_range_coder_round_trip():
             range_coder.encode_blocks([np.array([3, odd])])
 
 
+def test_range_coder_codes_blocks_alike_beside_any_others():
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, k, n) for n in (1, 2, 5, 9, 100, 300, 1000, range_coder.BLOCK) for k in (3, 65536)]
+    codes = range_coder.encode_blocks(blocks)
+    assert [range_coder.encode_blocks([b])[0] for b in blocks] == codes
+    assert all((range_coder.decode_blocks([c], [len(b)])[0] == b).all() for b, c in zip(blocks, codes))
+
+
 def test_range_coder_learns_real_documents():
     """At most 8.45 bits an id; zlib on 16-bit ids takes 10.49 here, block by block."""
     import pyarrow.parquet as pq
@@ -155,6 +163,29 @@ def test_range_coder_learns_real_documents():
     assert all((a == b).all() for a, b in zip(blocks, range_coder.decode_blocks(codes, [len(b) for b in blocks])))
 
 
+def test_range_coder_takes_few_steps_and_bits():
+    """4.2 million ids of sf0.1. The coder that renewed order 0 every 8 ids took 8.146 bits an id, and about 4 times this one's time."""
+    import time
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    from lexspark.llm.tokens import ended_ids, library_table, vocabulary_path
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    blocks = ended_ids(library_table(vocabulary_path("byte_bpe_50k.json")), texts[: len(texts) // 2], 2)[0][: 2048 * range_coder.BLOCK].reshape(-1, range_coder.BLOCK)
+    start = time.process_time()
+    for b in blocks:
+        zlib.compress(b.astype("<u2").tobytes(), 9)
+    unit, start = time.process_time() - start, time.process_time()
+    codes = range_coder.encode_blocks(list(blocks))
+    back = range_coder.decode_blocks(codes, [range_coder.BLOCK] * len(blocks))
+    took = time.process_time() - start
+    assert (np.stack(back) == blocks).all()
+    assert 8 * sum(map(len, codes)) / blocks.size < 8.13
+    assert took < 14 * unit, (took, unit)
+
+
 PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, language string, kept_doc string, doc_of_places long, `q``d` string"
 
 
