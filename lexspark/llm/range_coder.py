@@ -28,7 +28,7 @@ import numpy as np
 
 BLOCK = 2048
 #: Blocks that advance together; about 30 kB of model and work space each.
-LANES = 4096
+LANES = 6144
 _PLACE_BITS = 11
 _PLACES = 1 << _PLACE_BITS  # of an order-1 or order-2 context, in each lane
 _CONTEXTS = 128  # of weights, in each lane: 32 of order 2, 64 and 32 of order 1
