@@ -304,3 +304,12 @@ def test_calls_against_a_loop(spark, parts, budget):
     assert {r["call"]: r["asked"] for r in prompts} == {c: k for c in {v[2] for v in want.values()} if (k := sum(v[2] == c and v[3] is not None for v in want.values()))}
     assert all(r["prompt"].count("\n") + 1 == r["asked"] and r["prompt"].startswith("SVO-001: ") for r in prompts)
     assert statements.prompt_batches(svo.limit(0)).count() == 0
+
+
+def _long_title(words: int = 20_000) -> str:
+    return "§ 5 " + " ".join(["wort"] * words)
+
+
+def test_reference_of_a_long_line(spark):
+    got = spark.createDataFrame([(1, _long_title()), (2, "§ 7a\nTitel dazu"), (3, "§ 8, dann")], "id long, text string").select("id", T.norm_reference(F.col("text")).alias("r")).collect()
+    assert {r["id"]: r["r"] for r in got} == {1: _long_title(), 2: "§ 7a Titel dazu", 3: "§ 8"}
