@@ -313,3 +313,8 @@ def _long_title(words: int = 20_000) -> str:
 def test_reference_of_a_long_line(spark):
     got = spark.createDataFrame([(1, _long_title()), (2, "§ 7a\nTitel dazu"), (3, "§ 8, dann")], "id long, text string").select("id", T.norm_reference(F.col("text")).alias("r")).collect()
     assert {r["id"]: r["r"] for r in got} == {1: _long_title(), 2: "§ 7a Titel dazu", 3: "§ 8"}
+
+
+def test_paragraph_chunks_of_a_long_title(spark):
+    rows = {r["n"]: r for r in chunking.class_a(spark.createDataFrame([(1, _long_title())], "doc_id long, text string")).collect()}
+    assert rows["0"]["norm_reference"] == _long_title() and rows["0"]["token_count"] == len(_long_title()) // 4 and "1.1" in rows
