@@ -318,3 +318,9 @@ def test_reference_of_a_long_line(spark):
 def test_paragraph_chunks_of_a_long_title(spark):
     rows = {r["n"]: r for r in chunking.class_a(spark.createDataFrame([(1, _long_title())], "doc_id long, text string")).collect()}
     assert rows["0"]["norm_reference"] == _long_title() and rows["0"]["token_count"] == len(_long_title()) // 4 and "1.1" in rows
+
+
+def test_routed_document_with_a_long_title(spark):
+    text = "\n".join(["§ 1 Anfang", _long_title(), "§ 6 Ende"])
+    rows = chunking.routed(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert {r["doc_class"] for r in rows} == {"A"} and [len(r["content"]) for r in rows if r["place"] == "1/0"] == [4096]
