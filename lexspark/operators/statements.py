@@ -110,9 +110,14 @@ def annotations(entities: Column, definition: Column, attributes: Column, persis
 
 
 def merged_labels(svo: DataFrame, answers: DataFrame) -> DataFrame:
-    """Model answers (svo_id, norm_type, level) replace UNKNOWN where they are sure enough; levels hoch .9, mittel .7, niedrig .5."""
+    """Model answers (svo_id, norm_type, level) replace UNKNOWN where they are sure enough; levels hoch .9, mittel .7, niedrig .5.
+
+    Of several answers to one id the surest counts, so that every statement stays one row, also where ids repeat.
+    """
     sure = F.when(F.col("level") == "hoch", 0.9).when(F.col("level") == "mittel", 0.7).when(F.col("level") == "niedrig", 0.5).otherwise(0.0)
-    valid = answers.select("svo_id", F.when(sure >= 0.75, F.col("norm_type")).otherwise("UNKNOWN").alias("answer"), sure.alias("answer_confidence"))
+    answer = F.when(sure >= 0.75, F.col("norm_type")).otherwise("UNKNOWN")
+    best = answers.groupBy("svo_id").agg(F.max(F.struct(sure.alias("confidence"), answer.alias("answer"))).alias("best"))
+    valid = best.select("svo_id", "best.answer", F.col("best.confidence").alias("answer_confidence"))
     joined = svo.join(valid, "svo_id", "left")
     use = (F.col("norm_type") == "UNKNOWN") & F.col("answer").isNotNull() & (F.col("answer") != "UNKNOWN")
     return joined.withColumn("norm_confidence", F.when(use, F.col("answer_confidence")).otherwise(F.col("norm_confidence"))).withColumn("norm_type", F.when(use, F.col("answer")).otherwise(F.col("norm_type"))).drop("answer", "answer_confidence")

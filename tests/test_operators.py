@@ -324,3 +324,9 @@ def test_routed_document_with_a_long_title(spark):
     text = "\n".join(["§ 1 Anfang", _long_title(), "§ 6 Ende"])
     rows = chunking.routed(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert {r["doc_class"] for r in rows} == {"A"} and [len(r["content"]) for r in rows if r["place"] == "1/0"] == [4096]
+
+
+def test_merged_labels_of_repeated_ids(spark):
+    svo = spark.createDataFrame([(1, "UNKNOWN", 0.3), (1, "UNKNOWN", 0.3), (2, "MAY", 0.85)], "svo_id long, norm_type string, norm_confidence double")
+    answers = spark.createDataFrame([(1, "MUST", "hoch"), (1, "MUST", "hoch"), (1, "MAY", "mittel"), (2, "MUST", "hoch")], "svo_id long, norm_type string, level string")
+    assert sorted(tuple(r) for r in statements.merged_labels(svo, answers).select("svo_id", "norm_type", "norm_confidence").collect()) == [(1, "MUST", 0.9), (1, "MUST", 0.9), (2, "MAY", 0.85)]
