@@ -73,13 +73,20 @@ def vector_search(queries: DataFrame, chunks: DataFrame, thresholds: dict[str, f
 
 
 def direct_lookup(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFrame:
-    """Chunks whose reference is or starts with the query's (1.0); where there are none, those with its number (0.9)."""
-    asked = queries.select("query_id", "reference", F.regexp_extract("reference", r"(\d+)", 1).alias("number"))
-    keyed = chunks.where("norm_reference is not null").select("chunk_id", "hierarchy_level", "norm_reference", F.regexp_extract("norm_reference", r"(\d+)", 1).alias("number"))
+    """Chunks whose reference is or starts with the query's (1.0); where there are none, those with its number (0.9).
+
+    Queries of one reference are answered once, and of the chunks of one reference only the k first can be among the k first
+    of a query: what is joined are distinct references.
+    """
+    first = Window.partitionBy("norm_reference").orderBy("hierarchy_level", "chunk_id")
+    few = chunks.where("norm_reference is not null").select("chunk_id", "hierarchy_level", "norm_reference").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
+    keyed = few.withColumn("number", F.regexp_extract("norm_reference", r"(\d+)", 1))
+    asked = queries.select("reference").distinct().withColumn("number", F.regexp_extract("reference", r"(\d+)", 1))
     same = keyed.join(asked, "number").withColumn("exact", F.ilike("norm_reference", F.concat("reference", F.lit("%"))))
-    rows = same.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query_id"))).where("exact or not any_exact").withColumn("score", F.when(F.col("exact"), 1.0).otherwise(0.9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hierarchy_level", "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    rows = same.withColumn("any_exact", F.max("exact").over(Window.partitionBy("reference"))).where("exact or not any_exact").withColumn("score", F.when(F.col("exact"), 1.0).otherwise(0.9))
+    order = Window.partitionBy("reference").orderBy(F.desc("score"), "hierarchy_level", "chunk_id")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("reference", "chunk_id", "score", "rank")
+    return queries.select("query_id", "reference").join(best, "reference").select("query_id", "chunk_id", "score", "rank")
 
 
 def fuse(*ranked: DataFrame, k: int = R.RRF_K) -> DataFrame:

@@ -117,3 +117,13 @@ def test_direct_lookup(spark):
     asked = spark.createDataFrame([(1, "§ 5"), (2, "§ 7"), (3, "§ 9"), (4, "§ 5 Abs. 1"), (5, None)], "query_id long, reference string")
     got = sorted((r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in retrieval.direct_lookup(asked, chunks).collect())
     assert got == [(1, 1, 1.0, 1), (1, 2, 1.0, 2), (2, 3, 0.9, 1), (4, 2, 1.0, 1)]
+
+
+def test_direct_lookup_joins_references_and_not_queries(spark):
+    chunks = spark.range(4000).selectExpr("id AS chunk_id", "id % 2 AS hierarchy_level", "CASE WHEN id % 4 = 0 THEN '§ 5' WHEN id % 4 = 1 THEN '§ 5 Abs. 2' ELSE '§ 50' END AS norm_reference").repartition(3)
+    asked = spark.range(2000).selectExpr("id AS query_id", "CASE WHEN id % 2 = 0 THEN '§ 5' ELSE 'Art. 5' END AS reference")
+    found = retrieval.direct_lookup(asked, chunks, 3)
+    got = found.collect()
+    assert {(r["query_id"] % 2, r["chunk_id"], r["score"], r["rank"]) for r in got} == {(0, 0, 1.0, 1), (0, 4, 1.0, 2), (0, 8, 1.0, 3), (1, 0, 0.9, 1), (1, 4, 0.9, 2), (1, 8, 0.9, 3)} and len(got) == 6000
+    sizes = retrieval.direct_lookup(asked, chunks, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [reference" in sizes
