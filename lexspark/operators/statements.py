@@ -13,12 +13,17 @@ def confidence(subject: Column, predicate: Column, obj: Column, norm: Column) ->
     return F.round(0.35 * have(subject) + 0.30 * have(predicate) + 0.25 * have(obj) + 0.10 * norm, 3)
 
 
+def found_once(df: DataFrame, name: str) -> DataFrame:
+    """The frame with a column that comes out of a generator, below which no filter is pushed: what it is made of is computed once for each row."""
+    return df.withColumn(name, F.explode(F.array(name)))
+
+
 def filtered(svo: DataFrame) -> DataFrame:
     """The statement filters in their order: least confidence, subjects and objects nulled, pronouns, predicates."""
     subject, obj = F.col("subject"), F.col("object")
     no_subject = F.lower(subject).isin(R.STOP_SUBJECTS) | (F.length(subject) < 3) | subject.rlike(r"^(S\.|Abs\.|Nr\.)\s*\d+$") | subject.rlike(r"^\d+$")
     no_object = F.lower(obj).isin([x.lower() for x in R.STOP_OBJECTS]) | (F.length(obj) < 3) | obj.rlike(r"^\d{1,4}$")
-    kept = svo.where(F.col("confidence") >= R.MIN_CONFIDENCE)
+    kept = found_once(svo, "confidence").where(F.col("confidence") >= R.MIN_CONFIDENCE)
     nulled = kept.withColumn("subject", F.when(~no_subject, subject)).withColumn("object", F.when(~no_object, obj))
     pronoun = F.coalesce(F.lower("subject").isin(R.PRONOUNS), F.lit(False))
     fined = nulled.withColumn("subject_type", F.when(pronoun, "PRONOMEN").otherwise(F.col("subject_type"))).withColumn(

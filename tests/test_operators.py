@@ -12,6 +12,8 @@ from lexspark.functions import abbreviations as A
 from lexspark.functions import rules as R
 from lexspark.functions import text as T
 from lexspark.operators import chunking, extraction, retrieval, statements, trees
+from lexspark.plans import catalog
+from lexspark.plans.adapters import Views
 from lexspark.sources import files, sinks
 from lexspark.streaming import landing
 
@@ -330,3 +332,19 @@ def test_merged_labels_of_repeated_ids(spark):
     svo = spark.createDataFrame([(1, "UNKNOWN", 0.3), (1, "UNKNOWN", 0.3), (2, "MAY", 0.85)], "svo_id long, norm_type string, norm_confidence double")
     answers = spark.createDataFrame([(1, "MUST", "hoch"), (1, "MUST", "hoch"), (1, "MAY", "mittel"), (2, "MUST", "hoch")], "svo_id long, norm_type string, level string")
     assert sorted(tuple(r) for r in statements.merged_labels(svo, answers).select("svo_id", "norm_type", "norm_confidence").collect()) == [(1, "MUST", 0.9), (1, "MUST", 0.9), (2, "MAY", 0.85)]
+
+
+def test_filters_on_confidence_stay_above_its_patterns(spark):
+    """A filter below would compute the patterns once more for each test of its column."""
+    svo = Views(spark, "/root/testdata/sf0.001").svo
+    for df in (statements.filtered(svo).select("svo_id", "confidence"), catalog.QUERIES["fil_08_confident"](spark, "/root/testdata/sf0.001")):
+        filters = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert any("confidence" in line for line in filters) and not any("RLIKE" in line and "verpflichtet" in line for line in filters)
+
+
+@pytest.mark.parametrize("text, want", [("Er geht (heim).", "(heim"), ("a-b c-d ...!", "c-d"), ("...", None), ("wort", "wort"), ("eins\nzwei2 -\n", "zwei2"), ("§ 5 x" + "-" * 30_000 + "y" + " !" * 30_000, "x" + "-" * 30_000 + "y")])
+def test_object_is_the_last_word(spark, text, want):
+    docs = spark.createDataFrame([(0, text)], "doc_id long, line string")
+    views = Views(spark, "")
+    views.__dict__["sentences"] = docs.select(F.lit(0).cast("long").alias("chunk_id"), "doc_id", F.lit(0).cast("long").alias("pos"), F.lit("A").alias("doc_class"), F.lit("§ 1").alias("norm_reference"), F.lit(0).cast("long").alias("i"), F.col("line").alias("sentence"))
+    assert views.svo.first()["object"] == want
