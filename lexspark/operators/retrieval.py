@@ -15,6 +15,8 @@ from lexspark.sources.shared import written
 
 #: Bytes of query vectors, and of their best scores, that a task holds: the queries of a block.
 BLOCK_BYTES = 64 << 20
+#: Queries, and chunks, whose scores a task holds at a time.
+TILE = 1024
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -23,24 +25,40 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best_of_task(names: np.ndarray, queries: np.ndarray, classes: list[str], least: np.ndarray, k: int):
-    """Over batches of (chunk_id, doc_class, v), the k best chunks of each query and class, in a matrix of k columns."""
+    """Over batches of (chunk_id, doc_class, v), the k best chunks of each query and class. Scores are made in squares of TILE queries and chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = queries.shape[1]
         best = np.full((len(classes), len(names), k), -np.inf)
         found = np.zeros(best.shape, np.int64)
+
+        def merge(c: int, at: int, score: np.ndarray, ids: np.ndarray) -> None:
+            """Takes in what is as good as the kth best of a query so far."""
+            mine, held = best[c, at : at + TILE], found[c, at : at + TILE]
+            q, j = np.nonzero(score >= np.maximum(mine[:, -1], least[c])[:, None])
+            if not len(q):
+                return
+            some = np.unique(q)
+            row = np.concatenate([np.repeat(some, k), q])
+            every, id_of = np.concatenate([mine[some].ravel(), score[q, j]]), np.concatenate([held[some].ravel(), ids[j]])
+            order = np.lexsort((id_of, -every, row))
+            row = row[order]
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            top = order[begin[:, None] + np.arange(k)]
+            mine[some], held[some] = every[top], id_of[top]
+
         for batch in batches:
             ids, kinds = batch.column(0).to_numpy(), np.array([classes.index(c) for c in batch.column(1).to_pylist()], int)
-            score = np.round(queries @ _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)).T, 6)
+            vectors = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             for c in np.unique(kinds):
-                own = np.where(score[:, kinds == c] >= least[c], score[:, kinds == c], -np.inf)
-                some = np.flatnonzero(own.max(axis=1) >= best[c, :, -1])
-                every = np.hstack([best[c][some], own[some]])
-                id_of = np.hstack([found[c][some], np.broadcast_to(ids[kinds == c], own[some].shape)])
-                top = np.lexsort((id_of, -every), axis=1)[:, :k]
-                best[c][some], found[c][some] = np.take_along_axis(every, top, 1), np.take_along_axis(id_of, top, 1)
-        c, q, _ = some = np.nonzero(best > -np.inf)
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(names[q]), "chunk_id": pa.array(found[some]), "doc_class": pa.array(np.array(classes, object)[c], pa.string()), "score": pa.array(best[some])})
+                own = np.flatnonzero(kinds == c)
+                for part in (own[i : i + TILE] for i in range(0, len(own), TILE)):
+                    for at in range(0, len(names), TILE):
+                        merge(c, at, np.round(queries[at : at + TILE] @ vectors[part].T, 6), ids[part])
+        for c, name in enumerate(classes):
+            for at in range(0, len(names), TILE):
+                q, _ = some = np.nonzero(best[c, at : at + TILE] > -np.inf)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(names[at : at + TILE][q]), "chunk_id": pa.array(found[c, at : at + TILE][some]), "doc_class": pa.array([name] * len(q), pa.string()), "score": pa.array(best[c, at : at + TILE][some])})
 
     return run
 
@@ -49,17 +67,19 @@ def vector_search(queries: DataFrame, chunks: DataFrame, thresholds: dict[str, f
     """query_id, chunk_id, doc_class, score, rank: the k most similar chunks per query and class at or above its threshold.
 
     Inputs: query_id, q; chunk_id, doc_class, v. Query vectors go in blocks of about block_bytes, with their best scores,
-    to tasks that hold each Arrow batch of chunks as a matrix; a task hands on k rows per query and class at most, so
-    chunks are not shuffled. Vectors of the queries' most frequent length are compared; null vectors and classes without
+    to tasks that hold each Arrow batch of chunks as a matrix, and a tile of scores; a task hands on k rows per query and
+    class at most, so chunks are not shuffled. Queries of one vector are answered once. Vectors of the queries' most frequent length are compared; null vectors and classes without
     a threshold take no part.
     """
     classes, schema = sorted(thresholds), "query_id long, chunk_id long, doc_class string, score double"
-    asked = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), F.transform("q", lambda x: x.cast("double")).alias("q"))
-    sizes = asked.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    every = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), F.transform("q", lambda x: x.cast("double")).alias("q"))
+    asked = every.groupBy("q").agg(F.min("query_id").alias("query_id")).select("query_id", "q")
+    sizes = every.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if not sizes or not sizes["d"]:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    d, many = sizes
-    asked, blocks = asked.where(F.size("q") == d), -(-many * (d + 2 * k * len(classes)) * 8 // block_bytes)
+    d = sizes["d"]
+    asked = written(asked.where(F.size("q") == d), "query-vectors")
+    blocks = -(-asked.count() * (d + 2 * k * len(classes)) * 8 // block_bytes)
     vectors = chunks.where(F.col("doc_class").isin(classes) & (F.size("v") == d)).select(F.col("chunk_id").cast("long"), "doc_class", F.transform("v", lambda x: x.cast("double")).alias("v"))
     out = None
     for block in range(blocks):
@@ -69,7 +89,9 @@ def vector_search(queries: DataFrame, chunks: DataFrame, thresholds: dict[str, f
             scored = vectors.mapInArrow(run, schema)
             out = scored if out is None else out.unionByName(scored)
     order = Window.partitionBy("query_id", "doc_class").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    same = every.join(asked.withColumnRenamed("query_id", "first"), "q").select("query_id", "first")
+    return best.withColumnRenamed("query_id", "first").join(same, "first").select("query_id", "chunk_id", "doc_class", "score", "rank")
 
 
 def direct_lookup(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFrame:

@@ -1,9 +1,11 @@
 """Full text and vector search against slow versions."""
 
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexspark.functions import stemming
@@ -135,3 +137,26 @@ def test_full_text_search_in_blocks_writes_no_postings(spark):
     found = fulltext.search(v.asked, v.chunks, block=3)
     assert len(whole) > 50 and sorted(tuple(r) for r in found.collect()) == whole
     assert not any("postings" in f for f in found.inputFiles()) and "places" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vector_search_holds_a_tile_of_scores():
+    rng = np.random.default_rng(5)
+    queries, vectors, ids = rng.normal(size=(3000, 4)), rng.normal(size=(9000, 4)), np.arange(9000)
+    run = retrieval._best_of_task(np.arange(3000), retrieval._unit(queries), ["A", "B"], np.array([0.9, -1.0]), 3)
+    batch = pa.RecordBatch.from_pydict({"chunk_id": pa.array(ids), "doc_class": pa.array(np.array(["A", "B"], object)[ids % 2]), "v": pa.array(list(vectors))})
+    tracemalloc.start()
+    got = sorted((r["query_id"], r["doc_class"], -r["score"], r["chunk_id"]) for out in run(iter([batch])) for r in out.to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    for q in (0, 1500, 2999):
+        score = np.round(retrieval._unit(queries)[q] @ retrieval._unit(vectors).T, 6)
+        want = [(q, c, -score[i], i) for c, least, of in (("A", 0.9, 0), ("B", -1.0, 1)) for i in sorted((i for i in ids if i % 2 == of and score[i] >= least), key=lambda i: (-score[i], i))[:3]]
+        assert [(a, b, round(c, 5), d) for a, b, c, d in got if a == q] == [(a, b, round(c, 5), d) for a, b, c, d in want]
+
+
+def test_vector_search_answers_a_repeated_vector_once(spark):
+    asked = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "query_id long, q array<double>")
+    chunks = spark.createDataFrame([(1, "A", [1.0, 0.1]), (2, "A", [0.9, 1.0])], "chunk_id long, doc_class string, v array<double>")
+    got = retrieval.vector_search(asked, chunks, {"A": 0.0}, 1).collect()
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in got) == [(i, 1 + i % 2, 1) for i in range(40)]
