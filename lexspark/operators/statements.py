@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import rules as R
+from lexspark.sources.shared import written
 
 
 def confidence(subject: Column, predicate: Column, obj: Column, norm: Column) -> Column:
@@ -163,8 +164,9 @@ def assigned(svo: DataFrame, size: int = 20, budget: int = 0) -> DataFrame:
     order, of_batch = Window.partitionBy("doc_id").orderBy("svo_id"), Window.partitionBy("doc_id", "batch").orderBy("svo_id")
     text, predicate = F.trim(F.coalesce("sentence", F.lit(""))), F.trim(F.coalesce("predicate", F.lit("")))
     noun = predicate.rlike(r"^\p{Lu}\p{L}*$") & (F.length(predicate) > 3)
-    rows = svo.where("norm_type = 'UNKNOWN'").select("svo_id", "doc_id", "sentence", F.when(F.length(text) < 15, TOO_SHORT).when(noun, IS_NOUN).alias("reason"), F.floor((F.row_number().over(order) - 1) / size).cast("long").alias("batch"))
-    batches = rows.groupBy("doc_id").agg((F.max("batch") + 1).alias("batches"))
+    asked = found_once(svo.select("svo_id", "doc_id", "sentence", "predicate", "norm_type"), "norm_type").where("norm_type = 'UNKNOWN'")
+    rows = asked.select("svo_id", "doc_id", "sentence", F.when(F.length(text) < 15, TOO_SHORT).when(noun, IS_NOUN).alias("reason"), F.floor((F.row_number().over(order) - 1) / size).cast("long").alias("batch"))
+    batches = written(asked.groupBy("doc_id").agg(F.ceil(F.count("*") / size).cast("long").alias("batches")), "batches")  # read three times
     rows = rows.join(numbered_calls(batches, "doc_id", "batches").select("doc_id", "before"), "doc_id").withColumn("call", F.col("before") + F.col("batch") + 1)
     if budget:
         rows = rows.withColumn("reason", F.when(F.col("call") > budget, NO_BUDGET).otherwise(F.col("reason")))

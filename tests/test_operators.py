@@ -348,3 +348,11 @@ def test_object_is_the_last_word(spark, text, want):
     views = Views(spark, "")
     views.__dict__["sentences"] = docs.select(F.lit(0).cast("long").alias("chunk_id"), "doc_id", F.lit(0).cast("long").alias("pos"), F.lit("A").alias("doc_class"), F.lit("§ 1").alias("norm_reference"), F.lit(0).cast("long").alias("i"), F.col("line").alias("sentence"))
     assert views.svo.first()["object"] == want
+
+
+def test_calls_find_types_once_and_batches_once(spark):
+    svo = Views(spark, "/root/testdata/sf0.001").svo
+    plan = statements.assigned(svo)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("RLIKE" in line and "verpflichtet" in line for line in plan.splitlines() if "Filter" in line)
+    rows = spark.createDataFrame([(i, i % 2, "Ein Satz ohne jeden Typ.", "x", "UNKNOWN") for i in range(81)], "svo_id long, doc_id long, sentence string, predicate string, norm_type string")
+    assert {(r["doc_id"], r["batch"], r["call"]) for r in statements.assigned(rows).collect()} == {(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 0, 4), (1, 1, 5)}
